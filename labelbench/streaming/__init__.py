@@ -1,0 +1,6 @@
+"""Streaming.
+
+The studied workflow is batch only: it has no stream source, watermark, window or state.
+Nothing is built here; every plan of the package is a batch DataFrame plan, which Structured
+Streaming could run per micro-batch through ``foreachBatch`` if a stream were ever needed.
+"""
