@@ -115,3 +115,110 @@ def q_null_profile(spark, sf_dir):
 @query("table_info")
 def q_table_info(spark, sf_dir):
     return profile.table_info(clean.cast_labels_strict(annotated(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- subsets (2.2, 2.8 R7, 2.7 J1)
+from ..operators import split as sp  # noqa: E402
+from ..operators import subsets as sb  # noqa: E402
+from ..constants import AMBIGUITY_TYPES  # noqa: E402
+
+
+def suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned table tagged with its experiments, metadata dropped, labels strict."""
+    return sb.prepare_baseline(sb.subset_suite(prepared(spark, sf_dir)))
+
+
+@query("prepare_baseline")
+def q_prepare_baseline(spark, sf_dir):
+    return sb.prepare_baseline(prepared(spark, sf_dir))
+
+
+@query("subset_no_ambiguity")
+def q_subset_no_ambiguity(spark, sf_dir):
+    p = prepared(spark, sf_dir)
+    return sb.prepare_baseline(p.filter(F.col("ambuiguity") == 0)).select("row_id", *LABELS)
+
+
+@query("subset_drop_type")
+def q_subset_drop_type(spark, sf_dir):
+    p = prepared(spark, sf_dir)
+    codes = F.array(*[F.lit(c) for c in AMBIGUITY_TYPES])
+    x = p.select("row_id", "ambiguity_type", F.explode(codes).alias("dropped_type"))
+    return x.filter(~F.col("ambiguity_type").eqNullSafe(F.col("dropped_type"))).select("dropped_type", "row_id")
+
+
+@query("filter_subset")
+def q_filter_subset(spark, sf_dir):
+    p = prepared(spark, sf_dir)
+    return sb.filter_subset(p, condition=F.col("compute") == 1,
+                            query="ambiguity_type is null or ambiguity_type <> 2").select("row_id")
+
+
+@query("subset_transform")
+def q_subset_transform(spark, sf_dir):
+    p = prepared(spark, sf_dir)
+    return sb.subset_transform(p, lambda d: d.filter(F.col("network") + F.col("compute") > 0)) \
+        .select("row_id", "network", "compute")
+
+
+@query("subset_suite")
+def q_subset_suite(spark, sf_dir):
+    return suite(spark, sf_dir).select("experiment", "row_id")
+
+
+@query("subset_sizes")
+def q_subset_sizes(spark, sf_dir):
+    return sb.subset_sizes(prepared(spark, sf_dir))
+
+
+@query("ambiguity_type_names")
+def q_ambiguity_type_names(spark, sf_dir):
+    return annotated(spark, sf_dir).select("row_id", "ambiguity_type",
+                                           sb.ambiguity_type_name().alias("type_name"))
+
+
+@query("overlay_rewrites")
+def q_overlay_rewrites(spark, sf_dir):
+    p = prepared(spark, sf_dir)
+    out = sb.overlay_rewrites(p, fx.rewrites(spark, sf_dir))
+    return out.select("row_id", "description", "is_rewritten")
+
+
+@query("sanitize_name")
+def q_sanitize_name(spark, sf_dir):
+    return fx.req(spark, sf_dir).select("row_id", tx.sanitize_name("description").alias("safe_name"))
+
+
+@query("display_names")
+def q_display_names(spark, sf_dir):
+    s = suite(spark, sf_dir).groupBy(F.col("experiment").alias("name")).agg(F.count(F.lit(1)).alias("rows"))
+    src = fx.req(spark, sf_dir).groupBy(tx.sanitize_name(F.concat(F.col("source"), F.lit("_set"))).alias("name")) \
+        .agg(F.count(F.lit(1)).alias("rows"))
+    return s.unionByName(src).select("name", tx.experiment_display_name("name").alias("display_name"),
+                                     F.col("rows").cast("bigint").alias("rows"))
+
+
+# ---------------------------------------------------------------- split / batches (2.6 G1-G3, 2.4 A8)
+def split_suite(spark: SparkSession, sf_dir: str, test_size: float = 0.15, seed: int = 42) -> DataFrame:
+    return sp.split_exact(suite(spark, sf_dir), test_size, seed, by=["experiment"])
+
+
+@query("split_exact")
+def q_split_exact(spark, sf_dir):
+    return split_suite(spark, sf_dir).select("experiment", "row_id", "rank", "split")
+
+
+@query("batch_assign")
+def q_batch_assign(spark, sf_dir):
+    return sp.batch_assign(split_suite(spark, sf_dir)).select("experiment", "row_id", "split", "batch_id")
+
+
+@query("class_distribution")
+def q_class_distribution(spark, sf_dir):
+    return sp.class_distribution(split_suite(spark, sf_dir), by=["experiment"])
+
+
+@query("dense_row_number")
+def q_dense_row_number(spark, sf_dir):
+    return sp.ordered_rank(prepared(spark, sf_dir).select("row_id")) \
+        .select("row_id", (F.col("rank") - 1).alias("row_number"))

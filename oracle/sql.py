@@ -103,3 +103,109 @@ SQL["null_profile"] = W("req") + ",\na as (select * from req where ambuiguity is
 SQL["table_info"] = W("req") + ",\na as (select * from req where ambuiguity is not null)\n" + "\nunion all\n".join(
     f"select {i} as position, '{c}' as \"column\", '{t}' as dtype, cast(count({c}) as bigint) as non_null from a"
     for i, (c, t) in enumerate(zip(REQ_COLS, REQ_TYPES)))
+
+# ---------------------------------------------------------------- subsets / split
+TYPES = {1: "lexical", 2: "syntactic", 3: "semantic", 4: "language_error", 5: "pragmatic"}
+_PREP = f""",
+prep_all as (select row_id, {norm('description')} as description, source, ambuiguity, ambiguity_type, comments,
+                    {LABEL_COLS}, goal from req where ambuiguity is not null),
+prep as (select * from prep_all where row_id in (select min(row_id) from prep_all group by lower(description)))"""
+
+_SUITE_CONDS = [("baseline", "true"), ("no_ambiguity", "ambuiguity = 0")] + [
+    (f"no_{n}_ambiguity", f"ambiguity_type is distinct from {c}") for c, n in TYPES.items()]
+
+_SUITE = _PREP + ",\nsuite as (\n" + "\n  union all\n".join(
+    f"  select '{e}' as experiment, row_id, description, {LABEL_COLS} from prep where {c}" for e, c in _SUITE_CONDS) + "\n)"
+
+
+def title(x: str) -> str:
+    return (f"array_to_string(list_transform(regexp_extract_all({x}, '(\\p{{L}}+|\\P{{L}}+)', 1), "
+            f"lambda r: upper(left(r, 1)) || lower(substr(r, 2))), '')")
+
+
+def sanitize(x: str) -> str:
+    s1 = f"regexp_replace({strip(x)}, '[^A-Za-z0-9._-]+', '_', 'g')"
+    s2 = f"regexp_replace({s1}, '^[._-]+|[._-]+\\z', '', 'g')"
+    return f"(case when {s2} = '' then 'experiment' else {s2} end)"
+
+
+DISPLAY = {"baseline": "Benchmark all", "no_ambiguity": "No ambiguity",
+           "no_lexical_ambiguity": "No lexical ambiguity", "no_syntactic_ambiguity": "No syntactic ambiguity",
+           "no_semantic_ambiguity": "No semantic ambiguity",
+           "no_language_error_ambiguity": "No language-error ambiguity",
+           "no_pragmatic_ambiguity": "No pragmatic ambiguity"}
+
+
+def display(x: str) -> str:
+    cases = " ".join(f"when {x} = '{k}' then '{v}'" for k, v in DISPLAY.items())
+    return f"(case {cases} else {title(f'replace({x}, {chr(39)}_{chr(39)}, {chr(39)} {chr(39)})')} end)"
+
+
+SQL["prepare_baseline"] = W("req") + _PREP + f"""
+select row_id, description, {LABEL_COLS} from prep"""
+
+SQL["subset_no_ambiguity"] = W("req") + _PREP + f"""
+select row_id, {LABEL_COLS} from prep where ambuiguity = 0"""
+
+SQL["subset_drop_type"] = W("req") + _PREP + "\n" + "\nunion all\n".join(
+    f"select {c} as dropped_type, row_id from prep where ambiguity_type is distinct from {c}" for c in TYPES)
+
+SQL["filter_subset"] = W("req") + _PREP + """
+select row_id from prep where (ambiguity_type is null or ambiguity_type <> 2) and compute = 1"""
+
+SQL["subset_transform"] = W("req") + _PREP + """
+select row_id, network, compute from prep where network + compute > 0"""
+
+SQL["subset_suite"] = W("req") + _SUITE + """
+select experiment, row_id from suite"""
+
+SQL["subset_sizes"] = W("req") + _PREP + "\n" + "\nunion all\n".join(
+    f"select '{'benchmark_all' if e == 'baseline' else e}' as dataset, cast(count(*) as bigint) as rows "
+    f"from prep where {c}" for e, c in _SUITE_CONDS)
+
+SQL["ambiguity_type_names"] = W("req") + """
+select row_id, ambiguity_type, case ambiguity_type """ + " ".join(
+    f"when {c} then '{n}'" for c, n in TYPES.items()) + """ end as type_name
+from req where ambuiguity is not null"""
+
+SQL["overlay_rewrites"] = W("rewrites") + _PREP + """
+select p.row_id,
+       case when p.ambuiguity = 1 and w.rewritten is not null then w.rewritten else p.description end as description,
+       coalesce(p.ambuiguity = 1 and w.rewritten is not null, false) as is_rewritten
+from prep p left join rewrites w on p.row_id = w.row_id"""
+
+SQL["sanitize_name"] = W("req") + f"""
+select row_id, {sanitize('description')} as safe_name from req"""
+
+SQL["display_names"] = W("req") + _SUITE + f""",
+names as (
+  select experiment as name, count(*) as rows from suite group by experiment
+  union all
+  select {sanitize("concat(source, '_set')")} as name, count(*) as rows from req group by 1
+)
+select name, {display('name')} as display_name, cast(rows as bigint) as rows from names"""
+
+_SPLIT = _SUITE + """,
+ranked as (
+  select *, row_number() over (partition by experiment order by md5(concat('42', ':', cast(row_id as varchar))), row_id) as rank,
+         cast(ceil(cast(0.15 as double) * count(*) over (partition by experiment)) as bigint) as nv
+  from suite
+),
+split as (
+  select *, case when rank <= nv then 'valid' else 'train' end as split,
+         case when rank <= nv then rank else rank - nv end as split_rank
+  from ranked
+)"""
+
+SQL["split_exact"] = W("req") + _SPLIT + """
+select experiment, row_id, cast(rank as bigint) as rank, split from split"""
+
+SQL["batch_assign"] = W("req") + _SPLIT + """
+select experiment, row_id, split, cast((split_rank - 1) // 16 as bigint) as batch_id from split"""
+
+SQL["class_distribution"] = W("req") + _SPLIT + "\n" + "\nunion all\n".join(
+    f"select experiment, split, '{l}' as label, cast(sum({l}) as bigint) as positives from split group by experiment, split"
+    for l in LABELS)
+
+SQL["dense_row_number"] = W("req") + _PREP + """
+select row_id, cast(row_number() over (order by row_id) - 1 as bigint) as row_number from prep"""
