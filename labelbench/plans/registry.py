@@ -222,3 +222,106 @@ def q_class_distribution(spark, sf_dir):
 def q_dense_row_number(spark, sf_dir):
     return sp.ordered_rank(prepared(spark, sf_dir).select("row_id")) \
         .select("row_id", (F.col("rank") - 1).alias("row_number"))
+
+
+# ---------------------------------------------------------------- metrics (2.2 P14-P18, 2.4 A9-A17)
+from ..operators import metrics as mt  # noqa: E402
+
+
+def _r6(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), 6) for c in cols})
+
+
+def _joined(c) -> F.Column:
+    return F.array_join(c, "|")
+
+
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence texts of the scored rows (normalised)."""
+    return clean.normalize_text(annotated(spark, sf_dir)).select("row_id", "description")
+
+
+@query("binarize_ge")
+def q_binarize_ge(spark, sf_dir):
+    return mt.binarize(fx.pred(spark, sf_dir)).select("row_id", "label", "y", "p", "yhat")
+
+
+@query("predicted_labels")
+def q_predicted_labels(spark, sf_dir):
+    ll = mt.label_lists(fx.pred(spark, sf_dir))
+    return ll.select("row_id", _joined("true_labels").alias("true_labels"),
+                     _joined("predicted_labels").alias("predicted_labels"))
+
+
+@query("is_requirement")
+def q_is_requirement(spark, sf_dir):
+    return mt.is_requirement(fx.pred(spark, sf_dir))
+
+
+@query("sentence_results")
+def q_sentence_results(spark, sf_dir):
+    r = mt.sentence_results(fx.pred(spark, sf_dir), sentences(spark, sf_dir))
+    return r.select("row_id", "sentence", _joined("true_label").alias("true_label"),
+                    _joined("predicted").alias("predicted"), "correctness",
+                    F.array_join(F.transform("probabilities", lambda x: F.format_string("%.3f", x)), ",")
+                    .alias("probabilities"))
+
+
+@query("sentence_confusion")
+def q_sentence_confusion(spark, sf_dir):
+    r = mt.sentence_results(fx.pred(spark, sf_dir), sentences(spark, sf_dir))
+    return mt.sentence_confusion(r)
+
+
+@query("precision_recall")
+def q_precision_recall(spark, sf_dir):
+    r = mt.sentence_results(fx.pred(spark, sf_dir), sentences(spark, sf_dir))
+    return _r6(mt.precision_recall(mt.sentence_confusion(r)), "precision", "recall", "f1_score")
+
+
+@query("binary_confusion")
+def q_binary_confusion(spark, sf_dir):
+    return mt.binary_confusion(fx.pred(spark, sf_dir))
+
+
+@query("binary_report")
+def q_binary_report(spark, sf_dir):
+    return _r6(mt.binary_report(fx.pred(spark, sf_dir)), "precision", "recall", "f1_score")
+
+
+@query("per_label_confusion")
+def q_per_label_confusion(spark, sf_dir):
+    return mt.per_label_confusion(fx.pred(spark, sf_dir))
+
+
+@query("per_label_accuracy")
+def q_per_label_accuracy(spark, sf_dir):
+    return _r6(mt.per_label_accuracy(fx.pred(spark, sf_dir)), "accuracy")
+
+
+@query("exact_match")
+def q_exact_match(spark, sf_dir):
+    p = fx.pred(spark, sf_dir)
+    ge = mt.exact_match(p).withColumn("comparator", F.lit(">="))
+    gt = mt.exact_match(p, strict=True).withColumn("comparator", F.lit(">"))
+    return _r6(ge.unionByName(gt), "exact_match")
+
+
+@query("hamming_loss")
+def q_hamming_loss(spark, sf_dir):
+    return _r6(mt.hamming_loss(fx.pred(spark, sf_dir)), "hamming_loss")
+
+
+@query("jaccard_macro")
+def q_jaccard_macro(spark, sf_dir):
+    return _r6(mt.jaccard_macro(fx.pred(spark, sf_dir)), "jaccard")
+
+
+@query("classification_report")
+def q_classification_report(spark, sf_dir):
+    return _r6(mt.classification_report(fx.pred(spark, sf_dir)), "precision", "recall", "f1_score")
+
+
+@query("report_samples_avg")
+def q_report_samples_avg(spark, sf_dir):
+    return _r6(mt.report_samples_avg(fx.pred(spark, sf_dir)), "precision", "recall", "f1_score")

@@ -209,3 +209,107 @@ SQL["class_distribution"] = W("req") + _SPLIT + "\n" + "\nunion all\n".join(
 
 SQL["dense_row_number"] = W("req") + _PREP + """
 select row_id, cast(row_number() over (order by row_id) - 1 as bigint) as row_number from prep"""
+
+# ---------------------------------------------------------------- metrics
+T = "cast(0.2 as double)"
+LABEL_LIST = "[" + ", ".join(f"'{l}'" for l in LABELS) + "]"
+_CELLS = f""",
+cells as (select row_id, label, y, p, case when p >= {T} then 1 else 0 end as yhat,
+                 case when p > {T} then 1 else 0 end as yhat_gt,
+                 list_position({LABEL_LIST}, label) - 1 as pos from pred),
+conf as (select label, cast(count(*) filter (where y > 0 and yhat > 0) as bigint) as tp,
+                cast(count(*) filter (where y = 0 and yhat > 0) as bigint) as fp,
+                cast(count(*) filter (where y > 0 and yhat = 0) as bigint) as fn,
+                cast(count(*) filter (where y = 0 and yhat = 0) as bigint) as tn from cells group by label),
+rows_s as (select row_id, count(*) filter (where y > 0) as n_true, count(*) filter (where yhat > 0) as n_pred,
+                  count(*) filter (where y > 0 and yhat > 0) as n_both,
+                  count(*) filter (where (y > 0) <> (yhat > 0)) as n_wrong,
+                  count(*) filter (where (y > 0) <> (yhat_gt > 0)) as n_wrong_gt from cells group by row_id),
+req_flags as (select row_id, n_true > 0 as true_req, n_pred > 0 as pred_req from rows_s),
+lists as (select row_id,
+                 coalesce(string_agg(label, '|' order by pos) filter (where y = 1), '') as t_raw,
+                 coalesce(string_agg(label, '|' order by pos) filter (where p > {T}), '') as p_raw,
+                 string_agg(printf('%.3f', round(p, 3)), ',' order by pos) as probabilities
+          from cells group by row_id),
+sent as (select row_id, {norm('description')} as sentence from req where ambuiguity is not null),
+results as (select l.row_id, s.sentence, replace(t_raw, '_', ' ') as true_label, replace(p_raw, '_', ' ') as predicted,
+                   t_raw = p_raw as correctness, probabilities
+            from lists l join sent s on l.row_id = s.row_id),
+sconf as (select row_id, cast(predicted <> '' as int) as predicted, cast(true_label <> '' as int) as true_label,
+                 sentence as text,
+                 cast(predicted <> '' and true_label <> '' as int) as TP, cast(predicted = '' and true_label = '' as int) as TN,
+                 cast(predicted <> '' and true_label = '' as int) as FP, cast(predicted = '' and true_label <> '' as int) as FN
+          from results)"""
+
+
+def sdiv(a: str, b: str) -> str:
+    return f"coalesce(cast({a} as double) / nullif({b}, 0), 0)"
+
+
+def r6(x: str) -> str:
+    return f"round({x}, 6)"
+
+
+M = W("pred") + _CELLS
+
+SQL["binarize_ge"] = M + "\nselect row_id, label, y, p, yhat from cells"
+SQL["predicted_labels"] = M + "\nselect row_id, t_raw as true_labels, p_raw as predicted_labels from lists"
+SQL["is_requirement"] = M + "\nselect row_id, true_req, pred_req from req_flags"
+SQL["sentence_results"] = M + "\nselect row_id, sentence, true_label, predicted, correctness, probabilities from results"
+SQL["sentence_confusion"] = M + "\nselect row_id, predicted, true_label, text, TP, TN, FP, FN from sconf"
+SQL["precision_recall"] = M + f""",
+t as (select cast(sum(TP) as bigint) as tp, cast(sum(TN) as bigint) as tn, cast(sum(FP) as bigint) as fp,
+             cast(sum(FN) as bigint) as fn from sconf),
+pr as (select *, {sdiv('tp', 'tp + fp')} as precision, {sdiv('tp', 'tp + fn')} as recall from t)
+select tp, tn, fp, fn, {r6('precision')} as precision, {r6('recall')} as recall,
+       {r6(sdiv('2 * precision * recall', 'precision + recall'))} as f1_score from pr"""
+SQL["binary_confusion"] = M + """
+select a as true_req, b as pred_req, cast(count(r.row_id) as bigint) as n
+from (values (false), (true)) as x(a) cross join (values (false), (true)) as z(b)
+left join req_flags r on r.true_req = a and r.pred_req = b group by a, b"""
+SQL["binary_report"] = M + f""",
+w as (select count(*) filter (where true_req and pred_req) as tp, count(*) filter (where not true_req and pred_req) as fp,
+             count(*) filter (where true_req and not pred_req) as fn,
+             count(*) filter (where not true_req and not pred_req) as tn from req_flags),
+c as (select *, tp + fp + fn + tn as n,
+             {sdiv('tn', 'tn + fn')} as p0, {sdiv('tn', 'tn + fp')} as r0, {sdiv('2 * tn', '2 * tn + fn + fp')} as f0, tn + fp as s0,
+             {sdiv('tp', 'tp + fp')} as p1, {sdiv('tp', 'tp + fn')} as r1, {sdiv('2 * tp', '2 * tp + fp + fn')} as f1, tp + fn as s1
+      from w)
+select 0 as position, 'False' as row_name, {r6('p0')} as precision, {r6('r0')} as recall, {r6('f0')} as f1_score, cast(s0 as bigint) as support from c
+union all select 1, 'True', {r6('p1')}, {r6('r1')}, {r6('f1')}, cast(s1 as bigint) from c
+union all select 2, 'accuracy', null, null, {r6(sdiv('tp + tn', 'n'))}, cast(n as bigint) from c
+union all select 3, 'macro avg', {r6('(p0 + p1) / 2')}, {r6('(r0 + r1) / 2')}, {r6('(f0 + f1) / 2')}, cast(n as bigint) from c
+union all select 4, 'weighted avg', {r6(sdiv('p0 * s0 + p1 * s1', 'n'))}, {r6(sdiv('r0 * s0 + r1 * s1', 'n'))},
+                 {r6(sdiv('f0 * s0 + f1 * s1', 'n'))}, cast(n as bigint) from c"""
+SQL["per_label_confusion"] = M + "\nselect label, tp, fp, fn, tn from conf"
+SQL["per_label_accuracy"] = M + f"\nselect label, {r6(sdiv('tp + tn', 'tp + fp + fn + tn'))} as accuracy from conf"
+SQL["exact_match"] = M + f"""
+select '>=' as comparator, cast(count(*) filter (where n_wrong = 0) as bigint) as exact_rows, cast(count(*) as bigint) as rows,
+       {r6(sdiv('count(*) filter (where n_wrong = 0)', 'count(*)'))} as exact_match from rows_s
+union all
+select '>', cast(count(*) filter (where n_wrong_gt = 0) as bigint), cast(count(*) as bigint),
+       {r6(sdiv('count(*) filter (where n_wrong_gt = 0)', 'count(*)'))} from rows_s"""
+SQL["hamming_loss"] = M + f"""
+select cast(count(*) filter (where (y > 0) <> (yhat > 0)) as bigint) as wrong_cells, cast(count(*) as bigint) as cells,
+       {r6(sdiv('count(*) filter (where (y > 0) <> (yhat > 0))', 'count(*)'))} as hamming_loss from cells"""
+SQL["jaccard_macro"] = M + f"\nselect {r6('avg(' + sdiv('tp', 'tp + fp + fn') + ')')} as jaccard from conf"
+_SAMPLES = f"""select {r6('avg(' + sdiv('n_both', 'n_pred') + ')')} as precision, {r6('avg(' + sdiv('n_both', 'n_true') + ')')} as recall,
+       {r6('avg(' + sdiv('2 * n_both', 'n_true + n_pred') + ')')} as f1_score, cast(sum(n_true) as bigint) as support,
+       'samples avg' as row_name from rows_s"""
+SQL["report_samples_avg"] = M + "\n" + _SAMPLES
+SQL["classification_report"] = M + f""",
+per as (select list_position({LABEL_LIST}, label) - 1 as position, replace(label, '_', ' ') as row_name,
+               {sdiv('tp', 'tp + fp')} as precision, {sdiv('tp', 'tp + fn')} as recall,
+               {sdiv('2 * tp', '2 * tp + fp + fn')} as f1_score, tp + fn as support, tp, fp, fn from conf),
+tot as (select sum(tp) as tp, sum(fp) as fp, sum(fn) as fn, avg(precision) as m_p, avg(recall) as m_r, avg(f1_score) as m_f,
+               sum(precision * support) as w_p, sum(recall * support) as w_r, sum(f1_score * support) as w_f,
+               sum(support) as support from per),
+s as ({_SAMPLES})
+select cast(position as int) as position, row_name, {r6('precision')} as precision, {r6('recall')} as recall,
+       {r6('f1_score')} as f1_score, cast(support as bigint) as support from per
+union all select 6, 'micro avg', {r6(sdiv('tp', 'tp + fp'))}, {r6(sdiv('tp', 'tp + fn'))}, {r6(sdiv('2 * tp', '2 * tp + fp + fn'))},
+                 cast(support as bigint) from tot
+union all select 7, 'macro avg', {r6('m_p')}, {r6('m_r')}, {r6('m_f')}, cast(support as bigint) from tot
+union all select 8, 'weighted avg', {r6(sdiv('w_p', 'support'))}, {r6(sdiv('w_r', 'support'))}, {r6(sdiv('w_f', 'support'))},
+                 cast(support as bigint) from tot
+union all select 9, row_name, precision, recall, f1_score, support from s"""
