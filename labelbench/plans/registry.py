@@ -325,3 +325,35 @@ def q_classification_report(spark, sf_dir):
 @query("report_samples_avg")
 def q_report_samples_avg(spark, sf_dir):
     return _r6(mt.report_samples_avg(fx.pred(spark, sf_dir)), "precision", "recall", "f1_score")
+
+
+# ---------------------------------------------------------------- ROC (2.5 C1-C4)
+from ..operators import roc  # noqa: E402
+
+
+@query("roc_points")
+def q_roc_points(spark, sf_dir):
+    p = roc.roc_points(fx.pred(spark, sf_dir))
+    return _r6(p.select("label", "threshold", "tps", "fps", "fpr", "tpr"), "fpr", "tpr")
+
+
+@query("roc_auc_per_label")
+def q_roc_auc_per_label(spark, sf_dir):
+    a = roc.roc_auc(fx.pred(spark, sf_dir), micro=False)
+    return _r6(a, "auc")
+
+
+@query("roc_auc_micro")
+def q_roc_auc_micro(spark, sf_dir):
+    c = roc.score_counts(fx.pred(spark, sf_dir)).filter(F.col("label") == roc.MICRO)
+    return _r6(roc.roc_auc(None, counts=None, points=roc.roc_points(None, counts=c)), "auc")
+
+
+@query("roc_macro_curve")
+def q_roc_macro_curve(spark, sf_dir):
+    return _r6(roc.roc_macro_curve(fx.pred(spark, sf_dir)), "fpr", "tpr")
+
+
+@query("roc_auc_macro")
+def q_roc_auc_macro(spark, sf_dir):
+    return _r6(roc.roc_auc_macro(fx.pred(spark, sf_dir)), "auc")

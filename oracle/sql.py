@@ -313,3 +313,44 @@ union all select 7, 'macro avg', {r6('m_p')}, {r6('m_r')}, {r6('m_f')}, cast(sup
 union all select 8, 'weighted avg', {r6(sdiv('w_p', 'support'))}, {r6(sdiv('w_r', 'support'))}, {r6(sdiv('w_f', 'support'))},
                  cast(support as bigint) from tot
 union all select 9, row_name, precision, recall, f1_score, support from s"""
+
+# ---------------------------------------------------------------- ROC
+_ROC = """,
+agg as (select label, p, count(*) filter (where y > 0) as pos, count(*) filter (where not (y > 0)) as neg
+        from pred group by label, p
+        union all
+        select 'micro', p, count(*) filter (where y > 0), count(*) filter (where not (y > 0)) from pred group by p),
+cum as (select label, p as threshold, pos, neg,
+               sum(pos) over (partition by label order by p desc rows between unbounded preceding and current row) as tps,
+               sum(neg) over (partition by label order by p desc rows between unbounded preceding and current row) as fps,
+               sum(pos) over (partition by label) as P, sum(neg) over (partition by label) as N from agg),
+pts as (select label, threshold, pos, neg, tps, fps, P, N from cum
+        union all
+        select label, null, 0, 0, 0, 0, max(P), max(N) from cum group by label),
+rates as (select *, cast(fps as double) / nullif(cast(N as double), 0) as fpr,
+                 cast(tps as double) / nullif(cast(P as double), 0) as tpr from pts),
+auc as (select label, cast(sum(neg * (2 * tps - pos)) as double) / nullif(2.0 * max(P) * max(N), 0) as auc
+        from rates group by label),
+grid as (select l.label, k, case when k = 99 then cast(1 as double) else k * (cast(1 as double) / 99) end as x
+         from (select distinct label from pred) l cross join range(100) t(k)),
+ab as (select g.label, g.k, g.x,
+              max(r.fpr) filter (where r.fpr <= g.x) as ax, max(r.tpr) filter (where r.fpr <= g.x) as ay,
+              min(r.fpr) filter (where r.fpr > g.x) as bx, min(r.tpr) filter (where r.fpr > g.x) as by_
+       from grid g join rates r on r.label = g.label and r.fpr is not null and r.tpr is not null
+       group by g.label, g.k, g.x),
+interp as (select g.label, g.k, g.x,
+                  case when ab.ax is null then null
+                       when ab.bx is null or ab.ax = g.x then ab.ay
+                       else (ab.by_ - ab.ay) / (ab.bx - ab.ax) * (g.x - ab.ax) + ab.ay end as t
+           from grid g left join ab on g.label = ab.label and g.k = ab.k),
+curve as (select k, min(x) as fpr, case when count(t) = count(*) then avg(t) end as tpr from interp group by k),
+macro as (select case when count(tpr) = count(*) then sum(s) end as auc
+          from (select tpr, (lead(fpr) over (order by k) - fpr) * (tpr + lead(tpr) over (order by k)) / 2 as s from curve))"""
+R = W("pred") + _ROC
+SQL["roc_points"] = R + """
+select label, threshold, cast(tps as bigint) as tps, cast(fps as bigint) as fps, round(fpr, 6) as fpr, round(tpr, 6) as tpr
+from rates"""
+SQL["roc_auc_per_label"] = R + "\nselect label, round(auc, 6) as auc from auc where label <> 'micro'"
+SQL["roc_auc_micro"] = R + "\nselect label, round(auc, 6) as auc from auc where label = 'micro'"
+SQL["roc_macro_curve"] = R + "\nselect cast(k as int) as k, round(fpr, 6) as fpr, round(tpr, 6) as tpr from curve"
+SQL["roc_auc_macro"] = R + "\nselect 'macro' as label, round(auc, 6) as auc from macro"
