@@ -357,3 +357,33 @@ def q_roc_macro_curve(spark, sf_dir):
 @query("roc_auc_macro")
 def q_roc_auc_macro(spark, sf_dir):
     return _r6(roc.roc_auc_macro(fx.pred(spark, sf_dir)), "auc")
+
+
+# ---------------------------------------------------------------- loss history (2.6 G4-G5, 2.4 A18-A19, T12)
+from ..operators import history as hs  # noqa: E402
+
+
+@query("early_stop_trace")
+def q_early_stop_trace(spark, sf_dir):
+    t = hs.early_stop_trace(fx.history(spark, sf_dir))
+    return t.select("experiment", "epoch", "valid_loss", "best_before", "is_worse", "ran", "saved")
+
+
+@query("best_epoch")
+def q_best_epoch(spark, sf_dir):
+    return hs.best_epoch(fx.history(spark, sf_dir))
+
+
+@query("sigmoid_scores")
+def q_sigmoid_scores(spark, sf_dir):
+    return _r6(hs.sigmoid_scores(fx.logits(spark, sf_dir)).select("row_id", "label", "p"), "p")
+
+
+@query("bce_loss")
+def q_bce_loss(spark, sf_dir):
+    return _r6(hs.bce_loss(fx.logits(spark, sf_dir)), "bce")
+
+
+@query("bce_batch_mean")
+def q_bce_batch_mean(spark, sf_dir):
+    return _r6(hs.bce_batch_mean(fx.logits(spark, sf_dir)), "bce_batch_mean")

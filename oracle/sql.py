@@ -354,3 +354,27 @@ SQL["roc_auc_per_label"] = R + "\nselect label, round(auc, 6) as auc from auc wh
 SQL["roc_auc_micro"] = R + "\nselect label, round(auc, 6) as auc from auc where label = 'micro'"
 SQL["roc_macro_curve"] = R + "\nselect cast(k as int) as k, round(fpr, 6) as fpr, round(tpr, 6) as tpr from curve"
 SQL["roc_auc_macro"] = R + "\nselect 'macro' as label, round(auc, 6) as auc from macro"
+
+# ---------------------------------------------------------------- loss history
+_TRACE = """,
+t1 as (select *, min(valid_loss) over (partition by experiment order by epoch
+                                       rows between unbounded preceding and 1 preceding) as best_before from history),
+t2 as (select *, coalesce(valid_loss > best_before, false) as is_worse from t1),
+trace as (select *, coalesce(max(cast(is_worse as int)) over (partition by experiment order by epoch
+                                 rows between unbounded preceding and 1 preceding), 0) = 0 as ran from t2)"""
+SQL["early_stop_trace"] = W("history") + _TRACE + """
+select experiment, epoch, valid_loss, best_before, is_worse, ran, ran and not is_worse as saved from trace"""
+SQL["best_epoch"] = W("history") + _TRACE + """
+select experiment, cast(count(*) as int) as epochs_run, max(epoch) filter (where not is_worse) as best_epoch,
+       arg_max(valid_loss, epoch) filter (where not is_worse) as best_valid_loss,
+       arg_max(train_loss, epoch) filter (where not is_worse) as best_train_loss,
+       max(cast(is_worse as int)) = 1 as stopped_early
+from trace where ran group by experiment"""
+_BCE = "greatest(x, cast(0 as double)) - x * y + ln(1 + exp(-abs(x)))"
+SQL["sigmoid_scores"] = W("logits") + "\nselect row_id, label, round(1 / (1 + exp(-x)), 6) as p from logits"
+SQL["bce_loss"] = W("logits") + f"\nselect round(avg({_BCE}), 6) as bce, cast(count(*) as bigint) as cells from logits"
+SQL["bce_batch_mean"] = W("logits") + f""",
+rows_ as (select row_id, (row_number() over (order by md5(concat('42', ':', cast(row_id as varchar))), row_id) - 1) // 16
+                 as batch_id from (select distinct row_id from logits)),
+b as (select r.batch_id, avg({_BCE}) as batch_loss from logits l join rows_ r on l.row_id = r.row_id group by r.batch_id)
+select round(avg(batch_loss), 6) as bce_batch_mean, cast(count(*) as bigint) as batches from b"""
