@@ -387,3 +387,21 @@ def q_bce_loss(spark, sf_dir):
 @query("bce_batch_mean")
 def q_bce_batch_mean(spark, sf_dir):
     return _r6(hs.bce_batch_mean(fx.logits(spark, sf_dir)), "bce_batch_mean")
+
+
+# ---------------------------------------------------------------- encoding (2.3 T13)
+from ..operators import encode as en  # noqa: E402
+
+
+@query("build_vocab")
+def q_build_vocab(spark, sf_dir):
+    return en.build_vocab(prepared(spark, sf_dir))
+
+
+@query("encode_tokens")
+def q_encode_tokens(spark, sf_dir):
+    p = prepared(spark, sf_dir)
+    e = en.encode_tokens(p, en.build_vocab(p))
+    return e.select("row_id", F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ").alias("input_ids"),
+                    F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("attention_len"),
+                    F.size("token_type_ids").alias("type_len"), "n_tokens")

@@ -378,3 +378,19 @@ rows_ as (select row_id, (row_number() over (order by md5(concat('42', ':', cast
                  as batch_id from (select distinct row_id from logits)),
 b as (select r.batch_id, avg({_BCE}) as batch_loss from logits l join rows_ r on l.row_id = r.row_id group by r.batch_id)
 select round(avg(batch_loss), 6) as bce_batch_mean, cast(count(*) as bigint) as batches from b"""
+
+# ---------------------------------------------------------------- encoding
+TOKEN_RE = r"([\p{L}\p{N}]+|[^\s\p{L}\p{N}])"
+_VOCAB = _PREP + f""",
+tk as (select row_id, regexp_extract_all(lower({collapse('description')}), '{TOKEN_RE}', 1) as toks from prep),
+voc as (select token, cast(count(*) as bigint) as count from (select unnest(toks) as token from tk) group by token),
+vocab as (select token, cast(row_number() over (order by md5(concat('0', ':', token)), token) + 3 as int) as token_id, count
+          from voc)"""
+SQL["build_vocab"] = W("req") + _VOCAB + "\nselect token, token_id, count from vocab"
+SQL["encode_tokens"] = W("req") + _VOCAB + """,
+ex as (select row_id, unnest(toks) as token, unnest(generate_series(0, len(toks) - 1)) as pos from tk),
+ids as (select e.row_id, string_agg(cast(coalesce(v.token_id, 1) as varchar), ' ' order by e.pos) as s, count(*) as n
+        from ex e left join vocab v on e.token = v.token where e.pos < 298 group by e.row_id)
+select t.row_id, '2' || coalesce(' ' || ids.s, '') || ' 3' || repeat(' 0', cast(298 - coalesce(ids.n, 0) as int)) as input_ids,
+       cast(coalesce(ids.n, 0) + 2 as int) as attention_len, 300 as type_len, cast(len(t.toks) as int) as n_tokens
+from tk t left join ids on t.row_id = ids.row_id"""
