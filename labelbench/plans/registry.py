@@ -405,3 +405,80 @@ def q_encode_tokens(spark, sf_dir):
     return e.select("row_id", F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ").alias("input_ids"),
                     F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("attention_len"),
                     F.size("token_type_ids").alias("type_len"), "n_tokens")
+
+
+# ---------------------------------------------------------------- sources / sinks / experiments (2.1, 2.4 A20-A21, 2.8 R3-R4, 2.9)
+from ..config import ExperimentConfig  # noqa: E402
+from ..session import shared_path  # noqa: E402
+from ..sources import csv as csvsrc  # noqa: E402
+from ..sources.results import read_results  # noqa: E402
+from . import experiment as ex  # noqa: E402
+
+
+@query("scan_csv_typed")
+def q_scan_csv_typed(spark, sf_dir):
+    path = shared_path(spark, "csv", unique=True)
+    csvsrc.write_csv(fx.raw_strings(fx.req(spark, sf_dir)), path)
+    return csvsrc.scan_csv_typed(spark, path)
+
+
+def hashed_suite(spark: SparkSession, sf_dir: str, export: bool = True) -> ex.SuiteResult:
+    return ex.run_suite(prepared(spark, sf_dir), ExperimentConfig(), export=export, scorer=fx.hash_scorer)
+
+
+@query("results_roundtrip")
+def q_results_roundtrip(spark, sf_dir):
+    res = hashed_suite(spark, sf_dir)
+    results, confusion = read_results(spark, res.results_path)
+    return confusion.join(results.select("experiment", "row_id", "correctness"), ["experiment", "row_id"]) \
+        .select("experiment", "row_id", "predicted", "true_label", "TP", "TN", "FP", "FN", "correctness")
+
+
+@query("experiment_summary")
+def q_experiment_summary(spark, sf_dir):
+    res = hashed_suite(spark, sf_dir, export=False)
+    return _r6(res.summary, "exact_match_accuracy", "hamming_loss", "jaccard_score", "precision", "recall")
+
+
+def _artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ex.artifact_summary(spark, hashed_suite(spark, sf_dir).results_path)
+
+
+@query("artifact_summary")
+def q_artifact_summary(spark, sf_dir):
+    return _r6(_artifacts(spark, sf_dir), "exact_match_accuracy", "precision", "recall", "f1_score")
+
+
+@query("metrics_long")
+def q_metrics_long(spark, sf_dir):
+    return _r6(ex.metrics_long(_artifacts(spark, sf_dir)), "score")
+
+
+@query("confusion_rates")
+def q_confusion_rates(spark, sf_dir):
+    return _r6(ex.confusion_rates(_artifacts(spark, sf_dir)), "tp", "tn", "fp", "fn")
+
+
+# Spark ML keys: checked on rows only (a fitted model has no SQL twin).
+def _baseline(spark: SparkSession, sf_dir: str) -> ex.SuiteResult:
+    return ex.run_experiment(prepared(spark, sf_dir), "baseline", ExperimentConfig(), export=False)
+
+
+@query("train_multilabel")
+def q_train_multilabel(spark, sf_dir):
+    return _baseline(spark, sf_dir).train_history
+
+
+@query("score_multilabel")
+def q_score_multilabel(spark, sf_dir):
+    return _baseline(spark, sf_dir).pred
+
+
+@query("run_experiment")
+def q_run_experiment(spark, sf_dir):
+    return _baseline(spark, sf_dir).summary
+
+
+@query("run_suite")
+def q_run_suite(spark, sf_dir):
+    return ex.run_suite(prepared(spark, sf_dir), ExperimentConfig()).summary

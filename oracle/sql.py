@@ -394,3 +394,64 @@ ids as (select e.row_id, string_agg(cast(coalesce(v.token_id, 1) as varchar), '
 select t.row_id, '2' || coalesce(' ' || ids.s, '') || ' 3' || repeat(' 0', cast(298 - coalesce(ids.n, 0) as int)) as input_ids,
        cast(coalesce(ids.n, 0) + 2 as int) as attention_len, 300 as type_len, cast(len(t.toks) as int) as n_tokens
 from tk t left join ids on t.row_id = ids.row_id"""
+
+# ---------------------------------------------------------------- sources / experiments
+from .fixtures_sql import _p_expr  # noqa: E402
+
+NA = ["", "NA", "N/A", "n/a", "NaN", "nan", "-NaN", "-nan", "null", "NULL",
+      "None", "<NA>", "#N/A", "#NA", "#N/A N/A", "1.#IND", "1.#QNAN", "-1.#IND", "-1.#QNAN"]
+_NA_LIST = ", ".join("'" + t + "'" for t in NA)
+
+
+def na(x: str) -> str:
+    return f"case when {x} in ({_NA_LIST}) then null else {x} end"
+
+
+SQL["scan_csv_typed"] = W("req") + f"""
+select row_id, {na('description')} as description, {na('source')} as source, ambuiguity, ambiguity_type,
+       {na('comments')} as comments, {LABEL_COLS}, {na('goal')} as goal from req"""
+
+_EXP = _SPLIT + ",\nvpred as (\n" + "\n  union all\n".join(
+    f"  select experiment, row_id, '{l}' as label, {l} as y, {_p_expr('row_id', l, l)} as p, {i} as pos "
+    f"from split where split = 'valid'" for i, l in enumerate(LABELS)) + f"\n),\n" + f"""vcells as (select *, case when p >= {T} then 1 else 0 end as yhat from vpred),
+vrows as (select experiment, row_id, count(*) filter (where (y > 0) <> (yhat > 0)) as n_wrong from vcells group by 1, 2),
+vconf as (select experiment, label, count(*) filter (where y > 0 and yhat > 0) as tp, count(*) filter (where y = 0 and yhat > 0) as fp,
+                 count(*) filter (where y > 0 and yhat = 0) as fn from vcells group by 1, 2),
+vlists as (select experiment, row_id,
+                  coalesce(string_agg(label, '|' order by pos) filter (where y = 1), '') as t_raw,
+                  coalesce(string_agg(label, '|' order by pos) filter (where p > {T}), '') as p_raw
+           from vcells group by 1, 2),
+vsc as (select experiment, row_id, cast(p_raw <> '' as int) as predicted, cast(t_raw <> '' as int) as true_label,
+               cast(p_raw <> '' and t_raw <> '' as int) as TP, cast(p_raw = '' and t_raw = '' as int) as TN,
+               cast(p_raw <> '' and t_raw = '' as int) as FP, cast(p_raw = '' and t_raw <> '' as int) as FN,
+               t_raw = p_raw as correctness from vlists),
+vpr as (select experiment, sum(TP) as tp, sum(TN) as tn, sum(FP) as fp, sum(FN) as fn,
+               count(*) as n, count(*) filter (where correctness) as correct from vsc group by 1),
+vpr2 as (select *, {sdiv('tp', 'tp + fp')} as precision, {sdiv('tp', 'tp + fn')} as recall from vpr),
+arte as (select experiment as experiment_key, {display('experiment')} as experiment, cast(n as bigint) as validation_sentences,
+                cast(correct as bigint) as correct_sentences, round({sdiv('correct', 'n')}, 6) as exact_match_accuracy,
+                round(precision, 6) as precision, round(recall, 6) as recall,
+                round({sdiv('2 * precision * recall', 'precision + recall')}, 6) as f1_score,
+                cast(tp as bigint) as tp, cast(tn as bigint) as tn, cast(fp as bigint) as fp, cast(fn as bigint) as fn
+         from vpr2)"""
+E = W("req") + _EXP
+
+SQL["results_roundtrip"] = E + "\nselect experiment, row_id, predicted, true_label, TP, TN, FP, FN, correctness from vsc"
+SQL["experiment_summary"] = E + f""",
+sizes as (select experiment, cast(count(*) filter (where split = 'train') as bigint) as train_size,
+                 cast(count(*) filter (where split = 'valid') as bigint) as val_size from split group by 1),
+em as (select experiment, {sdiv('count(*) filter (where n_wrong = 0)', 'count(*)')} as exact_match_accuracy from vrows group by 1),
+hl as (select experiment, {sdiv('count(*) filter (where (y > 0) <> (yhat > 0))', 'count(*)')} as hamming_loss from vcells group by 1),
+jc as (select experiment, avg({sdiv('tp', 'tp + fp + fn')}) as jaccard_score from vconf group by 1)
+select s.experiment, s.train_size, s.val_size, round(em.exact_match_accuracy, 6) as exact_match_accuracy,
+       round(hl.hamming_loss, 6) as hamming_loss, round(jc.jaccard_score, 6) as jaccard_score,
+       round(p.precision, 6) as precision, round(p.recall, 6) as recall
+from sizes s left join em using (experiment) left join hl using (experiment) left join jc using (experiment)
+left join vpr2 p using (experiment)"""
+SQL["artifact_summary"] = E + "\nselect * from arte"
+SQL["metrics_long"] = E + """
+select experiment, 'precision' as metric, precision as score from arte
+union all select experiment, 'recall', recall from arte
+union all select experiment, 'f1_score', f1_score from arte"""
+SQL["confusion_rates"] = E + ",\nct as (select *, tp + tn + fp + fn as tot from arte)\nselect experiment, " + ", ".join(
+    f"round(cast({c} as double) / nullif(tot, 0), 6) as {c}" for c in ("tp", "tn", "fp", "fn")) + " from ct"
