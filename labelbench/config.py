@@ -19,6 +19,6 @@ class ExperimentConfig:
     seed: int = 42
     threshold: float = THRESHOLD
     # Spark ML specifics of the re-aimed classifier (binary relevance)
-    num_features: int = 1 << 18
-    max_iter: int = 25
-    fit_parallelism: int = 4
+    num_features: int = 1 << 16
+    max_iter: int = 20
+    fit_parallelism: int = 8

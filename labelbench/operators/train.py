@@ -44,7 +44,7 @@ def train_multilabel(features: DataFrame, cfg: ExperimentConfig = ExperimentConf
 
     def fit(exp: str, lab: str):
         lr = LogisticRegression(featuresCol="features", labelCol="_y", maxIter=cfg.max_iter,
-                                regParam=cfg.weight_decay, family="binomial")
+                                regParam=cfg.weight_decay, family="binomial", standardization=False)
         d = train.filter(F.col(key) == exp).withColumn("_y", F.col(lab).cast("double"))
         return (exp, lab), lr.fit(d)
 

@@ -24,7 +24,8 @@ def get_session(master: str | None = None, app_name: str = "labelbench",
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    builder = (builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+               .config("spark.driver.memory", os.environ.get("LABELBENCH_DRIVER_MEMORY", "8g")))
     for k, v in SESSION_DEFAULTS.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
