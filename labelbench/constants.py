@@ -64,7 +64,11 @@ EXPERIMENTS = [BASELINE, NO_AMBIGUITY] + [type_subset_name(n) for n in AMBIGUITY
 # The dataset-size table names the unfiltered subset differently from the suite.
 SIZE_TABLE_NAMES = {BASELINE: "benchmark_all"}
 
-# Java regex class of every character Python's str.strip()/str.split() treats as whitespace.
+# Every character Python's str.strip()/str.split() treats as whitespace (29 code points),
+# as a plain character set (for trim) and as a Java regex class (for runs inside a text).
+WS_CODEPOINTS = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0, 0x1680,
+                 *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+WS_CHARS = "".join(map(chr, WS_CODEPOINTS))
 WS_CLASS = "[\\s\\x0b\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
 # Numbers pandas.to_numeric accepts (used by the lenient cast); group 1 is the number.

@@ -1,8 +1,9 @@
 """Text functions as native Column expressions (no Python UDF).
 
 Python's ``str.strip``/``split`` treat every Unicode whitespace as space while Spark's
-``trim`` removes only U+0020, so the whitespace class is spelled out.  ``\\z`` anchors at
-the very end (Java's ``$`` also matches before a final newline).
+one-argument ``trim`` removes only U+0020, so the whitespace set is spelled out and passed
+to ``trim`` (a scan of the two ends, no regex over the whole text).  Regexes use ``\\z`` to
+anchor at the very end (Java's ``$`` also matches before a final newline).
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import EXPERIMENT_DISPLAY_NAMES, WS_CLASS
+from ..constants import EXPERIMENT_DISPLAY_NAMES, WS_CHARS, WS_CLASS
 
 
 def _c(c) -> Column:
@@ -19,12 +20,12 @@ def _c(c) -> Column:
 
 def strip_ws(c) -> Column:
     """``str.strip()``: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(_c(c), f"^{WS_CLASS}+|{WS_CLASS}+\\z", "")
+    return F.trim(_c(c), F.lit(WS_CHARS))
 
 
 def rstrip_dots(c) -> Column:
     """``str.rstrip('.')``: remove all trailing dots (and nothing else)."""
-    return F.regexp_replace(_c(c), "\\.+\\z", "")
+    return F.rtrim(_c(c), F.lit("."))
 
 
 def normalize_description(c) -> Column:
@@ -67,6 +68,11 @@ def experiment_display_name(c) -> Column:
     return F.coalesce(F.try_element_at(m, _c(c)), title_case(display_label(c)))
 
 
+_TOKEN_RE = "([\\p{L}\\p{N}]+|[^" + WS_CLASS[1:-1] + "\\p{L}\\p{N}])"
+
+
 def tokens(c) -> Column:
-    """Lower-cased word and punctuation tokens of a text (basic uncased tokenisation)."""
-    return F.regexp_extract_all(F.lower(collapse_ws(c)), F.lit("([\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}])"), 1)
+    """Lower-cased word and punctuation tokens of a text (basic uncased tokenisation):
+    runs of letters / digits and single other characters; whitespace separates only, so
+    no collapse pass is needed first."""
+    return F.regexp_extract_all(F.lower(_c(c)), F.lit(_TOKEN_RE), 1)
