@@ -20,5 +20,5 @@ class ExperimentConfig:
     threshold: float = THRESHOLD
     # Spark ML specifics of the re-aimed classifier (binary relevance)
     num_features: int = 1 << 16
-    max_iter: int = 20
-    fit_parallelism: int = 8
+    max_iter: int = 10
+    fit_parallelism: int = 4

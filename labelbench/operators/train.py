@@ -2,16 +2,21 @@
 
 One ``LogisticRegression`` per (experiment, label) on hashed token counts: the same
 objective per label as a sigmoid output trained with binary cross-entropy, ``regParam``
-playing the weight decay.  Features are computed once for all experiments and cached;
-only the fits loop on the driver (each fit is itself a distributed job), a few at a time.
-Scoring yields the long prediction table ``(experiment, row_id, label, y, p)`` that every
-metric consumes, scored once and reused for both comparators.
+playing the weight decay.
+
+Memory: features are computed once per sentence (not once per experiment it belongs to)
+and kept on disk; each experiment's training rows are joined to them once (shuffle join,
+kept on disk) and every label fit caches its own blockified instances.  Only the fits loop on the driver - each fit is a
+distributed job - a few experiments at a time.  Scoring yields the long prediction table
+``(experiment, row_id, label, y, p)`` that every metric consumes, scored once and reused
+for both comparators.
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -24,12 +29,14 @@ from ..constants import LABELS
 from ..functions.text import tokens
 
 
-def featurize(df: DataFrame, cfg: ExperimentConfig = ExperimentConfig(), text_col: str = "description") -> DataFrame:
+def featurize(df: DataFrame, cfg: ExperimentConfig = ExperimentConfig(), text_col: str = "description",
+              id_col: str = "row_id") -> DataFrame:
+    """(row_id, features): hashed token counts, one row per sentence."""
     tf = HashingTF(inputCol="_tokens", outputCol="features", numFeatures=cfg.num_features)
-    return tf.transform(df.withColumn("_tokens", tokens(text_col))).drop("_tokens")
+    return tf.transform(df.select(id_col, tokens(text_col).alias("_tokens"))).select(id_col, "features")
 
 
-def train_multilabel(features: DataFrame, cfg: ExperimentConfig = ExperimentConfig(),
+def train_multilabel(split_df: DataFrame, features: DataFrame, cfg: ExperimentConfig = ExperimentConfig(),
                      labels: list[str] | None = None, key: str = "experiment"
                      ) -> tuple[dict[tuple[str, str], LogisticRegressionModel], DataFrame]:
     """Fit one model per (experiment, label) on the rows with ``split = 'train'``.
@@ -39,18 +46,27 @@ def train_multilabel(features: DataFrame, cfg: ExperimentConfig = ExperimentConf
     raises, like the studied trainer would.
     """
     labels = labels or LABELS
-    train = features.filter(F.col("split") == "train")
+    train = split_df.filter(F.col("split") == "train").select(key, "row_id", *labels)
     exps = [r[0] for r in train.select(key).distinct().collect()]  # the few experiment names
 
-    def fit(exp: str, lab: str):
-        lr = LogisticRegression(featuresCol="features", labelCol="_y", maxIter=cfg.max_iter,
-                                regParam=cfg.weight_decay, family="binomial", standardization=False)
-        d = train.filter(F.col(key) == exp).withColumn("_y", F.col(lab).cast("double"))
-        return (exp, lab), lr.fit(d)
+    def fit_experiment(exp: str):
+        # one shuffle join per experiment (features grow with the data: never broadcast),
+        # kept on disk; each fit reads a projection of it and caches its own blockified
+        # instances for the optimiser's passes
+        d = train.filter(F.col(key) == exp).join(features.hint("merge"), "row_id").persist(StorageLevel.DISK_ONLY)
+        try:
+            out = []
+            for lab in labels:
+                lr = LogisticRegression(featuresCol="features", labelCol=lab, maxIter=cfg.max_iter,
+                                        regParam=cfg.weight_decay, family="binomial", standardization=False)
+                out.append(((exp, lab), lr.fit(d.select("features", lab))))
+            return out
+        finally:
+            d.unpersist()
 
     with ThreadPoolExecutor(max_workers=max(1, cfg.fit_parallelism)) as pool:
-        models = dict(pool.map(lambda a: fit(*a), [(e, lab) for e in exps for lab in labels]))
-    spark = features.sparkSession
+        models = dict(m for part in pool.map(fit_experiment, exps) for m in part)
+    spark = split_df.sparkSession
     hist = [(e, lab, i + 1, float(v)) for (e, lab), m in models.items()
             for i, v in enumerate(m.summary.objectiveHistory)]
     schema = T.StructType([T.StructField(key, T.StringType()), T.StructField("label", T.StringType()),
@@ -58,17 +74,28 @@ def train_multilabel(features: DataFrame, cfg: ExperimentConfig = ExperimentConf
     return models, spark.createDataFrame(hist, schema)
 
 
-def score_multilabel(models: dict[tuple[str, str], LogisticRegressionModel], features: DataFrame,
-                     key: str = "experiment", split: str | None = "valid") -> DataFrame:
-    """Long predictions of every model on its experiment's rows (validation part by default)."""
-    rows = features if split is None else features.filter(F.col("split") == split)
+def score_multilabel(models: dict[tuple[str, str], LogisticRegressionModel], split_df: DataFrame,
+                     features: DataFrame, key: str = "experiment", split: str | None = "valid") -> DataFrame:
+    """Long predictions of every model on its experiment's rows (validation part by default).
+
+    Each experiment's rows are joined to their features once and passed through its label
+    models in turn; the label probabilities then unpivot to one row per (row, label)."""
+    rows = split_df if split is None else split_df.filter(F.col("split") == split)
+    by_exp: dict[str, list[str]] = {}
+    for exp, lab in models:
+        by_exp.setdefault(exp, []).append(lab)
     parts = []
-    for (exp, lab), m in models.items():
-        s = m.transform(rows.filter(F.col(key) == exp))
-        parts.append(s.select(key, "row_id", F.lit(lab).alias("label"), F.col(lab).cast("int").alias("y"),
-                              vector_to_array("probability")[1].alias("p")))
+    for exp, labs in by_exp.items():
+        d = rows.filter(F.col(key) == exp).select(key, "row_id", *labs).join(features.hint("merge"), "row_id")
+        for i, lab in enumerate(labs):
+            m = models[(exp, lab)].copy({})
+            m.setProbabilityCol(f"_prob{i}").setRawPredictionCol(f"_raw{i}").setPredictionCol(f"_pred{i}")
+            d = m.transform(d).withColumn(f"_p{i}", vector_to_array(f"_prob{i}")[1]) \
+                .drop(f"_prob{i}", f"_raw{i}", f"_pred{i}")
+        cells = F.array(*[F.struct(F.lit(lab).alias("label"), F.col(lab).cast("int").alias("y"),
+                                   F.col(f"_p{i}").alias("p")) for i, lab in enumerate(labs)])
+        parts.append(d.select(key, "row_id", F.inline(cells)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-

@@ -93,9 +93,14 @@ def run_suite(df: DataFrame, cfg: ExperimentConfig = ExperimentConfig(), conditi
     dist = sp.class_distribution(split_df, labels, by=[KEY])
     models, hist = {}, None
     if scorer is None:
-        feats = tr.featurize(split_df, cfg).persist(StorageLevel.MEMORY_AND_DISK)
-        models, hist = tr.train_multilabel(feats, cfg, labels, KEY)
-        pred = tr.score_multilabel(models, feats, KEY)
+        feats = tr.featurize(df, cfg).persist(StorageLevel.DISK_ONLY)
+        models, hist = tr.train_multilabel(split_df, feats, cfg, labels, KEY)
+        # scored once and landed in the shared folder: every metric below reads the same
+        # prediction table, and its lineage (fits, features) is cut
+        pred_path = shared_path(df.sparkSession, "predictions", unique=True)
+        tr.score_multilabel(models, split_df, feats, KEY).write.mode("overwrite").parquet(pred_path)
+        pred = df.sparkSession.read.parquet(pred_path)
+        feats.unpersist()
     else:
         pred = scorer(split_df)
     valid = split_df.filter(F.col("split") == "valid")
