@@ -99,3 +99,15 @@ def score_multilabel(models: dict[tuple[str, str], LogisticRegressionModel], spl
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def save_models(models: dict[tuple[str, str], LogisticRegressionModel], path: str) -> None:
+    """Write every model under ``path/<experiment>/<label>`` (the best-model checkpoint)."""
+    for (exp, lab), m in models.items():
+        m.write().overwrite().save(f"{path.rstrip('/')}/{exp}/{lab}")
+
+
+def load_models(path: str, experiments: list[str], labels: list[str] | None = None
+                ) -> dict[tuple[str, str], LogisticRegressionModel]:
+    labels = labels or LABELS
+    return {(e, lab): LogisticRegressionModel.load(f"{path.rstrip('/')}/{e}/{lab}") for e in experiments for lab in labels}

@@ -77,7 +77,7 @@ def experiment_summary(split_df: DataFrame, pred: DataFrame, confusion: DataFram
     out = split_sizes(split_df).join(em, KEY, "left").join(hl, KEY, "left").join(jc, KEY, "left").join(pr, KEY, "left")
     if results_path:
         safe = sanitize_name(F.col(KEY))
-        out = out.withColumn("best_model_path", F.concat(F.lit(results_path + "/models/"), safe)) \
+        out = out.withColumn("best_model_path", F.concat(F.lit(results_path + "/models/"), F.col(KEY))) \
                  .withColumn("validation_results_path", F.concat(F.lit(results_path + "/results/experiment="), safe))
     return out
 
@@ -111,6 +111,8 @@ def run_suite(df: DataFrame, cfg: ExperimentConfig = ExperimentConfig(), conditi
         path = out_dir or shared_path(df.sparkSession, "artifacts", unique=True)
         write_results(results.withColumn(KEY, sanitize_name(F.col(KEY))),
                       confusion.withColumn(KEY, sanitize_name(F.col(KEY))), path)
+        if models:
+            tr.save_models(models, f"{path}/models")
     summary = experiment_summary(split_df, pred, confusion, cfg.threshold, path)
     return SuiteResult(split_df, dist, pred, results, confusion, summary, models, hist, path)
 
@@ -122,6 +124,12 @@ def run_experiment(df: DataFrame, name: str, cfg: ExperimentConfig = ExperimentC
     return run_suite(df, cfg, {name: F.lit(True)}, out_dir, export, scorer, labels)
 
 
+def run_subset_experiment(df: DataFrame, subset_fn: Callable[[DataFrame], DataFrame] | None = None,
+                          cfg: ExperimentConfig = ExperimentConfig(), name: str = "subset", **kw) -> SuiteResult:
+    """A caller's subset function, then one experiment on what it keeps."""
+    return run_experiment(sb.subset_transform(df, subset_fn), name, cfg, **kw)
+
+
 def artifact_summary(spark: SparkSession, path: str) -> DataFrame:
     """Per experiment found under ``path``: sizes, correct sentences, exact match (mean
     correctness), any-label precision / recall / F1 and the confusion totals."""
@@ -134,7 +142,8 @@ def artifact_summary(spark: SparkSession, path: str) -> DataFrame:
                     F.coalesce("validation_sentences", F.lit(0)).alias("validation_sentences"),
                     F.coalesce("correct_sentences", F.lit(0)).alias("correct_sentences"),
                     safe_div("correct_sentences", "validation_sentences").alias("exact_match_accuracy"),
-                    "precision", "recall", "f1_score", "tp", "tn", "fp", "fn"))
+                    "precision", "recall", "f1_score", "tp", "tn", "fp", "fn")
+            .orderBy("experiment"))  # one row per experiment
 
 
 def metrics_long(summary: DataFrame) -> DataFrame:
