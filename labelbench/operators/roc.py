@@ -5,8 +5,10 @@ Scale design - there are only a few labels, so nothing is windowed over a whole
 * cells are pre-aggregated to one row per (group, label, distinct score) with positive and
   negative counts (partial aggregation; a hot score collapses to one row);
 * cumulative counts in descending score order are two-level prefix sums: per score bucket
-  totals (groups x labels x 4098 rows at most) give each bucket's offset, and a window runs
-  only inside one (group, label, bucket);
+  totals (groups x labels x 4096 rows at most) give each bucket's offset, and a window runs
+  only inside one (group, label, bucket).  Buckets are approximate quantiles of the scores
+  (one action returning at most 4095 numbers), so scores that crowd near 0 or 1 - typical
+  of a model - still spread over many buckets and no window task holds a large share;
 * the area is an exact integer sum, sum(neg * (2 * tps - pos)) / (2 * P * N), so no row
   needs its predecessor and the result is the same under any summation order;
 * the macro curve needs, for every grid value x, the last curve point with fpr <= x and
@@ -17,6 +19,7 @@ Scale design - there are only a few labels, so nothing is windowed over a whole
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,18 +48,27 @@ def score_counts(pred: DataFrame, keys=None, micro: bool = True) -> DataFrame:
     return agg.unionByName(pooled)
 
 
-def _bucket(p: Column) -> Column:
-    # order-preserving bucket of a probability; scores outside [0, 1] go to the edge buckets
-    return F.least(F.greatest(F.floor(p * SCORE_BUCKETS), F.lit(-1)), F.lit(SCORE_BUCKETS)).cast("int")
+def score_splits(df: DataFrame, col: str = "p", buckets: int = SCORE_BUCKETS) -> list[float]:
+    """Order-preserving bucket boundaries: approximate quantiles of the scores."""
+    qs = df.approxQuantile(col, [i / buckets for i in range(1, buckets)], 1.0 / (4 * buckets))
+    return [float("-inf")] + sorted({q for q in qs if q == q}) + [float("inf")]
 
 
-def roc_points(pred: DataFrame | None, keys=None, micro: bool = True, counts: DataFrame | None = None) -> DataFrame:
+def _bucketed(counts: DataFrame, splits: list[float]) -> DataFrame:
+    b = Bucketizer(splits=splits, inputCol="p", outputCol="_bd", handleInvalid="keep")
+    return b.transform(counts).withColumn("_b", F.col("_bd").cast("int")).drop("_bd")
+
+
+def roc_points(pred: DataFrame | None, keys=None, micro: bool = True, counts: DataFrame | None = None,
+               splits: list[float] | None = None) -> DataFrame:
     """Curve points in descending score order, ties merged, starting at (0, 0):
     (keys, label, threshold, tps, fps, fpr, tpr, pos, neg, n_pos, n_neg).  ``threshold`` is NULL at the
     start point; fpr / tpr are NULL for a label without negatives / positives."""
     keys = _k(keys)
     grp = [*keys, "label"]
-    c = (counts if counts is not None else score_counts(pred, keys, micro)).withColumn("_b", _bucket(F.col("p")))
+    counts = counts if counts is not None else score_counts(pred, keys, micro)
+    splits = splits or score_splits(pred if pred is not None else counts)
+    c = _bucketed(counts, splits)
     tot_b = c.groupBy(*grp, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     before = Window.partitionBy(*grp).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*grp)
