@@ -71,3 +71,25 @@ def test_model_keys_rows(spark):
     s = res.summary.first()
     assert s.train_size + s.val_size == res.split.count()
     assert res.train_history.count() > 0
+
+
+def test_models_saved_and_reloaded(spark):
+    from pyspark.sql import functions as F
+
+    from labelbench.config import ExperimentConfig
+    from labelbench.operators import train as tr
+    from labelbench.plans import experiment as ex
+    from labelbench.plans.registry import prepared
+
+    cfg = ExperimentConfig(max_iter=3)
+    p = prepared(spark, SF_SMALL)
+    res = ex.run_subset_experiment(p, lambda d: d.filter(F.col("ambuiguity") == 0), cfg, name="no_ambiguity")
+    kept = {r.row_id for r in p.filter(F.col("ambuiguity") == 0).select("row_id").collect()}
+    assert {r.row_id for r in res.split.select("row_id").collect()} == kept
+    loaded = tr.load_models(f"{res.results_path}/models", ["no_ambiguity"])
+    assert set(loaded) == set(res.models)
+    for k, m in res.models.items():
+        assert loaded[k].coefficients == m.coefficients
+    s = res.summary.first()
+    assert s.best_model_path.endswith("/models/no_ambiguity")
+    assert ex.artifact_summary(spark, res.results_path).first().experiment_key == "no_ambiguity"
