@@ -82,27 +82,34 @@ def experiment_summary(split_df: DataFrame, pred: DataFrame, confusion: DataFram
     return out
 
 
+def _land(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
+    """Write a table read by several jobs to the shared folder and read it back."""
+    path = shared_path(spark, name, unique=True)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def run_suite(df: DataFrame, cfg: ExperimentConfig = ExperimentConfig(), conditions: dict[str, Column] | None = None,
               out_dir: str | None = None, export: bool = True, scorer: Scorer | None = None,
               labels: list[str] | None = None) -> SuiteResult:
     """Run every experiment of ``conditions`` (default: the seven ambiguity subsets) over
     the cleaned sentence table ``df``."""
     labels = labels or LABELS
+    spark = df.sparkSession
     suite = sb.prepare_baseline(sb.subset_suite(df, conditions), labels)
-    split_df = sp.split_exact(suite, cfg.test_size, cfg.seed, by=[KEY])
+    # the split feeds the distribution, the fits, the scoring and every metric: land it once
+    # in the shared folder (its lineage - cleaning, tagging, two-level rank - runs once)
+    split_df = _land(sp.split_exact(suite, cfg.test_size, cfg.seed, by=[KEY]), spark, "split")
     dist = sp.class_distribution(split_df, labels, by=[KEY])
     models, hist = {}, None
     if scorer is None:
         feats = tr.featurize(df, cfg).persist(StorageLevel.DISK_ONLY)
         models, hist = tr.train_multilabel(split_df, feats, cfg, labels, KEY)
-        # scored once and landed in the shared folder: every metric below reads the same
-        # prediction table, and its lineage (fits, features) is cut
-        pred_path = shared_path(df.sparkSession, "predictions", unique=True)
-        tr.score_multilabel(models, split_df, feats, KEY).write.mode("overwrite").parquet(pred_path)
-        pred = df.sparkSession.read.parquet(pred_path)
+        # scored once and landed: every metric below reads the same prediction table
+        pred = _land(tr.score_multilabel(models, split_df, feats, KEY), spark, "predictions")
         feats.unpersist()
     else:
-        pred = scorer(split_df)
+        pred = _land(scorer(split_df), spark, "predictions")
     valid = split_df.filter(F.col("split") == "valid")
     results = mt.sentence_results(pred, valid, cfg.threshold, [KEY], labels)
     confusion = mt.sentence_confusion(results, [KEY])
