@@ -38,16 +38,21 @@ def build_vocab(df: DataFrame, text_col: str = "description", min_count: int = 1
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, max_len: int = 300, text_col: str = "description",
                   id_col: str = "row_id") -> DataFrame:
-    """(row_id, input_ids, attention_mask, token_type_ids, n_tokens), arrays of ``max_len``."""
+    """(row_id, input_ids, attention_mask, token_type_ids, n_tokens), arrays of ``max_len``.
+
+    One shuffle join (cells to vocabulary) and one grouping by row: ``posexplode_outer``
+    keeps a row with an empty text in the stream, so no join back to the rows is needed.
+    """
     body = max_len - 2
     toks = df.select(F.col(id_col), tokens(text_col).alias("_t"))
-    base = toks.select(id_col, F.size("_t").alias("n_tokens"))
-    cells = toks.select(id_col, F.posexplode("_t").alias("pos", "token")).filter(F.col("pos") < body)
+    cells = toks.select(id_col, F.size("_t").alias("n_tokens"),
+                        F.posexplode_outer(F.slice("_t", 1, body)).alias("pos", "token"))
     ids = (cells.join(vocab.select("token", "token_id"), "token", "left")
-           .select(id_col, F.struct("pos", F.coalesce("token_id", F.lit(UNK)).alias("id")).alias("c"))
-           .groupBy(id_col).agg(F.sort_array(F.collect_list("c")).alias("cs")))
-    out = base.join(ids, id_col, "left").withColumn(
-        "_ids", F.coalesce(F.transform("cs", lambda c: c["id"]), F.array().cast("array<int>")))
+           .groupBy(id_col).agg(
+               F.first("n_tokens").alias("n_tokens"),
+               F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct(
+                   "pos", F.coalesce("token_id", F.lit(UNK)).alias("id"))))).alias("cs")))
+    out = ids.withColumn("_ids", F.transform("cs", lambda c: c["id"]))
     n = F.size("_ids")
     return out.select(
         id_col,
