@@ -54,3 +54,13 @@ def test_overlay_rewrites(spark):
     assert allr == {1: "A!", 2: "B!", 3: "c"}
     one = dict(sb.overlay_rewrites(df, rw, only_type=2).select("row_id", "description").collect())
     assert one == {1: "a", 2: "B!", 3: "c"}
+
+
+def test_filter_subset_observed_count(spark):
+    from pyspark.sql import Observation
+    df = _table(spark, [(1, "a", 0, None), (2, "b", 1, 2), (3, "c", 1, 1), (4, "d", 0, None)])
+    obs = Observation("subset")
+    out = sb.filter_subset(df, condition=F.col("row_id") > 1, query="ambiguity_type is null or ambiguity_type <> 2",
+                           observation=obs)
+    assert sorted(r.row_id for r in out.collect()) == [3, 4]
+    assert obs.get["rows"] == 2
