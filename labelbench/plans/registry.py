@@ -11,11 +11,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import LABELS
+from ..config import ExperimentConfig
+from ..constants import AMBIGUITY_TYPES, LABELS
 from ..functions import text as tx
 from ..functions.casts import lenient_int
-from ..operators import clean, profile
+from ..operators import clean, profile, roc
+from ..operators import encode as en
+from ..operators import history as hs
+from ..operators import metrics as mt
+from ..operators import split as sp
+from ..operators import subsets as sb
+from ..session import shared_path
+from ..sources import csv as csvsrc
 from ..sources import fixtures as fx
+from ..sources.results import read_results
+from . import experiment as ex
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -118,9 +128,6 @@ def q_table_info(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- subsets (2.2, 2.8 R7, 2.7 J1)
-from ..operators import split as sp  # noqa: E402
-from ..operators import subsets as sb  # noqa: E402
-from ..constants import AMBIGUITY_TYPES  # noqa: E402
 
 
 def suite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +232,6 @@ def q_dense_row_number(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- metrics (2.2 P14-P18, 2.4 A9-A17)
-from ..operators import metrics as mt  # noqa: E402
 
 
 def _r6(df: DataFrame, *cols: str) -> DataFrame:
@@ -328,7 +334,6 @@ def q_report_samples_avg(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- ROC (2.5 C1-C4)
-from ..operators import roc  # noqa: E402
 
 
 @query("roc_points")
@@ -346,7 +351,7 @@ def q_roc_auc_per_label(spark, sf_dir):
 @query("roc_auc_micro")
 def q_roc_auc_micro(spark, sf_dir):
     c = roc.score_counts(fx.pred(spark, sf_dir)).filter(F.col("label") == roc.MICRO)
-    return _r6(roc.roc_auc(None, counts=None, points=roc.roc_points(None, counts=c)), "auc")
+    return _r6(roc.roc_auc(None, counts=c), "auc")
 
 
 @query("roc_macro_curve")
@@ -360,7 +365,6 @@ def q_roc_auc_macro(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- loss history (2.6 G4-G5, 2.4 A18-A19, T12)
-from ..operators import history as hs  # noqa: E402
 
 
 @query("early_stop_trace")
@@ -390,7 +394,6 @@ def q_bce_batch_mean(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- encoding (2.3 T13)
-from ..operators import encode as en  # noqa: E402
 
 
 @query("build_vocab")
@@ -408,11 +411,6 @@ def q_encode_tokens(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- sources / sinks / experiments (2.1, 2.4 A20-A21, 2.8 R3-R4, 2.9)
-from ..config import ExperimentConfig  # noqa: E402
-from ..session import shared_path  # noqa: E402
-from ..sources import csv as csvsrc  # noqa: E402
-from ..sources.results import read_results  # noqa: E402
-from . import experiment as ex  # noqa: E402
 
 
 @query("scan_csv_typed")
