@@ -94,3 +94,13 @@ def test_metrics_independent_of_shuffle_partitions(spark):
     assert [x[:2] for x in a] == [x[:2] for x in b]
     for x, y in zip(a, b):
         assert x[2:] == pytest.approx(y[2:], abs=1e-12)
+
+
+def test_confusion_cells_add_up(spark):
+    rng = np.random.default_rng(11)
+    Y = (rng.random((150, 6)) < 0.25).astype(int)
+    P = np.round(rng.random((150, 6)), 3)
+    conf = mt.per_label_confusion(_pred(spark, Y, P)).collect()
+    assert len(conf) == 6 and all(r.tp + r.fp + r.fn + r.tn == 150 for r in conf)
+    bc = mt.binary_confusion(_pred(spark, Y, P)).collect()
+    assert sum(r.n for r in bc) == 150
