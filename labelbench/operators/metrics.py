@@ -104,51 +104,73 @@ def _label_position(labels: list[str]) -> Column:
     return F.try_element_at(m, F.col("label"))
 
 
+def _label_and_row_counts(pred: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
+    """tp / fp / fn per (keys, label) and per (keys, row_id) from ONE aggregation (grouping
+    sets): the prediction table is scanned and shuffled once for both.  ``_per_label``
+    tells the two kinds of rows apart."""
+    c = _cells(pred, threshold)
+    y, yh = F.col("y") > 0, F.col("yhat") > 0
+    agg = c.groupingSets([[*keys, "label"], [*keys, "row_id"]], *keys, "label", "row_id").agg(
+        F.count(F.when(y & yh, 1)).cast("bigint").alias("tp"),
+        F.count(F.when(~y & yh, 1)).cast("bigint").alias("fp"),
+        F.count(F.when(y & ~yh, 1)).cast("bigint").alias("fn"),
+        F.grouping("row_id").alias("_per_label"))
+    return agg
+
+
 def classification_report(pred: DataFrame, threshold: float = THRESHOLD, keys=None,
                           labels: list[str] | None = None) -> DataFrame:
     """Per-label precision / recall / F1 / support plus micro, macro, weighted and samples
     averages.  ``row_name`` is the display label or the average's name; ``position`` orders
-    the report (labels first)."""
+    the report (labels first).
+
+    One scan: the grouping-sets counts (per label and per row) feed a single aggregation by
+    ``keys`` that keeps the per-label rows (a list bounded by the label count) and every
+    average; the samples average uses the same ratios on per-row counts."""
     labels = labels or LABELS
     keys = _k(keys)
-    per = _label_scores(per_label_confusion(pred, threshold, keys))
-    per_rows = per.select(*keys, _label_position(labels).alias("position"), display_label("label").alias("row_name"),
-                          "precision", "recall", "f1_score", "support")
-    tot = per.groupBy(*keys).agg(
-        F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"),
-        F.avg("precision").alias("m_p"), F.avg("recall").alias("m_r"), F.avg("f1_score").alias("m_f"),
-        F.sum(F.col("precision") * F.col("support")).alias("w_p"),
-        F.sum(F.col("recall") * F.col("support")).alias("w_r"),
-        F.sum(F.col("f1_score") * F.col("support")).alias("w_f"),
-        F.sum("support").cast("bigint").alias("support"))
-    tp, fp, fn, sup = F.col("tp"), F.col("fp"), F.col("fn"), F.col("support")
     n = len(labels)
-    avgs = tot.select(*keys, F.inline(F.array(
-        F.struct(F.lit(n).alias("position"), F.lit("micro avg").alias("row_name"),
-                 safe_div(tp, tp + fp).alias("precision"), safe_div(tp, tp + fn).alias("recall"),
-                 safe_div(2 * tp, 2 * tp + fp + fn).alias("f1_score"), sup.alias("support")),
-        F.struct(F.lit(n + 1).alias("position"), F.lit("macro avg").alias("row_name"),
-                 F.col("m_p").alias("precision"), F.col("m_r").alias("recall"), F.col("m_f").alias("f1_score"),
-                 sup.alias("support")),
-        F.struct(F.lit(n + 2).alias("position"), F.lit("weighted avg").alias("row_name"),
-                 safe_div("w_p", sup).alias("precision"), safe_div("w_r", sup).alias("recall"),
-                 safe_div("w_f", sup).alias("f1_score"), sup.alias("support")))))
-    samples = report_samples_avg(pred, threshold, keys).withColumn("position", F.lit(n + 3)) \
-        .select(*keys, "position", "row_name", "precision", "recall", "f1_score", "support")
-    return per_rows.unionByName(avgs).unionByName(samples)
+    c = _label_scores(_label_and_row_counts(pred, threshold, keys))
+    lab = F.col("_per_label") == 1
+    tp, fp, fn, sup = (F.col(x) for x in ("tp", "fp", "fn", "support"))
+    pr, rc, f1 = F.col("precision"), F.col("recall"), F.col("f1_score")
+
+    def row(pos, name, p_, r_, f_, s_):
+        return F.struct(pos.cast("int").alias("position"), name.alias("row_name"), p_.cast("double").alias("precision"),
+                        r_.cast("double").alias("recall"), f_.cast("double").alias("f1_score"),
+                        s_.cast("bigint").alias("support"))
+
+    g = c.groupBy(*keys).agg(
+        F.collect_list(F.when(lab, row(_label_position(labels), display_label("label"), pr, rc, f1, sup))).alias("per"),
+        *[F.sum(F.when(lab, x)).alias(f"t_{i}") for i, x in enumerate((tp, fp, fn, sup))],
+        *[F.avg(F.when(lab, x)).alias(f"m_{i}") for i, x in enumerate((pr, rc, f1))],
+        *[F.sum(F.when(lab, x * sup)).alias(f"w_{i}") for i, x in enumerate((pr, rc, f1))],
+        *[F.avg(F.when(~lab, x)).alias(f"s_{i}") for i, x in enumerate((pr, rc, f1))])
+    ttp, tfp, tfn, tsup = (F.col(f"t_{i}") for i in range(4))
+    avgs = F.array(
+        row(F.lit(n), F.lit("micro avg"), safe_div(ttp, ttp + tfp), safe_div(ttp, ttp + tfn),
+            safe_div(2 * ttp, 2 * ttp + tfp + tfn), tsup),
+        row(F.lit(n + 1), F.lit("macro avg"), F.col("m_0"), F.col("m_1"), F.col("m_2"), tsup),
+        row(F.lit(n + 2), F.lit("weighted avg"), safe_div("w_0", tsup), safe_div("w_1", tsup), safe_div("w_2", tsup),
+            tsup),
+        row(F.lit(n + 3), F.lit("samples avg"), F.col("s_0"), F.col("s_1"), F.col("s_2"), tsup))
+    return g.select(*keys, F.inline(F.concat("per", avgs)))
+
+
+def _samples_avg(rows: DataFrame, keys: list[str]) -> DataFrame:
+    both, nt, npred = F.col("n_both"), F.col("n_true"), F.col("n_pred")
+    return rows.groupBy(*keys).agg(
+        F.avg(safe_div(both, npred)).alias("precision"),
+        F.avg(safe_div(both, nt)).alias("recall"),
+        F.avg(safe_div(2 * both, nt + npred)).alias("f1_score"),
+        F.sum(nt).cast("bigint").alias("support")).withColumn("row_name", F.lit("samples avg"))
 
 
 def report_samples_avg(pred: DataFrame, threshold: float = THRESHOLD, keys=None) -> DataFrame:
     """Samples average: per-row precision, recall and F1 of the label sets, averaged over rows
     (a row with no true and no predicted label scores 0)."""
     keys = _k(keys)
-    r = row_summary(pred, threshold, keys)
-    both, nt, npred = F.col("n_both"), F.col("n_true"), F.col("n_pred")
-    return r.groupBy(*keys).agg(
-        F.avg(safe_div(both, npred)).alias("precision"),
-        F.avg(safe_div(both, nt)).alias("recall"),
-        F.avg(safe_div(2 * both, nt + npred)).alias("f1_score"),
-        F.sum(nt).cast("bigint").alias("support")).withColumn("row_name", F.lit("samples avg"))
+    return _samples_avg(row_summary(pred, threshold, keys), keys)
 
 
 # ---------------------------------------------------------------- any-label (requirement) level
