@@ -114,10 +114,26 @@ def _label_and_row_counts(pred: DataFrame, threshold: float, keys: list[str]) ->
         F.count(F.when(y & yh, 1)).cast("bigint").alias("tp"),
         F.count(F.when(~y & yh, 1)).cast("bigint").alias("fp"),
         F.count(F.when(y & ~yh, 1)).cast("bigint").alias("fn"),
+        F.count(F.lit(1)).cast("bigint").alias("cells"),
         F.grouping("row_id").alias("_per_label"))
     return agg
 
 
+def label_level_summary(pred: DataFrame, threshold: float = THRESHOLD, keys=None) -> DataFrame:
+    """Exact match, hamming loss and macro Jaccard per group from one scan (grouping sets):
+    (keys, exact_match_accuracy, hamming_loss, jaccard_score)."""
+    keys = _k(keys)
+    c = _label_scores(_label_and_row_counts(pred, threshold, keys))
+    lab = F.col("_per_label") == 1
+    wrong = F.col("fp") + F.col("fn")
+    g = c.groupBy(*keys).agg(
+        F.count(F.when(~lab & (wrong == 0), 1)).alias("_exact"), F.count(F.when(~lab, 1)).alias("_rows"),
+        F.sum(F.when(~lab, wrong)).alias("_wrong"), F.sum(F.when(~lab, F.col("cells"))).alias("_cells"),
+        F.avg(F.when(lab, F.col("jaccard"))).alias("jaccard_score"))
+    return g.select(*keys, safe_div("_exact", "_rows").alias("exact_match_accuracy"),
+                    safe_div("_wrong", "_cells").alias("hamming_loss"), "jaccard_score")
+
+
 def classification_report(pred: DataFrame, threshold: float = THRESHOLD, keys=None,
                           labels: list[str] | None = None) -> DataFrame:
     """Per-label precision / recall / F1 / support plus micro, macro, weighted and samples

@@ -49,6 +49,7 @@ def evaluate(pred: DataFrame, threshold: float, keys=(KEY,)) -> dict[str, DataFr
     keys = list(keys)
     return {
         "threshold": threshold,
+        "summary": mt.label_level_summary(pred, threshold, keys),
         "per_label_confusion": mt.per_label_confusion(pred, threshold, keys),
         "per_label_accuracy": mt.per_label_accuracy(pred, threshold, keys),
         "exact_match": mt.exact_match(pred, threshold, keys),
@@ -70,15 +71,10 @@ def experiment_summary(split_df: DataFrame, pred: DataFrame, confusion: DataFram
     """One row per experiment: sizes, exact match, hamming, jaccard (label level) and
     any-label precision / recall.  Every input is reduced to one row per experiment
     before the joins."""
-    # exact match and hamming loss share one per-row aggregation of the predictions
-    rows = mt.row_summary(pred, threshold, [KEY]).groupBy(KEY).agg(
-        F.count(F.when(F.col("n_wrong") == 0, 1)).alias("_exact"), F.count(F.lit(1)).alias("_rows"),
-        F.sum("n_wrong").alias("_wrong"), F.sum("n_cells").alias("_cells"))
-    em = rows.select(KEY, safe_div("_exact", "_rows").alias("exact_match_accuracy"),
-                     safe_div("_wrong", "_cells").alias("hamming_loss"))
-    jc = mt.jaccard_macro(pred, threshold, [KEY]).select(KEY, F.col("jaccard").alias("jaccard_score"))
+    # exact match, hamming loss and jaccard from one scan of the predictions
+    lv = mt.label_level_summary(pred, threshold, [KEY])
     pr = mt.precision_recall(confusion, [KEY]).select(KEY, "precision", "recall")
-    out = split_sizes(split_df).join(em, KEY, "left").join(jc, KEY, "left").join(pr, KEY, "left")
+    out = split_sizes(split_df).join(lv, KEY, "left").join(pr, KEY, "left")
     if results_path:
         safe = sanitize_name(F.col(KEY))
         out = out.withColumn("best_model_path", F.concat(F.lit(results_path + "/models/"), F.col(KEY))) \
