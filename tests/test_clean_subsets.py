@@ -58,6 +58,9 @@ def test_overlay_rewrites(spark):
 
 def test_filter_subset_observed_count(spark):
     from pyspark.sql import Observation
+    # own session: an observation registered on a session later breaks the serialisation of
+    # Spark ML training closures in that session (Spark 4.1), so keep the shared one clean
+    spark = spark.newSession()
     df = _table(spark, [(1, "a", 0, None), (2, "b", 1, 2), (3, "c", 1, 1), (4, "d", 0, None)])
     obs = Observation("subset")
     out = sb.filter_subset(df, condition=F.col("row_id") > 1, query="ambiguity_type is null or ambiguity_type <> 2",
