@@ -48,6 +48,12 @@ NA_TOKENS = [
 
 # number of points of the macro-average ROC grid (linspace(0, 1, 100))
 ROC_GRID_POINTS = 100
+
+# safe experiment names: runs of other characters become "_", these end characters are
+# stripped, and an empty result becomes the fallback name
+SAFE_NAME_OTHER_RUN = "[^A-Za-z0-9._-]+"
+SAFE_NAME_STRIP_CHARS = "._-"
+SAFE_NAME_FALLBACK = "experiment"
 # --- end of fixed values ---
 
 # Derived names (rules, not copied tables).

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import EXPERIMENT_DISPLAY_NAMES, WS_CHARS, WS_CLASS
+from ..constants import (EXPERIMENT_DISPLAY_NAMES, SAFE_NAME_FALLBACK, SAFE_NAME_OTHER_RUN,
+                         SAFE_NAME_STRIP_CHARS, WS_CHARS, WS_CLASS)
 
 
 def _c(c) -> Column:
@@ -57,9 +58,9 @@ def title_case(c) -> Column:
 def sanitize_name(c) -> Column:
     """Safe experiment name: strip, runs outside [A-Za-z0-9._-] -> '_', strip '._-' ends,
     empty -> 'experiment'."""
-    s = F.regexp_replace(strip_ws(c), "[^A-Za-z0-9._-]+", "_")
-    s = F.regexp_replace(s, "^[._-]+|[._-]+\\z", "")
-    return F.when(s == "", F.lit("experiment")).otherwise(s)
+    s = F.regexp_replace(strip_ws(c), SAFE_NAME_OTHER_RUN, "_")
+    s = F.trim(s, F.lit(SAFE_NAME_STRIP_CHARS))
+    return F.when(s == "", F.lit(SAFE_NAME_FALLBACK)).otherwise(s)
 
 
 def experiment_display_name(c) -> Column:

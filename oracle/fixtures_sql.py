@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-LABELS = ["compute", "data_handling", "network", "security_compliance",
-          "management_monitoring", "cloud_service_essentials"]
-CUTOFFS = [3, 2, 2, 4, 1, 3]
+from labelbench.constants import LABELS
+from labelbench.sources.fixtures import LABEL_CUTOFFS
+
+CUTOFFS = [LABEL_CUTOFFS[lab] for lab in LABELS]
 
 
 def hex8(x: str, a: int) -> str:

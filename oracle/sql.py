@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from labelbench.constants import AMBIGUITY_TYPES, EXPERIMENT_DISPLAY_NAMES, NA_TOKENS
+
 from .fixtures_sql import LABELS, with_fixtures as W
 
 WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -105,7 +107,7 @@ SQL["table_info"] = W("req") + ",\na as (select * from req where ambuiguity is n
     for i, (c, t) in enumerate(zip(REQ_COLS, REQ_TYPES)))
 
 # ---------------------------------------------------------------- subsets / split
-TYPES = {1: "lexical", 2: "syntactic", 3: "semantic", 4: "language_error", 5: "pragmatic"}
+TYPES = AMBIGUITY_TYPES
 _PREP = f""",
 prep_all as (select row_id, {norm('description')} as description, source, ambuiguity, ambiguity_type, comments,
                     {LABEL_COLS}, goal from req where ambuiguity is not null),
@@ -129,11 +131,7 @@ def sanitize(x: str) -> str:
     return f"(case when {s2} = '' then 'experiment' else {s2} end)"
 
 
-DISPLAY = {"baseline": "Benchmark all", "no_ambiguity": "No ambiguity",
-           "no_lexical_ambiguity": "No lexical ambiguity", "no_syntactic_ambiguity": "No syntactic ambiguity",
-           "no_semantic_ambiguity": "No semantic ambiguity",
-           "no_language_error_ambiguity": "No language-error ambiguity",
-           "no_pragmatic_ambiguity": "No pragmatic ambiguity"}
+DISPLAY = EXPERIMENT_DISPLAY_NAMES
 
 
 def display(x: str) -> str:
@@ -398,8 +396,7 @@ from tk t left join ids on t.row_id = ids.row_id"""
 # ---------------------------------------------------------------- sources / experiments
 from .fixtures_sql import _p_expr  # noqa: E402
 
-NA = ["", "NA", "N/A", "n/a", "NaN", "nan", "-NaN", "-nan", "null", "NULL",
-      "None", "<NA>", "#N/A", "#NA", "#N/A N/A", "1.#IND", "1.#QNAN", "-1.#IND", "-1.#QNAN"]
+NA = NA_TOKENS
 _NA_LIST = ", ".join("'" + t + "'" for t in NA)
 
 
