@@ -104,3 +104,19 @@ def test_confusion_cells_add_up(spark):
     assert len(conf) == 6 and all(r.tp + r.fp + r.fn + r.tn == 150 for r in conf)
     bc = mt.binary_confusion(_pred(spark, Y, P)).collect()
     assert sum(r.n for r in bc) == 150
+
+
+def test_crowded_scores_spread_over_buckets(spark):
+    # a model's scores crowd near 0: fixed-width buckets would put them all in one window task
+    rng = np.random.default_rng(5)
+    n = 3000
+    Y = (rng.random((n, 1)) < 0.2).astype(int)
+    P = np.where(Y == 1, rng.random((n, 1)) * 1e-3 + 5e-4, rng.random((n, 1)) * 1e-3)
+    df = _pred(spark, Y, P)
+    splits = roc.score_splits(df, buckets=64)
+    counts = roc._bucketed(roc.score_counts(df, micro=False), splits)
+    per_bucket = [r["count"] for r in counts.groupBy("_b").count().collect()]
+    assert max(per_bucket) < 4 * n / 64
+    f, t = _np_roc(Y[:, 0], P[:, 0])
+    auc = {r.label: r.auc for r in roc.roc_auc(df).collect()}
+    assert auc["l0"] == pytest.approx(np.trapezoid(t, f), abs=1e-12)
