@@ -3,12 +3,14 @@
 Scale design - there are only a few labels, so nothing is windowed over a whole label:
 
 * cells are pre-aggregated to one row per (group, label, distinct score) with positive and
-  negative counts (partial aggregation; a hot score collapses to one row);
+  negative counts (partial aggregation; a hot score collapses to one row).  This table is
+  landed once in the shared folder, so the cells are scanned exactly once however many
+  steps (bucket totals, offsets, start points, areas, macro curve) read it;
 * cumulative counts in descending score order are two-level prefix sums: per score bucket
   totals (groups x labels x 4096 rows at most) give each bucket's offset, and a window runs
-  only inside one (group, label, bucket).  Buckets are approximate quantiles of the scores
-  (one action returning at most 4095 numbers), so scores that crowd near 0 or 1 - typical
-  of a model - still spread over many buckets and no window task holds a large share;
+  only inside one (group, label, bucket).  Buckets are approximate quantiles of the distinct
+  scores (one action returning at most 4095 numbers), so scores that crowd near 0 or 1 -
+  typical of a model - still spread over many buckets and no window task holds a large share;
 * the area is an exact integer sum, sum(neg * (2 * tps - pos)) / (2 * P * N), so no row
   needs its predecessor and the result is the same under any summation order;
 * the macro curve needs, for every grid value x, the last curve point with fpr <= x and
@@ -24,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import ROC_GRID_POINTS
+from ..session import land
 
 MICRO = "micro"
 MACRO = "macro"
@@ -67,16 +70,19 @@ def roc_points(pred: DataFrame | None, keys=None, micro: bool = True, counts: Da
     start point; fpr / tpr are NULL for a label without negatives / positives."""
     keys = _k(keys)
     grp = [*keys, "label"]
-    counts = counts if counts is not None else score_counts(pred, keys, micro)
-    splits = splits or score_splits(pred if pred is not None else counts)
+    counts = land(counts if counts is not None else score_counts(pred, keys, micro), "roc_counts")
+    splits = splits or score_splits(counts)
     c = _bucketed(counts, splits)
     tot_b = c.groupBy(*grp, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     before = Window.partitionBy(*grp).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*grp)
-    offs = tot_b.select(*grp, "_b",
-                        F.coalesce(F.sum("_bp").over(before), F.lit(0)).alias("_po"),
-                        F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_no"),
-                        F.sum("_bp").over(whole).alias("n_pos"), F.sum("_bn").over(whole).alias("n_neg"))
+    # small (groups x labels x buckets rows) and read twice: landed so the score table is not
+    # aggregated again for each reader
+    offs = land(tot_b.select(*grp, "_b",
+                             F.coalesce(F.sum("_bp").over(before), F.lit(0)).alias("_po"),
+                             F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_no"),
+                             F.sum("_bp").over(whole).alias("n_pos"), F.sum("_bn").over(whole).alias("n_neg")),
+                "roc_offsets")
     run = Window.partitionBy(*grp, "_b").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
     pts = (c.join(offs, [*grp, "_b"])
            .select(*grp, F.col("p").alias("threshold"),
@@ -87,11 +93,12 @@ def roc_points(pred: DataFrame | None, keys=None, micro: bool = True, counts: Da
     start = totals.select(*grp, F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("bigint").alias("tps"),
                           F.lit(0).cast("bigint").alias("fps"), F.lit(0).cast("bigint").alias("pos"),
                           F.lit(0).cast("bigint").alias("neg"), "n_pos", "n_neg")
-    allp = pts.unionByName(start)
-    return allp.withColumns({
+    allp = pts.unionByName(start).withColumns({
         "fpr": F.col("fps").cast("double") / F.when(F.col("n_neg") > 0, F.col("n_neg").cast("double")),
         "tpr": F.col("tps").cast("double") / F.when(F.col("n_pos") > 0, F.col("n_pos").cast("double")),
     })
+    # the points feed the areas and the macro curve: landed once
+    return land(allp, "roc_points")
 
 
 def roc_auc(pred: DataFrame | None, keys=None, micro: bool = True, points: DataFrame | None = None,
@@ -128,11 +135,12 @@ def roc_macro_curve(pred: DataFrame, keys=None, points: DataFrame | None = None,
     grp = [*keys, "label"]
     pts = points if points is not None else roc_points(pred, keys, micro=False)
     pts = pts.filter(F.col("label") != MICRO)
-    pt = F.struct(F.col("fpr"), F.col("tpr"))
-    per_g = (pts.filter(F.col("fpr").isNotNull() & F.col("tpr").isNotNull())
-             .withColumn("g", _first_grid_at_or_above(F.col("fpr"), n))
-             .groupBy(*grp, F.col("g").alias("k")).agg(F.max(pt).alias("a"), F.min(pt).alias("b")))
-    grid = (pts.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n"))
+    # NULL for a label without positives or negatives: its groups stay (so the label stays in
+    # the mean and makes it NULL) and the grid comes from this small table, not from the points
+    pt = F.when(F.col("fpr").isNotNull() & F.col("tpr").isNotNull(), F.struct(F.col("fpr"), F.col("tpr")))
+    per_g = (pts.withColumn("k", F.coalesce(_first_grid_at_or_above(F.col("fpr"), n), F.lit(0)))
+             .groupBy(*grp, "k").agg(F.max(pt).alias("a"), F.min(pt).alias("b")))
+    grid = (per_g.select(*grp).distinct()
             .select(*grp, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")))
     g = grid.join(per_g, [*grp, "k"], "left")
     upto = Window.partitionBy(*grp).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)

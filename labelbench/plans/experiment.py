@@ -24,7 +24,7 @@ from ..operators import metrics as mt
 from ..operators import split as sp
 from ..operators import subsets as sb
 from ..operators import train as tr
-from ..session import shared_path
+from ..session import land, shared_path
 from ..sources.results import read_results, write_results
 
 KEY = "experiment"
@@ -82,13 +82,6 @@ def experiment_summary(split_df: DataFrame, pred: DataFrame, confusion: DataFram
     return out
 
 
-def _land(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """Write a table read by several jobs to the shared folder and read it back."""
-    path = shared_path(spark, name, unique=True)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def run_suite(df: DataFrame, cfg: ExperimentConfig = ExperimentConfig(), conditions: dict[str, Column] | None = None,
               out_dir: str | None = None, export: bool = True, scorer: Scorer | None = None,
               labels: list[str] | None = None) -> SuiteResult:
@@ -99,17 +92,17 @@ def run_suite(df: DataFrame, cfg: ExperimentConfig = ExperimentConfig(), conditi
     suite = sb.prepare_baseline(sb.subset_suite(df, conditions), labels)
     # the split feeds the distribution, the fits, the scoring and every metric: land it once
     # in the shared folder (its lineage - cleaning, tagging, two-level rank - runs once)
-    split_df = _land(sp.split_exact(suite, cfg.test_size, cfg.seed, by=[KEY]), spark, "split")
+    split_df = land(sp.split_exact(suite, cfg.test_size, cfg.seed, by=[KEY]), "split")
     dist = sp.class_distribution(split_df, labels, by=[KEY])
     models, hist = {}, None
     if scorer is None:
         feats = tr.featurize(df, cfg).persist(StorageLevel.DISK_ONLY)
         models, hist = tr.train_multilabel(split_df, feats, cfg, labels, KEY)
         # scored once and landed: every metric below reads the same prediction table
-        pred = _land(tr.score_multilabel(models, split_df, feats, KEY), spark, "predictions")
+        pred = land(tr.score_multilabel(models, split_df, feats, KEY), "predictions")
         feats.unpersist()
     else:
-        pred = _land(scorer(split_df), spark, "predictions")
+        pred = land(scorer(split_df), "predictions")
     valid = split_df.filter(F.col("split") == "valid")
     results = mt.sentence_results(pred, valid, cfg.threshold, [KEY], labels)
     confusion = mt.sentence_confusion(results, [KEY])

@@ -61,3 +61,12 @@ def shared_path(spark: SparkSession, *parts: str, unique: bool = False) -> str:
         bits.append(uuid.uuid4().hex[:12])
     sep = "/" if "://" in base or base.startswith("/") else os.sep
     return base.rstrip("/") + sep + sep.join(bits)
+
+
+def land(df, name: str):
+    """Write a table that several jobs will read to the shared folder and read it back:
+    its lineage runs once and is cut (a lost executor re-reads files, it does not recompute)."""
+    spark = df.sparkSession
+    path = shared_path(spark, name, unique=True)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
