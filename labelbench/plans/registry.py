@@ -21,7 +21,7 @@ from ..operators import history as hs
 from ..operators import metrics as mt
 from ..operators import split as sp
 from ..operators import subsets as sb
-from ..session import shared_path
+from ..session import land, shared_path
 from ..sources import csv as csvsrc
 from ..sources import fixtures as fx
 from ..sources.results import read_results
@@ -43,8 +43,10 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cleaned, de-duplicated sentence table (dataset preparation, E1)."""
-    return clean.prepare_sentences(fx.req(spark, sf_dir))
+    """The cleaned, de-duplicated sentence table (dataset preparation, E1), landed once in
+    the shared folder: the queries built on it (subsets, split, encoding, experiments)
+    read it several times and must not re-run the scan, cleaning and de-dup per branch."""
+    return land(clean.prepare_sentences(fx.req(spark, sf_dir)), "prepared")
 
 
 # ---------------------------------------------------------------- 2.2 filters / casts
