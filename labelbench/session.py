@@ -40,13 +40,16 @@ def get_session(master: str | None = None, app_name: str = "labelbench",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) a private folder is created and set.
+    Only a local-mode session without one (tests, a laptop) gets a private folder; on a
+    cluster a machine-local folder would be wrong, so a missing setting is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         if not d:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
             d = tempfile.mkdtemp(prefix="labelbench-ckpt-")
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir() or d
