@@ -52,12 +52,15 @@ def bce_loss(logits: DataFrame, keys=None) -> DataFrame:
 
 def bce_batch_mean(logits: DataFrame, batch_size: int = 16, seed: int = 42, keys=None) -> DataFrame:
     """Epoch loss as the mean of per-batch mean losses (a short last batch weighs as much
-    as a full one); batches are consecutive rows of the seeded order."""
+    as a full one); batches are consecutive rows of the seeded order.
+
+    Cells are reduced to one row per sentence (loss sum, cell count) first; the rank and
+    the batches work on that table, so the cells are never joined back."""
     keys = list(keys or [])
-    rows = logits.select(*keys, "row_id").distinct()
-    batches = hash_rank(rows, seed, keys).select(
-        *keys, "row_id", F.floor((F.col("rank") - 1) / batch_size).cast("bigint").alias("batch_id"))
-    per_batch = logits.join(batches, [*keys, "row_id"]).groupBy(*keys, "batch_id") \
-        .agg(F.avg(bce_with_logits("x", "y")).alias("batch_loss"))
+    rows = logits.groupBy(*keys, "row_id").agg(F.sum(bce_with_logits("x", "y")).alias("_loss"),
+                                              F.count(F.lit(1)).alias("_cells"))
+    ranked = hash_rank(rows, seed, keys).withColumn(
+        "batch_id", F.floor((F.col("rank") - 1) / batch_size).cast("bigint"))
+    per_batch = ranked.groupBy(*keys, "batch_id").agg((F.sum("_loss") / F.sum("_cells")).alias("batch_loss"))
     return per_batch.groupBy(*keys).agg(F.avg("batch_loss").alias("bce_batch_mean"),
                                         F.count(F.lit(1)).cast("bigint").alias("batches"))
