@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import land
 from .split import hash_rank
 
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
@@ -32,7 +33,9 @@ def build_vocab(df: DataFrame, text_col: str = "description", min_count: int = 1
               .groupBy("token").agg(F.count(F.lit(1)).cast("bigint").alias("count")))
     if min_count > 1:
         counts = counts.filter(F.col("count") >= min_count)
-    ranked = hash_rank(counts, VOCAB_SEED, id_col="token").drop("_group_n")
+    # the rank reads the counts twice (bucket sizes, then numbering): land them so the texts
+    # are tokenised and counted once
+    ranked = hash_rank(land(counts, "vocab_counts"), VOCAB_SEED, id_col="token").drop("_group_n")
     return ranked.select("token", (F.col("rank") + (FIRST_WORD_ID - 1)).cast("int").alias("token_id"), "count")
 
 
