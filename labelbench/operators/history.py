@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.math import bce_with_logits, sigmoid
+from ..session import land
 from .split import hash_rank
 
 
@@ -54,11 +55,12 @@ def bce_batch_mean(logits: DataFrame, batch_size: int = 16, seed: int = 42, keys
     """Epoch loss as the mean of per-batch mean losses (a short last batch weighs as much
     as a full one); batches are consecutive rows of the seeded order.
 
-    Cells are reduced to one row per sentence (loss sum, cell count) first; the rank and
-    the batches work on that table, so the cells are never joined back."""
+    Cells are reduced to one row per sentence (loss sum, cell count) first and that table is
+    landed (the two-level rank reads it twice); the rank and the batches work on it, so the
+    cells are scanned once and never joined back."""
     keys = list(keys or [])
-    rows = logits.groupBy(*keys, "row_id").agg(F.sum(bce_with_logits("x", "y")).alias("_loss"),
-                                              F.count(F.lit(1)).alias("_cells"))
+    rows = land(logits.groupBy(*keys, "row_id").agg(F.sum(bce_with_logits("x", "y")).alias("_loss"),
+                                                   F.count(F.lit(1)).alias("_cells")), "loss_rows")
     ranked = hash_rank(rows, seed, keys).withColumn(
         "batch_id", F.floor((F.col("rank") - 1) / batch_size).cast("bigint"))
     per_batch = ranked.groupBy(*keys, "batch_id").agg((F.sum("_loss") / F.sum("_cells")).alias("batch_loss"))
