@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import chat, mixing, rules, sharding
+from . import chat, mixing, rules, sharding, simhash, substring
 from . import sql as S
 
 
@@ -15,6 +15,11 @@ def op4_extendible_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read_table(spark, sf_dir, "documents"), limit_bytes=S.SHARD_BYTES)
 
 
+def op5_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.clean_lines(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost")
@@ -34,10 +39,15 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("bigint").alias("formatted_chars"), "valid", F.col("bad_turn").cast("bigint").alias("bad_turn"))
 
 
+def op9_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(read_table(spark, sf_dir, "documents"))
+
+
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_extendible_hash_shards, op6_line_first_rules, op7_chat_format, op10_curriculum_mix)}
+QUERIES = {f.__name__: f for f in (
+    op4_extendible_hash_shards, op5_super_kmer_dedup, op6_line_first_rules, op7_chat_format, op9_golay_simhash, op10_curriculum_mix)}
 
-SQL = {"op4_extendible_hash_shards": S.SHARDS, "op6_line_first_rules": S.RULES, "op7_chat_format": S.CHAT, "op10_curriculum_mix": S.MIX}
+SQL = {"op4_extendible_hash_shards": S.SHARDS, "op5_super_kmer_dedup": S.SUBSTRING, "op6_line_first_rules": S.RULES, "op7_chat_format": S.CHAT, "op10_curriculum_mix": S.MIX}

@@ -85,3 +85,13 @@ SELECT doc_id, size, source_size, target, taken_1 + taken_2 AS taken, taken_1, t
        CASE WHEN taken_1 > 0 THEN round(least(1.0::DOUBLE, 2.0::DOUBLE * u1 / (a + sqrt(a * a + 2.0::DOUBLE * (b - a) * u1))), 9) END AS position,
        CASE WHEN taken_2 > 0 THEN round(least(1.0::DOUBLE, 2.0::DOUBLE * u2 / (a + sqrt(a * a + 2.0::DOUBLE * (b - a) * u2))), 9) END AS position_2
 FROM ab"""
+
+SUBSTRING = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first_id FROM win) WHERE first_id < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM hit),
+word AS (SELECT doc_id, k, w[k] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM w)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY k) AS t FROM word ANTI JOIN gone USING (doc_id, k) GROUP BY 1)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, (len(w.w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)"""
