@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import chat, mixing, rules, sharding, simhash, substring
+from . import chat, embdedup, mixing, rules, sharding, simhash, substring
 from . import sql as S
 
 
@@ -39,6 +39,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("bigint").alias("formatted_chars"), "valid", F.col("bad_turn").cast("bigint").alias("bad_turn"))
 
 
+def op8_pca_tiled_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(read_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,6 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op4_extendible_hash_shards, op5_super_kmer_dedup, op6_line_first_rules, op7_chat_format, op9_golay_simhash, op10_curriculum_mix)}
+    op4_extendible_hash_shards, op5_super_kmer_dedup, op6_line_first_rules, op7_chat_format, op8_pca_tiled_dedup, op9_golay_simhash, op10_curriculum_mix)}
 
-SQL = {"op4_extendible_hash_shards": S.SHARDS, "op5_super_kmer_dedup": S.SUBSTRING, "op6_line_first_rules": S.RULES, "op7_chat_format": S.CHAT, "op10_curriculum_mix": S.MIX}
+SQL = {"op4_extendible_hash_shards": S.SHARDS, "op5_super_kmer_dedup": S.SUBSTRING, "op6_line_first_rules": S.RULES, "op7_chat_format": S.CHAT, "op8_pca_tiled_dedup": S.EMBEDDINGS, "op10_curriculum_mix": S.MIX}
