@@ -106,3 +106,39 @@ c AS (SELECT a AS vec_id, min(r) AS component_id FROM reach GROUP BY 1),
 n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)"""
+
+# DuckDB has no crc32, so it is spelled out: bit by bit over the bytes of the id's digits
+CRC32 = """
+bytes AS (SELECT doc_id, i, ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT AS b FROM (SELECT doc_id, unnest(range(1, length(doc_id::VARCHAR) + 1)) AS i FROM documents)),
+table8 AS (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS n)),
+crc AS (SELECT doc_id, 0 AS i, 4294967295::BIGINT AS c FROM documents
+        UNION ALL SELECT crc.doc_id, crc.i + 1, xor(crc.c >> 8, t.c) FROM crc JOIN bytes b ON b.doc_id = crc.doc_id AND b.i = crc.i + 1
+        JOIN table8 t ON t.n = xor(crc.c, b.b) & 255),
+crc32 AS (SELECT doc_id, xor(arg_max(c, i), 4294967295) AS crc FROM crc GROUP BY 1)"""
+
+KNESER_NEY = rf"""
+WITH RECURSIVE {CRC32.strip()},
+d AS (SELECT doc_id, crc % 10 = 0 AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'), chr(10)) AS w FROM documents JOIN crc32 USING (doc_id)),
+t AS (SELECT doc_id, held_out, i, w[i] AS x, CASE WHEN i = 1 THEN chr(10) ELSE w[i - 1] END AS h FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d)),
+uni AS (SELECT x, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
+tot AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM uni),
+pair AS (SELECT h, x, count(*) AS c FROM t WHERE NOT held_out GROUP BY ALL),
+lf AS (SELECT x, count(*) AS l FROM pair GROUP BY 1),
+cc AS (SELECT count(CASE WHEN c = 1 THEN 1 END)::DOUBLE AS t1, count(CASE WHEN c = 2 THEN 1 END)::DOUBLE AS t2,
+              count(CASE WHEN c = 3 THEN 1 END)::DOUBLE AS t3, count(CASE WHEN c = 4 THEN 1 END)::DOUBLE AS t4, count(*) AS n FROM pair),
+lc AS (SELECT count(CASE WHEN l = 1 THEN 1 END)::DOUBLE AS t1, count(CASE WHEN l = 2 THEN 1 END)::DOUBLE AS t2,
+              count(CASE WHEN l = 3 THEN 1 END)::DOUBLE AS t3, count(CASE WHEN l = 4 THEN 1 END)::DOUBLE AS t4, count(CASE WHEN l > 2 THEN 1 END) AS more FROM lf),
+pd AS (SELECT 1 - 2 * t1 / (t1 + 2 * t2) * t2 / t1 AS d1, 2 - 3 * t1 / (t1 + 2 * t2) * t3 / t2 AS d2, 3 - 4 * t1 / (t1 + 2 * t2) * t4 / t3 AS d3, n FROM cc),
+ld AS (SELECT *, (d1 * t1 + d2 * t2 + d3 * more) / n AS rest FROM (SELECT 1 - 2 * lc.t1 / (lc.t1 + 2 * lc.t2) * lc.t2 / lc.t1 AS d1,
+       2 - 3 * lc.t1 / (lc.t1 + 2 * lc.t2) * lc.t3 / lc.t2 AS d2, 3 - 4 * lc.t1 / (lc.t1 + 2 * lc.t2) * lc.t4 / lc.t3 AS d3, lc.t1, lc.t2, more, pd.n FROM lc, pd)),
+ctx AS (SELECT h, sum(c)::DOUBLE AS total, (any_value(d1) * count(CASE WHEN c = 1 THEN 1 END) + any_value(d2) * count(CASE WHEN c = 2 THEN 1 END)
+        + any_value(d3) * count(CASE WHEN c > 2 THEN 1 END)) / sum(c) AS share FROM pair, pd GROUP BY 1),
+s AS (SELECT t.doc_id, t.held_out, coalesce(uni.c, 0) AS c, coalesce(pair.c, 0) AS pc, ctx.total, ctx.share, coalesce(lf.l, 0) AS l
+      FROM t LEFT JOIN uni USING (x) LEFT JOIN pair USING (h, x) LEFT JOIN ctx USING (h) LEFT JOIN lf USING (x)),
+p AS (SELECT s.*, tot.n, tot.v, (l - CASE WHEN l = 0 THEN 0 WHEN l = 1 THEN ld.d1 WHEN l = 2 THEN ld.d2 ELSE ld.d3 END) / ld.n + ld.rest / (tot.v + 1) AS low,
+      pc - CASE WHEN pc = 0 THEN 0 WHEN pc = 1 THEN pd.d1 WHEN pc = 2 THEN pd.d2 ELSE pd.d3 END AS lower_pc FROM s, tot, pd, ld),
+o AS (SELECT doc_id, held_out, count(*) AS n_tokens, count(CASE WHEN c > 0 THEN 1 END) AS n_known, any_value(n) AS train_tokens,
+      fsum(log10((c + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))) AS base_score,
+      fsum(log10(CASE WHEN total IS NULL THEN low ELSE lower_pc / total + share * low END)) AS score FROM p GROUP BY ALL)
+SELECT *, 10 ** (-score / n_tokens) AS perplexity FROM o"""
