@@ -6,10 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import chat, embdedup, lm, mixing, rules, sharding, simhash, substring
+from . import chat, embdedup, lm, mixing, quality, rules, sharding, simhash, substring
 from . import sql as S
 from .common import crc_mod
 
+QUALITY_AT = 0.3  # fixed by the contract
+
+
+def op1_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", 5) == 0).alias("held_out"))
+    labels = read_table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 5) != 0)
+    out = quality.score(docs, quality.train(docs, labels), carry=("held_out",))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= QUALITY_AT).cast("int").alias("predicted"), "n_passages")
+
 
 def op2_kneser_ney_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", 10) == 0).alias("held_out"))
@@ -58,6 +67,6 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_kneser_ney_lm, op4_extendible_hash_shards, op5_super_kmer_dedup, op6_line_first_rules, op7_chat_format, op8_pca_tiled_dedup, op9_golay_simhash, op10_curriculum_mix)}
+    op1_attention_quality, op2_kneser_ney_lm, op4_extendible_hash_shards, op5_super_kmer_dedup, op6_line_first_rules, op7_chat_format, op8_pca_tiled_dedup, op9_golay_simhash, op10_curriculum_mix)}
 
 SQL = {"op2_kneser_ney_lm": S.KNESER_NEY, "op4_extendible_hash_shards": S.SHARDS, "op5_super_kmer_dedup": S.SUBSTRING, "op6_line_first_rules": S.RULES, "op7_chat_format": S.CHAT, "op8_pca_tiled_dedup": S.EMBEDDINGS, "op10_curriculum_mix": S.MIX}
