@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import chat, embdedup, lm, mixing, quality, rules, sharding, simhash, substring
+from . import chat, embdedup, lm, mixing, packing, quality, rules, sharding, simhash, substring
 from . import sql as S
 from .common import crc_mod
 
@@ -25,6 +25,16 @@ def op2_kneser_ney_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, lm.train(docs.filter("not held_out")), carry=("held_out",))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
+
+
 def op4_extendible_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard of every document: 1 MiB of text at most, one document above it alone."""
     return sharding.assign_shards(read_table(spark, sf_dir, "documents"), limit_bytes=S.SHARD_BYTES)
@@ -67,6 +77,6 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_attention_quality, op2_kneser_ney_lm, op4_extendible_hash_shards, op5_super_kmer_dedup, op6_line_first_rules, op7_chat_format, op8_pca_tiled_dedup, op9_golay_simhash, op10_curriculum_mix)}
+    op1_attention_quality, op2_kneser_ney_lm, op3_bm25_packing, op4_extendible_hash_shards, op5_super_kmer_dedup, op6_line_first_rules, op7_chat_format, op8_pca_tiled_dedup, op9_golay_simhash, op10_curriculum_mix)}
 
 SQL = {"op2_kneser_ney_lm": S.KNESER_NEY, "op4_extendible_hash_shards": S.SHARDS, "op5_super_kmer_dedup": S.SUBSTRING, "op6_line_first_rules": S.RULES, "op7_chat_format": S.CHAT, "op8_pca_tiled_dedup": S.EMBEDDINGS, "op10_curriculum_mix": S.MIX}
