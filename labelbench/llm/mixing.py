@@ -6,9 +6,9 @@ Each source has a weight schedule over training time; its integral says which sh
 source's words has been consumed by time t, so the inverse of that integral gives every
 document the time at which it is trained on.
 
-Running sums are two-level: sums per (source, md5 bucket), whose own running sums are at most
-65,536 rows per source, and a window inside (source, bucket).  A source holding a third of all
-rows is spread over all buckets.  No text is shuffled for the plan.
+Running sums are two-level: sums per (source, md5 bucket) with their own running sums, and a
+window inside (source, bucket).  A source holding a third of all rows is spread over all buckets.
+There are 65,536 buckets.  No text is shuffled for the plan.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import land
-from .common import SPACES, as_docs, let, n_words
+from .common import SPACES, as_docs, n_words
 
 WEIGHTS = (3, 1, 2)
 # weight of a source over training time, at evenly spaced knots with straight lines between:
@@ -116,9 +116,9 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float
 
 
 def first_words(text: Column, n: Column) -> Column:
-    """The text up to the end of its n-th word (shorter: the whole text)."""
-    return F.regexp_extract(text, F.lit(""), 0) if n is None else F.when(n <= 0, F.lit("")).otherwise(
-        let(F.split(text, f"(?<=[^{SPACES}])(?=[{SPACES}])"), lambda p: F.array_join(F.slice(p, 1, n.cast("int")), "")))
+    """The text up to the end of its n-th word, n being 1 at least (fewer words: the whole text)."""
+    ends = F.split(text, f"(?<=[^{SPACES}])(?=[{SPACES}])")  # cut behind every word
+    return F.array_join(F.slice(ends, F.lit(1), n.cast("int")), "")
 
 
 def curriculum(docs: DataFrame, **options) -> DataFrame:
@@ -126,10 +126,10 @@ def curriculum(docs: DataFrame, **options) -> DataFrame:
 
     Documents are range-sorted by training position; the one document of a source at which its
     target is reached is cut after the last word taken.  A document that the mix does not take
-    is left out, one taken twice comes twice.
+    is left out, one taken twice comes twice.  ``docs`` should be read from a table (rows are
+    numbered as they are scanned).
     """
-    ids = F.monotonically_increasing_id()
-    rows = land(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), ids.alias("row_no")), "mix-rows")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("row_no"))
     flat = rows.select("row_no", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), F.col("row.text").alias("text"))
     plan = mix_plan(flat, carry=("row_no",), **options)
     takes = plan.select("row_no", "size", F.inline(F.array(

@@ -226,14 +226,16 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFra
     texts are a bag of one empty passage.  Rows with null or repeated doc_ids are scored like any.
     """
     cols = ("doc_id", *carry)
+    every = (*cols, "text") if "text" not in cols else cols
+    text = every.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in range(0, len(batch), TEXTS):
                 part = batch.slice(c, TEXTS)
-                p, n, top = model.score(part.column(len(cols)))
+                p, n, top = model.score(part.column(text))
                 yield pa.record_batch([part.column(i) for i in range(len(cols))] + [pa.array(p), pa.array(n.astype(np.int32)), pa.array(top)],
                                       names=[*cols, "score", "n_passages", "top_attention"])
 
-    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in cols)
-    return as_docs(docs, *cols, "text").mapInArrow(run, f"{kinds}, score double, n_passages int, top_attention double")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
+    return as_docs(docs, *every).mapInArrow(run, f"{kinds}, score double, n_passages int, top_attention double")

@@ -69,7 +69,7 @@ def op8_pca_tiled_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_groups(read_table(spark, sf_dir, "documents"))
+    return simhash.simhash_groups(read_table(spark, sf_dir, "documents")).drop("group")
 
 
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,6 +122,19 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                   names=["key", "fp", "home"])
 
 
+def first_of_groups(docs: DataFrame, **options) -> DataFrame:
+    """One row of every group, with the columns it came with: the smallest doc_id, null last, and of equal ones one row.
+
+    ``docs`` should be read from a table (rows are numbered as they are scanned).
+    """
+    cols = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text"),
+                       F.monotonically_increasing_id().alias("row_no"))
+    groups = simhash_groups(rows, carry=("row_no",), **options)
+    keep = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_no")).alias("first")).select("first.row_no")
+    return rows.join(keep, "row_no", "left_semi").select(*[F.col(f"row.`{c}`") for c in cols])
+
+
 def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b): all pairs a < b of the distinct fingerprints ``fp`` within ``max_bits`` (3 at most); a pair may come thrice."""
     if not 0 <= max_bits <= MAX_BITS:
@@ -133,13 +146,13 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return home.join(look, (home["key"] == look["key"]) & (F.col("a") < F.col("b")) & (far <= max_bits)).select("a", "b")
 
 
-def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS, seed: int = 42) -> DataFrame:
-    """(doc_id, fingerprint, component_id): one row per input row.
+def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, carried columns, fingerprint, component_id, group): one row per input row.
 
     ``fingerprint`` is the majority vote of the XXH64 hashes of all lower-cased word shingles, as
     16 hex digits; ``component_id`` the smallest doc_id reachable over links of at most
     ``max_bits`` differing bits.  Null, empty and white texts have fingerprint zero and link like
-    any other.  Texts shorter than a shingle are one shingle.  Null doc_ids stay null rows and
+    any other; ``group`` is a number that the rows of a component share.  Texts shorter than a shingle are one shingle.  Null doc_ids stay null rows and
     never name a component (a component of only null ids has a null id); repeated doc_ids are
     treated row by row.  An empty table gives no row.
     """
@@ -147,14 +160,15 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS,
         for batch in batches:
             for c in range(0, len(batch), 2000):
                 part = batch.slice(c, 2000)
-                fp = fingerprints(part.column(1), shingle, seed)
-                yield pa.record_batch([part.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                fp = fingerprints(part.column(len(cols)), shingle, seed)
+                yield pa.record_batch([part.column(i) for i in range(len(cols))] + [pa.array(fp.view(np.int64))], names=[*cols, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = land(as_docs(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long"), "simhash")
+    cols = ("doc_id", *carry)
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in cols)
+    rows = land(as_docs(docs, *cols, "text").mapInArrow(run, f"{kinds}, fp long"), "simhash")
     classes = land(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     roots = components(near_links(classes, max_bits))
     named = classes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(groups, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = named.join(groups, "root").select("fp", "component_id", F.col("root").alias("group"))
+    return rows.join(named, "fp").select(*cols, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group")
