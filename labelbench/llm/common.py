@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +35,14 @@ def as_docs(docs: DataFrame, *columns: str) -> DataFrame:
 def crc_mod(key: str, mod: int) -> Column:
     """crc32 of the key as text, modulo ``mod`` (null key: as the empty text)."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % mod
+
+
+def packed_row(docs: DataFrame, but: tuple[str, ...] = ()) -> Column:
+    """The columns of ``docs`` (other than ``but``) as one struct: whatever their names, they cannot clash."""
+    cols = [F.col(f"`{c}`") for c in docs.columns if c not in but]
+    return F.struct(*cols) if cols else F.struct(F.lit(None).cast("int").alias("none"))
+
+
+def nullable(col):
+    """An Arrow struct column with every field nullable, as Spark declares a result's fields."""
+    return col.cast(pa.struct([pa.field(f.name, f.type) for f in col.type])) if pa.types.is_struct(col.type) else col

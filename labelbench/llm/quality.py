@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import land
 from . import words
-from .common import as_docs
+from .common import as_docs, nullable
 
 U = np.uint64
 PASSAGE = 64
@@ -234,7 +234,7 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFra
             for c in range(0, len(batch), TEXTS):
                 part = batch.slice(c, TEXTS)
                 p, n, top = model.score(part.column(text))
-                yield pa.record_batch([part.column(i) for i in range(len(cols))] + [pa.array(p), pa.array(n.astype(np.int32)), pa.array(top)],
+                yield pa.record_batch([nullable(part.column(i)) for i in range(len(cols))] + [pa.array(p), pa.array(n.astype(np.int32)), pa.array(top)],
                                       names=[*cols, "score", "n_passages", "top_attention"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import land
 from . import words
-from .common import as_docs
+from .common import as_docs, packed_row
 from .components import components
 
 SEGMENTS = (21, 21, 22)
@@ -128,7 +128,7 @@ def first_of_groups(docs: DataFrame, **options) -> DataFrame:
     ``docs`` should be read from a table (rows are numbered as they are scanned).
     """
     cols = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text"),
+    rows = docs.select(packed_row(docs).alias("row"), F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text"),
                        F.monotonically_increasing_id().alias("row_no"))
     groups = simhash_groups(rows, carry=("row_no",), **options)
     keep = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_no")).alias("first")).select("first.row_no")

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .common import nullable, packed_row
 
 U = np.uint64
 WINDOW = 13
@@ -224,8 +225,7 @@ def _dropper(n_buckets: int):
         body = np.delete(body, last)
         off = np.concatenate([[0], np.cumsum(size - (size > 0))])
         text = pa.LargeStringArray.from_buffers(len(docs), pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(body.tobytes())).cast(pa.string())
-        kind = pa.struct([pa.field(f.name, f.type) for f in docs["row"].type])  # every field may be null
-        return pa.table({"row": docs["row"].cast(kind), "doc_id": docs["doc_id"], "text": docs["text"], "n_words": pa.array(c.n_words.astype(np.int64)),
+        return pa.table({"row": nullable(docs["row"]), "doc_id": docs["doc_id"], "text": docs["text"], "n_words": pa.array(c.n_words.astype(np.int64)),
                          "n_removed": pa.array((c.n_words - n_kept).astype(np.int64)), "kept_text": text})
     return drop
 
@@ -243,7 +243,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     n_blocks = max(1, math.ceil(total / BLOCK_BYTES))
     n_buckets = max(1, math.ceil(total * SPREAD / BUCKET_BYTES))
-    row = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
+    row = packed_row(docs.select(*[F.col(f"`{c}`") for c in carry]))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(row.alias("row"), "doc_id", "text", F.monotonically_increasing_id().alias("row_no"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "row_no"), F.lit(n_blocks)).cast("int")).repartition(n_blocks, "block")
