@@ -75,7 +75,7 @@ SIZE_TABLE_NAMES = {BASELINE: "benchmark_all"}
 WS_CODEPOINTS = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0, 0x1680,
                  *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 WS_CHARS = "".join(map(chr, WS_CODEPOINTS))
-WS_CLASS = "[\\s\\x0b\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+WS_CLASS = "[" + "".join(f"\\x{{{c:x}}}" for c in WS_CODEPOINTS) + "]"
 
 # Numbers pandas.to_numeric accepts (used by the lenient cast); group 1 is the number.
 NUMBER_RE = "^\\s*([+-]?(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?)\\s*\\z"

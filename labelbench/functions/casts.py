@@ -24,27 +24,27 @@ def _number_text(c: Column) -> Column:
 
 
 def lenient_int(c, dtype: T.DataType | None = None) -> Column:
-    """``to_numeric(errors='coerce').fillna(0).astype(int)``.
+    """A BIGINT whatever the value: numbers are truncated toward zero, everything else is 0.
 
-    Text that is not a plain decimal number (also Spark-only forms like '1.0d', '1f')
-    becomes 0; numbers are truncated toward zero.
+    Not a number are NULL, NaN, infinities, text that is not a plain decimal number (also
+    Spark-only forms like '1.0d', '1f') and numbers beyond 64 bits.
     """
     c = _c(c)
-    if dtype is not None and not isinstance(dtype, T.StringType):
-        return F.coalesce(c.try_cast("double"), F.lit(0.0)).cast("int")
-    num = _number_text(c.cast("string"))
-    return F.when(num != "", num.cast("double").cast("int")).otherwise(F.lit(0))
+    if dtype is None or isinstance(dtype, T.StringType):
+        num = _number_text(c.cast("string"))
+        c = F.when(num != "", num)
+    return F.coalesce(F.nanvl(c.try_cast("double"), F.lit(0.0)).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def strict_int(c, name: str = "label", dtype: T.DataType | None = None) -> Column:
-    """``astype(int)``: numbers are truncated, NULL or malformed text raises."""
+    """A BIGINT: numbers are truncated, NULL or malformed text raises."""
     c = _c(c)
     msg = F.lit(f"cannot convert non-finite or malformed value of '{name}' to int")
     if dtype is not None and isinstance(dtype, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
-        return F.coalesce(c.cast("int"), F.raise_error(msg).cast("int"))
+        return F.coalesce(c.cast("bigint"), F.raise_error(msg).cast("bigint"))
     num = _number_text(c.cast("string"))
-    return F.when(F.coalesce(num != "", F.lit(False)), num.cast("double").cast("int")) \
-        .otherwise(F.raise_error(msg).cast("int"))
+    return F.when(F.coalesce(num != "", F.lit(False)), num.cast("double").cast("bigint")) \
+        .otherwise(F.raise_error(msg).cast("bigint"))
 
 
 def safe_div(a, b) -> Column:

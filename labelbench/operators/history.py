@@ -3,7 +3,8 @@
 A history table is ``(experiment, epoch, train_loss, valid_loss)``; a group holds at most the
 configured number of epochs, so a window over one experiment is small however many
 experiments there are.  Training continues while the validation loss is not above the best
-so far (ties continue and re-save); the first worse epoch is recorded and ends the run.
+so far (ties continue and re-save); the first worse epoch is recorded and ends the run.  A NaN
+loss counts as worse, also in the first epoch: nothing is saved then.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ def early_stop_trace(history: DataFrame, keys=("experiment",), max_epochs: int |
     h = history if max_epochs is None else history.filter(F.col("epoch") <= max_epochs)
     before = Window.partitionBy(*keys).orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
     t = h.withColumn("best_before", F.min("valid_loss").over(before)) \
-        .withColumn("is_worse", F.coalesce(F.col("valid_loss") > F.col("best_before"), F.lit(False)))
+        .withColumn("is_worse", F.coalesce(F.isnan("valid_loss") | (F.col("valid_loss") > F.col("best_before")),
+                                           F.isnan("valid_loss"), F.lit(False)))
     t = t.withColumn("ran", F.coalesce(F.max(F.col("is_worse").cast("int")).over(before), F.lit(0)) == 0)
     return t.withColumn("saved", F.col("ran") & ~F.col("is_worse"))
 

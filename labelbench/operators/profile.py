@@ -19,13 +19,13 @@ def _dtypes(df: DataFrame) -> dict[str, T.DataType]:
 
 
 def null_profile(df: DataFrame) -> DataFrame:
-    """``isnull().sum()``: (column, nulls) for every column."""
-    wide = df.agg(*[F.sum(F.col(c).isNull().cast("int")).cast("bigint").alias(c) for c in df.columns])
+    """Number of NULLs of every column: (column, nulls)."""
+    wide = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).cast("bigint").alias(c) for c in df.columns])
     return wide.unpivot([], df.columns, "column", "nulls")
 
 
 def table_info(df: DataFrame) -> DataFrame:
-    """``info()``: (position, column, dtype, non_null)."""
+    """Type and non-NULL count of every column: (position, column, dtype, non_null)."""
     wide = df.agg(*[F.count(F.col(c)).cast("bigint").alias(c) for c in df.columns])
     long = wide.unpivot([], df.columns, "column", "non_null")
     meta = F.create_map(*[x for i, f in enumerate(df.schema.fields)
@@ -36,10 +36,10 @@ def table_info(df: DataFrame) -> DataFrame:
 
 
 def value_distribution(df: DataFrame, col: str, domain: tuple[int, ...] = (0, 1)) -> DataFrame:
-    """``to_numeric(coerce).fillna(0).astype(int).value_counts().reindex(domain, fill 0)``
-    with each value's share of the domain total in percent."""
+    """Rows per value of ``domain`` (0 for a value that does not occur) and their share of the
+    domain total in percent; values are read as by ``lenient_int``."""
     v = lenient_int(col, _dtypes(df)[col])
-    wide = df.agg(*[F.sum((v == d).cast("int")).cast("bigint").alias(f"v{d}") for d in domain])
+    wide = df.agg(*[F.count(F.when(v == d, 1)).cast("bigint").alias(f"v{d}") for d in domain])
     total = sum((F.col(f"v{d}") for d in domain[1:]), F.col(f"v{domain[0]}"))
     return wide.select(F.inline(F.array(*[
         F.struct(F.lit(d).alias("value"), F.col(f"v{d}").alias("n"),
@@ -51,7 +51,7 @@ def label_counts(df: DataFrame, labels: list[str] | None = None) -> DataFrame:
     """Positive count per label (lenient numeric), label order kept in ``position``."""
     labels = labels or LABELS
     dt = _dtypes(df)
-    wide = df.agg(*[F.sum(lenient_int(c, dt[c])).cast("bigint").alias(c) for c in labels])
+    wide = df.agg(*[F.coalesce(F.sum(lenient_int(c, dt[c])), F.lit(0)).cast("bigint").alias(c) for c in labels])
     return wide.select(F.inline(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("label"),
                                                    F.col(c).alias("positives"))
                                           for i, c in enumerate(labels)])))
@@ -60,7 +60,8 @@ def label_counts(df: DataFrame, labels: list[str] | None = None) -> DataFrame:
 def label_by_ambiguity(df: DataFrame, labels: list[str] | None = None, amb_col: str = "ambuiguity") -> DataFrame:
     """Per label: positives among ambiguous and non-ambiguous rows and their shares.
 
-    Ambiguous means a non-zero annotation (``astype(bool)``); the annotated filter runs first.
+    Ambiguous means any annotation other than zero, malformed ones (NaN) included; the
+    annotated filter runs first.
     """
     labels = labels or LABELS
     dt = _dtypes(df)
@@ -68,8 +69,8 @@ def label_by_ambiguity(df: DataFrame, labels: list[str] | None = None, amb_col:
     aggs = []
     for c in labels:
         v = lenient_int(c, dt[c])
-        aggs += [F.sum(F.when(amb, v).otherwise(0)).cast("bigint").alias(f"a_{c}"),
-                 F.sum(F.when(~amb, v).otherwise(0)).cast("bigint").alias(f"n_{c}")]
+        aggs += [F.coalesce(F.sum(F.when(amb, v).otherwise(0)), F.lit(0)).cast("bigint").alias(f"a_{c}"),
+                 F.coalesce(F.sum(F.when(~amb, v).otherwise(0)), F.lit(0)).cast("bigint").alias(f"n_{c}")]
     wide = df.agg(*aggs)
 
     def pct(x, t):

@@ -9,6 +9,7 @@ reading discovers the experiments from the partition folders.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 RESULTS = "results"
 CONFUSION = "confusion"
@@ -20,6 +21,12 @@ def write_results(results: DataFrame, confusion: DataFrame, path: str, key: str
          .partitionBy(key).parquet(f"{path.rstrip('/')}/{name}"))
 
 
-def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    base = path.rstrip("/")
-    return spark.read.parquet(f"{base}/{RESULTS}"), spark.read.parquet(f"{base}/{CONFUSION}")
+def read_results(spark: SparkSession, path: str, key: str = "experiment") -> tuple[DataFrame, DataFrame]:
+    """Both tables; experiment names stay text, also those that look like numbers or dates."""
+    def read(name: str) -> DataFrame:
+        folder = f"{path.rstrip('/')}/{name}"
+        fields = spark.read.parquet(folder).schema.fields
+        typed = T.StructType([T.StructField(f.name, T.StringType()) if f.name == key else f for f in fields])
+        return spark.read.schema(typed).parquet(folder)
+
+    return read(RESULTS), read(CONFUSION)

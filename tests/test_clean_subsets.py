@@ -43,7 +43,7 @@ def test_empty_subset_size_is_zero(spark):
 
 def test_prepare_baseline_drops_and_casts(spark):
     df = _table(spark, [(1, "a", 0, None)]).withColumn("goal", F.lit("1"))
-    out = sb.prepare_baseline(df, target_list=[], drop_columns=[])  # empty lists fall back to defaults
+    out = sb.prepare_baseline(df, labels=[], metadata=[])  # empty lists fall back to defaults
     assert out.columns == ["row_id", "description", *LABELS]
 
 

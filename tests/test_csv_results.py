@@ -1,7 +1,11 @@
 """Typed CSV scan round trip with dirty text, and the partitioned result sink."""
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from labelbench.constants import LABELS
+from labelbench.plans import experiment as ex
 from labelbench.session import shared_path
 from labelbench.sources import csv as csvsrc
 from labelbench.sources.results import read_results, write_results
@@ -20,6 +24,29 @@ def test_csv_roundtrip_dirty_text(spark):
     assert all(out[i].compute == 1 for i in out)
 
 
+def test_csv_columns_by_header_and_rows_in_file_order(spark, tmp_path):
+    cols = ["network", "description", "ambuiguity", "extra"] + [x for x in LABELS if x != "network"]
+    for name, start in (("a.csv", 0), ("b.csv", 3)):
+        rows = [["1", f'"text {k},\nsecond line"', ["", "yes", "0.5"][k % 3], "x"] + ["0"] * 5 for k in range(start, start + 3)]
+        (tmp_path / name).write_text("\n".join(",".join(r) for r in [cols, *rows]) + "\n")
+    out = sorted(csvsrc.scan_csv_typed(spark, str(tmp_path)).collect(), key=lambda r: r.row_id)
+    assert [r.row_id for r in out] == list(range(6)) and [r.description for r in out] == [f"text {k},\nsecond line" for k in range(6)]
+    assert all(r.network == 1 and r.compute == 0 and r.extra == "x" for r in out)
+    assert out[0].ambuiguity is None and math.isnan(out[1].ambuiguity) and out[2].ambuiguity == 0.5
+    with pytest.raises(Exception, match="malformed"):
+        csvsrc.scan_csv_typed(spark, str(tmp_path), strict_annotations=True).collect()
+    (tmp_path / "c.csv").write_text(",".join(reversed(cols)) + "\n" + ",".join(["0"] * 9) + "\n")
+    with pytest.raises(Exception, match="(?i)header|conform"):
+        csvsrc.scan_csv_typed(spark, str(tmp_path)).collect()
+
+
+def test_experiment_names_stay_text(spark):
+    path = shared_path(spark, "test-results", unique=True)
+    r = spark.range(2).select(F.when(F.col("id") == 0, "2024").otherwise("007").alias("experiment"), F.col("id").alias("row_id"), F.lit(True).alias("correctness"))
+    write_results(r, r.withColumns({c: F.lit(0) for c in ("TP", "TN", "FP", "FN")}), path)
+    assert {x.experiment_key for x in ex.artifact_summary(spark, path).collect()} == {"2024", "007"}
+
+
 def test_result_sink_dynamic_overwrite(spark):
     path = shared_path(spark, "test-results", unique=True)
 
