@@ -3,16 +3,15 @@
 Scale design - there are only a few labels, so nothing is windowed over a whole label:
 
 * cells are pre-aggregated to one row per (group, label, distinct score) with positive and
-  negative counts (partial aggregation; a hot score collapses to one row).  This table is
-  landed once in the shared folder, so the cells are scanned exactly once however many
-  steps (bucket totals, offsets, start points, areas, macro curve) read it;
-* cumulative counts in descending score order are two-level prefix sums: per score bucket
-  totals (groups x labels x 4096 rows at most) give each bucket's offset, and a window runs
-  only inside one (group, label, bucket).  Buckets are approximate quantiles of the distinct
-  scores (one action returning at most 4095 numbers), so scores that crowd near 0 or 1 -
-  typical of a model - still spread over many buckets and no window task holds a large share;
-* the area is an exact integer sum, sum(neg * (2 * tps - pos)) / (2 * P * N), so no row
-  needs its predecessor and the result is the same under any summation order;
+  negative counts (partial aggregation; a hot score collapses to one row), dealt by range of
+  (group, label, falling score) to as many partitions as the session shuffles to, and landed:
+  the cells are scanned once, and a partition's number is the bucket of its rows.  A range holds
+  as many distinct scores as any other, however the scores crowd and whichever label they are of;
+* cumulative counts in descending score order are two-level prefix sums: a window runs inside
+  one (group, label, bucket), and the bucket totals (a row each) give the offsets;
+* the area is an exact integer sum, sum(neg * (2 * tps - pos)) / (2 * P * N).  It needs no curve
+  points: with offset o of a bucket, its part is sum(neg * (2 * run - pos)) + 2 * o * sum(neg),
+  so the windowed rows are reduced to one row per bucket at once;
 * the macro curve needs, for every grid value x, the last curve point with fpr <= x and
   the first with fpr > x.  Each point knows the first grid index g with x_g >= fpr, so both
   are a max / min grouped by (group, label, g) - at most 100 rows per label - followed by
@@ -21,7 +20,6 @@ Scale design - there are only a few labels, so nothing is windowed over a whole
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +28,7 @@ from ..session import land
 
 MICRO = "micro"
 MACRO = "macro"
-SCORE_BUCKETS = 4096
+_B = "_bucket"
 
 
 def _k(keys) -> list[str]:
@@ -51,68 +49,64 @@ def score_counts(pred: DataFrame, keys=None, micro: bool = True) -> DataFrame:
     return agg.unionByName(pooled)
 
 
-def score_splits(df: DataFrame, col: str = "p", buckets: int = SCORE_BUCKETS) -> list[float]:
-    """Order-preserving bucket boundaries: approximate quantiles of the scores (rank error
-    at most a quarter bucket or 0.1 %, enough to keep buckets balanced)."""
-    qs = df.approxQuantile(col, [i / buckets for i in range(1, buckets)], max(0.25 / buckets, 1e-3))
-    return [float("-inf")] + sorted({q for q in qs if q == q}) + [float("inf")]
+def ranged_counts(pred: DataFrame | None, keys=None, micro: bool = True, counts: DataFrame | None = None) -> DataFrame:
+    """The score table dealt into buckets of falling scores, landed (a job runs when this is called)."""
+    keys = _k(keys)
+    c = counts if counts is not None else score_counts(pred, keys, micro)
+    if _B in c.columns:
+        return c
+    return land(c.repartitionByRange(*keys, "label", F.desc("p")).withColumn(_B, F.spark_partition_id()), "roc_counts")
 
 
-def _bucketed(counts: DataFrame, splits: list[float]) -> DataFrame:
-    b = Bucketizer(splits=splits, inputCol="p", outputCol="_bd", handleInvalid="keep")
-    return b.transform(counts).withColumn("_b", F.col("_bd").cast("int")).drop("_bd")
+def _offsets(per_bucket: DataFrame, grp: list[str]) -> DataFrame:
+    """Counts before each bucket and in its whole group; one row per bucket in and out."""
+    before = Window.partitionBy(*grp).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*grp)
+    return per_bucket.withColumns({
+        "_po": F.coalesce(F.sum("_bp").over(before), F.lit(0)), "_no": F.coalesce(F.sum("_bn").over(before), F.lit(0)),
+        "n_pos": F.sum("_bp").over(whole), "n_neg": F.sum("_bn").over(whole)})
 
 
-def roc_points(pred: DataFrame | None, keys=None, micro: bool = True, counts: DataFrame | None = None,
-               splits: list[float] | None = None) -> DataFrame:
+def roc_points(pred: DataFrame | None, keys=None, micro: bool = True, counts: DataFrame | None = None) -> DataFrame:
     """Curve points in descending score order, ties merged, starting at (0, 0):
     (keys, label, threshold, tps, fps, fpr, tpr, pos, neg, n_pos, n_neg).  ``threshold`` is NULL at the
-    start point; fpr / tpr are NULL for a label without negatives / positives."""
+    start point; fpr / tpr are NULL for a label without negatives / positives.  Lands the score
+    table when called unless it is given (``ranged_counts``)."""
     keys = _k(keys)
     grp = [*keys, "label"]
-    counts = land(counts if counts is not None else score_counts(pred, keys, micro), "roc_counts")
-    splits = splits or score_splits(counts)
-    c = _bucketed(counts, splits)
-    tot_b = c.groupBy(*grp, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    before = Window.partitionBy(*grp).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*grp)
-    # small (groups x labels x buckets rows) and read twice: landed so the score table is not
-    # aggregated again for each reader
-    offs = land(tot_b.select(*grp, "_b",
-                             F.coalesce(F.sum("_bp").over(before), F.lit(0)).alias("_po"),
-                             F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_no"),
-                             F.sum("_bp").over(whole).alias("n_pos"), F.sum("_bn").over(whole).alias("n_neg")),
-                "roc_offsets")
-    run = Window.partitionBy(*grp, "_b").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    pts = (c.join(offs, [*grp, "_b"])
+    c = ranged_counts(pred, keys, micro, counts)
+    offs = _offsets(c.groupBy(*grp, _B).agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn")), grp)
+    run = Window.partitionBy(*grp, _B).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    pts = (c.join(offs.drop("_bp", "_bn"), [*grp, _B])
            .select(*grp, F.col("p").alias("threshold"),
                    (F.col("_po") + F.sum("pos").over(run)).cast("bigint").alias("tps"),
                    (F.col("_no") + F.sum("neg").over(run)).cast("bigint").alias("fps"),
                    "pos", "neg", "n_pos", "n_neg"))
-    totals = offs.groupBy(*grp).agg(F.first("n_pos").alias("n_pos"), F.first("n_neg").alias("n_neg"))
-    start = totals.select(*grp, F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("bigint").alias("tps"),
-                          F.lit(0).cast("bigint").alias("fps"), F.lit(0).cast("bigint").alias("pos"),
-                          F.lit(0).cast("bigint").alias("neg"), "n_pos", "n_neg")
-    allp = pts.unionByName(start).withColumns({
+    zero = F.lit(0).cast("bigint")
+    start = offs.groupBy(*grp).agg(F.first("n_pos").alias("n_pos"), F.first("n_neg").alias("n_neg")) \
+        .select(*grp, F.lit(None).cast("double").alias("threshold"), zero.alias("tps"), zero.alias("fps"),
+                zero.alias("pos"), zero.alias("neg"), "n_pos", "n_neg")
+    return pts.unionByName(start).withColumns({
         "fpr": F.col("fps").cast("double") / F.when(F.col("n_neg") > 0, F.col("n_neg").cast("double")),
         "tpr": F.col("tps").cast("double") / F.when(F.col("n_pos") > 0, F.col("n_pos").cast("double")),
     })
-    # the points feed the areas and the macro curve: landed once
-    return land(allp, "roc_points")
 
 
-def roc_auc(pred: DataFrame | None, keys=None, micro: bool = True, points: DataFrame | None = None,
-            counts: DataFrame | None = None) -> DataFrame:
+def roc_auc(pred: DataFrame | None, keys=None, micro: bool = True, counts: DataFrame | None = None) -> DataFrame:
     """Trapezoid area per label (and micro) from exact integer sums: (keys, label, auc)."""
     keys = _k(keys)
-    pts = points if points is not None else roc_points(pred, keys, micro, counts)
-    area2 = F.col("neg").cast("decimal(38,0)") * (2 * F.col("tps") - F.col("pos")).cast("decimal(38,0)")
-    s = pts.groupBy(*keys, "label").agg(F.sum(area2).alias("_a2"), F.first("n_pos").alias("_np"),
-                                        F.first("n_neg").alias("_nn"))
-    return s.select(*keys, "label",
-                    (F.col("_a2").cast("double")
-                     / F.when((F.col("_np") > 0) & (F.col("_nn") > 0),
-                              F.lit(2.0) * F.col("_np").cast("double") * F.col("_nn").cast("double"))).alias("auc"))
+    grp = [*keys, "label"]
+    c = ranged_counts(pred, keys, micro, counts)
+    run = Window.partitionBy(*grp, _B).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    big = lambda x: x.cast("decimal(38,0)")
+    part = c.withColumn("_run", F.sum("pos").over(run)).groupBy(*grp, _B).agg(
+        F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"), F.sum(big(F.col("neg")) * big(2 * F.col("_run") - F.col("pos"))).alias("_in"))
+    s = _offsets(part, grp).groupBy(*grp).agg(
+        F.sum(F.col("_in") + big(2 * F.col("_po")) * big(F.col("_bn"))).alias("_a2"),
+        F.first("n_pos").alias("_np"), F.first("n_neg").alias("_nn"))
+    return s.select(*grp, (F.col("_a2").cast("double")
+                           / F.when((F.col("_np") > 0) & (F.col("_nn") > 0),
+                                    F.lit(2.0) * F.col("_np").cast("double") * F.col("_nn").cast("double"))).alias("auc"))
 
 
 def grid_value(k: Column, n: int = ROC_GRID_POINTS) -> Column:
@@ -126,15 +120,15 @@ def _first_grid_at_or_above(fpr: Column, n: int = ROC_GRID_POINTS) -> Column:
             .when(grid_value(c, n) >= fpr, c).otherwise(c + 1)).cast("int")
 
 
-def roc_macro_curve(pred: DataFrame, keys=None, points: DataFrame | None = None,
+def roc_macro_curve(pred: DataFrame | None, keys=None, counts: DataFrame | None = None,
                     n: int = ROC_GRID_POINTS) -> DataFrame:
     """Macro curve: mean over labels of each label's TPR linearly interpolated at
     linspace(0, 1, n) (at equal fpr the last, highest point counts).  (keys, k, fpr, tpr);
     tpr is NULL when a label has no positives or no negatives."""
     keys = _k(keys)
     grp = [*keys, "label"]
-    pts = points if points is not None else roc_points(pred, keys, micro=False)
-    pts = pts.filter(F.col("label") != MICRO)
+    c = ranged_counts(pred, keys, micro=False, counts=counts)
+    pts = roc_points(None, keys, counts=c.filter(F.col("label") != MICRO))
     # NULL for a label without positives or negatives: its groups stay (so the label stays in
     # the mean and makes it NULL) and the grid comes from this small table, not from the points
     pt = F.when(F.col("fpr").isNotNull() & F.col("tpr").isNotNull(), F.struct(F.col("fpr"), F.col("tpr")))
@@ -157,7 +151,7 @@ def roc_macro_curve(pred: DataFrame, keys=None, points: DataFrame | None = None,
         .withColumn("fpr", grid_value(F.col("k"), n)).select(*keys, "k", "fpr", "tpr")
 
 
-def roc_auc_macro(pred: DataFrame, keys=None, curve: DataFrame | None = None) -> DataFrame:
+def roc_auc_macro(pred: DataFrame | None, keys=None, curve: DataFrame | None = None) -> DataFrame:
     """Area of the macro curve (not the mean of label areas): (keys, label='macro', auc)."""
     keys = _k(keys)
     cv = curve if curve is not None else roc_macro_curve(pred, keys)
@@ -171,8 +165,8 @@ def roc_auc_macro(pred: DataFrame, keys=None, curve: DataFrame | None = None) ->
 
 
 def roc_summary(pred: DataFrame, keys=None) -> DataFrame:
-    """Areas per label, micro and macro in one table."""
+    """Areas per label, micro and macro in one table, from one landed score table."""
     keys = _k(keys)
-    pts = roc_points(pred, keys, micro=True)
-    return roc_auc(pred, keys, points=pts).unionByName(
-        roc_auc_macro(pred, keys, curve=roc_macro_curve(pred, keys, points=pts)))
+    c = ranged_counts(pred, keys, micro=True)
+    return roc_auc(None, keys, counts=c).unionByName(
+        roc_auc_macro(None, keys, curve=roc_macro_curve(None, keys, counts=c)))

@@ -3,8 +3,8 @@
 A global order over a big table is never computed with a partition-less window (one
 task).  Ranks are built in two levels instead:
 
-1. each row gets a bucket that preserves the order (a prefix of its md5 order key, or a
-   quantile bucket of a unique numeric key);
+1. each row gets a bucket that preserves the order (a prefix of its md5 order key, or the
+   number of its partition after a range exchange by a unique key);
 2. per (group, bucket) row counts form a small table (at most groups x buckets rows, only
    non-empty buckets) whose running sum is each bucket's offset;
 3. the rows are joined to their bucket offset on (group, bucket) - a uniform key - and
@@ -14,16 +14,16 @@ task).  Ranks are built in two levels instead:
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import LABELS
+from ..session import land
 
 _B = "_bucket"
 
 
-def hash_order_key(seed: int, id_col: str = "row_id") -> Column:
+def hash_order_key(seed: int | str, id_col: str = "row_id") -> Column:
     """Seeded pseudo-random order of rows: md5 of 'seed:id' (hex string order)."""
     return F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.col(id_col).cast("string")))
 
@@ -40,7 +40,7 @@ def _rank_in_buckets(d: DataFrame, by: list[str], order: list[Column], rank_col:
             .drop("_off", _B))
 
 
-def hash_rank(df: DataFrame, seed: int, by: list[str] | None = None, id_col: str = "row_id",
+def hash_rank(df: DataFrame, seed: int | str, by: list[str] | None = None, id_col: str = "row_id",
               hex_digits: int = 4, rank_col: str = "rank") -> DataFrame:
     """1-based rank of each row inside its group in seeded hash order (ties by id).
 
@@ -55,17 +55,14 @@ def hash_rank(df: DataFrame, seed: int, by: list[str] | None = None, id_col: str
 
 
 def ordered_rank(df: DataFrame, order_col: str = "row_id", by: list[str] | None = None,
-                 buckets: int = 1024, rank_col: str = "rank") -> DataFrame:
-    """1-based dense number in ascending order of a unique numeric key (``reset_index``).
+                 rank_col: str = "rank") -> DataFrame:
+    """1-based dense number in ascending order of a unique key, per group.
 
-    Buckets are approximate quantiles of the key (an action returning at most ``buckets``
-    numbers); a Bucketizer assigns them by binary search.
+    The rows are dealt by range of (group, key) to as many partitions as the session shuffles to
+    and landed (a job runs when this is called); a partition's number is the bucket.
     """
     by = list(by or [])
-    qs = sorted(set(df.approxQuantile(order_col, [i / buckets for i in range(1, buckets)], 0.001)))
-    splits = [float("-inf")] + [q for q in qs] + [float("inf")]
-    d = df.withColumn("_k", F.col(order_col).cast("double"))
-    d = Bucketizer(splits=splits, inputCol="_k", outputCol=_B).transform(d).drop("_k")
+    d = land(df.repartitionByRange(*by, order_col).withColumn(_B, F.spark_partition_id()), "ordered")
     return _rank_in_buckets(d, by, [F.col(order_col)], rank_col).drop("_group_n")
 
 
@@ -85,8 +82,17 @@ def split_exact(df: DataFrame, test_size: float = 0.15, seed: int = 42, by: list
             .drop("_group_n"))
 
 
-def batch_assign(df_split: DataFrame, train_batch_size: int = 16, valid_batch_size: int = 16) -> DataFrame:
-    """Consecutive batches of the split order: batch = floor((split_rank - 1) / size)."""
+def batch_assign(df_split: DataFrame, train_batch_size: int = 16, valid_batch_size: int = 16,
+                 epoch: int | None = None, by: list[str] | None = None, id_col: str = "row_id", seed: int = 42) -> DataFrame:
+    """Consecutive batches: batch = floor((split_rank - 1) / size).
+
+    Without ``epoch`` batches follow the split order.  With one, training rows are put in a new
+    seeded order for every epoch (``split_rank`` is that order's rank); validation rows stay.
+    """
+    if epoch is not None:
+        train = df_split.filter(F.col("split") == "train").drop("split_rank")
+        train = hash_rank(train, f"{seed}:{epoch}", by, id_col, rank_col="split_rank").drop("_group_n")
+        df_split = df_split.filter(F.col("split") != "train").unionByName(train.select(df_split.columns))
     size = F.when(F.col("split") == "valid", F.lit(valid_batch_size)).otherwise(F.lit(train_batch_size))
     return df_split.withColumn("batch_id", F.floor((F.col("split_rank") - 1) / size).cast("bigint"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -66,10 +67,34 @@ def shared_path(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     return base.rstrip("/") + sep + sep.join(bits)
 
 
-def land(df, name: str):
+def land(df, name: str, partition_by: str | None = None):
     """Write a table that several jobs will read to the shared folder and read it back:
-    its lineage runs once and is cut (a lost executor re-reads files, it does not recompute)."""
+    its lineage runs once and is cut (a lost executor re-reads files, it does not recompute).
+
+    With ``partition_by`` rows of one value of that column share a folder, and a reader that
+    filters on it opens no other.  The files stay until the caller drops them (``landed``)."""
     spark = df.sparkSession
     path = shared_path(spark, name, unique=True)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    for paths in _SCOPES:
+        paths.append(path)
+    return spark.read.schema(df.schema).parquet(path) if partition_by else spark.read.parquet(path)
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def landed(spark: SparkSession):
+    """Remove what is landed inside the block when it ends: consume results before that."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for p in paths:
+            path = hadoop(p)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -46,6 +46,20 @@ def test_batches(spark):
     assert sorted(set(train)) == [0, 1, 2] and train.count(2) == 2
 
 
+def test_epoch_batches_reshuffle_training_rows(spark):
+    df = sp.split_exact(spark.range(60).withColumnRenamed("id", "row_id").withColumn("experiment", F.lit("e")), 0.2, 42, ["experiment"])
+    one, two = ({r.row_id: (r.split, r.split_rank) for r in sp.batch_assign(df, 16, 4, epoch=e, by=["experiment"]).collect()} for e in (1, 2))
+    assert {k for k, v in one.items() if v[0] == "valid" and two[k] == v} == {k for k, v in one.items() if v[0] == "valid"}
+    train = [k for k, v in one.items() if v[0] == "train"]
+    assert sorted(one[k][1] for k in train) == sorted(two[k][1] for k in train) == list(range(1, 49))
+    assert sum(one[k] != two[k] for k in train) > 24
+
+
+def test_nan_in_the_first_epoch_stops(spark):
+    r = hs.best_epoch(_hist(spark, [float("nan"), .5])).first()
+    assert r.epochs_run == 1 and r.best_epoch is None and r.stopped_early
+
+
 def _hist(spark, losses):
     return spark.createDataFrame([("e", i + 1, 0.0, v) for i, v in enumerate(losses)],
                                  "experiment string, epoch int, train_loss double, valid_loss double")
