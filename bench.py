@@ -26,11 +26,11 @@ from labelbench.sources import fixtures as fx  # noqa: E402
 
 
 def _queries(prep, pb):
-    """prep: landed cleaned sentences; pb: landed predictions (row_id, label, y, p)."""
+    """prep: landed cleaned sentences; pb: landed predictions (row_id, cells of label, y, p)."""
     thr = ExperimentConfig().threshold
     return {
         # seven tagged subsets and their exact seeded split
-        "subset_split": lambda s, d: ex.sp.split_exact(ex.sb.prepare_baseline(ex.sb.subset_suite(prep())), 0.15, 42,
+        "subset_split": lambda s, d: ex.sp.split_exact(ex.sb.prepare_baseline(ex.sb.subset_suite(prep().drop("description"))), 0.15, 42,
                                                        by=["experiment"]),
         # evaluation over F4
         "classification_report": lambda s, d: metrics.classification_report(pb(), thr),
@@ -38,11 +38,11 @@ def _queries(prep, pb):
         "hamming_loss": lambda s, d: metrics.hamming_loss(pb(), thr),
         "binary_report": lambda s, d: metrics.binary_report(pb(), thr),
         "label_lists": lambda s, d: metrics.label_lists(pb(), thr),
-        "roc_auc_all": lambda s, d: roc.roc_summary(pb()),
-        "roc_macro_curve": lambda s, d: roc.roc_macro_curve(pb()),
+        "roc_auc_all": lambda s, d: roc.roc_summary(metrics.to_long(pb())),
+        "roc_macro_curve": lambda s, d: roc.roc_macro_curve(metrics.to_long(pb())),
         # losses
         "best_epoch": lambda s, d: history.best_epoch(fx.history(s, d)),
-        "bce_batch_mean": lambda s, d: history.bce_batch_mean(pb().withColumn("x", (fx.F.col("p") - 0.2) * 10)),
+        "bce_batch_mean": lambda s, d: history.bce_batch_mean(metrics.to_long(pb()).withColumn("x", (fx.F.col("p") - 0.2) * 10)),
         # encoding job over whole texts
         "vocab_encode": lambda s, d: encode.encode_tokens(prep(), encode.build_vocab(prep())),
         # evaluation half of the experiment suite (hash scorer), summary per experiment
@@ -64,7 +64,7 @@ def main() -> None:
     R.prepared(spark, sf_dir).write.mode("overwrite").parquet(prep_path)
     times["prepare_dedupe"] = round(time.time() - t0, 3)
     t0 = time.time()
-    fx.pred_big(spark, sf_dir).write.mode("overwrite").parquet(pb_path)
+    fx.pred_big_wide(spark, sf_dir).write.mode("overwrite").parquet(pb_path)
     times["pred_big_write"] = round(time.time() - t0, 3)
     qs = _queries(lambda: spark.read.parquet(prep_path), lambda: spark.read.parquet(pb_path))
     for name, fn in qs.items():

@@ -1,10 +1,15 @@
 """Multi-label evaluation as distributed aggregations over the long prediction table.
 
-Input: ``(keys..., row_id, label, y, p)`` - one cell per row and label, ``keys`` optional
-grouping columns such as ``experiment``.  Per-label metrics aggregate by (keys, label): few
-groups, so Spark's partial (map-side) aggregation keeps every shuffle to a handful of rows
-per task even when one label or experiment holds most cells.  Per-row metrics aggregate by
-(keys, row_id) first - bounded groups of one row's labels - and are averaged after.
+Input, either long or wide, ``keys`` being optional grouping columns such as ``experiment``:
+
+* long: ``(keys..., row_id, label, y, p)``, one cell per row and label;
+* wide: ``(keys..., row_id, cells)``, all cells of a row as an array of (label, y, p) - what a
+  model gives.  Row-level metrics are then expressions over the row: nothing is shuffled by
+  ``row_id``.  A long table is brought into this form by one grouping where a row counts.
+
+Per-label metrics aggregate by (keys, label): few groups, so Spark's partial (map-side)
+aggregation keeps every shuffle to a handful of rows per task even when one label or
+experiment holds most cells.
 
 Two comparators exist on purpose: metric arrays use ``p >= threshold``; the per-sentence
 results use ``p > threshold``.  Ratios with a zero denominator are 0 (``zero_division=0``).
@@ -24,6 +29,20 @@ def _k(keys) -> list[str]:
     return list(keys or [])
 
 
+def to_long(pred: DataFrame) -> DataFrame:
+    """One row per cell."""
+    if "cells" not in pred.columns:
+        return pred
+    return pred.select(*[c for c in pred.columns if c != "cells"], F.inline("cells"))
+
+
+def to_wide(pred: DataFrame, keys=None) -> DataFrame:
+    """One row per (keys, row_id) with its array of cells (a row's few labels)."""
+    if "cells" in pred.columns:
+        return pred
+    return pred.groupBy(*_k(keys), "row_id").agg(F.collect_list(F.struct("label", "y", "p")).alias("cells"))
+
+
 def binarize(pred: DataFrame, threshold: float = THRESHOLD, strict: bool = False, out: str = "yhat") -> DataFrame:
     """Predicted 0/1 per cell: ``p >= t`` (metrics) or ``p > t`` (sentence results)."""
     cond = F.col("p") > threshold if strict else F.col("p") >= threshold
@@ -31,7 +50,16 @@ def binarize(pred: DataFrame, threshold: float = THRESHOLD, strict: bool = False
 
 
 def _cells(pred: DataFrame, threshold: float, strict: bool = False) -> DataFrame:
-    return binarize(pred, threshold, strict)
+    return binarize(to_long(pred), threshold, strict)
+
+
+def _row_counts(pred: DataFrame, threshold: float, keys: list[str], strict: bool = False) -> DataFrame:
+    """Wide rows with their label counts n_true, n_pred, n_both, n_wrong, n_cells."""
+    said = lambda c: c["p"] > threshold if strict else c["p"] >= threshold
+    n = lambda test: F.size(F.filter("cells", test)).cast("bigint")
+    return to_wide(pred, keys).withColumns({
+        "n_true": n(lambda c: c["y"] > 0), "n_pred": n(said), "n_both": n(lambda c: (c["y"] > 0) & said(c)),
+        "n_wrong": n(lambda c: (c["y"] > 0) != said(c)), "n_cells": F.size("cells").cast("bigint")})
 
 
 def per_label_confusion(pred: DataFrame, threshold: float = THRESHOLD, keys=None) -> DataFrame:
@@ -54,14 +82,7 @@ def per_label_accuracy(pred: DataFrame, threshold: float = THRESHOLD, keys=None)
 
 def row_summary(pred: DataFrame, threshold: float = THRESHOLD, keys=None, strict: bool = False) -> DataFrame:
     """Per row: true / predicted / shared label counts and wrong cells."""
-    c = _cells(pred, threshold, strict)
-    y, yh = F.col("y") > 0, F.col("yhat") > 0
-    return c.groupBy(*_k(keys), "row_id").agg(
-        F.count(F.when(y, 1)).alias("n_true"),
-        F.count(F.when(yh, 1)).alias("n_pred"),
-        F.count(F.when(y & yh, 1)).alias("n_both"),
-        F.count(F.when(y != yh, 1)).alias("n_wrong"),
-        F.count(F.lit(1)).alias("n_cells"))
+    return _row_counts(pred, threshold, _k(keys), strict).drop("cells")
 
 
 def exact_match(pred: DataFrame, threshold: float = THRESHOLD, keys=None, strict: bool = False) -> DataFrame:
@@ -75,7 +96,7 @@ def exact_match(pred: DataFrame, threshold: float = THRESHOLD, keys=None, strict
 
 def hamming_loss(pred: DataFrame, threshold: float = THRESHOLD, keys=None) -> DataFrame:
     """Wrong cells / all cells."""
-    c = _cells(pred, threshold)
+    c = _cells(pred, threshold)  # cells of one row need not meet: a long table is not regrouped
     return c.groupBy(*_k(keys)).agg(
         F.count(F.when((F.col("y") > 0) != (F.col("yhat") > 0), 1)).cast("bigint").alias("wrong_cells"),
         F.count(F.lit(1)).cast("bigint").alias("cells")) \
@@ -105,30 +126,39 @@ def _label_position(labels: list[str]) -> Column:
 
 
 def _label_and_row_counts(pred: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
-    """tp / fp / fn per (keys, label) and per (keys, row_id) from ONE aggregation (grouping
-    sets): the prediction table is scanned and shuffled once for both.  ``_per_label``
-    tells the two kinds of rows apart."""
-    c = _cells(pred, threshold)
-    y, yh = F.col("y") > 0, F.col("yhat") > 0
-    agg = c.groupingSets([[*keys, "label"], [*keys, "row_id"]], *keys, "label", "row_id").agg(
-        F.count(F.when(y & yh, 1)).cast("bigint").alias("tp"),
-        F.count(F.when(~y & yh, 1)).cast("bigint").alias("fp"),
-        F.count(F.when(y & ~yh, 1)).cast("bigint").alias("fn"),
-        F.count(F.lit(1)).cast("bigint").alias("cells"),
-        F.grouping("row_id").alias("_per_label"))
-    return agg
+    """tp / fp / fn / cells, one row per (keys, label) with ``_n`` = 1 and one per
+    (keys, n_true, n_pred, n_both, n_wrong) with the number of such rows in ``_n``.
+
+    One scan and one aggregation: every wide row is turned into its cells' counts and its own
+    counts; there are at most (labels + 1)^4 kinds of the latter, so both collapse map-side.
+    """
+    r = _row_counts(pred, threshold, keys)
+    hit = lambda c: c["p"] >= threshold
+    one = lambda test: test.cast("bigint")
+    cell = F.transform("cells", lambda c: F.struct(
+        c["label"].alias("label"), one((c["y"] > 0) & hit(c)).alias("tp"), one(~(c["y"] > 0) & hit(c)).alias("fp"),
+        one((c["y"] > 0) & ~hit(c)).alias("fn"), F.lit(1).cast("bigint").alias("cells")))
+    row = F.struct(F.lit(None).cast("string").alias("label"), F.col("n_both").alias("tp"), (F.col("n_pred") - F.col("n_both")).alias("fp"),
+                   (F.col("n_true") - F.col("n_both")).alias("fn"), F.col("n_cells").alias("cells"))
+    flat = r.select(*keys, F.inline(F.concat(cell, F.array(row))))
+    kind = [F.when(F.col("label").isNull(), F.col(c)).alias(f"_{c}") for c in ("tp", "fp", "fn", "cells")]
+    agg = flat.groupBy(*keys, "label", *kind).agg(
+        *[F.sum(c).cast("bigint").alias(c) for c in ("tp", "fp", "fn", "cells")], F.count(F.lit(1)).alias("_m"))
+    per_label = F.col("label").isNotNull()
+    return agg.select(*keys, "label", *[F.when(per_label, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in ("tp", "fp", "fn", "cells")],
+                      F.when(per_label, F.lit(1)).otherwise(F.col("_m")).alias("_n"), per_label.cast("int").alias("_per_label"))
 
 
 def label_level_summary(pred: DataFrame, threshold: float = THRESHOLD, keys=None) -> DataFrame:
-    """Exact match, hamming loss and macro Jaccard per group from one scan (grouping sets):
+    """Exact match, hamming loss and macro Jaccard per group from one scan:
     (keys, exact_match_accuracy, hamming_loss, jaccard_score)."""
     keys = _k(keys)
     c = _label_scores(_label_and_row_counts(pred, threshold, keys))
     lab = F.col("_per_label") == 1
     wrong = F.col("fp") + F.col("fn")
     g = c.groupBy(*keys).agg(
-        F.count(F.when(~lab & (wrong == 0), 1)).alias("_exact"), F.count(F.when(~lab, 1)).alias("_rows"),
-        F.sum(F.when(~lab, wrong)).alias("_wrong"), F.sum(F.when(~lab, F.col("cells"))).alias("_cells"),
+        F.sum(F.when(~lab & (wrong == 0), F.col("_n"))).alias("_exact"), F.sum(F.when(~lab, F.col("_n"))).alias("_rows"),
+        F.sum(F.when(~lab, wrong * F.col("_n"))).alias("_wrong"), F.sum(F.when(~lab, F.col("cells") * F.col("_n"))).alias("_cells"),
         F.avg(F.when(lab, F.col("jaccard"))).alias("jaccard_score"))
     return g.select(*keys, safe_div("_exact", "_rows").alias("exact_match_accuracy"),
                     safe_div("_wrong", "_cells").alias("hamming_loss"), "jaccard_score")
@@ -140,7 +170,7 @@ def classification_report(pred: DataFrame, threshold: float = THRESHOLD, keys=No
     averages.  ``row_name`` is the display label or the average's name; ``position`` orders
     the report (labels first).
 
-    One scan: the grouping-sets counts (per label and per row) feed a single aggregation by
+    One scan: the counts per label and per kind of row feed a single aggregation by
     ``keys`` that keeps the per-label rows (a list bounded by the label count) and every
     average; the samples average uses the same ratios on per-row counts."""
     labels = labels or LABELS
@@ -161,7 +191,7 @@ def classification_report(pred: DataFrame, threshold: float = THRESHOLD, keys=No
         *[F.sum(F.when(lab, x)).alias(f"t_{i}") for i, x in enumerate((tp, fp, fn, sup))],
         *[F.avg(F.when(lab, x)).alias(f"m_{i}") for i, x in enumerate((pr, rc, f1))],
         *[F.sum(F.when(lab, x * sup)).alias(f"w_{i}") for i, x in enumerate((pr, rc, f1))],
-        *[F.avg(F.when(~lab, x)).alias(f"s_{i}") for i, x in enumerate((pr, rc, f1))])
+        *[(F.sum(F.when(~lab, x * F.col("_n"))) / F.sum(F.when(~lab, F.col("_n")))).alias(f"s_{i}") for i, x in enumerate((pr, rc, f1))])
     ttp, tfp, tfn, tsup = (F.col(f"t_{i}") for i in range(4))
     avgs = F.array(
         row(F.lit(n), F.lit("micro avg"), safe_div(ttp, ttp + tfp), safe_div(ttp, ttp + tfn),
@@ -240,12 +270,12 @@ def binary_report(pred: DataFrame, threshold: float = THRESHOLD, keys=None) -> D
 # ---------------------------------------------------------------- per-sentence results
 def label_lists(pred: DataFrame, threshold: float = THRESHOLD, keys=None, labels: list[str] | None = None) -> DataFrame:
     """Per row, in label order: true labels (y == 1), predicted labels (p > t, strict) and
-    the scores.  A row's group holds its few label cells only."""
+    the scores."""
     labels = labels or LABELS
     keys = _k(keys)
-    cells = pred.select(*keys, "row_id", F.struct(_label_position(labels).alias("pos"), F.col("label"),
-                                                  F.col("y"), F.col("p")).alias("c"))
-    g = cells.groupBy(*keys, "row_id").agg(F.sort_array(F.collect_list("c")).alias("cs"))
+    order = F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(lab), F.lit(i))])
+    g = to_wide(pred, keys).withColumn("cs", F.sort_array(F.transform("cells", lambda c: F.struct(
+        F.try_element_at(order, c["label"]).alias("pos"), c["label"].alias("label"), c["y"].alias("y"), c["p"].alias("p")))))
     return g.select(
         *keys, "row_id",
         F.transform(F.filter("cs", lambda c: c["y"] == 1), lambda c: c["label"]).alias("true_labels"),

@@ -4,110 +4,163 @@ One ``LogisticRegression`` per (experiment, label) on hashed token counts: the s
 objective per label as a sigmoid output trained with binary cross-entropy, ``regParam``
 playing the weight decay.
 
-Memory: features are computed once per sentence (not once per experiment it belongs to)
-and kept on disk; each experiment's training rows are joined to them once (shuffle join,
-kept on disk) and every label fit caches its own blockified instances.  Only the fits loop on the driver - each fit is a
-distributed job - a few experiments at a time.  Scoring yields the long prediction table
-``(experiment, row_id, label, y, p)`` that every metric consumes, scored once and reused
-for both comparators.
+An epoch is one iteration of the optimiser.  Spark ML cannot go on from a fitted model, but the
+optimiser takes the same path each time, so epoch e is a fit of e iterations.  After every epoch
+the validation loss of the experiment is measured; the first epoch whose loss is worse than the
+best so far (or NaN) ends its training, and the models of the best epoch are kept.
+
+The rows come joined to their features once, partitioned by experiment: a fit reads its
+experiment's folder only.  Only the fits loop on the driver - each is a distributed job - a few
+experiments at a time.  Scoring yields the wide prediction table ``(experiment, row_id, cells)``.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import ExperimentConfig
-from ..constants import LABELS
+from ..constants import LABELS, SAFE_NAME_FALLBACK, SAFE_NAME_OTHER_RUN, SAFE_NAME_STRIP_CHARS
+from ..functions.math import bce_with_logits
 from ..functions.text import tokens
 
+Models = dict[tuple[str, str], LogisticRegressionModel]
 
-def featurize(df: DataFrame, cfg: ExperimentConfig = ExperimentConfig(), text_col: str = "description",
-              id_col: str = "row_id") -> DataFrame:
-    """(row_id, features): hashed token counts, one row per sentence."""
-    tf = HashingTF(inputCol="_tokens", outputCol="features", numFeatures=cfg.num_features)
-    return tf.transform(df.select(id_col, tokens(text_col).alias("_tokens"))).select(id_col, "features")
 
+def safe_name(name: str) -> str:
+    """``functions.text.sanitize_name`` for a name the driver holds."""
+    return re.sub(SAFE_NAME_OTHER_RUN, "_", name.strip()).strip(SAFE_NAME_STRIP_CHARS) or SAFE_NAME_FALLBACK
 
-def train_multilabel(split_df: DataFrame, features: DataFrame, cfg: ExperimentConfig = ExperimentConfig(),
-                     labels: list[str] | None = None, key: str = "experiment"
-                     ) -> tuple[dict[tuple[str, str], LogisticRegressionModel], DataFrame]:
-    """Fit one model per (experiment, label) on the rows with ``split = 'train'``.
 
-    Returns the models and their training-loss history ``(experiment, label, iteration,
-    train_loss)``.  An experiment without training rows (or a label with one class only)
-    raises, like the studied trainer would.
+def _model_tokens(text_col: str, max_len: int) -> Column:
+    return F.slice(tokens(text_col), 1, max_len - 2)
+
+
+def feature_width(df: DataFrame, cfg: ExperimentConfig = ExperimentConfig(), text_col: str = "description") -> int:
+    """A power of two of at least twice the distinct tokens (estimated), ``max_features`` at most.  Runs a job."""
+    n = df.select(F.explode(_model_tokens(text_col, cfg.max_len)).alias("t")).agg(F.approx_count_distinct("t")).first()[0]
+    return min(1 << math.ceil(math.log2(max(2 * n, 16))), cfg.max_features)
+
+
+def featurize(df: DataFrame, width: int, cfg: ExperimentConfig = ExperimentConfig(), text_col: str = "description",
+              id_cols: tuple[str, ...] = ("row_id",)) -> DataFrame:
+    """(ids, features): hashed counts of the first ``max_len - 2`` tokens, one row per sentence."""
+    tf = HashingTF(inputCol="_tokens", outputCol="features", numFeatures=width)
+    return tf.transform(df.select(*id_cols, F.coalesce(_model_tokens(text_col, cfg.max_len), F.array().cast("array<string>")).alias("_tokens"))) \
+        .select(*id_cols, "features")
+
+
+def _with_margins(models: Models, exp: str, df: DataFrame, labels: list[str]) -> DataFrame:
+    """Rows with one margin ``_x{i}`` and one probability ``_p{i}`` per label."""
+    for i, lab in enumerate(labels):
+        m = models[(exp, lab)].copy({})
+        m.setProbabilityCol(f"_prob{i}").setRawPredictionCol(f"_raw{i}").setPredictionCol(f"_pred{i}")
+        df = m.transform(df).withColumns({f"_x{i}": vector_to_array(f"_raw{i}")[1], f"_p{i}": vector_to_array(f"_prob{i}")[1]}) \
+            .drop(f"_prob{i}", f"_raw{i}", f"_pred{i}")
+    return df
+
+
+def _valid_loss(models: Models, exp: str, valid: DataFrame, labels: list[str]) -> float:
+    """Mean binary cross-entropy over all validation cells (NaN without any)."""
+    d = _with_margins(models, exp, valid, labels)
+    loss = sum((bce_with_logits(f"_x{i}", lab) for i, lab in enumerate(labels[1:], 1)), bce_with_logits("_x0", labels[0]))
+    got = d.agg(F.avg(loss / len(labels))).first()[0]
+    return float("nan") if got is None else float(got)
+
+
+def train_multilabel(joined: DataFrame, experiments: list[str], cfg: ExperimentConfig = ExperimentConfig(),
+                     labels: list[str] | None = None, key: str = "experiment") -> tuple[Models, DataFrame]:
+    """Fit one model per (experiment, label) on the rows with ``split = 'train'``, epoch by epoch.
+
+    Returns the models of each experiment's best epoch and the history ``(experiment, epoch,
+    train_loss, valid_loss)``; ``train_loss`` is the mean of the labels' objectives.  An experiment
+    without training rows raises.  A label with only one class in the training rows gets a model
+    that gives that class probability 1, with loss 0.  An experiment whose first validation loss
+    is NaN (no validation rows) ends there and keeps that epoch's models.  Runs the fits.
     """
     labels = labels or LABELS
-    train = split_df.filter(F.col("split") == "train").select(key, "row_id", *labels)
-    exps = [r[0] for r in train.select(key).distinct().collect()]  # the few experiment names
-
-    def fit_experiment(exp: str):
-        # one shuffle join per experiment (features grow with the data: never broadcast),
-        # kept on disk; each fit reads a projection of it and caches its own blockified
-        # instances for the optimiser's passes
-        d = train.filter(F.col(key) == exp).join(features.hint("merge"), "row_id").persist(StorageLevel.DISK_ONLY)
-        try:
-            out = []
+
+    def fit_experiment(exp: str) -> tuple[Models, list]:
+        rows = joined.filter(F.col(key) == exp)
+        train, valid = (rows.filter(F.col("split") == s).select("features", *labels) for s in ("train", "valid"))
+        best, kept, history = math.inf, {}, []
+        for epoch in range(1, cfg.epochs + 1):
+            models, objective = {}, 0.0
             for lab in labels:
-                lr = LogisticRegression(featuresCol="features", labelCol=lab, maxIter=cfg.max_iter,
+                lr = LogisticRegression(featuresCol="features", labelCol=lab, maxIter=epoch,
                                         regParam=cfg.weight_decay, family="binomial", standardization=False)
-                out.append(((exp, lab), lr.fit(d.select("features", lab))))
-            return out
-        finally:
-            d.unpersist()
+                models[(exp, lab)] = m = lr.fit(train.select("features", lab))
+                objective += float(m.summary.objectiveHistory[-1]) / len(labels)
+            loss = _valid_loss(models, exp, valid, labels)
+            history.append((exp, epoch, objective, loss))
+            kept = kept or models
+            if not loss <= best:  # worse, or NaN
+                break
+            best, kept = loss, models
+        return kept, history
 
     with ThreadPoolExecutor(max_workers=max(1, cfg.fit_parallelism)) as pool:
-        models = dict(m for part in pool.map(fit_experiment, exps) for m in part)
-    spark = split_df.sparkSession
-    hist = [(e, lab, i + 1, float(v)) for (e, lab), m in models.items()
-            for i, v in enumerate(m.summary.objectiveHistory)]
-    schema = T.StructType([T.StructField(key, T.StringType()), T.StructField("label", T.StringType()),
-                           T.StructField("iteration", T.IntegerType()), T.StructField("train_loss", T.DoubleType())])
-    return models, spark.createDataFrame(hist, schema)
-
-
-def score_multilabel(models: dict[tuple[str, str], LogisticRegressionModel], split_df: DataFrame,
-                     features: DataFrame, key: str = "experiment", split: str | None = "valid") -> DataFrame:
-    """Long predictions of every model on its experiment's rows (validation part by default).
-
-    Each experiment's rows are joined to their features once and passed through its label
-    models in turn; the label probabilities then unpivot to one row per (row, label)."""
-    rows = split_df if split is None else split_df.filter(F.col("split") == split)
-    by_exp: dict[str, list[str]] = {}
-    for exp, lab in models:
-        by_exp.setdefault(exp, []).append(lab)
-    parts = []
-    for exp, labs in by_exp.items():
-        d = rows.filter(F.col(key) == exp).select(key, "row_id", *labs).join(features.hint("merge"), "row_id")
-        for i, lab in enumerate(labs):
-            m = models[(exp, lab)].copy({})
-            m.setProbabilityCol(f"_prob{i}").setRawPredictionCol(f"_raw{i}").setPredictionCol(f"_pred{i}")
-            d = m.transform(d).withColumn(f"_p{i}", vector_to_array(f"_prob{i}")[1]) \
-                .drop(f"_prob{i}", f"_raw{i}", f"_pred{i}")
-        cells = F.array(*[F.struct(F.lit(lab).alias("label"), F.col(lab).cast("int").alias("y"),
-                                   F.col(f"_p{i}").alias("p")) for i, lab in enumerate(labs)])
-        parts.append(d.select(key, "row_id", F.inline(cells)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        parts = list(pool.map(fit_experiment, experiments))
+    schema = T.StructType([T.StructField(key, T.StringType()), T.StructField("epoch", T.IntegerType()),
+                           T.StructField("train_loss", T.DoubleType()), T.StructField("valid_loss", T.DoubleType())])
+    history = joined.sparkSession.createDataFrame([h for _, hs in parts for h in hs], schema)  # experiments x epochs rows
+    return {k: m for models, _ in parts for k, m in models.items()}, history
+
+
+def score_rows(models: Models, rows: DataFrame, exp: str, keep: tuple[str, ...] = ("row_id",)) -> DataFrame:
+    """(keep, cells): every row with ``features`` scored by one experiment's models.
+
+    ``y`` of a cell is the row's label where the table has that column, else NULL.
+    """
+    labels = [lab for e, lab in models if e == exp]
+    d = _with_margins(models, exp, rows, labels)
+    truth = [F.col(lab).cast("int") if lab in rows.columns else F.lit(None).cast("int") for lab in labels]
+    cells = F.array(*[F.struct(F.lit(lab).alias("label"), y.alias("y"), F.col(f"_p{i}").alias("p"))
+                      for i, (lab, y) in enumerate(zip(labels, truth, strict=True))])
+    return d.select(*keep, cells.alias("cells"))
+
+
+def score_multilabel(models: Models, joined: DataFrame, key: str = "experiment", split: str | None = "valid") -> DataFrame:
+    """Wide predictions of every experiment's models on its rows (validation part by default)."""
+    rows = joined if split is None else joined.filter(F.col("split") == split)
+    out = None
+    for exp in dict.fromkeys(e for e, _ in models):
+        part = score_rows(models, rows.filter(F.col(key) == exp), exp, (key, "row_id"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-def save_models(models: dict[tuple[str, str], LogisticRegressionModel], path: str) -> None:
-    """Write every model under ``path/<experiment>/<label>`` (the best-model checkpoint)."""
+def score_text(models: Models, texts: DataFrame, exp: str, cfg: ExperimentConfig = ExperimentConfig(),
+               text_col: str = "description", id_col: str = "row_id") -> DataFrame:
+    """Label new, unlabelled text: (id, predicted_labels, probabilities).
+
+    ``predicted_labels`` are the labels of a probability above the threshold, ``probabilities`` a
+    map of all of them.  A NULL text scores like an empty one.
+    """
+    width = next(m.numFeatures for (e, _), m in models.items() if e == exp)
+    scored = score_rows(models, featurize(texts, width, cfg, text_col, (id_col,)), exp, (id_col,))
+    return scored.select(
+        id_col, F.transform(F.filter("cells", lambda c: c["p"] > cfg.threshold), lambda c: c["label"]).alias("predicted_labels"),
+        F.map_from_entries(F.transform("cells", lambda c: F.struct(c["label"], c["p"]))).alias("probabilities"))
+
+
+def save_models(models: Models, path: str) -> dict[str, str]:
+    """Write every model under ``path/<safe experiment name>/<label>``; the folder of each experiment."""
+    folders = {}
     for (exp, lab), m in models.items():
-        m.write().overwrite().save(f"{path.rstrip('/')}/{exp}/{lab}")
+        folders[exp] = f"{path.rstrip('/')}/{safe_name(exp)}"
+        m.write().overwrite().save(f"{folders[exp]}/{lab}")
+    return folders
 
 
-def load_models(path: str, experiments: list[str], labels: list[str] | None = None
-                ) -> dict[tuple[str, str], LogisticRegressionModel]:
+def load_models(path: str, experiments: list[str], labels: list[str] | None = None) -> Models:
     labels = labels or LABELS
-    return {(e, lab): LogisticRegressionModel.load(f"{path.rstrip('/')}/{e}/{lab}") for e in experiments for lab in labels}
+    return {(e, lab): LogisticRegressionModel.load(f"{path.rstrip('/')}/{safe_name(e)}/{lab}") for e in experiments for lab in labels}

@@ -1,18 +1,22 @@
 """Experiments: subset -> split -> distribution -> train -> score -> evaluate -> export.
 
-A suite of experiments is run as one set of Spark jobs keyed by ``experiment`` (one
-tagging pass, one split job, one metric pass grouped by experiment); only the model fits
-loop.  ``run_experiment`` is the one-experiment case of the same plan.  A ``scorer`` can
-replace the Spark ML model (any function from the split table to long predictions), which
-is how the evaluation half is checked against SQL.
+A suite of experiments is run as one set of Spark jobs keyed by ``experiment``: one tagging
+pass over (row id, labels), one split, one join of the split with the features for all
+experiments, one metric pass grouped by experiment; only the model fits loop.  Texts are not
+carried through the split: the validation rows alone are joined to them for the results.  A
+``scorer`` can replace the Spark ML model (any function from the split table to predictions),
+which is how the evaluation half is checked against SQL.
+
+Every run function runs its jobs when called: split, predictions and results are landed or
+written once and everything else is read from them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property, reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,7 @@ from ..constants import LABELS
 from ..functions.casts import safe_div
 from ..functions.text import experiment_display_name, sanitize_name
 from ..operators import metrics as mt
+from ..operators import roc
 from ..operators import split as sp
 from ..operators import subsets as sb
 from ..operators import train as tr
@@ -39,14 +44,21 @@ class SuiteResult:
     results: DataFrame
     confusion: DataFrame
     summary: DataFrame
+    threshold: float
     models: dict = field(default_factory=dict)
     train_history: DataFrame | None = None
     results_path: str | None = None
 
+    @cached_property
+    def evaluation(self) -> dict[str, DataFrame]:
+        """The metric bundle with ROC (made, and its score table landed, when first asked for)."""
+        return evaluate(self.pred, self.threshold)
+
 
 def evaluate(pred: DataFrame, threshold: float, keys=(KEY,)) -> dict[str, DataFrame]:
-    """The whole metric bundle of one prediction table, lazily."""
+    """The whole metric bundle of one prediction table.  Lazy but for the ROC score table, which is landed."""
     keys = list(keys)
+    scores = roc.ranged_counts(mt.to_long(pred), keys)
     return {
         "threshold": threshold,
         "summary": mt.label_level_summary(pred, threshold, keys),
@@ -58,6 +70,9 @@ def evaluate(pred: DataFrame, threshold: float, keys=(KEY,)) -> dict[str, DataFr
         "classification_report": mt.classification_report(pred, threshold, keys),
         "binary_confusion": mt.binary_confusion(pred, threshold, keys),
         "binary_report": mt.binary_report(pred, threshold, keys),
+        "roc_points": roc.roc_points(None, keys, counts=scores),
+        "roc_auc": roc.roc_auc(None, keys, counts=scores),
+        "roc_macro_curve": roc.roc_macro_curve(None, keys, counts=scores),
     }
 
 
@@ -66,55 +81,72 @@ def split_sizes(split_df: DataFrame) -> DataFrame:
                                      F.count(F.when(F.col("split") == "valid", 1)).cast("bigint").alias("val_size"))
 
 
-def experiment_summary(split_df: DataFrame, pred: DataFrame, confusion: DataFrame, threshold: float,
-                       results_path: str | None = None) -> DataFrame:
-    """One row per experiment: sizes, exact match, hamming, jaccard (label level) and
-    any-label precision / recall.  Every input is reduced to one row per experiment
-    before the joins."""
-    # exact match, hamming loss and jaccard from one scan of the predictions
+def experiment_summary(split_df: DataFrame, pred: DataFrame, threshold: float, results_path: str | None = None,
+                       model_folders: dict[str, str] | None = None) -> DataFrame:
+    """One row per experiment: sizes, exact match, hamming, jaccard (label level), any-label
+    precision / recall, and where its models and results were written (NULL where they were
+    not).  Every input is reduced to one row per experiment before the joins."""
     lv = mt.label_level_summary(pred, threshold, [KEY])
-    pr = mt.precision_recall(confusion, [KEY]).select(KEY, "precision", "recall")
-    out = split_sizes(split_df).join(lv, KEY, "left").join(pr, KEY, "left")
-    if results_path:
-        safe = sanitize_name(F.col(KEY))
-        out = out.withColumn("best_model_path", F.concat(F.lit(results_path + "/models/"), F.col(KEY))) \
-                 .withColumn("validation_results_path", F.concat(F.lit(results_path + "/results/experiment="), safe))
-    return out
+    rows = mt.row_summary(pred, threshold, [KEY], strict=True)
+    t, p = F.col("n_true") > 0, F.col("n_pred") > 0
+    flags = rows.select(KEY, *[c.cast("int").alias(n) for n, c in {"TP": t & p, "TN": ~t & ~p, "FP": ~t & p, "FN": t & ~p}.items()])
+    pr = mt.precision_recall(flags, [KEY]).select(KEY, "precision", "recall")
+    folders = [F.when(F.col(KEY) == e, F.lit(f)) for e, f in (model_folders or {}).items()]
+    results = F.concat(F.lit(f"{results_path}/results/experiment="), sanitize_name(F.col(KEY))) if results_path else F.lit(None).cast("string")
+    return split_sizes(split_df).join(lv, KEY, "left").join(pr, KEY, "left").withColumns({
+        "best_model_path": F.coalesce(*folders, F.lit(None).cast("string")) if folders else F.lit(None).cast("string"),
+        "validation_results_path": results})
+
+
+def _run(tagged: DataFrame, texts: DataFrame, names: list[str], on: list[str], cfg: ExperimentConfig, out_dir: str | None,
+         export: bool, scorer: Scorer | None, labels: list[str]) -> SuiteResult:
+    """``tagged`` has (experiment, row_id, labels), ``texts`` the text of every row by the columns ``on``."""
+    spark = tagged.sparkSession
+    split_df = land(sp.split_exact(tagged.select(KEY, "row_id", *labels), cfg.test_size, cfg.seed, by=[KEY]), "split")
+    dist = sp.class_distribution(split_df, labels, by=[KEY])
+    path = (out_dir or shared_path(spark, "artifacts", unique=True)).rstrip("/")
+    models, hist, folders = {}, None, {}
+    if scorer is None:
+        feats = tr.featurize(texts, tr.feature_width(texts, cfg), cfg, id_cols=tuple(on))
+        joined = land(split_df.join(feats, on), "joined", partition_by=KEY)  # the one join of rows and features
+        models, hist = tr.train_multilabel(joined, names, cfg, labels, KEY)
+        folders = tr.save_models(models, f"{path}/models")
+        pred = land(tr.score_multilabel(models, joined, KEY), "predictions")
+    else:
+        pred = land(scorer(split_df), "predictions")
+    valid = split_df.filter(F.col("split") == "valid").select(KEY, "row_id").join(texts, on).select(KEY, "row_id", "description")
+    results = mt.sentence_results(pred, valid, cfg.threshold, [KEY], labels)
+    if export:
+        named = results.withColumn(KEY, sanitize_name(F.col(KEY)))
+        named = land(named, "results")
+        write_results(named, mt.sentence_confusion(named, [KEY]), path)
+        results = named
+    else:
+        results = land(results, "results")
+    confusion = mt.sentence_confusion(results, [KEY])
+    summary = experiment_summary(split_df, pred, cfg.threshold, path if export else None, folders)
+    return SuiteResult(split_df, dist, pred, results, confusion, summary, cfg.threshold, models, hist, path if export or models else None)
 
 
 def run_suite(df: DataFrame, cfg: ExperimentConfig = ExperimentConfig(), conditions: dict[str, Column] | None = None,
               out_dir: str | None = None, export: bool = True, scorer: Scorer | None = None,
               labels: list[str] | None = None) -> SuiteResult:
     """Run every experiment of ``conditions`` (default: the seven ambiguity subsets) over
-    the cleaned sentence table ``df``."""
+    the cleaned sentence table ``df``.  Models are saved whether or not results are exported."""
     labels = labels or LABELS
-    spark = df.sparkSession
-    suite = sb.prepare_baseline(sb.subset_suite(df, conditions), labels)
-    # the split feeds the distribution, the fits, the scoring and every metric: land it once
-    # in the shared folder (its lineage - cleaning, tagging, two-level rank - runs once)
-    split_df = land(sp.split_exact(suite, cfg.test_size, cfg.seed, by=[KEY]), "split")
-    dist = sp.class_distribution(split_df, labels, by=[KEY])
-    models, hist = {}, None
-    if scorer is None:
-        feats = tr.featurize(df, cfg).persist(StorageLevel.DISK_ONLY)
-        models, hist = tr.train_multilabel(split_df, feats, cfg, labels, KEY)
-        # scored once and landed: every metric below reads the same prediction table
-        pred = land(tr.score_multilabel(models, split_df, feats, KEY), "predictions")
-        feats.unpersist()
-    else:
-        pred = land(scorer(split_df), "predictions")
-    valid = split_df.filter(F.col("split") == "valid")
-    results = mt.sentence_results(pred, valid, cfg.threshold, [KEY], labels)
-    confusion = mt.sentence_confusion(results, [KEY])
-    path = None
-    if export:
-        path = out_dir or shared_path(df.sparkSession, "artifacts", unique=True)
-        write_results(results.withColumn(KEY, sanitize_name(F.col(KEY))),
-                      confusion.withColumn(KEY, sanitize_name(F.col(KEY))), path)
-        if models:
-            tr.save_models(models, f"{path}/models")
-    summary = experiment_summary(split_df, pred, confusion, cfg.threshold, path)
-    return SuiteResult(split_df, dist, pred, results, confusion, summary, models, hist, path)
+    conditions = conditions or sb.subset_conditions()
+    tagged = sb.prepare_baseline(sb.subset_suite(df.drop("description"), conditions), labels)
+    return _run(tagged, df.select("row_id", "description"), list(conditions), ["row_id"], cfg, out_dir, export, scorer, labels)
+
+
+def run_tables(tables: dict[str, DataFrame], cfg: ExperimentConfig = ExperimentConfig(), out_dir: str | None = None,
+               export: bool = True, scorer: Scorer | None = None, labels: list[str] | None = None) -> SuiteResult:
+    """One experiment per table: all its rows, under the table's name (row ids unique per table)."""
+    labels = labels or LABELS
+    parts = [sb.prepare_baseline(d, labels).select(F.lit(name).alias(KEY), "row_id", "description", *labels) for name, d in tables.items()]
+    rows = land(reduce(DataFrame.unionByName, parts), "tables")
+    return _run(rows.drop("description"), rows.select(KEY, "row_id", "description"), list(tables), [KEY, "row_id"], cfg, out_dir,
+                export, scorer, labels)
 
 
 def run_experiment(df: DataFrame, name: str, cfg: ExperimentConfig = ExperimentConfig(),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import ExperimentConfig
@@ -21,6 +21,7 @@ from ..operators import history as hs
 from ..operators import metrics as mt
 from ..operators import split as sp
 from ..operators import subsets as sb
+from ..operators import train as tr
 from ..session import land, shared_path
 from ..sources import csv as csvsrc
 from ..sources import fixtures as fx
@@ -256,19 +257,19 @@ def q_binarize_ge(spark, sf_dir):
 
 @query("predicted_labels")
 def q_predicted_labels(spark, sf_dir):
-    ll = mt.label_lists(fx.pred(spark, sf_dir))
+    ll = mt.label_lists(fx.pred_wide(spark, sf_dir))
     return ll.select("row_id", _joined("true_labels").alias("true_labels"),
                      _joined("predicted_labels").alias("predicted_labels"))
 
 
 @query("is_requirement")
 def q_is_requirement(spark, sf_dir):
-    return mt.is_requirement(fx.pred(spark, sf_dir))
+    return mt.is_requirement(fx.pred_wide(spark, sf_dir))
 
 
 @query("sentence_results")
 def q_sentence_results(spark, sf_dir):
-    r = mt.sentence_results(fx.pred(spark, sf_dir), sentences(spark, sf_dir))
+    r = mt.sentence_results(fx.pred_wide(spark, sf_dir), sentences(spark, sf_dir))
     return r.select("row_id", "sentence", _joined("true_label").alias("true_label"),
                     _joined("predicted").alias("predicted"), "correctness",
                     F.array_join(F.transform("probabilities", lambda x: F.format_string("%.3f", x)), ",")
@@ -277,24 +278,24 @@ def q_sentence_results(spark, sf_dir):
 
 @query("sentence_confusion")
 def q_sentence_confusion(spark, sf_dir):
-    r = mt.sentence_results(fx.pred(spark, sf_dir), sentences(spark, sf_dir))
+    r = mt.sentence_results(fx.pred_wide(spark, sf_dir), sentences(spark, sf_dir))
     return mt.sentence_confusion(r)
 
 
 @query("precision_recall")
 def q_precision_recall(spark, sf_dir):
-    r = mt.sentence_results(fx.pred(spark, sf_dir), sentences(spark, sf_dir))
+    r = mt.sentence_results(fx.pred_wide(spark, sf_dir), sentences(spark, sf_dir))
     return _r6(mt.precision_recall(mt.sentence_confusion(r)), "precision", "recall", "f1_score")
 
 
 @query("binary_confusion")
 def q_binary_confusion(spark, sf_dir):
-    return mt.binary_confusion(fx.pred(spark, sf_dir))
+    return mt.binary_confusion(fx.pred_wide(spark, sf_dir))
 
 
 @query("binary_report")
 def q_binary_report(spark, sf_dir):
-    return _r6(mt.binary_report(fx.pred(spark, sf_dir)), "precision", "recall", "f1_score")
+    return _r6(mt.binary_report(fx.pred_wide(spark, sf_dir)), "precision", "recall", "f1_score")
 
 
 @query("per_label_confusion")
@@ -309,7 +310,7 @@ def q_per_label_accuracy(spark, sf_dir):
 
 @query("exact_match")
 def q_exact_match(spark, sf_dir):
-    p = fx.pred(spark, sf_dir)
+    p = fx.pred_wide(spark, sf_dir)
     ge = mt.exact_match(p).withColumn("comparator", F.lit(">="))
     gt = mt.exact_match(p, strict=True).withColumn("comparator", F.lit(">"))
     return _r6(ge.unionByName(gt), "exact_match")
@@ -317,22 +318,22 @@ def q_exact_match(spark, sf_dir):
 
 @query("hamming_loss")
 def q_hamming_loss(spark, sf_dir):
-    return _r6(mt.hamming_loss(fx.pred(spark, sf_dir)), "hamming_loss")
+    return _r6(mt.hamming_loss(fx.pred_wide(spark, sf_dir)), "hamming_loss")
 
 
 @query("jaccard_macro")
 def q_jaccard_macro(spark, sf_dir):
-    return _r6(mt.jaccard_macro(fx.pred(spark, sf_dir)), "jaccard")
+    return _r6(mt.jaccard_macro(fx.pred_wide(spark, sf_dir)), "jaccard")
 
 
 @query("classification_report")
 def q_classification_report(spark, sf_dir):
-    return _r6(mt.classification_report(fx.pred(spark, sf_dir)), "precision", "recall", "f1_score")
+    return _r6(mt.classification_report(fx.pred_wide(spark, sf_dir)), "precision", "recall", "f1_score")
 
 
 @query("report_samples_avg")
 def q_report_samples_avg(spark, sf_dir):
-    return _r6(mt.report_samples_avg(fx.pred(spark, sf_dir)), "precision", "recall", "f1_score")
+    return _r6(mt.report_samples_avg(fx.pred_wide(spark, sf_dir)), "precision", "recall", "f1_score")
 
 
 # ---------------------------------------------------------------- ROC (2.5 C1-C4)
@@ -415,11 +416,36 @@ def q_encode_tokens(spark, sf_dir):
 # ---------------------------------------------------------------- sources / sinks / experiments (2.1, 2.4 A20-A21, 2.8 R3-R4, 2.9)
 
 
+def _landed_csv(spark: SparkSession, df: DataFrame) -> str:
+    path = shared_path(spark, "csv", unique=True)
+    csvsrc.write_csv(df, path)
+    return path
+
+
 @query("scan_csv_typed")
 def q_scan_csv_typed(spark, sf_dir):
-    path = shared_path(spark, "csv", unique=True)
-    csvsrc.write_csv(fx.raw_strings(fx.req(spark, sf_dir)), path)
-    return csvsrc.scan_csv_typed(spark, path)
+    return csvsrc.scan_csv_typed(spark, _landed_csv(spark, fx.raw_strings(fx.req(spark, sf_dir))))
+
+
+@query("scan_csv_header")
+def q_scan_csv_header(spark, sf_dir):
+    """A file without row_id whose columns stand in another order: rows are numbered in file order."""
+    raw = fx.raw_strings(fx.req(spark, sf_dir)).orderBy(F.col("row_id").cast("bigint"))
+    cols = ["goal", *reversed(LABELS), "description", "comments", "ambiguity_type", "ambuiguity", "source"]
+    return csvsrc.scan_csv_typed(spark, _landed_csv(spark, raw.select(*cols))).select("row_id", *cols)
+
+
+@query("scan_csv_annotations")
+def q_scan_csv_annotations(spark, sf_dir):
+    """Annotations as they may stand in a file - whole, fractional, not a number, missing - and what becomes of them."""
+    r = F.col("row_id").cast("bigint")
+    raw = fx.raw_strings(fx.req(spark, sf_dir)).withColumn(
+        "ambuiguity", F.when(r % 7 == 0, "yes").when(r % 7 == 1, "0.5").when(r % 7 == 2, "1.0d").when(r % 7 == 3, "NA")
+        .when(r % 7 == 4, "1e10").otherwise((r % 2).cast("string")))
+    df = clean.filter_annotated(csvsrc.scan_csv_typed(spark, _landed_csv(spark, raw)))
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return df.select("row_id", F.isnan("ambuiguity").alias("malformed"), lenient_int("ambuiguity", types["ambuiguity"]).alias("as_int"),
+                     (F.col("ambuiguity") == 0).alias("not_ambiguous"))
 
 
 def hashed_suite(spark: SparkSession, sf_dir: str, export: bool = True) -> ex.SuiteResult:
@@ -440,6 +466,26 @@ def q_experiment_summary(spark, sf_dir):
     return _r6(res.summary, "exact_match_accuracy", "hamming_loss", "jaccard_score", "precision", "recall")
 
 
+@query("evaluate_bundle")
+def q_evaluate_bundle(spark, sf_dir):
+    """One figure of the bundle's parts per experiment: micro and mean label area, label-level and any-label figures."""
+    e = hashed_suite(spark, sf_dir, export=False).evaluation
+    auc = e["roc_auc"].groupBy("experiment").agg(F.max(F.when(F.col("label") == roc.MICRO, F.col("auc"))).alias("auc_micro"),
+                                                 F.avg(F.when(F.col("label") != roc.MICRO, F.col("auc"))).alias("auc_mean"))
+    requirements = e["binary_confusion"].filter("true_req and pred_req").select("experiment", F.col("n").alias("both_req"))
+    return _r6(e["summary"].join(auc, "experiment").join(requirements, "experiment"),
+               "exact_match_accuracy", "hamming_loss", "jaccard_score", "auc_micro", "auc_mean")
+
+
+@query("suite_with_rewrites")
+def q_suite_with_rewrites(spark, sf_dir):
+    """Baseline and rewritten texts as two tables of one suite: the sentences that are validated."""
+    base = prepared(spark, sf_dir)
+    new = sb.overlay_rewrites(base, fx.rewrites(spark, sf_dir)).drop("is_rewritten")
+    res = ex.run_tables({"baseline": base, "rewritten": new}, export=False, scorer=fx.hash_scorer)
+    return res.results.select("experiment", "row_id", "sentence", "correctness")
+
+
 def _artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.artifact_summary(spark, hashed_suite(spark, sf_dir).results_path)
 
@@ -459,7 +505,7 @@ def q_confusion_rates(spark, sf_dir):
     return _r6(ex.confusion_rates(_artifacts(spark, sf_dir)), "tp", "tn", "fp", "fn")
 
 
-# Spark ML keys: checked on rows only (a fitted model has no SQL twin).
+# Spark ML keys: a fitted model has no SQL twin; the keys ending in _facts hold what SQL can tell of them.
 def _baseline(spark: SparkSession, sf_dir: str) -> ex.SuiteResult:
     return ex.run_experiment(prepared(spark, sf_dir), "baseline", ExperimentConfig(), export=False)
 
@@ -469,9 +515,42 @@ def q_train_multilabel(spark, sf_dir):
     return _baseline(spark, sf_dir).train_history
 
 
+@query("train_multilabel_facts")
+def q_train_multilabel_facts(spark, sf_dir):
+    """Per experiment: epochs numbered from 1, a training loss that never rises, the sizes trained and validated on."""
+    res = _baseline(spark, sf_dir)
+    h = res.train_history.withColumn("before", F.lag("train_loss").over(Window.partitionBy("experiment").orderBy("epoch")))
+    facts = h.groupBy("experiment").agg(
+        (F.min("epoch") == 1).alias("from_one"), F.bool_and(F.coalesce(F.col("train_loss") <= F.col("before") + 1e-9, F.lit(True))).alias("never_rises"),
+        F.bool_and(F.col("valid_loss") > 0).alias("valid_loss_positive"))
+    return facts.join(ex.split_sizes(res.split), "experiment")
+
+
 @query("score_multilabel")
 def q_score_multilabel(spark, sf_dir):
-    return _baseline(spark, sf_dir).pred
+    return mt.to_long(_baseline(spark, sf_dir).pred)
+
+
+@query("score_multilabel_facts")
+def q_score_multilabel_facts(spark, sf_dir):
+    cells = mt.to_long(_baseline(spark, sf_dir).pred)
+    return cells.select("experiment", "row_id", "label", "y", F.col("p").between(0, 1).alias("p_is_probability"))
+
+
+@query("score_text")
+def q_score_text(spark, sf_dir):
+    """Models of the annotated sentences label the sentences that are not annotated."""
+    res = _baseline(spark, sf_dir)
+    new = clean.normalize_text(fx.req(spark, sf_dir).filter(F.col("ambuiguity").isNull())).select("row_id", "description")
+    return tr.score_text(res.models, new, "baseline")
+
+
+@query("score_text_facts")
+def q_score_text_facts(spark, sf_dir):
+    out = q_score_text(spark, sf_dir)
+    p = F.map_values("probabilities")
+    return out.select("row_id", F.size(p).alias("n_probabilities"), F.forall(p, lambda x: x.between(0, 1)).alias("in_range"),
+                      (F.size("predicted_labels") == F.size(F.filter(p, lambda x: x > ExperimentConfig().threshold))).alias("above_threshold"))
 
 
 @query("run_experiment")
@@ -482,3 +561,11 @@ def q_run_experiment(spark, sf_dir):
 @query("run_suite")
 def q_run_suite(spark, sf_dir):
     return ex.run_suite(prepared(spark, sf_dir), ExperimentConfig()).summary
+
+
+@query("run_suite_facts")
+def q_run_suite_facts(spark, sf_dir):
+    """Sizes per experiment, and which paths the summary names."""
+    s = q_run_suite(spark, sf_dir)
+    return s.select("experiment", "train_size", "val_size", F.col("best_model_path").endswith(F.concat(F.lit("/models/"), F.col("experiment"))).alias("has_models"),
+                    F.col("validation_results_path").endswith(F.concat(F.lit("/results/experiment="), F.col("experiment"))).alias("has_results"))

