@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import land
+
 # Fixed by the contracts: a word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
@@ -43,6 +45,15 @@ def packed_row(docs: DataFrame, but: tuple[str, ...] = ()) -> Column:
     return F.struct(*cols) if cols else F.struct(F.lit(None).cast("int").alias("none"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, row_no): whole rows with a number of their own, landed.
+
+    A number that is made anew by every scan may differ between scans (a changed number of
+    executors deals files differently); one that is written with its row cannot.
+    """
+    return land(docs.select(packed_row(docs).alias("row"), F.monotonically_increasing_id().alias("row_no")), "numbered")
+
+
 def nullable(col):
     """An Arrow struct column with every field nullable, as Spark declares a result's fields."""
     return col.cast(pa.struct([pa.field(f.name, f.type) for f in col.type])) if pa.types.is_struct(col.type) else col

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import land
-from .common import SPACES, as_docs, n_words
+from .common import SPACES, as_docs, n_words, numbered
 
 WEIGHTS = (3, 1, 2)
 # weight of a source over training time, at evenly spaced knots with straight lines between:
@@ -126,12 +126,10 @@ def curriculum(docs: DataFrame, **options) -> DataFrame:
 
     Documents are range-sorted by training position; the one document of a source at which its
     target is reached is cut after the last word taken.  A document that the mix does not take
-    is left out, one taken twice comes twice.  ``docs`` should be read from a table (rows are
-    numbered as they are scanned).
+    is left out, one taken twice comes twice.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("row_no"))
-    flat = rows.select("row_no", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), F.col("row.text").alias("text"))
-    plan = mix_plan(flat, carry=("row_no",), **options)
+    rows = numbered(docs)
+    plan = mix_plan(rows.select("row_no", "row.doc_id", "row.source", "row.text"), carry=("row_no",), **options)
     takes = plan.select("row_no", "size", F.inline(F.array(
         F.struct(F.col("taken_1").alias("taken_now"), F.col("position").alias("at")),
         F.struct(F.col("taken_2").alias("taken_now"), F.col("position_2").alias("at"))))).filter("taken_now > 0")

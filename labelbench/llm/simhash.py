@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import land
 from . import words
-from .common import as_docs, packed_row
+from .common import as_docs, numbered
 from .components import components
 
 SEGMENTS = (21, 21, 22)
@@ -123,14 +123,10 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def first_of_groups(docs: DataFrame, **options) -> DataFrame:
-    """One row of every group, with the columns it came with: the smallest doc_id, null last, and of equal ones one row.
-
-    ``docs`` should be read from a table (rows are numbered as they are scanned).
-    """
+    """One row of every group, with the columns it came with: the smallest doc_id, null last, and of equal ones one row."""
     cols = docs.columns
-    rows = docs.select(packed_row(docs).alias("row"), F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text"),
-                       F.monotonically_increasing_id().alias("row_no"))
-    groups = simhash_groups(rows, carry=("row_no",), **options)
+    rows = numbered(docs)
+    groups = simhash_groups(rows.select("row.doc_id", "row.text", "row_no"), carry=("row_no",), **options)
     keep = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_no")).alias("first")).select("first.row_no")
     return rows.join(keep, "row_no", "left_semi").select(*[F.col(f"row.`{c}`") for c in cols])
 
