@@ -44,7 +44,7 @@ def _queries(prep, pb):
         "best_epoch": lambda s, d: history.best_epoch(fx.history(s, d)),
         "bce_batch_mean": lambda s, d: history.bce_batch_mean(metrics.to_long(pb()).withColumn("x", (fx.F.col("p") - 0.2) * 10)),
         # encoding job over whole texts
-        "vocab_encode": lambda s, d: encode.encode_tokens(prep(), encode.build_vocab(prep())),
+        "vocab_encode": lambda s, d: (lambda t: encode.encode_tokens(t, encode.build_vocab(t)))(encode.tokenised(prep())),
         # evaluation half of the experiment suite (hash scorer), summary per experiment
         "experiment_summary": lambda s, d: ex.run_suite(prep(), ExperimentConfig(), export=False,
                                                         scorer=fx.hash_scorer).summary,

@@ -15,7 +15,7 @@ whole text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -27,9 +27,18 @@ FIRST_WORD_ID = 4
 VOCAB_SEED = 0
 
 
+def tokenised(df: DataFrame, text_col: str = "description", id_col: str = "row_id") -> DataFrame:
+    """(row_id, tokens), landed: the one pass over the texts that the vocabulary and the ids share.  Runs a job."""
+    return land(df.select(id_col, tokens(text_col).alias("tokens")), "tokens")
+
+
+def _tokens(df: DataFrame, text_col: str) -> Column:
+    return F.col("tokens") if "tokens" in df.columns else tokens(text_col)
+
+
 def build_vocab(df: DataFrame, text_col: str = "description", min_count: int = 1) -> DataFrame:
-    """(token, token_id, count) over every token of every text."""
-    counts = (df.select(F.explode(tokens(text_col)).alias("token"))
+    """(token, token_id, count) over every token of every text, or of a ``tokenised`` table.  Runs a job."""
+    counts = (df.select(F.explode(_tokens(df, text_col)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).cast("bigint").alias("count")))
     if min_count > 1:
         counts = counts.filter(F.col("count") >= min_count)
@@ -41,13 +50,14 @@ def build_vocab(df: DataFrame, text_col: str = "description", min_count: int = 1
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, max_len: int = 300, text_col: str = "description",
                   id_col: str = "row_id") -> DataFrame:
-    """(row_id, input_ids, attention_mask, token_type_ids, n_tokens), arrays of ``max_len``.
+    """(row_id, input_ids, attention_mask, token_type_ids, n_tokens), arrays of ``max_len``, of texts or
+    of a ``tokenised`` table.
 
     One shuffle join (cells to vocabulary) and one grouping by row: ``posexplode_outer``
     keeps a row with an empty text in the stream, so no join back to the rows is needed.
     """
     body = max_len - 2
-    toks = df.select(F.col(id_col), tokens(text_col).alias("_t"))
+    toks = df.select(F.col(id_col), _tokens(df, text_col).alias("_t"))
     cells = toks.select(id_col, F.size("_t").alias("n_tokens"),
                         F.posexplode_outer(F.slice("_t", 1, body)).alias("pos", "token"))
     ids = (cells.join(vocab.select("token", "token_id"), "token", "left")

@@ -406,8 +406,8 @@ def q_build_vocab(spark, sf_dir):
 
 @query("encode_tokens")
 def q_encode_tokens(spark, sf_dir):
-    p = prepared(spark, sf_dir)
-    e = en.encode_tokens(p, en.build_vocab(p))
+    t = en.tokenised(prepared(spark, sf_dir))
+    e = en.encode_tokens(t, en.build_vocab(t))
     return e.select("row_id", F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ").alias("input_ids"),
                     F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("attention_len"),
                     F.size("token_type_ids").alias("type_len"), "n_tokens")
