@@ -14,8 +14,11 @@ sequences whose lengths are powers of two, which need no padding.
 from __future__ import annotations
 
 import math
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,19 +35,71 @@ from .common import as_docs
 U = np.uint64
 END_ID = 2
 WINDOW = 4096
-SHARD_TOKENS = 3 << 20  # tokens to a shard
+SHARD_TOKENS = 1 << 20  # tokens to a shard
 RANGE_BYTES = 8 << 20  # of text to a range of word hashes
-TEXTS = 2000
+TEXTS = 500
+PIECES = 300  # pieces that a task hands over at once
 QUERY_WORDS = 32
 K1, B = 1.2, 0.75
 
 
+# Words of letters, with or without a run of marks behind: the tokenizer splits them into one or two parts.  No
+# apostrophe, as it has rules of its own for those.
+PLAIN = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+([.,;:!?|*&%$#]*)")
+TOGETHER = 400  # words that are tokenised as one text
+
+
+@cache
 def load_tokenizer(path: str):
+    """One per process; a task is one thread."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
+@cache
+def word_ends(path: str) -> np.ndarray:
+    """Which ids end a part of a word."""
+    vocab = load_tokenizer(path).get_vocab(with_added_tokens=True)
+    out = np.zeros(max(vocab.values()) + 1, bool)
+    for token, i in vocab.items():
+        out[i] = token.endswith("</w>")
+    return out
+
+
+def encode_words(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of many words end to end, and how many each has.
+
+    Plain words are tokenised many at a time, with spaces between, and told apart by the ids that
+    end a part; a count of parts that does not fit, and any other word, is tokenised by itself.
+    """
+    tokenizer, ends = load_tokenizer(path), word_ends(path)
+    encode = lambda some: [np.array(x.ids, np.uint32) for x in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+    parts = np.array([0 if m is None else 2 if m[1] else 1 for m in map(PLAIN.fullmatch, texts)], np.int64)
+    size, pieces, alone = np.zeros(len(texts), np.int64), [], list(np.flatnonzero(parts == 0))
+    plain = np.flatnonzero(parts)
+    for c in range(0, len(plain), 20 * TOGETHER):
+        groups = [plain[a:a + TOGETHER] for a in range(c, min(c + 20 * TOGETHER, len(plain)), TOGETHER)]
+        for group, ids in zip(groups, encode([" ".join([texts[i] for i in g]) for g in groups]), strict=True):
+            stop, last = np.flatnonzero(ends[ids]), np.cumsum(parts[group]) - 1
+            if len(stop) != last[-1] + 1 or stop[-1] != len(ids) - 1:
+                alone.extend(group)
+                continue
+            size[group] = np.diff(stop[last] + 1, prepend=0)
+            pieces.append((group, ids))
+    for c in range(0, len(alone), 2000):
+        group = np.array(alone[c:c + 2000])
+        ids = encode([texts[i] for i in group])
+        size[group] = [len(x) for x in ids]
+        pieces.append((group, np.concatenate(ids)))
+    first = np.concatenate([[0], np.cumsum(size)])
+    out = np.zeros(first[-1], np.uint32)
+    for group, ids in pieces:
+        out[np.repeat(first[group] - np.concatenate([[0], np.cumsum(size[group])[:-1]]).astype(np.int64), size[group]) + np.arange(len(ids))] = ids
+    return out, size
+
+
 def _read(col: pa.Array):
     """Words of a batch and two hashes; upper case A-Z counts as lower case (the tokenizer lowers it anyway) unless the
     batch holds a mark of special tokens, which are case-sensitive."""
@@ -116,13 +171,11 @@ def word_table(docs: DataFrame, tokenizer_path: str) -> tuple[H.HashArrays, str]
         n = n.astype(np.int64)
         start = np.concatenate([[0], np.cumsum(n)[:-1]])
         own, at, _ = _distinct(keys)
-        raw, tokenizer = data.tobytes(), load_tokenizer(tokenizer_path)
+        raw = data.tobytes()
         ids, length = [], np.zeros(len(own), np.int64)
         for c in range(0, len(at), 20_000):
-            some = [raw[start[i]:start[i] + n[i]].decode() for i in at[c:c + 20_000]]
-            got = [x.ids for x in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            length[c:c + len(got)] = [len(x) for x in got]
-            ids.append(np.array([i for x in got for i in x], np.uint32))
+            flat, length[c:c + 20_000] = encode_words([raw[start[i]:start[i] + n[i]].decode() for i in at[c:c + 20_000]], tokenizer_path)
+            ids.append(flat)
         H.save(folder, f"words-{k}-keys", own)
         H.save(folder, f"words-{k}-check", words.hash_spans(data, start[at], start[at] + n[at], seed=1).astype(np.uint32))
         H.save(folder, f"words-{k}-first", np.concatenate([[0], np.cumsum(length)]))
@@ -308,10 +361,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
     rows = tokenised(docs, tokenizer_path)
     n_tokens = rows.agg(F.sum("n")).first()[0] or 0
     shards = rows.repartitionByRange(max(1, math.ceil(n_tokens / SHARD_TOKENS)), "sketch", "row_no").sortWithinPartitions("sketch", "row_no")
-    ends = _word_ends(tokenizer_path)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, unzip = TaskContext.get().partitionId(), zstandard.ZstdDecompressor()
+        ends, shard, unzip = word_ends(tokenizer_path), TaskContext.get().partitionId(), zstandard.ZstdDecompressor()
         doc_ids, ids = [], []
         for batch in batches:
             doc_ids.append(batch.column(0))
@@ -321,8 +372,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
         sizes = np.array([len(x) for x in ids])
         pieces = pack_shard(sizes, Index([_terms(x, ends) for x in ids]), window)
         doc_ids = pa.chunked_array(doc_ids)
-        for c in range(0, len(pieces), 2000):
-            part = pieces[c:c + 2000]
+        for c in range(0, len(pieces), PIECES):
+            part = pieces[c:c + PIECES]
             doc, start, n, seq, off = (np.array(x, np.int64) for x in zip(*part, strict=True))
             blobs = [ids[d][a:a + k].tobytes() for d, a, k, _, _ in part]
             yield pa.record_batch([doc_ids.take(pa.array(doc)).combine_chunks(), pa.array(start), pa.array(n), pa.array([zlib.crc32(b) for b in blobs], pa.int64()),
@@ -334,16 +385,6 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
         run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
-def _word_ends(tokenizer_path: str) -> np.ndarray:
-    """Which ids end a word."""
-    vocab = load_tokenizer(tokenizer_path).get_vocab(with_added_tokens=True)
-    out = np.zeros(max(vocab.values()) + 1, bool)
-    for token, i in vocab.items():
-        out[i] = token.endswith("</w>")
-    out[END_ID] = True
-    return out
-
-
 def _terms(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of a document's words, each a run of ids up to one that ends a word (the end id left out)."""
     ids = ids[:-1]

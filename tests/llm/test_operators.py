@@ -300,3 +300,12 @@ def test_pipeline_on_odd_rows(spark, odd, none):
         for name, stage in corpus_pipeline.STAGES:
             table = land(stage(spark, table, SF_SMALL), f"odd-{name}")
             assert name == "bm25_packing" or table.columns == odd.columns
+
+
+def test_words_tokenised_together_or_alone():
+    words = ["plain", "end.", "Émile,", "it's", "a", "...", "x!!", "don't.", "naïve", "3.14", "<|endoftext|>", "ＡＢ", "é", "ß", "µ", "a.b", "ª", "word|", "ﬁ", "q" * 400]
+    words = words * 60
+    path = queries.tokenizer_path()
+    ids, size = packing.encode_words(words, path)
+    want = [x.ids for x in packing.load_tokenizer(path).encode_batch(words, add_special_tokens=False)]
+    assert [list(x) for x in np.split(ids, np.cumsum(size)[:-1])] == want
