@@ -29,7 +29,7 @@ U = np.uint64
 WINDOW = 13
 RUN = 5
 BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20
 SPREAD = 3.4  # packed bytes per byte of text: (WINDOW + half the runs of a window) words for half of them windows
 LAST = np.iinfo(np.int64).max  # the rank of a null doc_id
 _MUL = 0x9E3779B97F4A7C15
@@ -77,8 +77,7 @@ class Cut:
         place = np.arange(len(doc)) + np.repeat(self.first[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64), count)
         if not len(place):
             self.at = self.windows = self.doc = self.group = self.bucket = np.zeros(0, np.int64)
-            self.rank = np.zeros(0, np.int64)
-            self.lead = np.zeros(0, np.int64)
+            self.turn = self.lead = np.zeros(0, np.int64)
             return
         runs = run_hashes(h, np.arange(len(h) - RUN + 1), RUN)
         least = runs[place]
@@ -105,14 +104,13 @@ class Cut:
         self.bucket = bucket[self.lead]
         self.low = np.minimum.reduceat(ids[self.doc], self.lead)
         self.high = np.maximum.reduceat(ids[self.doc], self.lead)
-        # number of a group inside its bucket
-        edge = np.searchsorted(self.bucket, self.bucket)
-        self.rank = np.arange(len(self.bucket)) - edge
+        # a bucket's groups in the order of their first places, in which ids and words repeat more closely
+        self.turn = np.lexsort((self.at[self.lead], self.bucket))
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
     head = np.array([len(arrays), *[a.nbytes for a in arrays]], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=5).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
 def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
@@ -138,12 +136,13 @@ def _cutter(n_buckets: int):
         rows: dict[str, list] = {"bucket": [], "block": [], "blob": []}
         edges = np.flatnonzero(np.diff(c.bucket, prepend=-1)) if len(c.bucket) else []
         for a, b in zip(edges, [*edges[1:], len(c.bucket)], strict=True):
-            lead = c.lead[a:b]
+            group = c.turn[a:b]
+            lead, low, high = c.lead[group], c.low[group], c.high[group]
             lo, hi = c.start[c.at[lead]], c.end[c.at[lead] + c.windows[lead] + WINDOW - 2] + 1  # with the space behind
             take = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
             rows["bucket"].append(int(c.bucket[a]))
             rows["block"].append(docs["block"][0].as_py())
-            rows["blob"].append(_pack(c.low[a:b], c.high[a:b] - c.low[a:b], c.windows[lead].astype(np.int32), c.data[take]))
+            rows["blob"].append(_pack(np.diff(low, prepend=0), high - low, c.windows[lead].astype(np.int32), c.data[take]))
         return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "block": pa.array(rows["block"], pa.int32()),
                          "blob": pa.array(rows["blob"], pa.binary())})
     return cut
@@ -154,7 +153,7 @@ def _count_bucket(blobs: pa.Table) -> pa.Table:
     parts = [_unpack(b.as_py(), np.int64, np.int64, np.int32, np.uint8) for b in blobs["blob"]]
     n = np.array([len(p[0]) for p in parts])
     part, rank = np.repeat(np.arange(len(n)), n), np.concatenate([np.arange(k) for k in n])
-    low, high, windows = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    low, high, windows = np.concatenate([np.cumsum(p[0]) for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
     high = high + low
     data = np.concatenate([p[3] for p in parts])
     end = np.flatnonzero(data == 32)
@@ -207,7 +206,7 @@ def _dropper(n_buckets: int):
         members = np.append(c.lead, len(c.at))
         for bucket, blob in zip(answers["bucket"].to_pylist(), answers["blob"].to_pylist(), strict=True):
             rank, inner, least = _unpack(blob, np.int32, np.int32, np.int64)
-            group = np.searchsorted(c.bucket, bucket) + rank
+            group = c.turn[np.searchsorted(c.bucket, bucket) + rank]
             size = members[group + 1] - members[group]
             each = np.repeat(np.arange(len(group)), size)
             who = members[group][each] + np.arange(len(each)) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
