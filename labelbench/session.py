@@ -77,24 +77,43 @@ def land(df, name: str, partition_by: str | None = None):
     path = shared_path(spark, name, unique=True)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    for paths in _SCOPES:
-        paths.append(path)
+    note_landed(path)
     return spark.read.schema(df.schema).parquet(path) if partition_by else spark.read.parquet(path)
 
 
 _SCOPES: list[list[str]] = []
 
 
+def note_landed(path: str) -> None:
+    """Count a folder among what the enclosing blocks have landed."""
+    for paths in _SCOPES:
+        paths.append(path)
+
+
 @contextmanager
-def landed(spark: SparkSession):
-    """Remove what is landed inside the block when it ends: consume results before that."""
+def recording():
+    """The paths of what is landed inside the block, in a list that grows meanwhile."""
     paths: list[str] = []
     _SCOPES.append(paths)
     try:
-        yield
+        yield paths
     finally:
-        _SCOPES.remove(paths)
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        for p in paths:
-            path = hadoop(p)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _SCOPES[:] = [s for s in _SCOPES if s is not paths]
+
+
+def drop_landed(spark: SparkSession, paths: list[str]) -> None:
+    """Remove landed folders whose consumers are done."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for p in paths:
+        path = hadoop(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def landed(spark: SparkSession):
+    """Remove what is landed inside the block when it ends: consume results before that."""
+    with recording() as paths:
+        try:
+            yield
+        finally:
+            drop_landed(spark, paths)
