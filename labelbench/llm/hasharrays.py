@@ -16,7 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import SparkSession
 
-from ..session import shared_path
+from ..session import note_landed, shared_path
 
 U = np.uint64
 
@@ -26,6 +26,7 @@ def mounted_folder(spark: SparkSession, name: str) -> str:
     url = urlsplit(shared_path(spark, name, unique=True))
     if url.scheme not in ("", "file"):
         raise ValueError(f"memory-mapped arrays need spark.checkpoint.dir on a mounted file system, not {url.scheme}://")
+    note_landed(url.path)
     return url.path
 
 

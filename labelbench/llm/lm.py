@@ -30,7 +30,7 @@ U = np.uint64
 END = words.hash_spans(np.array([10], np.uint8), np.array([0]), np.array([1]))[0]  # white space is no word
 RANGE_BYTES = 32 << 20  # of text to a range of hashes
 SEGMENT = 1 << 18  # words to a piece of the per-word arrays
-TEXTS = 2000  # texts that a task handles at once
+TEXTS = 500  # texts that a task handles at once
 
 
 def _tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

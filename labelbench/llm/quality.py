@@ -29,7 +29,7 @@ U = np.uint64
 PASSAGE = 64
 LEXICON_BITS = 16
 SAMPLE = 16_000
-TEXTS = 1000
+TEXTS = 300
 HIDDEN, GATE = 24, 12
 
 _CLASS = {name: np.zeros(256, bool) for name in ("symbol", "shout", "upper", "digit", "stop", "high", "slash")}

@@ -29,6 +29,7 @@ from .components import components
 
 SEGMENTS = (21, 21, 22)
 MAX_BITS = 3
+TEXTS = 500  # texts that a task handles at once
 
 
 def fingerprints(col: pa.Array, shingle: int = 3, seed: int = 42) -> np.ndarray:
@@ -154,8 +155,8 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS,
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in range(0, len(batch), 2000):
-                part = batch.slice(c, 2000)
+            for c in range(0, len(batch), TEXTS):
+                part = batch.slice(c, TEXTS)
                 fp = fingerprints(part.column(len(cols)), shingle, seed)
                 yield pa.record_batch([part.column(i) for i in range(len(cols))] + [pa.array(fp.view(np.int64))], names=[*cols, "fp"])
 
