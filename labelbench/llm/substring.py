@@ -1,6 +1,6 @@
 """Exact removal of repeated passages by super-k-mer partitioning.
 
-A window is 13 consecutive words.  Its minimiser is the smallest hash among its 5-word runs;
+A window is 13 consecutive words.  Its minimiser is the smallest hash among its 4-word runs;
 consecutive windows with the same minimiser travel to the minimiser's bucket as one packed
 string of words.  In a bucket the windows are sorted, equal neighbours are compared byte by
 byte, and every window gets the smallest doc_id it occurs in.
@@ -15,6 +15,7 @@ places again by cutting its texts the same way.  The same exchange of the texts
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,11 @@ from .common import nullable, packed_row
 
 U = np.uint64
 WINDOW = 13
-RUN = 5
+RUN = 4
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
-SPREAD = 3.4  # packed bytes per byte of text: (WINDOW + half the runs of a window) words for half of them windows
+SPREAD = 3.2  # packed bytes per byte of text: a super-k-mer has 5.5 windows on average, and 12 words more than windows
+SAMPLE_TEXTS = 64  # texts whose beginnings prime the compression of the packed strings, which get short as buckets get many
 LAST = np.iinfo(np.int64).max  # the rank of a null doc_id
 _MUL = 0x9E3779B97F4A7C15
 _INV = pow(_MUL, -1, 1 << 64)
@@ -108,13 +110,19 @@ class Cut:
         self.turn = np.lexsort((self.at[self.lead], self.bucket))
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+@cache
+def _zstd(sample: bytes):
+    primed = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(sample) > 64 else None
+    return zstandard.ZstdCompressor(level=5, dict_data=primed), zstandard.ZstdDecompressor(dict_data=primed)
+
+
+def _pack(sample: bytes, *arrays: np.ndarray) -> bytes:
     head = np.array([len(arrays), *[a.nbytes for a in arrays]], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=5).compress(head + b"".join(a.tobytes() for a in arrays))
+    return _zstd(sample)[0].compress(head + b"".join(a.tobytes() for a in arrays))
 
 
-def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
+def _unpack(sample: bytes, blob: bytes, *kinds) -> list[np.ndarray]:
+    raw = _zstd(sample)[1].decompress(blob)
     sizes = np.frombuffer(raw, np.int64, len(kinds) + 1)[1:]
     ends = np.cumsum(np.concatenate([[8 * (len(kinds) + 1)], sizes]))
     return [np.frombuffer(raw[a:b], k) for a, b, k in zip(ends[:-1], ends[1:], kinds, strict=True)]
@@ -129,7 +137,7 @@ def _ordered(docs: pa.Table) -> pa.Table:
     return docs.combine_chunks().sort_by([("row_no", "ascending")])
 
 
-def _cutter(n_buckets: int):
+def _cutter(n_buckets: int, sample: bytes = b""):
     def cut(docs: pa.Table) -> pa.Table:
         docs = _ordered(docs)
         c = Cut(_ids(docs["doc_id"]), docs["text"].combine_chunks(), n_buckets)
@@ -142,15 +150,21 @@ def _cutter(n_buckets: int):
             take = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
             rows["bucket"].append(int(c.bucket[a]))
             rows["block"].append(docs["block"][0].as_py())
-            rows["blob"].append(_pack(np.diff(low, prepend=0), high - low, c.windows[lead].astype(np.int32), c.data[take]))
+            rows["blob"].append(_pack(sample, np.diff(low, prepend=0), high - low, c.windows[lead].astype(np.int32), c.data[take]))
         return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "block": pa.array(rows["block"], pa.int32()),
                          "blob": pa.array(rows["blob"], pa.binary())})
     return cut
 
 
-def _count_bucket(blobs: pa.Table) -> pa.Table:
+def _counter(sample: bytes = b""):
+    def count(blobs: pa.Table) -> pa.Table:
+        return _count_bucket(blobs, sample)
+    return count
+
+
+def _count_bucket(blobs: pa.Table, sample: bytes) -> pa.Table:
     """Smallest doc_id of every window of a bucket; per block, the windows that a document of it must drop."""
-    parts = [_unpack(b.as_py(), np.int64, np.int64, np.int32, np.uint8) for b in blobs["blob"]]
+    parts = [_unpack(sample, b.as_py(), np.int64, np.int64, np.int32, np.uint8) for b in blobs["blob"]]
     n = np.array([len(p[0]) for p in parts])
     part, rank = np.repeat(np.arange(len(n)), n), np.concatenate([np.arange(k) for k in n])
     low, high, windows = np.concatenate([np.cumsum(p[0]) for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
@@ -193,11 +207,11 @@ def _count_bucket(blobs: pa.Table) -> pa.Table:
         if len(d):
             out[0].append(int(block[k]))
             out[1].append(blobs["bucket"][0].as_py())
-            out[2].append(_pack(rank[of[d]].astype(np.int32), inner[d].astype(np.int32), least[d]))
+            out[2].append(_pack(sample, rank[of[d]].astype(np.int32), inner[d].astype(np.int32), least[d]))
     return pa.table({"block": pa.array(out[0], pa.int32()), "bucket": pa.array(out[1], pa.int32()), "blob": pa.array(out[2], pa.binary())})
 
 
-def _dropper(n_buckets: int):
+def _dropper(n_buckets: int, sample: bytes = b""):
     def drop(docs: pa.Table, answers: pa.Table) -> pa.Table:
         docs = _ordered(docs)
         ids = _ids(docs["doc_id"])
@@ -205,7 +219,7 @@ def _dropper(n_buckets: int):
         covered = np.zeros(len(c.start) + 1, np.int64)
         members = np.append(c.lead, len(c.at))
         for bucket, blob in zip(answers["bucket"].to_pylist(), answers["blob"].to_pylist(), strict=True):
-            rank, inner, least = _unpack(blob, np.int32, np.int32, np.int64)
+            rank, inner, least = _unpack(sample, blob, np.int32, np.int32, np.int64)
             group = c.turn[np.searchsorted(c.bucket, bucket) + rank]
             size = members[group + 1] - members[group]
             each = np.repeat(np.arange(len(group)), size)
@@ -233,8 +247,8 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(row, doc_id, text, n_words, n_removed, kept_text): ``row`` is a struct of the carried columns.
 
     ``kept_text`` joins by one space the words that no window covers whose words also occur in a
-    document with a smaller doc_id.  Runs a job when called (the bytes of all texts fix the number
-    of blocks and buckets).  Null, empty and white texts: 0 words, kept_text empty.  Texts of fewer
+    document with a smaller doc_id.  Runs jobs when called (the bytes of all texts fix the number
+    of blocks and buckets; the beginnings of a few texts prime the compression, nothing else).  Null, empty and white texts: 0 words, kept_text empty.  Texts of fewer
     than 13 words lose nothing.  Null doc_ids rank last and remove nothing from each other; rows
     that repeat a doc_id do not count as smaller.  An empty table gives no row.  ``docs`` should be
     read from a table (rows are numbered as they are scanned).
@@ -242,11 +256,13 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     n_blocks = max(1, math.ceil(total / BLOCK_BYTES))
     n_buckets = max(1, math.ceil(total * SPREAD / BUCKET_BYTES))
+    some = docs.select(F.substring("text", 1, 1800).alias("t")).filter("t <> ''").limit(SAMPLE_TEXTS).collect()
+    sample = " ".join(sorted(r.t for r in some)).encode()
     row = packed_row(docs.select(*[F.col(f"`{c}`") for c in carry]))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(row.alias("row"), "doc_id", "text", F.monotonically_increasing_id().alias("row_no"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "row_no"), F.lit(n_blocks)).cast("int")).repartition(n_blocks, "block")
-    sent = rows.groupBy("block").applyInArrow(_cutter(n_buckets), "bucket int, block int, blob binary")
-    answers = sent.groupBy("bucket").applyInArrow(_count_bucket, "block int, bucket int, blob binary")
+    sent = rows.groupBy("block").applyInArrow(_cutter(n_buckets, sample), "bucket int, block int, blob binary")
+    answers = sent.groupBy("bucket").applyInArrow(_counter(sample), "block int, bucket int, blob binary")
     out = f"row {rows.schema['row'].dataType.simpleString()}, doc_id {kind}, text string, n_words long, n_removed long, kept_text string"
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_dropper(n_buckets), out)
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_dropper(n_buckets, sample), out)

@@ -177,7 +177,7 @@ def test_substring_survives_hash_collisions(spark, docs, monkeypatch):
     table = few.append_column("row_no", [list(range(len(rows)))]).append_column("block", [[0] * len(rows)])
     monkeypatch.setattr(substring, "run_hashes", lambda h, start, length: (h[start] & np.uint64(7)))
     sent = substring._cutter(1)(table.append_column("row", [[{"none": None}] * len(rows)]))
-    answers = substring._count_bucket(sent)
+    answers = substring._counter()(sent)
     out = substring._dropper(1)(table.append_column("row", [[{"none": None}] * len(rows)]), answers)
     want = brute.repeats(rows)
     assert {i: n for i, n in zip(out["doc_id"].to_pylist(), out["n_removed"].to_pylist())} == {i: w[1] for i, w in want.items()}
