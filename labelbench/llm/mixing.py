@@ -8,11 +8,14 @@ document the time at which it is trained on.
 
 Running sums are two-level: sums per (source, md5 bucket) with their own running sums, and a
 window inside (source, bucket).  A source holding a third of all rows is spread over all buckets.
-There are 65,536 buckets.  No text is shuffled for the plan.
+There are about as many buckets as rows in a bucket, so neither window grows beyond the square
+root of the table (up to 65,536 buckets).  No text is shuffled for the plan.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +26,7 @@ WEIGHTS = (3, 1, 2)
 # weight of a source over training time, at evenly spaced knots with straight lines between:
 # level, falling, rising; dealt to the sources in turn like the weights
 SCHEDULES = ((1.0, 1.0), (1.5, 0.5), (0.5, 1.5))
-BUCKET_HEX = 4
+MAX_HEX = 4
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: int = 2) -> DataFrame:
@@ -92,14 +95,15 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float
     sizes = as_docs(docs, "doc_id", "source", "text", *carry).select("doc_id", "source", *carry, n_words(F.col("text")).alias("size"))
     sizes = land(sizes, "mix-sizes")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = sizes.withColumn("key", key).withColumn("bucket", F.substring("key", 1, BUCKET_HEX))
+    digits = min(max(round(math.log(max(sizes.count(), 1), 16) / 2), 1), MAX_HEX)
+    rows = sizes.withColumn("key", key).withColumn("bucket", F.substring("key", 1, digits))
     per = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("base", F.coalesce(F.sum("bucket_size").over(upto), F.lit(0)))
     t = source_targets(sizes, weights, share, cap)
     per = per.join(t.withColumnRenamed("source", "source_t"), F.col("source").eqNullSafe(F.col("source_t"))) \
         .select(F.col("source").alias("source_b"), F.col("bucket").alias("bucket_b"), "base", "source_rank", "source_size", "target")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(per, F.col("source").eqNullSafe(F.col("source_b")) & (F.col("bucket") == F.col("bucket_b")))
     start = F.col("base") + F.col("before")
