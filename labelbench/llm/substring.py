@@ -29,8 +29,8 @@ from .common import nullable, packed_row
 U = np.uint64
 WINDOW = 13
 RUN = 4
-BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
+BUCKET_BYTES = 6 << 20
 SPREAD = 3.2  # packed bytes per byte of text: a super-k-mer has 5.5 windows on average, and 12 words more than windows
 SAMPLE_TEXTS = 64  # texts whose beginnings prime the compression of the packed strings, which get short as buckets get many
 LAST = np.iinfo(np.int64).max  # the rank of a null doc_id
