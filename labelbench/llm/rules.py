@@ -1,12 +1,14 @@
 """Line-first quality rules (native).
 
-Every line is judged on its own: symbols, shouting, missing end punctuation, navigation and
-boilerplate.  Failing lines are removed, and a document that loses too many of its words by
+Every line is judged on its own: symbols, shouting, no punctuation that ends a sentence,
+navigation and boilerplate.  Failing lines are removed, and a document that loses too many of its words by
 that is rejected.  Everything is an expression over one row, so there is no shuffle at all.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,23 +18,35 @@ from .common import SPACES, WORD, as_docs, let, n_words
 SYMBOLS = "#*$%&|<>"
 GRAM = 5
 # Own rules.
-END_MARKS = ".!?:;…。！？\"'”’»)]"
-BOILERPLATE = r"(?i)lorem ipsum|javascript|cookies?\b|privacy policy|terms of (use|service)|subscribe|newsletter|all rights reserved\W+\w+\W+\w+"
+SENTENCE_END = r"[.!?:;…。！？][\"'”’»)\]]*([\x20\x09-\x0D]|$)"
+BOILERPLATE = ("lorem ipsum", "javascript", "cookie", "privacy policy", "terms of use", "terms of service", "subscribe", "newsletter")
 NAVIGATION = r"(?i)^\W*(home|about( us)?|contact( us)?|log ?in|sign (in|up)|menu|next|previous|back to top|read more|share this)\W*$"
-SEPARATORS = r"[|»›>•·]"
+NAVIGATION_CHARS = 40
+SEPARATORS = "|»›>•·"
 SHOUT = "!!"
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line with words fails; a line without words never does (it has nothing to lose)."""
-    bare = F.btrim(line, F.lit(SPACES))
-    words = n_words(bare)
-    symbols = F.length(bare) - F.length(F.translate(bare, SYMBOLS, ""))
-    shouts = F.length(bare) - F.length(F.replace(bare, F.lit(SHOUT), F.lit("")))
-    no_end = F.instr(F.lit(END_MARKS), F.substring(bare, -1, 1)) == 0
-    separators = F.length(bare) - F.length(F.regexp_replace(bare, SEPARATORS, ""))
-    return (bare != "") & (no_end | (10 * symbols > 3 * words) | (10 * shouts > 3 * words) | (separators >= 3)
-                           | bare.rlike(NAVIGATION) | bare.rlike(BOILERPLATE))
+def has_phrase(text: Column) -> Column:
+    return let(F.lower(text), lambda x: reduce(Column.__or__, [x.contains(p) for p in BOILERPLATE]))
+
+
+def line_fails(line: Column, phrases: Column) -> Column:
+    """Whether a line with words fails; a line without words never does (it has nothing to lose).
+
+    The rules: no sentence ends in it; more than 3 symbols or 3 double exclamation marks to 10 words;
+    three separators; a navigation line; a boilerplate phrase.  Tests that need counts come
+    behind a cheap test for the characters they count; ``phrases`` tells whether the whole text
+    has a boilerplate phrase anywhere.
+    """
+    def judge(x: Column) -> Column:
+        no_end = ~x.rlike(SENTENCE_END)
+        symbols = x.rlike(f"[{SYMBOLS}]") & (10 * (F.length(x) - F.length(F.translate(x, SYMBOLS, ""))) > 3 * n_words(x))
+        shouts = x.contains(SHOUT) & (10 * (F.length(x) - F.length(F.replace(x, F.lit(SHOUT), F.lit("")))) > 3 * n_words(x))
+        separators = x.rlike(rf"[{SEPARATORS}][^{SEPARATORS}]*[{SEPARATORS}][^{SEPARATORS}]*[{SEPARATORS}]")
+        navigation = (F.length(x) <= NAVIGATION_CHARS) & x.rlike(NAVIGATION)
+        return (x != "") & (no_end | symbols | shouts | separators | navigation | (phrases & has_phrase(x)))
+
+    return let(F.btrim(line, F.lit(SPACES)), judge)
 
 
 def repeat_words(words: Column) -> Column:
@@ -74,7 +88,8 @@ def clean_lines(docs: DataFrame, max_lost: float = 0.3, min_words: int = 10, max
     has_word = lambda x: F.btrim(x, F.lit(SPACES)) != ""
     lines = F.split("t", "\n", -1)
     worded = let(F.filter(lines, has_word), lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    good = F.array_join(F.filter(lines, lambda x: ~line_fails(x)), "\n")
+    phrases = reduce(Column.__or__, [F.lower("t").contains(p) for p in BOILERPLATE])
+    good = let(phrases, lambda any_phrase: F.array_join(F.filter(lines, lambda x: ~line_fails(x, any_phrase)), "\n"))
     rows = rows.select(
         "doc_id", good.alias("clean_text"), n_words(F.col("t")).alias("n_words"),
         F.length(F.translate("t", SPACES, "")).cast("bigint").alias("word_chars"),
