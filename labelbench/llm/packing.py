@@ -2,13 +2,15 @@
 
 Texts are tokenised once per distinct word: tasks collect their distinct words, each is
 tokenised in one place, and the word -> ids table is kept as memory-mapped sorted hash arrays
-(with a second hash to tell a strange word from a known one).  Documents are then range-dealt to
-shards of bounded size by a lexical sketch (the smallest word hash), so that documents with many
-words in common tend to share a shard.  Every shard builds a BM25 inverted index over its
-documents.  A seed document queries it with its strongest words; unused neighbours in order of
-their scores fill the seed's window, the last one cut where the window is full.  What is left of
-a cut document is the next seed.  Only a shard's last sequence stays short, and it is split into
-sequences whose lengths are powers of two, which need no padding.
+(with a second hash to tell a strange word from a known one).  Document frequencies, the number of
+documents and their mean length are counted over all documents.  The BM25 inverted index is kept
+as memory-mapped blocks of bounded size, and every seed document queries all of them with all
+its words.  Packing goes in rounds: seeds ask for their best unused neighbours in the corpus,
+a document that several want goes to the one that ranks it highest, and a seed whose window fills
+gives a sequence, the last document cut where it is full.  What is left of a cut document is a
+seed of the next round; a seed that lost too many of its neighbours asks again.  The last
+``SHARD_TOKENS`` tokens are packed one seed after the other.  Only the very last sequence stays short,
+and it is split into sequences whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -35,7 +37,11 @@ from .common import as_docs
 U = np.uint64
 END_ID = 2
 WINDOW = 4096
-SHARD_TOKENS = 1 << 20  # tokens to a shard
+SHARD_TOKENS = 1 << 20  # tokens to a block of the index, and of the rest that is packed at once
+SHARD_DOCS = 8192  # documents to a block, at most
+SEEDS = 3072  # of a round, at most
+SEED_BLOCK = 256  # seeds to a task
+ASKED = 768  # neighbours that a seed asks for in a round: many, as seeds want the same ones
 RANGE_BYTES = 8 << 20  # of text to a range of word hashes
 TEXTS = 500
 PIECES = 300  # pieces that a task hands over at once
@@ -227,7 +233,7 @@ def _tokens_of(table: H.HashArrays, own: np.ndarray, texts, check: np.ndarray, t
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(doc_id, sketch, n, ids): ids as packed unsigned 32-bit little-endian numbers, end id included; landed."""
+    """(doc_id, n, ids, row_no): ids as packed unsigned 32-bit little-endian numbers, end id included; landed."""
     docs = as_docs(docs, "doc_id", "text")
     table, _ = word_table(docs, tokenizer_path)
 
@@ -244,39 +250,54 @@ def tokenised(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 per = np.concatenate([[0], np.cumsum(begin[inverse + 1] - begin[inverse])])[first]
                 flat = np.insert(flat, per[1:], END_ID)
                 per = per + np.arange(len(per))
-                low = np.full(len(part), np.iinfo(np.int64).max)
-                has = np.flatnonzero(np.diff(first))
-                if len(has):
-                    low[has] = np.minimum.reduceat(words.mix(h), first[:-1][has]).view(np.int64)
-                yield pa.record_batch([part.column(0), pa.array(low), pa.array(np.diff(per)),
+                yield pa.record_batch([part.column(0), pa.array(np.diff(per)),
                                        pa.array([zip_.compress(H.planes(flat[a:b])) for a, b in zip(per[:-1], per[1:], strict=True)], pa.binary())],
-                                      names=["doc_id", "sketch", "n", "ids"])
+                                      names=["doc_id", "n", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.mapInArrow(run, f"doc_id {kind}, sketch long, n long, ids binary")
+    rows = docs.mapInArrow(run, f"doc_id {kind}, n long, ids binary")
     return land(rows.withColumn("row_no", F.monotonically_increasing_id()), "pack-tokens")
 
 
+def postings(terms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, document, count) in that order, and the words of every document."""
+    size = np.array([len(t) for t in terms], np.int64)
+    doc = np.repeat(np.arange(len(terms)), size)
+    flat = np.concatenate(terms) if terms else np.zeros(0, U)
+    order = np.lexsort((doc, flat))
+    flat, doc = flat[order], doc[order]
+    head = np.concatenate([[True], (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])]) if len(flat) else np.zeros(0, bool)
+    at = np.flatnonzero(head)
+    return flat[at], doc[at], np.diff(np.append(at, len(flat))), size
+
+
+def bm25(df: np.ndarray, tf: np.ndarray, length: np.ndarray, n_docs: int, mean: float) -> np.ndarray:
+    return np.log1p((n_docs - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1)))
+
+
+def word_starts(flat: np.ndarray) -> np.ndarray:
+    """Where each word begins in sorted words, and the end."""
+    return np.append(np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])), len(flat)) if len(flat) else np.zeros(1, np.int64)
+
+
 class Index:
-    """BM25 inverted index of a shard: for every word its documents and their weights."""
-
-    def __init__(self, terms: list[np.ndarray]):
-        self.n = len(terms)
-        size = np.array([len(t) for t in terms])
-        doc = np.repeat(np.arange(self.n), size)
-        flat = np.concatenate(terms) if terms else np.zeros(0, U)
-        order = np.lexsort((doc, flat))
-        flat, doc = flat[order], doc[order]
-        head = np.concatenate([[True], (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])]) if len(flat) else np.zeros(0, bool)
-        at = np.flatnonzero(head)
-        tf = np.diff(np.append(at, len(flat)))
-        flat, self.doc = flat[at], doc[at]
-        word = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, bool)
-        self.first = np.append(np.flatnonzero(word), len(flat))
+    """BM25 inverted index: for every word its documents and their weights.
+
+    Weights follow from the documents themselves unless (word, document, weight), sorted, are given
+    as ``rows`` for ``n`` documents.
+    """
+
+    def __init__(self, terms: list[np.ndarray] | None, rows: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, n: int = 0):
+        if rows is None:
+            flat, self.doc, tf, size = postings(terms)
+            self.n, self.first = len(terms), word_starts(flat)
+            df = np.repeat(np.diff(self.first), np.diff(self.first))
+            self.weight = bm25(df, tf, size[self.doc], self.n, size.mean()) if len(flat) else np.zeros(0)
+        else:
+            flat, self.doc, self.weight = rows
+            self.n, self.first = n, word_starts(flat)
         df = np.diff(self.first)
-        number = np.cumsum(word) - 1
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        self.weight = idf[number] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.doc] / max(size.mean(), 1))) if len(flat) else np.zeros(0)
+        number = np.repeat(np.arange(len(df)), df)
         # of each document the strongest words that another document has, too
         shared = df[number] > 1
         own, num, w = self.doc[shared], number[shared], self.weight[shared]
@@ -350,6 +371,272 @@ def pack_shard(sizes: np.ndarray, index: Index, window: int = WINDOW) -> list[tu
     return pieces
 
 
+def _ids(blob: bytes, unzip: zstandard.ZstdDecompressor) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unzip.decompress(blob), np.uint8).reshape(8, -1)[:4].T).view("<u4").reshape(-1)
+
+
+def document_counts(rows: DataFrame, n_tokens: int, tokenizer_path: str) -> tuple[H.HashArrays, int]:
+    """How many documents have each word that two have, as arrays, and the number of words of all.  Runs a job."""
+    n_ranges = max(1, math.ceil(n_tokens / RANGE_BYTES))
+    folder = H.mounted_folder(rows.sparkSession, "pack-counts")
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends, unzip, counter, total = word_ends(tokenizer_path), zstandard.ZstdDecompressor(), H.Counter(n_ranges, most=2_000_000), 0
+        for batch in batches:
+            for c in range(0, len(batch), TEXTS):
+                terms = [_terms(_ids(x.as_py(), unzip), ends) for x in batch.column(0).slice(c, TEXTS)]
+                total += sum(len(t) for t in terms)
+                yield from counter.add(np.concatenate([np.unique(t) for t in terms]))
+        yield from counter.flush()
+        yield pa.record_batch([pa.array([-1], pa.int32()), pa.array([H.pack(np.zeros(1, U), np.array([total]))], pa.binary())], names=["part", "blob"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        k = t["part"][0].as_py()
+        keys, n = H.merge(b.as_py() for b in t["blob"])
+        if k < 0:
+            return pa.table({"part": pa.array([k], pa.int32()), "n": [int(n.sum())]})
+        keys, n = keys[n > 1], n[n > 1]
+        H.save(folder, f"df-{k}-keys", keys)
+        H.save(folder, f"df-{k}-n", H.smallest(n))
+        return pa.table({"part": pa.array([k], pa.int32()), "n": [len(keys)]})
+
+    sizes, total = [0] * n_ranges, 0
+    for r in rows.select("ids").mapInArrow(collect, "part int, blob binary").groupBy("part").applyInArrow(merge, "part int, n long").collect():
+        if r.part < 0:
+            total = r.n
+        else:
+            sizes[r.part] = r.n
+    return H.HashArrays(folder, "df", sizes), total
+
+
+class Corpus:
+    """The BM25 index of all documents in blocks of files; documents are numbered through the blocks."""
+
+    def __init__(self, rows: DataFrame, tokenizer_path: str):
+        """Runs jobs."""
+        n_docs, n_tokens = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        counts, total = document_counts(rows, n_tokens, tokenizer_path)
+        self.folder = folder = H.mounted_folder(rows.sparkSession, "pack-index")
+        self.spark = rows.sparkSession
+        mean, most, most_docs = total / max(n_docs, 1), SHARD_TOKENS, SHARD_DOCS
+
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ends, unzip, task = word_ends(tokenizer_path), zstandard.ZstdDecompressor(), TaskContext.get().partitionId()
+            row, size, terms, done, held = [], [], [], 0, 0
+
+            def save():
+                flat, doc, tf, length = postings(terms)
+                first = word_starts(flat)
+                df = counts.take(counts.find(flat[first[:-1]]), "n")
+                keep = np.repeat(df > 1, np.diff(first))  # a word that one document has leads to no other
+                weight = bm25(np.repeat(df, np.diff(first)), tf, length[doc], n_docs, mean)[keep]
+                flat, doc = flat[keep], doc[keep]
+                first = word_starts(flat)
+                for what, x in (("term", flat[first[:-1]]), ("first", first.astype(np.uint32)), ("doc", doc.astype(np.uint16)),
+                                ("weight", weight.astype(np.float32)), ("row", np.array(row)), ("size", np.array(size))):
+                    H.save(folder, f"{task}-{done}-{what}", x)
+                return pa.record_batch([pa.array([f"{task}-{done}"]), pa.array([len(row)], pa.int64())], names=["block", "n"])
+
+            for batch in batches:
+                for no, n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    if row and (held + n > most or len(row) == most_docs):
+                        yield save()
+                        row, size, terms, done, held = [], [], [], done + 1, 0
+                    row.append(no)
+                    size.append(n)
+                    terms.append(_terms(_ids(blob.as_py(), unzip), ends))
+                    held += n
+            if row:
+                yield save()
+
+        made = sorted((r.block, r.n) for r in rows.select("row_no", "n", "ids").mapInArrow(build, "block string, n long").collect())  # one row per block
+        self.blocks = [b for b, _ in made]
+        self.base = np.concatenate([[0], np.cumsum([n for _, n in made])]).astype(np.int64)
+        every = lambda what: np.concatenate([np.zeros(0, np.int64), *[np.load(f"{folder}/{b}-{what}.npy") for b in self.blocks]])
+        self.row, self.size = every("row"), every("size")
+
+    def _files(self):
+        """What tasks need of this: no session, no arrays."""
+        folder, blocks, base = self.folder, self.blocks, self.base
+
+        def block(b: int) -> list[np.ndarray]:
+            return [H.load(folder, f"{blocks[b]}-{what}") for what in ("term", "first", "doc", "weight")]
+
+        def terms_of(docs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            """(word, place in ``docs``, weight) of documents in rising order, block by block."""
+            for b in range(len(blocks)):
+                lo, hi = np.searchsorted(docs, base[b:b + 2])
+                if lo < hi:
+                    term, first, doc, weight = block(b)
+                    place = np.full(base[b + 1] - base[b], -1)
+                    place[docs[lo:hi] - base[b]] = np.arange(lo, hi)
+                    at = place[doc]
+                    has = np.flatnonzero(at >= 0)
+                    yield term[np.searchsorted(first, has, side="right") - 1], at[has], weight[has]
+
+        return block, terms_of
+
+    def neighbours(self, seeds: np.ndarray, free: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(seed, document, score) of the ``k`` free documents of greatest score of every seed, in any order.
+
+        The scores are those of all the seed's words over the whole corpus; seeds don't find
+        themselves, nor documents of score 0.  Equal scores are put in an order of the seed's own (by
+        a hash, as one part in a million), so that seeds among many copies ask for different ones.
+        """
+        block, terms_of = self._files()
+        folder, base, width, name = self.folder, self.base, SEED_BLOCK, os.urandom(6).hex()
+        H.save(folder, f"seeds-{name}", np.sort(seeds))
+        H.save(folder, f"free-{name}", free)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for task in (int(i) for batch in batches for i in batch.column(0).to_numpy()):
+                own = np.array(H.load(folder, f"seeds-{name}")[task * width:(task + 1) * width])
+                word, seed, _ = (np.concatenate(x) for x in zip((np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0)), *terms_of(own), strict=True))
+                word, inverse = np.unique(word, return_inverse=True)
+                best, who = np.zeros((len(own), 0), np.float32), np.zeros((len(own), 0), np.int64)
+                for b in range(len(base) - 1):
+                    scores = _scores(*block(b), int(base[b + 1] - base[b]), word, inverse, seed, len(own))
+                    no = np.arange(base[b], base[b + 1])
+                    scores[:, ~H.load(folder, f"free-{name}")[base[b]:base[b + 1]]] = 0
+                    inside = np.flatnonzero((own >= base[b]) & (own < base[b + 1]))
+                    scores[inside, own[inside] - base[b]] = 0
+                    mark = words.mix(own.astype(U))[:, None].astype(np.uint32) ^ words.mix(no.astype(U) + U(1)).astype(np.uint32)[None]
+                    scores *= 1 + 1e-6 * ((mark * np.uint32(2654435761)) >> np.uint32(16)).astype(np.float32) / 65536
+                    if scores.shape[1] > k:
+                        at = np.argpartition(scores, -k, axis=1)[:, -k:]
+                        scores, no = np.take_along_axis(scores, at, 1), no[at]
+                    best, who = np.hstack([best, scores]), np.hstack([who, np.broadcast_to(no, scores.shape)])
+                    if best.shape[1] > k:
+                        at = np.argpartition(best, -k, axis=1)[:, -k:]
+                        best, who = np.take_along_axis(best, at, 1), np.take_along_axis(who, at, 1)
+                i, j = np.nonzero(best > 0)
+                yield pa.record_batch([pa.array(own[i]), pa.array(who[i, j]), pa.array(best[i, j])], names=["seed", "doc", "score"])
+
+        n = max(1, math.ceil(len(seeds) / width))
+        got = self.spark.range(0, n, 1, n).mapInArrow(run, "seed long, doc long, score float").toArrow()  # at most SEEDS x ASKED rows unless no window fills
+        for what in ("seeds", "free"):
+            os.remove(f"{folder}/{what}-{name}.npy")
+        return got["seed"].to_numpy(), got["doc"].to_numpy(), got["score"].to_numpy()
+
+    def rest(self, docs: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
+        """Pieces of ``pack_shard`` for these documents (in rising order) as an array of five columns.  Runs a job."""
+        _, terms_of = self._files()
+        folder, name = self.folder, os.urandom(6).hex()
+        H.save(folder, f"rest-{name}", np.stack([docs, sizes]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _ in batches:
+                own, size = np.array(H.load(folder, f"rest-{name}"))
+                rows = [np.concatenate(x) for x in zip((np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.float32)), *terms_of(own), strict=True)]
+                order = np.lexsort((rows[1], rows[0]))
+                pieces = pack_shard(size, Index(None, tuple(x[order] for x in rows), len(own)), window)
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*pieces, strict=True)], names=["doc", "start", "n", "seq", "off"])
+
+        got = self.spark.range(0, 1, 1, 1).mapInArrow(run, "doc long, start long, n long, seq long, off long").toArrow()
+        return np.stack([c.to_numpy() for c in got.columns], axis=1)
+
+
+CLAIMS = 16  # ranks after which seeds that are full are left out
+DENSE = 16  # a word that one in so many documents of a block has is scored by a matrix product
+
+
+def _scores(term, first, doc, weight, n: int, word: np.ndarray, inverse: np.ndarray, seed: np.ndarray, n_seeds: int) -> np.ndarray:
+    """Scores of a block's documents for seeds, whose words are ``word[inverse]``."""
+    if not len(term) or not len(word):
+        return np.zeros((n_seeds, n), np.float32)
+    at = np.minimum(np.searchsorted(term, word), len(term) - 1)
+    at = np.where(term[at] == word, at, -1)[inverse]
+    seed, at = seed[at >= 0], at[at >= 0]
+    first = first.astype(np.int64)
+    df = np.diff(first)
+    common = df[at] * DENSE > n
+    a, m = first[at[~common]], df[at[~common]]
+    take = np.repeat(a - np.concatenate([[0], np.cumsum(m)[:-1]]).astype(np.int64), m) + np.arange(m.sum())
+    out = np.bincount(np.repeat(seed[~common] * n, m) + doc[take], weight[take], minlength=n_seeds * n).reshape(n_seeds, n).astype(np.float32)
+    some, place = np.unique(at[common], return_inverse=True)
+    if len(some):
+        asks, has = np.zeros((n_seeds, len(some)), np.float32), np.zeros((len(some), n), np.float32)
+        asks[seed[common], place] = 1
+        take = np.repeat(first[some] - np.concatenate([[0], np.cumsum(df[some])[:-1]]), df[some]) + np.arange(df[some].sum())
+        has[np.repeat(np.arange(len(some)), df[some]), doc[take]] = weight[take]
+        out += asks @ has
+    return out
+
+
+def pack_corpus(corpus: Corpus, window: int = WINDOW) -> np.ndarray:
+    """(document, start, length, sequence, offset) of every piece of all documents, as five columns.  Runs jobs."""
+    size, start = corpus.size.copy(), np.zeros(len(corpus.size), np.int64)
+    order = np.argsort(words.mix(np.arange(len(size)).astype(U)), kind="stable")  # of seeds: spread over the corpus
+    pieces, seq = [np.zeros((0, 5), np.int64)], 0
+    whole = size // window  # windows that a long document fills by itself
+    if whole.sum():
+        doc = np.repeat(np.arange(len(size)), whole)
+        k = np.arange(len(doc)) - np.repeat(np.cumsum(whole) - whole, whole)
+        pieces.append(np.stack([doc, k * window, np.full(len(doc), window), np.arange(len(doc)), np.zeros(len(doc), np.int64)], axis=1))
+        seq, start, size = len(doc), whole * window, size % window
+    asked, most = ASKED, SEEDS
+    while size.sum() > max(SHARD_TOKENS, window):
+        pool = order[size[order] > 0]
+        pool = pool[np.argsort(start[pool] == 0, kind="stable")]  # what is left of cut documents first
+        seeds = pool[:max(1, min(most, int(size.sum()) // (2 * window)))]
+        seed, doc, score = corpus.neighbours(seeds, size > 0, asked)
+        by = np.lexsort((doc, -score, seed))
+        seed, doc, score = seed[by], doc[by], score[by]
+        rank = np.arange(len(seed)) - np.searchsorted(seed, seed)
+        number = dict(zip(*(x.tolist() for x in np.unique(seed, return_counts=True)), strict=True))
+        by = np.lexsort((seed, -score, rank))
+        members = {int(s): [] for s in seeds}
+        room, taken = {s: window - int(size[s]) for s in members}, set()
+        seed, doc, rank = seed[by], doc[by], rank[by]
+        for c in range(0, asked, CLAIMS):
+            a, b = np.searchsorted(rank, (c, c + CLAIMS))
+            wants = np.isin(seed[a:b], [s for s in members if room[s] > 0 and s not in taken])
+            for s, d in zip(seed[a:b][wants].tolist(), doc[a:b][wants].tolist(), strict=True):
+                if room[s] > 0 and s not in taken and d not in taken and not members.get(d):
+                    members[s].append(d)
+                    taken.add(d)
+                    room[s] -= int(size[d])
+        full = [s for s in members if s not in taken and room[s] <= 0]
+        gone = set(full).union(*(members[s] for s in full))
+        spare = iter(pool.tolist())
+        for s in members:  # no more related documents at all: any others
+            if s in gone or room[s] <= 0 or number.get(s, 0) >= asked:
+                continue
+            mine = [d for d in members[s] if d not in gone] if s not in taken else []
+            own, left = {s, *mine}, window - int(size[s]) - sum(int(size[d]) for d in mine)
+            for d in spare if left > 0 else ():
+                if d not in gone and d not in own and d not in members:
+                    mine.append(d)
+                    left -= int(size[d])
+                    if left <= 0:
+                        break
+            if left <= 0:
+                members[s] = mine
+                full.append(s)
+                gone.update(own, mine)
+        made = []
+        for s in full:
+            at = 0
+            for d in (s, *members[s]):
+                n = min(int(size[d]), window - at)
+                made.append((d, int(start[d]), n, seq, at))
+                at, start[d], size[d] = at + n, start[d] + n, size[d] - n
+            seq += 1
+        if made:
+            pieces.append(np.array(made, np.int64))
+            asked, most = ASKED, min(SEEDS, 2 * most)
+        else:
+            asked, most = min(4 * asked, len(size) + 1), max(1, len(seeds) // 4)
+    left = np.flatnonzero(size > 0)
+    if len(left):
+        last = corpus.rest(left, size[left], window)
+        last[:, 0] = left[last[:, 0]]
+        last[:, 1] += start[last[:, 0]]
+        last[:, 3] += seq
+        pieces.append(last)
+    return np.concatenate(pieces)
+
+
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids): one row per piece.
 
@@ -359,29 +646,32 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
     no row.  Runs jobs when called.
     """
     rows = tokenised(docs, tokenizer_path)
-    n_tokens = rows.agg(F.sum("n")).first()[0] or 0
-    shards = rows.repartitionByRange(max(1, math.ceil(n_tokens / SHARD_TOKENS)), "sketch", "row_no").sortWithinPartitions("sketch", "row_no")
+    corpus = Corpus(rows, tokenizer_path)
+    pieces = pack_corpus(corpus, window)
+    row = corpus.row[pieces[:, 0]]
+    order = np.lexsort((pieces[:, 1], row))
+    folder = H.mounted_folder(docs.sparkSession, "pack-pieces")
+    H.save(folder, "row", row[order])
+    H.save(folder, "piece", pieces[order, 1:])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends, shard, unzip = word_ends(tokenizer_path), TaskContext.get().partitionId(), zstandard.ZstdDecompressor()
-        doc_ids, ids = [], []
+        unzip, rows_of, piece = zstandard.ZstdDecompressor(), H.load(folder, "row"), H.load(folder, "piece")
         for batch in batches:
-            doc_ids.append(batch.column(0))
-            ids += [np.ascontiguousarray(np.frombuffer(unzip.decompress(x.as_py()), np.uint8).reshape(8, -1)[:4].T).view("<u4").reshape(-1) for x in batch.column(1)]
-        if not ids:
-            return
-        sizes = np.array([len(x) for x in ids])
-        pieces = pack_shard(sizes, Index([_terms(x, ends) for x in ids]), window)
-        doc_ids = pa.chunked_array(doc_ids)
-        for c in range(0, len(pieces), PIECES):
-            part = pieces[c:c + PIECES]
-            doc, start, n, seq, off = (np.array(x, np.int64) for x in zip(*part, strict=True))
-            blobs = [ids[d][a:a + k].tobytes() for d, a, k, _, _ in part]
-            yield pa.record_batch([doc_ids.take(pa.array(doc)).combine_chunks(), pa.array(start), pa.array(n), pa.array([zlib.crc32(b) for b in blobs], pa.int64()),
-                                   pa.array(sizes[doc].astype(np.int64)), pa.array((np.int64(shard) << 32) + seq), pa.array(off), pa.array(blobs, pa.binary())],
-                                  names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+            for c in range(0, len(batch), PIECES):
+                part = batch.slice(c, PIECES)
+                no = part.column(1).to_numpy()
+                a = np.searchsorted(rows_of, no)
+                n = np.searchsorted(rows_of, no, side="right") - a
+                doc = np.repeat(np.arange(len(no)), n)
+                start, length, seq, off = piece[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())].T
+                ids = [_ids(x.as_py(), unzip) for x in part.column(3)]
+                blobs = [ids[d][s:s + k].tobytes() for d, s, k in zip(doc, start, length, strict=True)]
+                yield pa.record_batch([part.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array([zlib.crc32(b) for b in blobs], pa.int64()),
+                                       part.column(2).take(pa.array(doc)), pa.array(seq), pa.array(off), pa.array(blobs, pa.binary())],
+                                      names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return shards.select("doc_id", "ids").mapInArrow(
+    return rows.select("doc_id", "row_no", "n", "ids").mapInArrow(
         run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 

@@ -121,6 +121,38 @@ def test_packing_round_trip(spark, docs, odd, none, monkeypatch):
     assert packing.pack(none, path).count() == 0
 
 
+def test_packing_searches_the_whole_corpus(spark, docs, monkeypatch):
+    """Small blocks of the index, neighbours in any of them: the same as brute force over all documents."""
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 20_000)
+    path = queries.tokenizer_path()
+    rows = packing.tokenised(docs, path)
+    corpus = packing.Corpus(rows, path)
+    assert len(corpus.blocks) > 3
+    unzip, ends = packing.zstandard.ZstdDecompressor(), packing.word_ends(path)
+    by_row = {r.row_no: packing._terms(packing._ids(r.ids, unzip), ends).tolist() for r in rows.collect()}
+    terms = [by_row[r] for r in corpus.row.tolist()]
+    df, tf = defaultdict(int), [defaultdict(int) for _ in terms]
+    for i, words in enumerate(terms):
+        for w in words:
+            df[w] += not tf[i][w]
+            tf[i][w] += 1
+    mean = sum(map(len, terms)) / len(terms)
+    weight = [{w: float(packing.bm25(df[w], c, len(t), len(terms), mean)) for w, c in x.items()} for x, t in zip(tf, terms)]
+    free = np.arange(len(terms)) % 5 > 0
+    seeds = np.arange(3, len(terms), max(1, len(terms) // 20))
+    got = defaultdict(dict)
+    for s, d, x in zip(*corpus.neighbours(seeds, free, 10)):
+        got[s][d] = x
+    far = 0
+    for s in seeds:
+        want = {d: sum(weight[d].get(w, 0) for w in tf[s] if df[w] > 1) for d in range(len(terms)) if free[d] and d != s}
+        top = sorted(want.values(), reverse=True)[:10]
+        assert np.allclose(sorted(got[s].values(), reverse=True), [x for x in top if x > 0], rtol=1e-4)
+        assert all(abs(want[d] - x) <= 1e-4 * x for d, x in got[s].items())
+        far += sum(np.searchsorted(corpus.base, d, side="right") != np.searchsorted(corpus.base, s, side="right") for d in got[s])
+    assert far
+
+
 def test_packing_follows_bm25():
     a, b = np.arange(50, dtype=np.uint64), np.arange(100, 150, dtype=np.uint64)
     index = packing.Index([a, b, a[:30], b[:30], a[:10]])
