@@ -45,7 +45,6 @@ ASKED = 768  # neighbours that a seed asks for in a round: many, as seeds want t
 RANGE_BYTES = 8 << 20  # of text to a range of word hashes
 TEXTS = 500
 PIECES = 300  # pieces that a task hands over at once
-QUERY_WORDS = 32
 K1, B = 1.2, 0.75
 
 
@@ -298,16 +297,16 @@ class Index:
             self.n, self.first = n, word_starts(flat)
         df = np.diff(self.first)
         number = np.repeat(np.arange(len(df)), df)
-        # of each document the strongest words that another document has, too
+        # of each document the words that another document has, too
         shared = df[number] > 1
-        own, num, w = self.doc[shared], number[shared], self.weight[shared]
-        order = np.lexsort((num, -w, own))
+        own, num = self.doc[shared], number[shared]
+        order = np.lexsort((num, own))
         own, self.query = own[order], num[order]
         self.query_first = np.searchsorted(own, np.arange(self.n + 1))
 
     def neighbours(self, doc: int) -> np.ndarray:
-        """Documents by falling BM25 score for the document's strongest words."""
-        q = self.query[self.query_first[doc]:min(self.query_first[doc] + QUERY_WORDS, self.query_first[doc + 1])]
+        """Documents by falling BM25 score for all the document's words."""
+        q = self.query[self.query_first[doc]:self.query_first[doc + 1]]
         if not len(q):
             return q
         a, n = self.first[q], self.first[q + 1] - self.first[q]

@@ -162,6 +162,14 @@ def test_packing_follows_bm25():
     assert [p[0] for p in pieces[:2]] == [0, 2] and {p[0] for p in pieces if p[3] == 1} >= {1, 3}
 
 
+def test_packing_queries_with_all_words():
+    strong, weak = np.arange(40, dtype=np.uint64), np.arange(100, 140, dtype=np.uint64)
+    index = packing.Index([np.concatenate([strong, weak]), strong, weak, *[weak[:20]] * 5])
+    assert set(index.neighbours(0)) == set(range(8))
+    got = packing.Index([np.arange(80, dtype=np.uint64), np.arange(50, dtype=np.uint64), np.arange(30, 80, dtype=np.uint64)])
+    assert set(got.neighbours(0)) == {0, 1, 2} and len(got.query) == 80 + 50 + 50
+
+
 @pytest.mark.parametrize("limit", [2000, 40_000, 1 << 30])
 def test_sharding_brute(spark, odd, none, docs, limit):
     for table in (docs, odd):
