@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import land
-from .common import as_docs
+from .common import as_docs, numbered
 
 HASH_BITS = 60
 STRIDE = 12
@@ -70,9 +70,14 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limi
     column keeps its name.  Null text has 0 bytes; null keys share one hash; a single row above
     the limit has a page of its own.  An empty table has no shard.
     """
-    rows = as_docs(docs, key, text).select(F.col(f"`{key}`").alias("k"), F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("bigint").alias("n_bytes"))
-    rows = land(rows.withColumn("h", hash_of("k")).withColumn("salt", F.spark_partition_id())
-                .withColumn("row_no", F.monotonically_increasing_id()), "shard-rows")
+    n_bytes = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("bigint")
+    rows = as_docs(docs, key, text).select(F.col(f"`{key}`").alias("k"), n_bytes.alias("n_bytes"), F.monotonically_increasing_id().alias("row_no"))
+    return _assigned(rows, limit_bytes).select(F.col("k").alias(key), "n_bytes", "depth", "shard_bits", "page")
+
+
+def _assigned(rows: DataFrame, limit_bytes: int) -> DataFrame:
+    """(k, n_bytes, depth, shard_bits, page, row_no) for rows of k, n_bytes and row_no."""
+    rows = land(rows.withColumn("h", hash_of("k")).withColumn("salt", F.spark_partition_id()), "shard-rows")
     leaf = directory(rows.select("h", "n_bytes"), limit_bytes)
     depths = [r[0] for r in leaf.select("depth").distinct().orderBy("depth").collect()]  # at most 61 numbers
     # the depth of a row's leaf differs between rows, so a row looks up every depth in use at once
@@ -99,18 +104,21 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limi
     rank = F.row_number().over(Window.partitionBy("shard_bits", "n_bytes", "salt").orderBy("row_no")) - 1
     large = large.withColumn("r", rank).join(per, ["shard_bits", "n_bytes", "salt"]) \
         .withColumn("page", (F.col("base") + F.floor((F.col("skip") + F.col("r")) / room)).cast("bigint"))
-    cols = [F.col("k").alias(key), "n_bytes", F.col("depth").cast("int").alias("depth"), "shard_bits", "page"]
+    cols = ["k", "n_bytes", F.col("depth").cast("int").alias("depth"), "shard_bits", "page", "row_no"]
     return small.select(*cols).unionByName(large.select(*cols))
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", limit_bytes: int = LIMIT_BYTES) -> DataFrame:
-    """Write the whole rows as Parquet, one folder per shard, and return the assignment.
+    """Write the whole rows as Parquet, one folder per shard and page, and return the assignment.
 
-    Rows meet their shard by key (a repeated key: its rows share the first shard of the key).
+    Every row goes to the page that the assignment gives it, by a number landed with the row:
+    rows of one key, or of none, that exceed the limit together lie in several folders.
     """
-    plan = assign_shards(docs, key, limit_bytes=limit_bytes)
-    of = plan.groupBy(key).agg(F.min(F.struct("shard_bits", "page")).alias("_s"))
-    out = docs.join(of.withColumnRenamed(key, "_k"), docs[key].eqNullSafe(F.col("_k"))).select(
-        *[docs[c] for c in docs.columns], F.concat_ws("-", F.concat(F.lit("b"), F.col("_s.shard_bits")), F.col("_s.page").cast("string")).alias("_shard"))
+    whole = numbered(docs)
+    of = lambda c: F.col("row").getField(c)
+    sized = whole.select(of(key).alias("k"), F.coalesce(F.octet_length(of("text")), F.lit(0)).cast("bigint").alias("n_bytes"), "row_no")
+    plan = land(_assigned(sized, limit_bytes), "shard-plan")
+    folder = F.concat_ws("-", F.concat(F.lit("b"), F.col("shard_bits")), F.col("page").cast("string"))
+    out = whole.join(plan.select("row_no", folder.alias("_shard")), "row_no").select(*[of(c).alias(c) for c in docs.columns], "_shard")
     out.repartition("_shard").write.mode("overwrite").partitionBy("_shard").parquet(path)
-    return plan
+    return plan.select(F.col("k").alias(key), "n_bytes", "depth", "shard_bits", "page")

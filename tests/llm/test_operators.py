@@ -197,6 +197,21 @@ def test_sharding_splits_equal_keys(spark):
     assert sum(pages.values()) == 5270 and max(pages.values()) <= 1000 and len(pages) == 6
 
 
+def test_written_shards_follow_the_plan(spark, tmp_path):
+    rows = [(7, "t" * 100)] * 50 + [(7, "u" * 30)] * 9 + [(None, "n" * 90)] * 30 + [(i, "v" * 50) for i in range(100, 140)] + [(8, None)]
+    table = land(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "equal")
+    plan = sharding.write_shards(table, f"{tmp_path}/shards", limit_bytes=1000).collect()
+    want, got = defaultdict(list), defaultdict(list)
+    for r in plan:
+        want[f"b{r.shard_bits}-{r.page}"].append((r.doc_id is None, r.doc_id or 0, r.n_bytes))
+    back = spark.read.parquet(f"{tmp_path}/shards").collect()
+    for r in back:
+        got[r._shard].append((r.doc_id is None, r.doc_id or 0, len(r.text or "")))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert max(sum(n for *_, n in v) for v in got.values()) <= 1000
+    assert sorted((r.doc_id or -1, r.text or "") for r in back) == sorted((i or -1, x or "") for i, x in rows)
+
+
 def test_substring_brute(spark, docs, odd, none, monkeypatch):
     monkeypatch.setattr(substring, "BLOCK_BYTES", 60_000)
     monkeypatch.setattr(substring, "BUCKET_BYTES", 100_000)
