@@ -165,14 +165,17 @@ def fit(x: np.ndarray, size: np.ndarray, y: np.ndarray, epochs: int = 30, step:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from (doc_id, quality) rows; null labels are left out.  Runs jobs when called.
 
-    Of more than ``sample`` labelled ids those with the smallest hashes are read (``sample`` bounds
-    what is broadcast and what reaches the driver).  Without labels every score is 0.5.
+    Of more than ``sample`` labelled ids those with the smallest hashes are read, and of rows of one
+    id the one whose text has the smallest hash (``sample`` bounds what is broadcast, the rows
+    learned from and what reaches the driver).  Without labels every score is 0.5.
     """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)")
     picked = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumn("pick", F.xxhash64("doc_id")) \
         .orderBy("pick", "doc_id").limit(sample)
     picked = land(picked, "quality-labels")
-    texts = as_docs(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "quality", F.pmod("pick", F.lit(2)).alias("half"))
+    texts = as_docs(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id") \
+        .groupBy("doc_id", "quality", "pick").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")) \
+        .select("text", "quality", F.pmod("pick", F.lit(2)).alias("half"))
     texts = land(texts, "quality-texts")  # the sample only
 
     def lexicon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

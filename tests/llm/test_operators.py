@@ -53,6 +53,13 @@ def test_quality_held_out_and_odd_rows(spark, odd, none):
     assert {r.score for r in quality.score(odd, blank).collect()} == {0.5}
 
 
+def test_quality_learns_one_row_of_an_id(spark, docs):
+    labels = land(docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).limit(60), "some-labels")
+    hot = docs.join(labels, "doc_id", "left_semi").limit(2).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("i")
+    one, many = (quality.train(land(d, "hot"), labels) for d in (docs, docs.unionByName(hot)))
+    assert np.array_equal(one.lexicon, many.lexicon) and np.allclose(one.mean, many.mean) and np.allclose(one.scale, many.scale)
+
+
 def test_quality_gradients():
     rng = np.random.default_rng(0)
     size = np.array([1, 4, 2])
