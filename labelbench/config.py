@@ -13,7 +13,7 @@ class ExperimentConfig:
 
     ``max_len`` is the encoder's length: a text counts with its first ``max_len - 2`` tokens.
     ``epochs`` is the most epochs a model trains for; early stopping may end it sooner.  The hashed
-    features are as wide as twice the distinct tokens, up to ``max_features``.
+    features are as wide as twice the distinct tokens.
     """
 
     test_size: float = 0.15
@@ -22,5 +22,4 @@ class ExperimentConfig:
     max_len: int = 300
     epochs: int = 5
     weight_decay: float = 1e-6
-    max_features: int = 1 << 20
     fit_parallelism: int = 4

@@ -45,9 +45,9 @@ def _model_tokens(text_col: str, max_len: int) -> Column:
 
 
 def feature_width(df: DataFrame, cfg: ExperimentConfig = ExperimentConfig(), text_col: str = "description") -> int:
-    """A power of two of at least twice the distinct tokens (estimated), ``max_features`` at most.  Runs a job."""
+    """A power of two of at least twice the distinct tokens (estimated).  Runs a job."""
     n = df.select(F.explode(_model_tokens(text_col, cfg.max_len)).alias("t")).agg(F.approx_count_distinct("t")).first()[0]
-    return min(1 << math.ceil(math.log2(max(2 * n, 16))), cfg.max_features)
+    return 1 << math.ceil(math.log2(max(2 * n, 16)))
 
 
 def featurize(df: DataFrame, width: int, cfg: ExperimentConfig = ExperimentConfig(), text_col: str = "description",

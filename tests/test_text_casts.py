@@ -65,3 +65,11 @@ def test_na_tokens_to_null(spark):
     out = [r.o for r in df.select(casts.na_to_null("v").alias("o")).collect()]
     assert out[: len(NA_TOKENS)] == [None] * len(NA_TOKENS)
     assert out[-2:] == ["ok", " NA"]
+
+
+def test_feature_width_follows_the_vocabulary(spark):
+    from labelbench.operators import train as tr
+
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: F.concat(F.lit("w"), (F.col("id") * 200 + i).cast("string"))), " ")
+    df = spark.range(4000).select(words.alias("description"))
+    assert tr.feature_width(df) == 1 << 21
