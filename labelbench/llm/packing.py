@@ -231,6 +231,21 @@ def _tokens_of(table: H.HashArrays, own: np.ndarray, texts, check: np.ndarray, t
     return out, first
 
 
+def token_batches(table: H.HashArrays, tokenizer_path: str, batches: Iterator[pa.RecordBatch],
+                  end_id: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Of every few hundred rows (key, text): the rows, their ids end to end with the end id behind each text, and the n + 1 places."""
+    for batch in batches:
+        for c in range(0, len(batch), TEXTS):
+            part = batch.slice(c, TEXTS)
+            data, s, e, first, h = _read(part.column(1))
+            own, at, inverse = _distinct(h)
+            check = words.hash_spans(data, s[at], e[at], seed=1).astype(np.uint32)
+            ids, begin = _tokens_of(table, own, lambda i: data[s[at[i]]:e[at[i]]].tobytes().decode(), check, tokenizer_path)  # noqa: B023
+            flat = _slices(ids, begin[inverse], begin[inverse + 1])
+            per = np.concatenate([[0], np.cumsum(begin[inverse + 1] - begin[inverse])])[first]
+            yield part, np.insert(flat, per[1:], end_id), per + np.arange(len(per))
+
+
 def tokenised(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(doc_id, n, ids, row_no): ids as packed unsigned 32-bit little-endian numbers, end id included; landed."""
     docs = as_docs(docs, "doc_id", "text")
@@ -238,20 +253,10 @@ def tokenised(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            for c in range(0, len(batch), TEXTS):
-                part = batch.slice(c, TEXTS)
-                data, s, e, first, h = _read(part.column(1))
-                own, at, inverse = _distinct(h)
-                check = words.hash_spans(data, s[at], e[at], seed=1).astype(np.uint32)
-                ids, begin = _tokens_of(table, own, lambda i: data[s[at[i]]:e[at[i]]].tobytes().decode(), check, tokenizer_path)  # noqa: B023
-                flat = _slices(ids, begin[inverse], begin[inverse + 1])
-                per = np.concatenate([[0], np.cumsum(begin[inverse + 1] - begin[inverse])])[first]
-                flat = np.insert(flat, per[1:], END_ID)
-                per = per + np.arange(len(per))
-                yield pa.record_batch([part.column(0), pa.array(np.diff(per)),
-                                       pa.array([zip_.compress(H.planes(flat[a:b])) for a, b in zip(per[:-1], per[1:], strict=True)], pa.binary())],
-                                      names=["doc_id", "n", "ids"])
+        for part, flat, per in token_batches(table, tokenizer_path, batches, END_ID):
+            yield pa.record_batch([part.column(0), pa.array(np.diff(per)),
+                                   pa.array([zip_.compress(H.planes(flat[a:b])) for a, b in zip(per[:-1], per[1:], strict=True)], pa.binary())],
+                                  names=["doc_id", "n", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.mapInArrow(run, f"doc_id {kind}, n long, ids binary")
