@@ -142,3 +142,22 @@ o AS (SELECT doc_id, held_out, count(*) AS n_tokens, count(CASE WHEN c > 0 THEN
       fsum(log10((c + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))) AS base_score,
       fsum(log10(CASE WHEN total IS NULL THEN low ELSE lower_pc / total + share * low END)) AS score FROM p GROUP BY ALL)
 SELECT *, 10 ** (-score / n_tokens) AS perplexity FROM o"""
+
+TRIE = rf"""
+WITH RECURSIVE convs AS (SELECT DISTINCT conv_id AS doc_id FROM conversations WHERE conv_id IS NOT NULL), {CRC32.strip().replace("FROM documents", "FROM convs")},
+t AS (SELECT conv_id, x, n, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(x)) AS k
+      FROM (SELECT conv_id, turn, length(coalesce(role, '')) || ' ' || coalesce(role, '') || ' ' || coalesce(text, '') AS x,
+                   length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL)),
+h AS (SELECT doc_id AS conv_id, crc % 6 AS h FROM crc32),
+r AS (SELECT h.conv_id, 0 AS part, k, x, n FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 100 AND k <= h
+      UNION ALL SELECT h.conv_id, 1, k, x, n FROM h JOIN t USING (conv_id) WHERE k > h),
+l AS (SELECT doc_id AS conv_id, coalesce(xs, []) AS xs, coalesce(ns, []) AS ns FROM convs LEFT JOIN
+      (SELECT conv_id, list(md5(x) ORDER BY part, k) AS xs, list(n ORDER BY part, k) AS ns FROM r GROUP BY 1) g ON g.conv_id = doc_id),
+p AS (SELECT conv_id, d, array_to_string(xs[1:d], '') AS k, coalesce(ns[d], 0) AS n, len(xs) = d AS ends FROM (SELECT *, unnest(range(len(xs) + 1)) AS d FROM l)),
+node AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n,
+                sha256(coalesce(string_agg(CASE WHEN ends THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM p GROUP BY ALL),
+ch AS (SELECT d - 1 AS d, left(k, 32 * (d - 1)) AS k, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+sub AS (SELECT a AS d, left(k, 32 * a) AS k, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+        FROM (SELECT k, (n_children IS NULL)::INT AS leaf, (n_convs - 1) * n AS saved, unnest(range(d + 1)) AS a FROM node LEFT JOIN ch USING (d, k)) GROUP BY ALL)
+SELECT node.conv_id, node.d AS depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, node.ends_sha256
+FROM node JOIN sub USING (d, k) LEFT JOIN ch USING (d, k) LEFT JOIN node up ON up.d = node.d - 1 AND up.k = left(node.k, 32 * (node.d - 1))"""

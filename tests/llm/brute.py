@@ -103,3 +103,32 @@ def kneser_ney(train, texts):
         out.append((len(w), sum(uni[x] > 0 for x in w), n, sum(math.log10((uni[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w),
                     sum(math.log10(p(h, x)) for h, x in zip([b"\n", *w], w))))
     return out
+
+
+def trie(rows, shared=None):
+    """Nodes of (conv_id, turn, role, text) rows, as sorted tuples."""
+    turns = {}
+    for c, t, r, x in rows:
+        if c is not None:
+            r, x = r or "", x or ""
+            digest = hashlib.md5(f"{len(r)} {r} {x}".encode()).hexdigest()  # equal turns go by it
+            turns.setdefault(c, []).append((t is not None, t or 0, digest, r, x))
+    turns = {c: [(r, x) for *_, r, x in sorted(v)] for c, v in turns.items()}
+    built = {}
+    for c, own in turns.items():
+        h = shared(c) if shared else crc(c) % 6
+        built[c] = turns.get(c - int(math.fmod(c, 100)), [])[:h] + own[h:]
+    members = {}
+    for c in sorted(built):
+        for d in range(len(built[c]) + 1):
+            members.setdefault(tuple(built[c][:d]), []).append(c)
+    out = {p: {"children": 0, "leaves": 0, "saved": 0} for p in members}
+    for p in members:
+        if p:
+            out[p[:-1]]["children"] += 1
+    for p, m in members.items():
+        for d in range(len(p) + 1):
+            out[p[:d]]["leaves"] += out[p]["children"] == 0
+            out[p[:d]]["saved"] += (len(m) - 1) * len(p[-1][1]) if p else 0
+    return sorted((m[0], len(p), members[p[:-1]][0] if p else -1, len(m), out[p]["children"], out[p]["leaves"], out[p]["saved"],
+                   hashlib.sha256(",".join(str(c) for c in m if len(built[c]) == len(p)).encode()).hexdigest()) for p, m in members.items())

@@ -65,7 +65,7 @@ def test_odd_rows(spark):
 def test_a_third_of_one_size_over_many_groups(spark, sizes):
     """Rounds over many groups, whatever the sizes: no group beyond its bound, and close to one global best fit."""
     items = land(spark.range(9_000).selectExpr("id AS item").rdd.map(lambda r: (r.item, eval(sizes, {"k": r.item}))).toDF("item long, size long"), "items")
-    for block, loss in ((25, 1.1), (500, 1.01)):  # bins of a few items each can't be as well filled as those of many
+    for block, loss in ((25, 1.1), (500, 1.03)):  # bins of a few items each can't be as well filled as those of many
         at = bestfit.place(items, block=block).join(items, "item").collect()
         assert len(at) == 9_000
         bins = check_places([type("R", (), {"sequence_id": r.bin, "offset": r.offset, "length": r.size}) for r in at], 4096)
