@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import bestfit, chat, embdedup, lm, mixing, packing, quality, rules, sharding, simhash, substring, trie
+from . import align, bestfit, chat, embdedup, lm, mixing, packing, quality, rules, sharding, simhash, substring, trie
 from . import sql as S
 from .common import crc_mod
 
@@ -76,6 +76,16 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(read_table(spark, sf_dir, "documents"))
 
 
+def aligned_paths() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.token_alignment(read_table(spark, sf_dir, "documents"), *aligned_paths())[0].withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
 
@@ -86,6 +96,6 @@ def op13_hierarchical_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_attention_quality, op2_kneser_ney_lm, op3_bm25_packing, op4_extendible_hash_shards, op5_super_kmer_dedup, op6_line_first_rules, op7_chat_format, op8_pca_tiled_dedup, op9_golay_simhash, op10_curriculum_mix,
-    op12_prefix_trie, op13_hierarchical_best_fit)}
+    op11_token_alignment, op12_prefix_trie, op13_hierarchical_best_fit)}
 
 SQL = {"op2_kneser_ney_lm": S.KNESER_NEY, "op4_extendible_hash_shards": S.SHARDS, "op5_super_kmer_dedup": S.SUBSTRING, "op6_line_first_rules": S.RULES, "op7_chat_format": S.CHAT, "op8_pca_tiled_dedup": S.EMBEDDINGS, "op10_curriculum_mix": S.MIX, "op12_prefix_trie": S.TRIE}

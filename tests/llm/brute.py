@@ -132,3 +132,33 @@ def trie(rows, shared=None):
             out[p[:d]]["saved"] += (len(m) - 1) * len(p[-1][1]) if p else 0
     return sorted((m[0], len(p), members[p[:-1]][0] if p else -1, len(m), out[p]["children"], out[p]["leaves"], out[p]["saved"],
                    hashlib.sha256(",".join(str(c) for c in m if len(built[c]) == len(p)).encode()).hexdigest()) for p, m in members.items())
+
+
+def alignment(texts, encode_a, bytes_a, encode_b, bytes_b):
+    """(n_a, n_b, n_groups, n_links, n_best, count_sum, groups sha256) of each text."""
+    links, out = [], []
+    for t in texts:
+        a, b = (encode_a(" " + t), encode_b(t)) if t else ([], [])
+        want = b" " + (t or "").encode()
+        if not t or b"".join(map(bytes_a, a)) != want or b"".join(map(bytes_b, b)) != want:
+            links.append([])
+            out.append((0, 0, 0, ""))
+            continue
+        spans = []
+        for ids, of in ((a, bytes_a), (b, bytes_b)):
+            at, own = 0, []
+            for i in ids:
+                own.append((at, at + len(of(i)), i))
+                at += len(of(i))
+            spans.append(own)
+        links.append([(x[2], y[2]) for x in spans[0] for y in spans[1] if x[0] < y[1] and y[0] < x[1]])
+        stops = sorted({e for _, e, _ in spans[0]} & {e for _, e, _ in spans[1]})
+        groups = [[[i for s, e, i in own if lo <= s and e <= hi] for own in spans] for lo, hi in zip([0, *stops], stops)]
+        text = ";".join("|".join(",".join(map(str, side)) for side in g) for g in groups)
+        out.append((len(a), len(b), len(groups), hashlib.sha256(text.encode()).hexdigest()))
+    count = Counter(p for own in links for p in own)
+    top = Counter()
+    for (_, b), c in count.items():
+        top[b] = max(top[b], c)
+    return [(n_a, n_b, g, len(own), sum(count[p] == top[p[1]] for p in own), sum(count[p] for p in own), h)
+            for (n_a, n_b, g, h), own in zip(out, links)]
