@@ -81,8 +81,8 @@ def encode_both(texts: list[str], path_a: str, path_b: str) -> tuple[list[list[i
 
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    size = np.array([len(x) for x in lists], np.int64)
-    return np.fromiter((i for x in lists for i in x), np.int64, int(size.sum())), size
+    parts = [np.array(x, np.int64) for x in lists]
+    return np.concatenate([np.zeros(0, np.int64), *parts]), np.array([len(x) for x in parts], np.int64)
 
 
 def _per_text(x: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -142,8 +142,9 @@ def align(texts: list[str], path_a: str, path_b: str) -> dict[str, np.ndarray |
         ids.append(flat)
         n_tokens.append(np.where(good, n, 0))
         ends.append(np.cumsum(kind.size[flat]))
-    cut = np.union1d(*ends)
-    both = np.intersect1d(*ends, assume_unique=True)
+    all_ends = np.sort(np.concatenate(ends), kind="stable")  # two rising runs: one merge
+    twice = np.append(all_ends[1:] == all_ends[:-1], False)[:len(all_ends)]
+    both, cut = all_ends[twice], all_ends[~twice]
     text_end = np.cumsum(n_bytes)
     n_links = np.diff(np.searchsorted(cut, text_end, side="right"), prepend=0)
     n_groups = np.diff(np.searchsorted(both, text_end, side="right"), prepend=0)
