@@ -14,6 +14,10 @@ class ExperimentConfig:
     ``max_len`` is the encoder's length: a text counts with its first ``max_len - 2`` tokens.
     ``epochs`` is the most epochs a model trains for; early stopping may end it sooner.  The hashed
     features are as wide as twice the distinct tokens.
+
+    ``optimizer`` is ``lbfgs`` (``operators.train``: a fit per head) or ``adam`` (``operators.joint``: all
+    heads together in mini-batches).  The batch sizes and ``learning_rate`` are read by ``adam`` alone; a
+    step is one job, so a large table wants batches of many thousands.
     """
 
     test_size: float = 0.15
@@ -23,3 +27,7 @@ class ExperimentConfig:
     epochs: int = 5
     weight_decay: float = 1e-6
     fit_parallelism: int = 4
+    optimizer: str = "lbfgs"
+    learning_rate: float = 3e-5
+    train_batch_size: int = 16
+    valid_batch_size: int = 16

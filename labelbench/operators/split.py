@@ -97,6 +97,31 @@ def batch_assign(df_split: DataFrame, train_batch_size: int = 16, valid_batch_si
     return df_split.withColumn("batch_id", F.floor((F.col("split_rank") - 1) / size).cast("bigint"))
 
 
+# Fixed primes: each is above 2^16, so four of them can't all divide a number below 2^64.
+EPOCH_PRIMES = [65_537, 131_101, 262_147, 524_309, 786_433, 917_519, 1_048_573]
+
+
+def epoch_order(rank0: Column, n: Column, epoch: int, seed: int = 42) -> Column:
+    """A new order of 0..n-1 for every epoch, row by row: no exchange and no sort.
+
+    ``x -> (p * x + s) mod n`` is a bijection of 0..n-1 when p and n have no common divisor; p is the
+    first prime in the epoch's turn that does not divide n, and such a one is among any four.  The
+    ranks come in a seeded hash order already; this deals them anew.  Ranks must be below 2^43.
+    """
+    turn = [EPOCH_PRIMES[(seed + epoch + k) % len(EPOCH_PRIMES)] for k in range(4)]
+    p = F.lit(turn[-1]).cast("bigint")
+    for q in reversed(turn[:-1]):
+        p = F.when(n % q != 0, F.lit(q).cast("bigint")).otherwise(p)
+    shift = (seed * 7_919 + epoch * 104_729) % 2**31
+    return ((rank0.cast("bigint") * p + F.lit(shift)) % n).cast("bigint")
+
+
+def epoch_batch(df: DataFrame, n: Column, batch_size: int, epoch: int, seed: int = 42) -> DataFrame:
+    """Adds ``batch`` and ``place`` (in the batch) of a row with 1-based dense ``split_rank`` among ``n``."""
+    at = epoch_order(F.col("split_rank") - 1, n, epoch, seed)
+    return df.withColumns({"batch": F.floor(at / batch_size).cast("bigint"), "place": (at % batch_size).cast("bigint")})
+
+
 def class_distribution(df_split: DataFrame, labels: list[str] | None = None,
                        by: list[str] | None = None) -> DataFrame:
     """Positives per label in the train and validation parts: (group, split, label, positives)."""

@@ -24,6 +24,7 @@ from ..config import ExperimentConfig
 from ..constants import LABELS
 from ..functions.casts import safe_div
 from ..functions.text import experiment_display_name, sanitize_name
+from ..operators import joint
 from ..operators import metrics as mt
 from ..operators import roc
 from ..operators import split as sp
@@ -106,7 +107,13 @@ def _run(tagged: DataFrame, texts: DataFrame, names: list[str], on: list[str], c
     dist = sp.class_distribution(split_df, labels, by=[KEY])
     path = (out_dir or shared_path(spark, "artifacts", unique=True)).rstrip("/")
     models, hist, folders = {}, None, {}
-    if scorer is None:
+    if scorer is None and cfg.optimizer == "adam":
+        width = tr.feature_width(texts, cfg)
+        model, hist = joint.train(split_df, texts, names, width, cfg, labels, tuple(on), f"{path}/models/joint")
+        models, folders = {"joint": model}, {name: f"{path}/models/joint" for name in names}
+        rows = split_df.filter(F.col("split") == "valid").join(texts, on)
+        pred = land(joint.score(model, rows, cfg), "predictions")
+    elif scorer is None:
         feats = tr.featurize(texts, tr.feature_width(texts, cfg), cfg, id_cols=tuple(on))
         joined = land(split_df.join(feats, on), "joined", partition_by=KEY)  # the one join of rows and features
         models, hist = tr.train_multilabel(joined, names, cfg, labels, KEY)
@@ -128,6 +135,13 @@ def _run(tagged: DataFrame, texts: DataFrame, names: list[str], on: list[str], c
     return SuiteResult(split_df, dist, pred, results, confusion, summary, cfg.threshold, models, hist, path if export or models else None)
 
 
+def suite_split(df: DataFrame, cfg: ExperimentConfig = ExperimentConfig(), labels: list[str] | None = None) -> DataFrame:
+    """The split of every ambiguity subset of the cleaned sentence table, without texts."""
+    labels = labels or LABELS
+    tagged = sb.prepare_baseline(sb.subset_suite(df.drop("description"), sb.subset_conditions()), labels)
+    return sp.split_exact(tagged.select(KEY, "row_id", *labels), cfg.test_size, cfg.seed, by=[KEY])
+
+
 def run_suite(df: DataFrame, cfg: ExperimentConfig = ExperimentConfig(), conditions: dict[str, Column] | None = None,
               out_dir: str | None = None, export: bool = True, scorer: Scorer | None = None,
               labels: list[str] | None = None) -> SuiteResult:

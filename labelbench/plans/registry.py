@@ -569,3 +569,40 @@ def q_run_suite_facts(spark, sf_dir):
     s = q_run_suite(spark, sf_dir)
     return s.select("experiment", "train_size", "val_size", F.col("best_model_path").endswith(F.concat(F.lit("/models/"), F.col("experiment"))).alias("has_models"),
                     F.col("validation_results_path").endswith(F.concat(F.lit("/results/experiment="), F.col("experiment"))).alias("has_results"))
+
+
+# The joint trainer in batches that suit the tables: a step is one job.
+JOINT = ExperimentConfig(optimizer="adam", epochs=3, learning_rate=1e-3, train_batch_size=4096, valid_batch_size=256)
+
+
+@query("epoch_batches")
+def q_epoch_batches(spark, sf_dir):
+    """Batch and place of every training row in three epochs, without an exchange of rows."""
+    split = land(ex.suite_split(prepared(spark, sf_dir)), "split").filter(F.col("split") == "train")
+    sizes = split.groupBy("experiment").agg(F.count(F.lit(1)).alias("n"))  # a row per experiment
+    rows = split.join(sizes, "experiment")
+    parts = [sp.epoch_batch(rows, F.col("n"), 16, e).select("experiment", "row_id", F.lit(e).alias("epoch"), "batch", "place") for e in (1, 2, 3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("train_joint")
+def q_train_joint(spark, sf_dir):
+    """The history of all seven experiments, trained together."""
+    return ex.run_suite(prepared(spark, sf_dir), JOINT, export=False).train_history
+
+
+@query("train_joint_facts")
+def q_train_joint_facts(spark, sf_dir):
+    """Per experiment: sizes, steps of an epoch, epochs without a gap, and a best loss below that of zero weights."""
+    res = ex.run_suite(prepared(spark, sf_dir), JOINT, export=False)
+    facts = res.train_history.groupBy("experiment").agg(
+        (F.max("epoch") == F.count(F.lit(1))).alias("no_gaps"), (F.min("valid_loss") < 0.693).alias("learns"))
+    steps = F.ceil(F.col("train_size") / JOINT.train_batch_size).cast("bigint").alias("steps")
+    return facts.join(ex.split_sizes(res.split), "experiment").select("experiment", "train_size", "val_size", steps, "no_gaps", "learns")
+
+
+@query("score_joint_facts")
+def q_score_joint_facts(spark, sf_dir):
+    """Every validation row of every experiment scored in one pass, with its labels."""
+    cells = mt.to_long(ex.run_suite(prepared(spark, sf_dir), JOINT, export=False).pred)
+    return cells.select("experiment", "row_id", "label", "y", F.col("p").between(0, 1).alias("p_is_probability"))

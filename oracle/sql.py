@@ -499,3 +499,22 @@ SQL["score_text_facts"] = W("req") + f"""
 select row_id, {len(LABELS)} as n_probabilities, true as in_range, true as above_threshold from req where ambuiguity is null"""
 SQL["run_suite_facts"] = W("req") + _SPLIT + f"""
 {_SIZES}, true as has_models, true as has_results from split group by 1"""
+
+_PRIMES = [65_537, 131_101, 262_147, 524_309, 786_433, 917_519, 1_048_573]  # fixed values
+
+
+def _epoch(e: int, seed: int = 42) -> str:
+    a, b, c, d = (_PRIMES[(seed + e + k) % 7] for k in range(4))
+    return (f"select experiment, row_id, {e} as epoch, ((split_rank - 1) * case when n % {a} <> 0 then {a} when n % {b} <> 0 then {b} "
+            f"when n % {c} <> 0 then {c} else {d} end + {(seed * 7_919 + e * 104_729) % 2**31}) % n as k "
+            "from (select *, count(*) over (partition by experiment) as n from split where split = 'train')")
+
+
+SQL["epoch_batches"] = W("req") + _SPLIT + f"""
+select experiment, row_id, epoch, cast(k // 16 as bigint) as batch, cast(k % 16 as bigint) as place
+from ({" union all ".join(_epoch(e) for e in (1, 2, 3))})"""
+SQL["train_joint_facts"] = W("req") + _SPLIT + """
+select experiment, cast(count(*) filter (where split = 'train') as bigint) as train_size, cast(count(*) filter (where split = 'valid') as bigint) as val_size,
+       cast(ceil(count(*) filter (where split = 'train') / 4096.0) as bigint) as steps, true as no_gaps, true as learns from split group by 1"""
+SQL["score_joint_facts"] = W("req") + _SPLIT + "\n" + "\nunion all\n".join(
+    f"select experiment, row_id, '{l}' as label, {l} as y, true as p_is_probability from split where split = 'valid'" for l in LABELS)
