@@ -404,15 +404,33 @@ def q_build_vocab(spark, sf_dir):
     return en.build_vocab(prepared(spark, sf_dir))
 
 
-@query("encode_tokens")
-def q_encode_tokens(spark, sf_dir):
-    t = en.tokenised(prepared(spark, sf_dir))
-    e = en.encode_tokens(t, en.build_vocab(t))
+def _shown(e: DataFrame) -> DataFrame:
     return e.select("row_id", F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ").alias("input_ids"),
                     F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("attention_len"),
                     F.size("token_type_ids").alias("type_len"), "n_tokens")
 
 
+@query("encode_tokens")
+def q_encode_tokens(spark, sf_dir):
+    t = en.tokenised(prepared(spark, sf_dir))
+    return _shown(en.encode_tokens(t, en.build_vocab(t)))
+
+
+PIECES = 2_000  # few, so that many words are cut
+
+
+@query("build_pieces")
+def q_build_pieces(spark, sf_dir):
+    return en.build_pieces(en.build_vocab(prepared(spark, sf_dir)), PIECES)
+
+
+@query("encode_subwords")
+def q_encode_subwords(spark, sf_dir):
+    t = en.tokenised(prepared(spark, sf_dir))
+    vocab = land(en.build_vocab(t), "vocab")
+    return _shown(en.encode_subwords(t, vocab, en.build_pieces(vocab, PIECES)))
+
+
 # ---------------------------------------------------------------- sources / sinks / experiments (2.1, 2.4 A20-A21, 2.8 R3-R4, 2.9)
 
 

@@ -393,6 +393,27 @@ select t.row_id, '2' || coalesce(' ' || ids.s, '') || ' 3' || repeat(' 0', cast(
        cast(coalesce(ids.n, 0) + 2 as int) as attention_len, 300 as type_len, cast(len(t.toks) as int) as n_tokens
 from tk t left join ids on t.row_id = ids.row_id"""
 
+_PIECES = _VOCAB + """,
+ch as (select token, count, unnest(range(1, length(token) + 1)) as i from vocab),
+cand as (select substr(token, cast(i as int), 1) as piece, i > 1 as inside, cast(sum(count) as bigint) as count, 0 as word from ch group by all
+         union all select token, inside, count, 1 from vocab, (select unnest([false, true]) as inside) where length(token) > 1),
+pieces as (select piece, inside, cast(row_number() over (order by word, count desc, piece, inside) + 3 as int) as piece_id from cand
+           qualify row_number() over (order by word, count desc, piece, inside) <= 2000)"""
+SQL["build_pieces"] = W("req") + _PIECES + "\nselect piece, inside, piece_id from pieces"
+SQL["encode_subwords"] = W("req").replace("with", "with recursive", 1) + _PIECES + """,
+sizes as (select distinct length(piece) as n from pieces),
+hits as (select token, i, arg_max(piece_id, length(piece)) as id, max(length(piece)) as n
+         from (select token, i, n, substr(token, cast(i as int), cast(n as int)) as part from ch, sizes where i + n <= length(token) + 1) c
+         join pieces p on p.piece = c.part and p.inside = (c.i > 1) group by 1, 2),
+walk as (select token, cast(1 as bigint) as i, cast([] as int[]) as ids from vocab where length(token) <= 100
+         union all select walk.token, cast(walk.i + hits.n as bigint), list_append(walk.ids, hits.id) from walk join hits on hits.token = walk.token and hits.i = walk.i),
+cut as (select token, max(ids) filter (where i = length(token) + 1) as ids from walk group by 1),
+ex as (select row_id, unnest(toks) as token, unnest(generate_series(0, len(toks) - 1)) as pos from tk),
+sub as (select row_id, flatten(list(coalesce(ids, [1]) order by pos))[1:298] as ids from ex left join cut using (token) group by 1)
+select t.row_id, '2' || coalesce(' ' || array_to_string(ids, ' '), '') || ' 3' || repeat(' 0', cast(298 - coalesce(len(ids), 0) as int)) as input_ids,
+       cast(coalesce(len(ids), 0) + 2 as int) as attention_len, 300 as type_len, cast(len(t.toks) as int) as n_tokens
+from tk t left join sub using (row_id)"""
+
 # ---------------------------------------------------------------- sources / experiments
 from .fixtures_sql import _p_expr  # noqa: E402
 
