@@ -36,7 +36,7 @@ from .split import hash_rank
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
 FIRST_WORD_ID = 4
 VOCAB_SEED = 0
-BLOCK = 4096  # rows to a block
+BLOCK = 512  # rows to a block
 WORD_CHARS = 100
 
 
