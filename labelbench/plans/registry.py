@@ -445,6 +445,12 @@ def q_scan_csv_typed(spark, sf_dir):
     return csvsrc.scan_csv_typed(spark, _landed_csv(spark, fx.raw_strings(fx.req(spark, sf_dir))))
 
 
+@query("scan_csv_splits")
+def q_scan_csv_splits(spark, sf_dir):
+    """The same scan, one file read by several tasks."""
+    return csvsrc.scan_csv_typed(spark, _landed_csv(spark, fx.raw_strings(fx.req(spark, sf_dir)).coalesce(1)), in_splits=True)
+
+
 @query("scan_csv_header")
 def q_scan_csv_header(spark, sf_dir):
     """A file without row_id whose columns stand in another order: rows are numbered in file order."""

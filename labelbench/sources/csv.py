@@ -6,8 +6,9 @@ become NULL once at the scan.  Types are then forced explicitly: labels strict B
 annotation columns DOUBLE (a fraction stays one).  An annotation that is not a number is kept
 as NaN: it counts as present and as non-zero, but equals no code.
 
-A ``multiLine`` CSV file cannot be split, so every file is read by one task.  The scan lands what
-it reads in the shared folder, so a file is parsed once and its row numbers are settled.
+Spark's ``multiLine`` scan reads a file in one task; ``in_splits`` reads one large file by many tasks
+(``csv_split``).  The scan lands what it reads in the shared folder, so a file is parsed once and
+its row numbers are settled.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 from ..constants import LABELS, NUMBER_RE
 from ..functions.casts import na_to_null, strict_int
 from ..session import land
+from . import csv_split
 
 RAW_TEXT_COLUMNS = ["row_id", "description", "source", "ambuiguity", "ambiguity_type", "comments", *LABELS, "goal"]
 ANNOTATIONS = ("ambuiguity", "ambiguity_type")
@@ -57,7 +59,7 @@ def _file_order(raw: DataFrame) -> DataFrame:
 
 
 def scan_csv_typed(spark: SparkSession, path: str, labels: list[str] | None = None,
-                   strict_annotations: bool = False) -> DataFrame:
+                   strict_annotations: bool = False, in_splits: bool = False) -> DataFrame:
     """Read the main table by its header: NA tokens -> NULL, labels strict, annotations DOUBLE.
 
     All files must have the same header.  ``row_id`` comes from the file when it has one, else
@@ -65,10 +67,13 @@ def scan_csv_typed(spark: SparkSession, path: str, labels: list[str] | None = No
     Runs a job when called (the landing).
     """
     labels = labels or LABELS
-    raw = spark.read.options(**_CSV_OPTIONS).option("enforceSchema", "false").csv(path)
-    cols = raw.columns
-    raw = land(raw.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in cols], F.col("_metadata.file_path").alias("_file"),
-                          F.monotonically_increasing_id().alias("_scan")), "csv")
+    if in_splits:
+        raw = csv_split.read_csv(spark, path, _CSV_OPTIONS)
+        cols, place = [c for c in raw.columns if c not in ("_file", "_scan")], [F.col("_file"), F.col("_scan")]
+    else:
+        raw = spark.read.options(**_CSV_OPTIONS).option("enforceSchema", "false").csv(path)
+        cols, place = raw.columns, [F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_scan")]
+    raw = land(raw.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in cols], *place), "csv")
     df = raw.withColumn("row_id", F.col("row_id").cast("bigint")) if "row_id" in cols else _file_order(raw)
     casts = {c: annotation(c, strict_annotations) for c in ANNOTATIONS if c in cols}
     casts.update({c: strict_int(c, c) for c in labels if c in cols})

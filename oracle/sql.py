@@ -428,6 +428,7 @@ def na(x: str) -> str:
 SQL["scan_csv_typed"] = W("req") + f"""
 select row_id, {na('description')} as description, {na('source')} as source, cast(ambuiguity as double) as ambuiguity,
        cast(ambiguity_type as double) as ambiguity_type, {na('comments')} as comments, {LABEL_COLS}, {na('goal')} as goal from req"""
+SQL["scan_csv_splits"] = SQL["scan_csv_typed"]
 SQL["scan_csv_header"] = W("req") + f"""
 select row_number() over (order by row_id) - 1 as row_id, {na('goal')} as goal, {LABEL_COLS}, {na('description')} as description,
        {na('comments')} as comments, cast(ambiguity_type as double) as ambiguity_type, cast(ambuiguity as double) as ambuiguity,
