@@ -126,12 +126,12 @@ def _run(tagged: DataFrame, texts: DataFrame, names: list[str], on: list[str], c
     if export:
         named = results.withColumn(KEY, sanitize_name(F.col(KEY)))
         named = land(named, "results")
-        write_results(named, mt.sentence_confusion(named, [KEY]), path)
+        published = write_results(named, mt.sentence_confusion(named, [KEY]), path)
         results = named
     else:
         results = land(results, "results")
     confusion = mt.sentence_confusion(results, [KEY])
-    summary = experiment_summary(split_df, pred, cfg.threshold, path if export else None, folders)
+    summary = experiment_summary(split_df, pred, cfg.threshold, published if export else None, folders)
     return SuiteResult(split_df, dist, pred, results, confusion, summary, cfg.threshold, models, hist, path if export or models else None)
 
 

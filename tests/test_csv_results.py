@@ -8,6 +8,7 @@ from labelbench.constants import LABELS
 from labelbench.plans import experiment as ex
 from labelbench.session import shared_path
 from labelbench.sources import csv as csvsrc
+from labelbench.sources import results as results_sink
 from labelbench.sources.results import read_results, write_results
 
 
@@ -63,3 +64,27 @@ def test_result_sink_dynamic_overwrite(spark):
     counts = dict(res.groupBy("experiment").count().collect())
     assert counts == {"a": 1, "b": 2}
     assert conf.count() == 3
+
+
+def test_a_failure_between_the_tables_leaves_the_old_pair(spark, monkeypatch):
+    path = shared_path(spark, "test-results", unique=True)
+
+    def tables(n):
+        r = spark.range(n).select(F.lit("a").alias("experiment"), F.col("id").alias("row_id"), F.lit(True).alias("correctness"))
+        return r, r.select("experiment", "row_id", F.lit(n).alias("TP"))
+
+    write_results(*tables(3), path)
+    good, bad = tables(5)
+    with pytest.raises(Exception, match="(?i)stopped"):
+        write_results(good, bad.withColumn("TP", F.raise_error(F.lit("stopped"))), path)
+    res, conf = read_results(spark, path)
+    assert res.count() == 3 and {r.TP for r in conf.collect()} == {3}
+    # a writer that finds its number taken raises, and what is published stays
+    number, entries = results_sink.manifest(spark, path)
+    monkeypatch.setattr(results_sink, "manifest", lambda *a: (number - 1, dict(entries)))
+    with pytest.raises(RuntimeError, match="another writer"):
+        write_results(*tables(7), path)
+    monkeypatch.undo()
+    assert read_results(spark, path)[0].count() == 3
+    with pytest.raises(FileNotFoundError):
+        read_results(spark, path + "-none")
