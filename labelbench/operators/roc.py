@@ -92,6 +92,30 @@ def roc_points(pred: DataFrame | None, keys=None, micro: bool = True, counts: Da
     })
 
 
+def roc_points_reduced(pred: DataFrame | None, keys=None, micro: bool = True, counts: DataFrame | None = None) -> DataFrame:
+    """The curve's corners: ``roc_points`` without those that lie on a straight line between their neighbours.
+
+    A point stays unless the step to it and the step from it have the same direction, which the
+    counts tell exactly.  The step behind a bucket's last point is the next bucket's first; a row per
+    bucket carries it over the border.  The area under the corners is that under all points, and scores
+    that differ along a straight run give the same corners as if they were tied.
+    """
+    keys = _k(keys)
+    grp = [*keys, "label"]
+    c = ranged_counts(pred, keys, micro, counts)
+    step = F.struct("pos", "neg")
+    per = c.groupBy(*grp, _B).agg(F.max_by(step, "p").alias("_first"))
+    per = per.select(*grp, _B, F.lead("_first").over(Window.partitionBy(*grp).orderBy(_B)).alias("_behind"))
+    inside = Window.partitionBy(*grp, _B).orderBy(F.desc("p"))
+    steps = c.join(per, [*grp, _B]).select(*grp, F.col("p").alias("threshold"), "pos", "neg",
+                                           F.coalesce(F.lead(step).over(inside), F.col("_behind")).alias("_next"))
+    wide = lambda x: F.col(x).cast("decimal(19,0)")
+    corner = F.col("_next").isNull() | (wide("pos") * wide("_next.neg") != wide("neg") * wide("_next.pos"))
+    points = roc_points(None, keys, counts=c)
+    kept = points.join(steps.filter(corner).select(*grp, "threshold"), [*grp, "threshold"])
+    return kept.select(points.columns).unionByName(points.filter(F.col("threshold").isNull()))
+
+
 def roc_auc(pred: DataFrame | None, keys=None, micro: bool = True, counts: DataFrame | None = None) -> DataFrame:
     """Trapezoid area per label (and micro) from exact integer sums: (keys, label, auc)."""
     keys = _k(keys)

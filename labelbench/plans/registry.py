@@ -345,6 +345,12 @@ def q_roc_points(spark, sf_dir):
     return _r6(p.select("label", "threshold", "tps", "fps", "fpr", "tpr"), "fpr", "tpr")
 
 
+@query("roc_points_reduced")
+def q_roc_points_reduced(spark, sf_dir):
+    p = roc.roc_points_reduced(fx.pred(spark, sf_dir))
+    return _r6(p.select("label", "threshold", "tps", "fps", "fpr", "tpr"), "fpr", "tpr")
+
+
 @query("roc_auc_per_label")
 def q_roc_auc_per_label(spark, sf_dir):
     a = roc.roc_auc(fx.pred(spark, sf_dir), micro=False)

@@ -348,6 +348,11 @@ R = W("pred") + _ROC
 SQL["roc_points"] = R + """
 select label, threshold, cast(tps as bigint) as tps, cast(fps as bigint) as fps, round(fpr, 6) as fpr, round(tpr, 6) as tpr
 from rates"""
+SQL["roc_points_reduced"] = R + """,
+near as (select *, lag(tps) over o as t0, lag(fps) over o as f0, lead(tps) over o as t2, lead(fps) over o as f2
+         from rates window o as (partition by label order by threshold desc nulls first))
+select label, threshold, cast(tps as bigint) as tps, cast(fps as bigint) as fps, round(fpr, 6) as fpr, round(tpr, 6) as tpr from near
+where t0 is null or t2 is null or (tps - t0) * (f2 - fps) <> (fps - f0) * (t2 - tps)"""
 SQL["roc_auc_per_label"] = R + "\nselect label, round(auc, 6) as auc from auc where label <> 'micro'"
 SQL["roc_auc_micro"] = R + "\nselect label, round(auc, 6) as auc from auc where label = 'micro'"
 SQL["roc_macro_curve"] = R + "\nselect cast(k as int) as k, round(fpr, 6) as fpr, round(tpr, 6) as tpr from curve"

@@ -1,4 +1,6 @@
 """Metric edge cases and a numpy cross-check of the ROC curves and areas."""
+import random
+
 import numpy as np
 import pytest
 
@@ -124,3 +126,25 @@ def test_crowded_scores_spread_over_buckets(spark):
     f, t = _np_roc(Y[:, 0], P[:, 0])
     auc = {r.label: r.auc for r in roc.roc_auc(df).collect()}
     assert auc["l0"] == pytest.approx(np.trapezoid(t, f), abs=1e-12)
+
+
+def test_reduced_curve_keeps_the_area_and_ignores_ties_on_straight_runs(spark):
+    random.seed(4)
+    cells = [("a", k, int(random.random() < 0.3 + 0.5 * (k % 50 > 25)), (k % 50) / 50) for k in range(400)]
+    straight = [("b", k, int(k < 30), 1 - k / 100) for k in range(60)]  # all positives first: corners are start, one point, end
+    tied = [("c", k, int(k < 30), 0.9 if k < 30 else 0.1) for k in range(60)]
+    pred = spark.createDataFrame(cells + straight + tied, "label string, row_id long, y int, p double")
+    counts = roc.ranged_counts(pred, micro=False)
+    got, every = roc.roc_points_reduced(None, counts=counts).collect(), roc.roc_points(None, counts=counts).collect()
+
+    def curve(rows, label):
+        return sorted((r.fps, r.tps) for r in rows if r.label == label)
+
+    def area(points):
+        return sum((x2 - x1) * (y1 + y2) for (x1, y1), (x2, y2) in zip(points, points[1:]))
+
+    for label in "abc":
+        few, many = curve(got, label), curve(every, label)
+        assert area(few) == area(many) and set(few) <= set(many)
+        assert all((b[0] - a[0]) * (c[1] - b[1]) != (b[1] - a[1]) * (c[0] - b[0]) for a, b, c in zip(few, few[1:], few[2:]))
+    assert curve(got, "b") == curve(got, "c") == [(0, 0), (0, 30), (30, 30)]
