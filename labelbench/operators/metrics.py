@@ -129,21 +129,25 @@ def _label_and_row_counts(pred: DataFrame, threshold: float, keys: list[str]) ->
     """tp / fp / fn / cells, one row per (keys, label) with ``_n`` = 1 and one per
     (keys, n_true, n_pred, n_both, n_wrong) with the number of such rows in ``_n``.
 
-    One scan and one aggregation: every wide row is turned into its cells' counts and its own
-    counts; there are at most (labels + 1)^4 kinds of the latter, so both collapse map-side.
+    One scan: rows are first counted by their pattern, the label, truth and prediction of each cell.
+    A few labels have few patterns (4^labels at most), so that count collapses map-side, and
+    all cell work is done once per pattern.
     """
-    r = _row_counts(pred, threshold, keys)
-    hit = lambda c: c["p"] >= threshold
-    one = lambda test: test.cast("bigint")
+    said = F.transform("cells", lambda c: F.struct(c["label"].alias("label"), (c["y"] > 0).alias("t"), (c["p"] >= threshold).alias("h")))
+    r = to_wide(pred, keys).select(*keys, said.alias("cells")).groupBy(*keys, "cells").agg(F.count(F.lit(1)).alias("_w"))
+    n = lambda test: F.size(F.filter("cells", test)).cast("bigint")
+    r = r.withColumns({"n_true": n(lambda c: c["t"]), "n_pred": n(lambda c: c["h"]), "n_both": n(lambda c: c["t"] & c["h"]),
+                       "n_cells": F.size("cells").cast("bigint")})
+    one = lambda test: F.when(test, F.col("_w")).otherwise(F.lit(0).cast("bigint"))
     cell = F.transform("cells", lambda c: F.struct(
-        c["label"].alias("label"), one((c["y"] > 0) & hit(c)).alias("tp"), one(~(c["y"] > 0) & hit(c)).alias("fp"),
-        one((c["y"] > 0) & ~hit(c)).alias("fn"), F.lit(1).cast("bigint").alias("cells")))
+        c["label"].alias("label"), one(c["t"] & c["h"]).alias("tp"), one(~c["t"] & c["h"]).alias("fp"),
+        one(c["t"] & ~c["h"]).alias("fn"), F.col("_w").alias("cells")))
     row = F.struct(F.lit(None).cast("string").alias("label"), F.col("n_both").alias("tp"), (F.col("n_pred") - F.col("n_both")).alias("fp"),
                    (F.col("n_true") - F.col("n_both")).alias("fn"), F.col("n_cells").alias("cells"))
-    flat = r.select(*keys, F.inline(F.concat(cell, F.array(row))))
+    flat = r.select(*keys, "_w", F.inline(F.concat(cell, F.array(row))))
     kind = [F.when(F.col("label").isNull(), F.col(c)).alias(f"_{c}") for c in ("tp", "fp", "fn", "cells")]
     agg = flat.groupBy(*keys, "label", *kind).agg(
-        *[F.sum(c).cast("bigint").alias(c) for c in ("tp", "fp", "fn", "cells")], F.count(F.lit(1)).alias("_m"))
+        *[F.sum(c).cast("bigint").alias(c) for c in ("tp", "fp", "fn", "cells")], F.sum("_w").alias("_m"))
     per_label = F.col("label").isNotNull()
     return agg.select(*keys, "label", *[F.when(per_label, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in ("tp", "fp", "fn", "cells")],
                       F.when(per_label, F.lit(1)).otherwise(F.col("_m")).alias("_n"), per_label.cast("int").alias("_per_label"))

@@ -42,14 +42,22 @@ class SuiteResult:
     split: DataFrame
     distribution: DataFrame
     pred: DataFrame
-    results: DataFrame
-    confusion: DataFrame
     summary: DataFrame
     threshold: float
+    make_results: Callable[[], DataFrame]
     models: dict = field(default_factory=dict)
     train_history: DataFrame | None = None
     results_path: str | None = None
 
+    @cached_property
+    def results(self) -> DataFrame:
+        """Every validation sentence with its labels and predictions: what was exported, else joined and landed when first asked for."""
+        return self.make_results()
+
+    @cached_property
+    def confusion(self) -> DataFrame:
+        return mt.sentence_confusion(self.results, [KEY])
+
     @cached_property
     def evaluation(self) -> dict[str, DataFrame]:
         """The metric bundle with ROC (made, and its score table landed, when first asked for)."""
@@ -121,18 +129,19 @@ def _run(tagged: DataFrame, texts: DataFrame, names: list[str], on: list[str], c
         pred = land(tr.score_multilabel(models, joined, KEY), "predictions")
     else:
         pred = land(scorer(split_df), "predictions")
-    valid = split_df.filter(F.col("split") == "valid").select(KEY, "row_id").join(texts, on).select(KEY, "row_id", "description")
-    results = mt.sentence_results(pred, valid, cfg.threshold, [KEY], labels)
+
+    def make_results() -> DataFrame:
+        valid = split_df.filter(F.col("split") == "valid").select(KEY, "row_id").join(texts, on).select(KEY, "row_id", "description")
+        results = mt.sentence_results(pred, valid, cfg.threshold, [KEY], labels)
+        return land(results.withColumn(KEY, sanitize_name(F.col(KEY))) if export else results, "results")
+
+    published = None
     if export:
-        named = results.withColumn(KEY, sanitize_name(F.col(KEY)))
-        named = land(named, "results")
+        named = make_results()
         published = write_results(named, mt.sentence_confusion(named, [KEY]), path)
-        results = named
-    else:
-        results = land(results, "results")
-    confusion = mt.sentence_confusion(results, [KEY])
-    summary = experiment_summary(split_df, pred, cfg.threshold, published if export else None, folders)
-    return SuiteResult(split_df, dist, pred, results, confusion, summary, cfg.threshold, models, hist, path if export or models else None)
+        make_results = lambda: named
+    summary = experiment_summary(split_df, pred, cfg.threshold, published, folders)
+    return SuiteResult(split_df, dist, pred, summary, cfg.threshold, make_results, models, hist, path if export or models else None)
 
 
 def suite_split(df: DataFrame, cfg: ExperimentConfig = ExperimentConfig(), labels: list[str] | None = None) -> DataFrame:
