@@ -1,7 +1,7 @@
 """Line-first quality rules (native).
 
-Every line is judged on its own: symbols, shouting, no punctuation that ends a sentence,
-navigation and boilerplate.  Failing lines are removed, and a document that loses too many of its words by
+Every line is judged on its own: symbols, shouting, missing end punctuation, navigation and
+boilerplate.  Failing lines are removed, and a document that loses too many of its words by
 that is rejected.  Everything is an expression over one row, so there is no shuffle at all.
 """
 
@@ -18,33 +18,35 @@ from .common import SPACES, WORD, as_docs, let, n_words
 SYMBOLS = "#*$%&|<>"
 GRAM = 5
 # Own rules.
-SENTENCE_END = r"[.!?:;…。！？][\"'”’»)\]]*([\x20\x09-\x0D]|$)"
-BOILERPLATE = ("lorem ipsum", "javascript", "cookie", "privacy policy", "terms of use", "terms of service", "subscribe", "newsletter")
+END_MARKS = ".!?:;…。！？\"'”’»)]"
+SURE = ("lorem ipsum",)  # boilerplate whatever else the line says
+SIGNS = ("javascript", "cookie", "privacy policy", "terms of use", "terms of service", "subscribe", "newsletter", "all rights reserved",
+         "your browser", "accept all", "click here", "copyright")  # two of them in a line
 NAVIGATION = r"(?i)^\W*(home|about( us)?|contact( us)?|log ?in|sign (in|up)|menu|next|previous|back to top|read more|share this)\W*$"
-NAVIGATION_CHARS = 40
 SEPARATORS = "|»›>•·"
 SHOUT = "!!"
 
 
-def has_phrase(text: Column) -> Column:
-    return let(F.lower(text), lambda x: reduce(Column.__or__, [x.contains(p) for p in BOILERPLATE]))
+def is_boilerplate(line: Column) -> Column:
+    """A sure phrase, or two different signs: one alone is a word of ordinary prose."""
+    return let(F.lower(line), lambda x: reduce(Column.__or__, [x.contains(p) for p in SURE])
+               | (reduce(Column.__add__, [x.contains(p).cast("int") for p in SIGNS]) >= 2))
 
 
 def line_fails(line: Column, phrases: Column) -> Column:
     """Whether a line with words fails; a line without words never does (it has nothing to lose).
 
-    The rules: no sentence ends in it; more than 3 symbols or 3 double exclamation marks to 10 words;
-    three separators; a navigation line; a boilerplate phrase.  Tests that need counts come
+    The rules: its last character is no end mark; more than 3 symbols or 3 double exclamation marks to 10 words;
+    three separators; a navigation line of any length; boilerplate.  Tests that need counts come
     behind a cheap test for the characters they count; ``phrases`` tells whether the whole text
-    has a boilerplate phrase anywhere.
+    has a phrase of boilerplate anywhere.
     """
     def judge(x: Column) -> Column:
-        no_end = ~x.rlike(SENTENCE_END)
+        no_end = F.instr(F.lit(END_MARKS), F.substring(x, -1, 1)) == 0
         symbols = x.rlike(f"[{SYMBOLS}]") & (10 * (F.length(x) - F.length(F.translate(x, SYMBOLS, ""))) > 3 * n_words(x))
         shouts = x.contains(SHOUT) & (10 * (F.length(x) - F.length(F.replace(x, F.lit(SHOUT), F.lit("")))) > 3 * n_words(x))
         separators = x.rlike(rf"[{SEPARATORS}][^{SEPARATORS}]*[{SEPARATORS}][^{SEPARATORS}]*[{SEPARATORS}]")
-        navigation = (F.length(x) <= NAVIGATION_CHARS) & x.rlike(NAVIGATION)
-        return (x != "") & (no_end | symbols | shouts | separators | navigation | (phrases & has_phrase(x)))
+        return (x != "") & (no_end | symbols | shouts | separators | x.rlike(NAVIGATION) | (phrases & is_boilerplate(x)))
 
     return let(F.btrim(line, F.lit(SPACES)), judge)
 
@@ -82,14 +84,15 @@ def clean_lines(docs: DataFrame, max_lost: float = 0.3, min_words: int = 10, max
     document is kept unless it has fewer than ``min_words`` words, more than ``max_repeat`` of its
     words lie in repeated windows, or more than ``max_lost`` of them are lost.  Null, empty and
     white texts: no words, all counts 0, base_failed.  Repeated rows are judged one by one, a null
-    doc_id stays null, an empty table gives no row.
+    doc_id stays null, an empty table gives no row.  A very long text is judged whole: its words and
+    window hashes are arrays of one row, so a row's memory grows with its longest text.
     """
     rows = as_docs(docs, "doc_id", "text").withColumn("t", F.coalesce(F.col("text"), F.lit("")))
     has_word = lambda x: F.btrim(x, F.lit(SPACES)) != ""
     lines = F.split("t", "\n", -1)
     worded = let(F.filter(lines, has_word), lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    phrases = reduce(Column.__or__, [F.lower("t").contains(p) for p in BOILERPLATE])
-    good = let(phrases, lambda any_phrase: F.array_join(F.filter(lines, lambda x: ~line_fails(x, any_phrase)), "\n"))
+    # a text without a sure phrase and without two signs has no line of boilerplate
+    good = let(is_boilerplate(F.col("t")), lambda any_phrase: F.array_join(F.filter(lines, lambda x: ~line_fails(x, any_phrase)), "\n"))
     rows = rows.select(
         "doc_id", good.alias("clean_text"), n_words(F.col("t")).alias("n_words"),
         F.length(F.translate("t", SPACES, "")).cast("bigint").alias("word_chars"),

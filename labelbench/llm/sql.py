@@ -23,12 +23,14 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '{WORD}') AS w, string_split(t, chr(10)) AS ln FROM d),
 bare AS (SELECT doc_id, trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x FROM (SELECT doc_id, unnest(ln) AS x FROM w)),
 jud AS (SELECT doc_id, x, len(regexp_extract_all(x, '{WORD}')) AS n,
-        x <> '' AND (NOT regexp_matches(x, '[.!?:;…。！？]["''”’»)\]]*([\x20\x09-\x0D]|$)')
+        x <> '' AND (strpos('.!?:;…。！？"''”’»)]', right(x, 1)) = 0
           OR 10 * (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g'))) > 3 * len(regexp_extract_all(x, '{WORD}'))
           OR 10 * (length(x) - length(replace(x, '!!', ''))) > 3 * len(regexp_extract_all(x, '{WORD}'))
           OR length(x) - length(regexp_replace(x, '[|»›>•·]', '', 'g')) >= 3
-          OR length(x) <= 40 AND regexp_matches(x, '(?i)^\W*(home|about( us)?|contact( us)?|log ?in|sign (in|up)|menu|next|previous|back to top|read more|share this)\W*$')
-          OR regexp_matches(lower(x), 'lorem ipsum|javascript|cookie|privacy policy|terms of use|terms of service|subscribe|newsletter')) AS bad
+          OR regexp_matches(x, '(?i)^\W*(home|about( us)?|contact( us)?|log ?in|sign (in|up)|menu|next|previous|back to top|read more|share this)\W*$')
+          OR lower(x) LIKE '%lorem ipsum%'
+          OR len(list_filter(['javascript', 'cookie', 'privacy policy', 'terms of use', 'terms of service', 'subscribe', 'newsletter', 'all rights reserved',
+             'your browser', 'accept all', 'click here', 'copyright'], lambda p: contains(lower(x), p))) >= 2) AS bad
         FROM bare),
 lost AS (SELECT doc_id, sum(CASE WHEN bad THEN n ELSE 0 END)::BIGINT AS n_lost,
          count(CASE WHEN x <> '' THEN 1 END)::BIGINT AS lines FROM jud GROUP BY 1),

@@ -371,3 +371,15 @@ def test_words_tokenised_together_or_alone():
     ids, size = packing.encode_words(words, path)
     want = [x.ids for x in packing.load_tokenizer(path).encode_batch(words, add_special_tokens=False)]
     assert [list(x) for x in np.split(ids, np.cumsum(size)[:-1])] == want
+
+
+def test_line_rules_on_single_lines(spark):
+    lines = {"Home: Products; Support; Contact us": True, "Buy now! Best price on": True, "(c) 2020 Example. All rights reserved. Privacy Terms": True,
+             "She baked a cookie for the judge and it was good.": False, "The javascript engine compiles each function once.": False,
+             "Please enable JavaScript in your browser to go on.": True, "Subscribe to our newsletter!": True, "Lorem ipsum dolor sit amet.": True,
+             "» » » Read more » » »": True, "- - - - - - - - - - - - - - - - - - - - - - - About us - - -.": True, "He said so.": False, "It ends here (so it does)": False}
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.text: r.fails for r in rows.select("text", rules.line_fails(F.col("text"), F.lit(True)).alias("fails")).collect()}
+    assert got == lines
+    lost = rules.clean_lines(rows).select("doc_id", "n_lost", "n_words").collect()
+    assert all((r.n_lost == r.n_words) == fails for r, fails in zip(sorted(lost, key=lambda r: r.doc_id), lines.values(), strict=True))
