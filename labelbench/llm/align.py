@@ -142,15 +142,21 @@ def align(texts: list[str], path_a: str, path_b: str) -> dict[str, np.ndarray |
         ids.append(flat)
         n_tokens.append(np.where(good, n, 0))
         ends.append(np.cumsum(kind.size[flat]))
-    all_ends = np.sort(np.concatenate(ends), kind="stable")  # two rising runs: one merge
-    twice = np.append(all_ends[1:] == all_ends[:-1], False)[:len(all_ends)]
-    both, cut = all_ends[twice], all_ends[~twice]
+    # ends as marks on the texts' bytes: what lies before an end is then a running count
+    marks = [np.zeros(int(n_bytes.sum()) + 1, bool) for _ in ends]
+    for mark, e in zip(marks, ends, strict=True):
+        mark[e] = True
+    cut = np.flatnonzero(marks[0] | marks[1])
+    ends_here = [mark[cut] for mark in marks]
+    shared = ends_here[0] & ends_here[1]
+    before = lambda x: np.cumsum(x) - x
+    group_at, both = before(shared), cut[shared]
     text_end = np.cumsum(n_bytes)
     n_links = np.diff(np.searchsorted(cut, text_end, side="right"), prepend=0)
     n_groups = np.diff(np.searchsorted(both, text_end, side="right"), prepend=0)
-    pair = [x[np.searchsorted(e, cut)] for x, e in zip(ids, ends, strict=True)]
+    pair = [x[before(e)] for x, e in zip(ids, ends_here, strict=True)]
     # tokens of both sides in one order: by group, then side, then place
-    group = [np.searchsorted(both, e) for e in ends]
+    group = [group_at[e] for e in ends_here]
     last = [np.append(g[1:] != g[:-1], True)[:len(g)] for g in group]
     order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
     side = np.repeat([0, 1], [len(ids[0]), len(ids[1])])[order]
