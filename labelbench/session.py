@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -35,9 +36,23 @@ def get_session(master: str | None = None, app_name: str = "labelbench",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, so that a process started in any folder can run its Python tasks.
+
+    ``get_session`` does it; call it for a session of your own unless the workers have the package installed."""
+    sc = spark.sparkContext
+    if any(f.endswith("labelbench.zip") for f in sc._python_includes):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="labelbench-ship-")
+    shutil.copytree(here, f"{folder}/src/labelbench", ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(f"{folder}/labelbench", "zip", f"{folder}/src"))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
