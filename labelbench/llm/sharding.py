@@ -66,7 +66,8 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", limi
     """(key, n_bytes, depth, shard_bits, page): the shard of every row.
 
     ``shard_bits`` is the bucket's prefix as a string of ``depth`` bits; ``page`` is 0 but for rows
-    of one and the same hash that together exceed the limit: those fill numbered pages.  The key
+    of one and the same hash that together exceed the limit: those fill numbered pages, of mixed
+    sizes, at least half full on the whole.  The key
     column keeps its name.  Null text has 0 bytes; null keys share one hash; a single row above
     the limit has a page of its own.  An empty table has no shard.
     """
@@ -87,23 +88,25 @@ def _assigned(rows: DataFrame, limit_bytes: int) -> DataFrame:
     bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(
         F.lpad(F.conv(F.col("prefix_bits").cast("string"), 10, 2), F.col("depth"), F.lit("0")))
     found = found.withColumn("shard_bits", bits)
-    # overflow pages: rows of an oversized last-level bucket, numbered in two levels
+    # overflow pages: rows of an oversized last-level bucket, numbered in two levels.  Rows above half the
+    # limit have a page each.  Of the others a page takes those whose first byte, in the running sum of their
+    # sizes, lies in one stretch of (limit - largest + 1) bytes: whatever their sizes, they fit the limit.
     over = F.col("leaf_bytes") > limit_bytes
+    alone = F.col("n_bytes") * 2 > limit_bytes
     small = found.filter(~over).withColumn("page", F.lit(0).cast("bigint"))
-    large = land(found.filter(over), "shard-overflow")
-    per = large.groupBy("shard_bits", "n_bytes", "salt").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("shard_bits").orderBy("n_bytes", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    # a class of equal sizes fills pages of floor(limit / size) rows; pages never mix sizes
-    room = F.greatest(F.lit(1), F.floor(F.lit(limit_bytes) / F.greatest(F.col("n_bytes"), F.lit(1))))
-    same = Window.partitionBy("shard_bits", "n_bytes").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("skip", F.coalesce(F.sum("n").over(same), F.lit(0)))
-    sizes = per.groupBy("shard_bits", "n_bytes").agg(F.sum("n").alias("all_n"))
-    sizes = sizes.withColumn("pages", F.ceil(F.col("all_n") / room)).withColumn(
-        "base", F.coalesce(F.sum("pages").over(Window.partitionBy("shard_bits").orderBy("n_bytes").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    per = per.join(sizes.select("shard_bits", "n_bytes", "base"), ["shard_bits", "n_bytes"]).select("shard_bits", "n_bytes", "salt", "skip", "base")
-    rank = F.row_number().over(Window.partitionBy("shard_bits", "n_bytes", "salt").orderBy("row_no")) - 1
-    large = large.withColumn("r", rank).join(per, ["shard_bits", "n_bytes", "salt"]) \
-        .withColumn("page", (F.col("base") + F.floor((F.col("skip") + F.col("r")) / room)).cast("bigint"))
+    large = land(found.filter(over).withColumns({"alone": alone, "shared": F.when(alone, F.lit(0)).otherwise(F.col("n_bytes"))}), "shard-overflow")
+    per = large.groupBy("shard_bits", "salt").agg(F.sum(F.col("alone").cast("bigint")).alias("own"), F.sum("shared").alias("sum_shared"), F.max("shared").alias("most"))
+    shard = Window.partitionBy("shard_bits")
+    upto = shard.orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("shard_bits", "salt", F.coalesce(F.sum("own").over(upto), F.lit(0)).alias("own_before"),
+                     F.coalesce(F.sum("sum_shared").over(upto), F.lit(0)).alias("bytes_before"),
+                     F.sum("own").over(shard).alias("all_own"), (F.lit(limit_bytes + 1) - F.max("most").over(shard)).alias("room"))
+    inside = Window.partitionBy("shard_bits", "salt").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
+    large = large.withColumns({"own_here": F.coalesce(F.sum(F.col("alone").cast("bigint")).over(inside), F.lit(0)),
+                               "bytes_here": F.coalesce(F.sum("shared").over(inside), F.lit(0))}).join(per, ["shard_bits", "salt"])
+    page = F.when(F.col("alone"), F.col("own_before") + F.col("own_here")).otherwise(
+        F.col("all_own") + F.floor((F.col("bytes_before") + F.col("bytes_here")) / F.col("room")))
+    large = large.withColumn("page", page.cast("bigint"))
     cols = ["k", "n_bytes", F.col("depth").cast("int").alias("depth"), "shard_bits", "page", "row_no"]
     return small.select(*cols).unionByName(large.select(*cols))
 
