@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import as_docs, let
 
+STEP = 128  # elements to a step of a running sum
+BLOCK = 1024  # code points to a block of a text that is read by spans
+
 
 @dataclass(frozen=True)
 class Template:
@@ -63,6 +66,21 @@ class Template:
         return out.otherwise(F.lit("error"))
 
 
+def starts(sizes: Column) -> Column:
+    """The running sum before every element of an array of numbers, in two levels of ``STEP`` elements.
+
+    An aggregate that appends to an array copies it for each element; sums of slices don't.
+    """
+    def total(first: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(sizes, first, n), F.lit(0), lambda a, x: a + x)
+
+    # the sum before each step, from the sums of whole steps
+    steps = F.transform(F.sequence(F.lit(0), F.floor(F.size(sizes) / STEP).cast("int")), lambda k: total(k * STEP + 1, F.lit(STEP)))
+    return let(steps, lambda own: let(
+        F.transform(own, lambda _, k: F.aggregate(F.slice(own, F.lit(1), k), F.lit(0), lambda a, x: a + x)),
+        lambda base: F.transform(sizes, lambda _, i: F.get(base, F.floor(i / STEP).cast("int")) + total(i - i % STEP + 1, i % STEP))))
+
+
 def format_chats(turns: DataFrame, template: Template = Template()) -> DataFrame:
     """One row per conversation: conv_id, n_turns, valid, bad_turn, segments, formatted, loss_spans.
 
@@ -94,12 +112,9 @@ def format_chats(turns: DataFrame, template: Template = Template()) -> DataFrame
             F.when(a["bad"].isNull() & (s == "error"), a["i"]).otherwise(a["bad"]).alias("bad"))))
     out = conv.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), walk.alias("walk"),
                       F.flatten(F.transform("turns", parts)).alias("segments"))
-    spans = F.aggregate(
-        "segments", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda a, s: let(F.length(s["text"]), lambda n: F.struct(
-            (a["at"] + n).alias("at"),
-            F.when(s["loss"], F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), n.alias("length"))))).otherwise(a["spans"]).alias("spans"))),
-        lambda a: a["spans"])
+    spans = let(F.transform("segments", lambda s: F.length(s["text"])), lambda sizes: let(starts(sizes), lambda at: F.filter(
+        F.transform("segments", lambda s, i: F.when(s["loss"], F.struct(F.get(at, i).alias("start"), F.get(sizes, i).alias("length")))),
+        lambda span: span.isNotNull())))
     return out.select("conv_id", "n_turns", (F.col("walk.bad").isNull() & F.col("walk.state").isin(*template.final)).alias("valid"),
                       F.col("walk.bad").alias("bad_turn"), "segments",
                       F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), spans.alias("loss_spans"))
@@ -120,5 +135,15 @@ def read_back(formatted: Column, template: Template = Template()) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column, template: Template = Template()) -> Column:
-    """The unescaped text under the loss mask, read from the formatted text by its spans."""
-    return F.array_join(F.transform(spans, lambda s: template.unescape(F.substr(formatted, s["start"] + 1, s["length"]))), "")
+    """The unescaped text under the loss mask, read from the formatted text by its spans.
+
+    The text is cut once into blocks of ``BLOCK`` code points and a span reads its own blocks
+    only; a substring of the whole text would count its code points from the start for each span.
+    """
+    def read(blocks: Column, s: Column) -> Column:
+        first, skip = F.floor(s["start"] / BLOCK).cast("int"), s["start"] % BLOCK
+        own = F.slice(blocks, first + 1, F.ceil((skip + s["length"]) / BLOCK).cast("int"))
+        return template.unescape(F.substr(F.array_join(own, ""), skip + 1, s["length"]))
+
+    return let(F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)),
+               lambda blocks: F.array_join(F.transform(spans, lambda s: read(blocks, s)), ""))
