@@ -9,12 +9,16 @@ document the time at which it is trained on.
 Running sums are two-level: sums per (source, md5 bucket) with their own running sums, and a
 window inside (source, bucket).  A source holding a third of all rows is spread over all buckets.
 There are about as many buckets as rows in a bucket, so neither window grows beyond the square
-root of the table (up to 65,536 buckets).  No text is shuffled for the plan.
+root of the table (up to 65,536 buckets).  The window runs over cells of rows with one id and size
+in one landed partition, so an id that a third of all rows share, or none, is few rows of one
+window.  No text is shuffled for the plan.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,8 +96,9 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float
     """
     if cap != 2:
         raise ValueError("the plan has columns for two passes")
-    sizes = as_docs(docs, "doc_id", "source", "text", *carry).select("doc_id", "source", *carry, n_words(F.col("text")).alias("size"))
-    sizes = land(sizes, "mix-sizes")
+    sizes = as_docs(docs, "doc_id", "source", "text", *carry).select("doc_id", "source", *carry, n_words(F.col("text")).alias("size"),
+                                                                      F.monotonically_increasing_id().alias("mix_no"))
+    sizes = land(sizes.withColumn("salt", F.spark_partition_id()), "mix-sizes")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     digits = min(max(round(math.log(max(sizes.count(), 1), 16) / 2), 1), MAX_HEX)
     rows = sizes.withColumn("key", key).withColumn("bucket", F.substring("key", 1, digits))
@@ -103,8 +108,15 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float
     t = source_targets(sizes, weights, share, cap)
     per = per.join(t.withColumnRenamed("source", "source_t"), F.col("source").eqNullSafe(F.col("source_t"))) \
         .select(F.col("source").alias("source_b"), F.col("bucket").alias("bucket_b"), "base", "source_rank", "source_size", "target")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    # rows of one id and size, counted per landed partition: a repeated id is as many cells as it has sizes there
+    cells = rows.groupBy("source", "bucket", "key", "doc_id", "size", "salt").agg(F.count(F.lit(1)).alias("n"))
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(*[F.col(c).alias(f"{c}_c") for c in ("source", "key", "doc_id", "size", "salt")],
+                         F.coalesce(F.sum(F.col("n") * F.col("size")).over(inside), F.lit(0)).alias("before_cell"))
+    alike = Window.partitionBy("source", "key", "doc_id", "size", "salt").orderBy("mix_no")
+    rows = rows.withColumn("nth", F.row_number().over(alike) - 1)
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_c")) for c in ("source", "key", "doc_id", "size", "salt")]
+    rows = rows.join(cells, reduce(and_, same)).withColumn("before", F.col("before_cell") + F.col("nth") * F.col("size"))
     rows = rows.join(per, F.col("source").eqNullSafe(F.col("source_b")) & (F.col("bucket") == F.col("bucket_b")))
     start = F.col("base") + F.col("before")
     goal = F.floor(F.col("target") + 0.5)
