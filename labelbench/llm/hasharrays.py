@@ -9,6 +9,7 @@ attempt replaces them whole).  Nothing of it passes through the driver but one r
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -69,6 +70,7 @@ class Counter:
         self.parts, self.size = [], 0
 
 
+@lru_cache(maxsize=8)
 def edges(n_ranges: int, key_bits: int = 64) -> np.ndarray:
     """First keys of the ranges after the first."""
     return np.array([(k << key_bits) // n_ranges for k in range(1, n_ranges)], U)
@@ -123,7 +125,7 @@ def load(folder: str, name: str) -> np.ndarray:
     path = f"{folder}/{name}.npy"
     if path not in _MAPS:
         if len(_MAPS) > 4096:
-            _MAPS.clear()
+            _MAPS.pop(next(iter(_MAPS)))  # the one opened first
         x = np.load(path, mmap_mode="r") if os.path.getsize(path) > 256 else np.load(path)
         _MAPS[path] = x
     return _MAPS[path]
@@ -139,13 +141,14 @@ class HashArrays:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Place of every key in the whole table, -1 where it isn't there.  ``keys`` are sorted."""
         out = np.full(len(keys), -1, np.int64)
-        cut = np.concatenate([[0], np.searchsorted(keys, edges(len(self.sizes), self.key_bits)), [len(keys)]])
-        for k, n in enumerate(self.sizes):
-            own = keys[cut[k]:cut[k + 1]]
-            if len(own) and n:
+        owner = np.searchsorted(edges(len(self.sizes), self.key_bits), keys, side="right")
+        cut = np.flatnonzero(np.diff(owner, prepend=-1))  # only the ranges that own one of the keys are visited
+        for a, b in zip(cut, np.append(cut, len(keys))[1:], strict=True):
+            k, own = int(owner[a]), keys[a:b]
+            if n := self.sizes[k]:
                 table = load(self.folder, f"{self.name}-{k}-keys")
                 at = np.minimum(np.searchsorted(table, own), n - 1)
-                out[cut[k]:cut[k + 1]] = np.where(table[at] == own, at + self.base[k], -1)
+                out[a:b] = np.where(table[at] == own, at + self.base[k], -1)
         return out
 
     def take(self, at: np.ndarray, what: str) -> np.ndarray:

@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from .common import as_docs
 U = np.uint64
 END = words.hash_spans(np.array([10], np.uint8), np.array([0]), np.array([1]))[0]  # white space is no word
 RANGE_BYTES = 32 << 20  # of text to a range of hashes
-SEGMENT = 1 << 18  # words to a piece of the per-word arrays
+SEGMENT = 1 << 16  # words to a piece of the per-word arrays
+FAN = 8  # ranges merged at once
 TEXTS = 500  # texts that a task handles at once
 
 
@@ -76,19 +78,24 @@ class Model:
     word_rest: float
     n_pairs: int
 
-    @property
+    @cached_property
     def n_vocab(self) -> int:
         return sum(self.vocab_sizes)
 
+    @cached_property
     def vocab(self) -> H.HashArrays:
         return H.HashArrays(self.folder, "vocab", self.vocab_sizes)
 
+    @cached_property
     def pairs(self) -> H.HashArrays:
         return H.HashArrays(self.folder, "pairs", self.pair_sizes, 2 * self.id_bits)
 
+    @cached_property
+    def _segments(self) -> np.ndarray:
+        return np.arange(0, max(self.n_vocab, 1), SEGMENT)
+
     def word_array(self, what: str, ids: np.ndarray) -> np.ndarray:
-        base = np.arange(0, max(self.n_vocab, 1), SEGMENT)
-        return H.gather(self.folder, f"words-%d-{what}", base, ids)
+        return H.gather(self.folder, f"words-%d-{what}", self._segments, ids)
 
 
 def _ids(vocab: H.HashArrays, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,7 +173,7 @@ def train(docs: DataFrame) -> Model:
         H.save(folder, f"pairs-{k}-counts", H.smallest(counts))
         pair = _scramble(keys, 2 * bits, back=True)
         before, word = (pair >> U(bits)).astype(np.int64), (pair & U((1 << bits) - 1)).astype(np.int64)
-        out = {"kind": ["size"], "part": [k], "n": [len(keys)], "blob": [np.bincount(np.minimum(counts, 5), minlength=6)[1:5].astype(np.int64).tobytes()]}
+        out = {"kind": ["size"], "part": [0], "n": [len(keys)], "blob": [np.bincount(np.minimum(counts, 5), minlength=6)[1:5].astype(np.int64).tobytes()]}
         # what this range adds to the words' arrays, by segment of words
         adds = [(before[counts == 1], None, "n1"), (before[counts == 2], None, "n2"), (before[counts > 2], None, "n3"), (before, counts, "total"), (word, None, "left")]
         for who, weight, what in adds:
@@ -177,13 +184,19 @@ def train(docs: DataFrame) -> Model:
                 out["part"].append(int(who[a]) // SEGMENT)
                 out["n"].append(0)
                 out["blob"].append(H.pack(who[a:b], n[a:b]))
-        return pa.table({"kind": out["kind"], "part": pa.array(out["part"], pa.int32()), "n": out["n"], "blob": pa.array(out["blob"], pa.binary())})
+        return pa.table({"kind": out["kind"], "part": pa.array(out["part"], pa.int32()), "piece": pa.array([k] * len(out["n"]), pa.int32()),
+                         "n": out["n"], "blob": pa.array(out["blob"], pa.binary())})
+
+    def join_pieces(t: pa.Table) -> pa.Table:
+        who, n = H.merge(b.as_py() for b in t["blob"])
+        return pa.table({"kind": [t["kind"][0].as_py()], "part": t["part"][:1].cast(pa.int32()), "piece": pa.array([t["piece"][0].as_py() // FAN], pa.int32()),
+                         "n": pa.array([0], pa.int64()), "blob": pa.array([H.pack(who, n)], pa.binary())})
 
-    schema = "kind string, part int, n long, blob binary"
+    schema = "kind string, part int, piece int, n long, blob binary"
     found = land(texts.mapInArrow(count_pairs, "part int, blob binary").groupBy("part").applyInArrow(save_pairs, schema), "lm-pairs")
     pair_sizes, seen = [0] * n_ranges, np.zeros(4, np.int64)
     for r in found.filter("kind = 'size'").collect():  # one row per range
-        pair_sizes[r.part] = r.n
+        pair_sizes[r.piece] = r.n
         seen += np.frombuffer(r.blob, np.int64)
 
     def save_segment(t: pa.Table) -> pa.Table:
@@ -200,7 +213,12 @@ def train(docs: DataFrame) -> Model:
         seen = np.bincount(np.minimum(x, 5), minlength=6)[1:]
         return pa.table({"part": pa.array([k], pa.int32()), "seen": pa.array([seen.tolist()], pa.list_(pa.int64()))})
 
-    rows = found.filter("kind <> 'size'").groupBy("part").applyInArrow(save_segment, "part int, seen array<long>").collect()  # one row per 262,144 words
+    # every range adds to every segment: a word's numbers of FAN ranges become one, until FAN pieces are left
+    pieces, n_pieces = found.filter("kind <> 'size'"), n_ranges
+    while n_pieces > FAN:
+        by = ["kind", "part", F.floor(F.col("piece") / FAN)]
+        pieces, n_pieces = land(pieces.groupBy(*by).applyInArrow(join_pieces, schema), "lm-pieces"), math.ceil(n_pieces / FAN)
+    rows = pieces.groupBy("part").applyInArrow(save_segment, "part int, seen array<long>").collect()  # one row per 65,536 words
     left = np.sum([r.seen for r in rows], axis=0) if rows else np.zeros(5, np.int64)
     n_pairs = sum(pair_sizes)
     d = discounts(left[:4])
@@ -211,7 +229,7 @@ def train(docs: DataFrame) -> Model:
 def _score_batch(model: Model, col: pa.Array) -> tuple[np.ndarray, ...]:
     """Per text: tokens, known tokens, base score, score."""
     hashes, first = _tokens(col)
-    vocab = model.vocab()
+    vocab = model.vocab
     ids, inverse, distinct = _ids(vocab, hashes)
     counts = vocab.take(ids, "counts")
     v = model.n_vocab
@@ -227,7 +245,7 @@ def _score_batch(model: Model, col: pa.Array) -> tuple[np.ndarray, ...]:
     both = np.flatnonzero((ids[inverse] >= 0) & (ids[before] >= 0))
     key = _scramble((ids[before[both]].astype(U) << U(model.id_bits)) | ids[inverse[both]].astype(U), 2 * model.id_bits)
     distinct_key, at = np.unique(key, return_inverse=True)
-    pairs = model.pairs()
+    pairs = model.pairs
     seen = np.zeros(len(inverse), np.int64)
     seen[both] = pairs.take(pairs.find(distinct_key), "counts")[at]
     safe = np.maximum(total, 1)
@@ -253,6 +271,6 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFra
                 pa.array(n.astype(np.int64)), pa.array(known), pa.array(np.full(len(n), model.n_tokens, np.int64)), pa.array(base), pa.array(log_p),
                 pa.array(10 ** (-log_p / n))], names=[*cols, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in cols)
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
     return as_docs(docs, *cols, "text").mapInArrow(
         run, f"{kinds}, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
