@@ -259,7 +259,8 @@ def _score_batch(model: Model, col: pa.Array) -> tuple[np.ndarray, ...]:
 def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, carried columns, n_tokens, n_known, train_tokens, base_score, score, perplexity): one row per document.
 
-    Null and empty texts are one end token.  Rows are scored one by one, repeated or null doc_ids
+    Null and empty texts are one end token; a very long text is read whole.  An empty table gives no row; carried
+    columns keep their names, which must differ from the columns above.  Rows are scored one by one, repeated or null doc_ids
     too.  ``perplexity`` is 10 to the negative score per token.
     """
     cols = ("doc_id", *carry)

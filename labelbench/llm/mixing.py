@@ -91,8 +91,8 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float
     which ``taken_1`` in the first pass over the source and ``taken_2`` in the second, at
     training times ``position`` and ``position_2`` (null: not taken).  Rows are range-sorted by
     ``position``.  Null text and text without words: size 0, taken 0.  Null source: a source of
-    its own, last.  Null or repeated doc_id: rows are treated one by one, equal ones are
-    interchangeable.  An empty table gives no row.
+    its own, last.  Null or repeated doc_id: rows are treated one by one, by size; rows of one source, id and
+    size are interchangeable.  A text of any length is one number here.  An empty table gives no row.
     """
     if cap != 2:
         raise ValueError("the plan has columns for two passes")

@@ -249,7 +249,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     ``kept_text`` joins by one space the words that no window covers whose words also occur in a
     document with a smaller doc_id.  Runs jobs when called (the bytes of all texts fix the number
     of blocks and buckets; the beginnings of a few texts prime the compression, nothing else).  Null, empty and white texts: 0 words, kept_text empty.  Texts of fewer
-    than 13 words lose nothing.  Null doc_ids rank last and remove nothing from each other; rows
+    than 13 words lose nothing, very long ones are cut like any other, within one task.  A doc_id that is no number raises.  Null doc_ids rank last and remove nothing from each other; rows
     that repeat a doc_id do not count as smaller.  An empty table gives no row.  ``docs`` should be
     read from a table (rows are numbered as they are scanned).
     """
