@@ -10,11 +10,17 @@ with the smallest and the largest doc_id that hold it, so a passage that a third
 documents share costs a bucket one string per block, not one per document.  A bucket answers
 a block only for windows that some document of the block has to drop; the block finds the
 places again by cutting its texts the same way.  The same exchange of the texts serves both.
+
+A common run of words with a small hash would draw the windows of most documents into one
+bucket.  So the bytes of all super-k-mers are first summed by cells, ``CELLS`` to a bucket, and
+the windows of a cell above ``CELL_BYTES`` travel one by one, dealt to parts by a hash of all their
+13 words.  The cells that stay whole bound a bucket by ``CELLS * CELL_BYTES``.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -31,7 +37,10 @@ WINDOW = 13
 RUN = 4
 BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 6 << 20
+CELLS = 16  # cells of minimiser hashes to a bucket
+CELL_BYTES = 3 << 20  # of super-k-mers to a cell that is not split: eight times the mean
 SPREAD = 3.2  # packed bytes per byte of text: a super-k-mer has 5.5 windows on average, and 12 words more than windows
+TEXTS = 500  # texts that a task weighs at once
 SAMPLE_TEXTS = 64  # texts whose beginnings prime the compression of the packed strings, which get short as buckets get many
 LAST = np.iinfo(np.int64).max  # the rank of a null doc_id
 _MUL = 0x9E3779B97F4A7C15
@@ -64,35 +73,115 @@ def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) ->
     return same
 
 
+def least_runs(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, text, smallest hash of its runs) of every window of the texts."""
+    n = np.diff(first)
+    count = np.maximum(n - WINDOW + 1, 0)
+    doc = np.repeat(np.arange(len(n)), count)
+    place = np.arange(len(doc)) + np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64), count)
+    if not len(place):
+        return place, doc, np.zeros(0, U)
+    runs = run_hashes(h, np.arange(len(h) - RUN + 1), RUN)
+    least = runs[place]
+    for k in range(1, WINDOW - RUN + 1):
+        np.minimum(least, runs[place + k], out=least)
+    return place, doc, least
+
+
+def _cells(least: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (words.mix(least * U(_MUL)) % U(n_buckets * CELLS)).astype(np.int64)
+
+
+class Hot:
+    """The cells whose windows travel one by one: cell numbers in order, and how many parts each is dealt to."""
+
+    def __init__(self, cells=(), parts=()):
+        order = np.argsort(np.array(cells, np.int64))
+        self.cells, self.parts = np.array(cells, np.int64)[order], np.array(parts, np.int64)[order]
+        self.first = np.concatenate([[0], np.cumsum(self.parts)]).astype(np.int64)
+
+    def find(self, cell: np.ndarray) -> np.ndarray:
+        """Place of every cell among these, -1 where it isn't one."""
+        if not len(self.cells):
+            return np.full(len(cell), -1)
+        at = np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)
+        return np.where(self.cells[at] == cell, at, -1)
+
+
+def hot_cells(docs: DataFrame, n_buckets: int) -> Hot:
+    """Cells that all texts' super-k-mers, repeats included, give more than ``CELL_BYTES``.  Runs a job.
+
+    To the driver comes one row per such cell: at most one per ``CELL_BYTES`` of super-k-mers, and of
+    texts without very common runs none.
+    """
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def merged():
+            cell, whole, alone = (np.concatenate(x) for x in zip(*held, strict=True))
+            own, inverse = np.unique(cell, return_inverse=True)
+            return own, *(np.bincount(inverse, x).astype(np.int64) for x in (whole, alone))
+
+        def send():
+            if held:
+                yield pa.record_batch([pa.array(x) for x in merged()], names=["cell", "whole", "alone"])
+
+        for batch in batches:
+            for c in range(0, len(batch), TEXTS):
+                raw, off = words.text_bytes(batch.column(0).slice(c, TEXTS))
+                s, e, first = words.spans(raw, off)
+                place, doc, least = least_runs(words.hash_spans(raw, s, e), first)
+                if not len(place):
+                    continue
+                begin = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (least[1:] != least[:-1])]))
+                last = np.append(begin[1:], len(place)) - 1
+                upto = np.concatenate([[0], np.cumsum(e - s + 1)])
+                held.append((_cells(least[begin], n_buckets), upto[place[last] + WINDOW] - upto[place[begin]],
+                             np.add.reduceat(upto[place + WINDOW] - upto[place], begin)))
+                size += len(begin)
+                if size > 1_000_000:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > 500_000:
+                        yield from send()
+                        held, size = [], 0
+        yield from send()
+
+    sums = docs.select("text").mapInArrow(weigh, "cell long, whole long, alone long").groupBy("cell").agg(F.sum("whole").alias("whole"), F.sum("alone").alias("alone"))
+    rows = sums.filter(F.col("whole") > CELL_BYTES).collect()
+    return Hot([r.cell for r in rows], [math.ceil(r.alone / CELL_BYTES) for r in rows])
+
+
 class Cut:
     """The super-k-mers of a batch of texts, grouped by content, in an order that is the same whenever it is made."""
 
-    def __init__(self, ids: np.ndarray, col: pa.Array, n_buckets: int):
+    def __init__(self, ids: np.ndarray, col: pa.Array, n_buckets: int, hot: Hot):
         raw, off = words.text_bytes(col)
         s, e, self.first = words.spans(raw, off)
         self.data, self.start, self.end = words.joined(raw, s, e, self.first)
-        n = np.diff(self.first)
-        self.n_words = n
+        self.n_words = np.diff(self.first)
         h = words.hash_spans(self.data, self.start, self.end)
-        count = np.maximum(n - WINDOW + 1, 0)
-        doc = np.repeat(np.arange(len(n)), count)
-        place = np.arange(len(doc)) + np.repeat(self.first[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64), count)
+        place, doc, least = least_runs(h, self.first)
         if not len(place):
             self.at = self.windows = self.doc = self.group = self.bucket = np.zeros(0, np.int64)
             self.turn = self.lead = np.zeros(0, np.int64)
             return
-        runs = run_hashes(h, np.arange(len(h) - RUN + 1), RUN)
-        least = runs[place]
-        for k in range(1, WINDOW - RUN + 1):
-            np.minimum(least, runs[place + k], out=least)
         new = np.ones(len(place), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (least[1:] != least[:-1])
+        cell = _cells(least[new], n_buckets)
+        split = hot.find(cell)
+        if (split >= 0).any():  # a window of a hot cell is a super-k-mer of its own
+            of = np.cumsum(new) - 1
+            new |= split[of] >= 0
+            cell, split = cell[of[new]], split[of[new]]
         begin = np.flatnonzero(new)
         self.at = place[begin]  # first word
         self.windows = np.diff(np.append(begin, len(place)))
         self.doc = doc[begin]
-        bucket = (words.mix(least[begin] * U(_MUL)) % U(n_buckets)).astype(np.int64)
         content = run_hashes(h, self.at, self.windows + (WINDOW - 1))
+        bucket = cell // CELLS
+        apart = np.flatnonzero(split >= 0)
+        bucket[apart] = n_buckets + hot.first[split[apart]] + (words.mix(content[apart] ^ U(_MUL)) % hot.parts[split[apart]].astype(U)).astype(np.int64)
         order = np.lexsort((self.at, content, bucket))
         self.at, self.windows, self.doc, bucket, content = self.at[order], self.windows[order], self.doc[order], bucket[order], content[order]
         # equal super-k-mers next to each other form a group; two that only share a hash do not
@@ -137,10 +226,10 @@ def _ordered(docs: pa.Table) -> pa.Table:
     return docs.combine_chunks().sort_by([("row_no", "ascending")])
 
 
-def _cutter(n_buckets: int, sample: bytes = b""):
+def _cutter(n_buckets: int, sample: bytes = b"", hot: Hot = Hot()):
     def cut(docs: pa.Table) -> pa.Table:
         docs = _ordered(docs)
-        c = Cut(_ids(docs["doc_id"]), docs["text"].combine_chunks(), n_buckets)
+        c = Cut(_ids(docs["doc_id"]), docs["text"].combine_chunks(), n_buckets, hot)
         rows: dict[str, list] = {"bucket": [], "block": [], "blob": []}
         edges = np.flatnonzero(np.diff(c.bucket, prepend=-1)) if len(c.bucket) else []
         for a, b in zip(edges, [*edges[1:], len(c.bucket)], strict=True):
@@ -211,11 +300,11 @@ def _count_bucket(blobs: pa.Table, sample: bytes) -> pa.Table:
     return pa.table({"block": pa.array(out[0], pa.int32()), "bucket": pa.array(out[1], pa.int32()), "blob": pa.array(out[2], pa.binary())})
 
 
-def _dropper(n_buckets: int, sample: bytes = b""):
+def _dropper(n_buckets: int, sample: bytes = b"", hot: Hot = Hot()):
     def drop(docs: pa.Table, answers: pa.Table) -> pa.Table:
         docs = _ordered(docs)
         ids = _ids(docs["doc_id"])
-        c = Cut(ids, docs["text"].combine_chunks(), n_buckets)
+        c = Cut(ids, docs["text"].combine_chunks(), n_buckets, hot)
         covered = np.zeros(len(c.start) + 1, np.int64)
         members = np.append(c.lead, len(c.at))
         for bucket, blob in zip(answers["bucket"].to_pylist(), answers["blob"].to_pylist(), strict=True):
@@ -248,7 +337,9 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
     ``kept_text`` joins by one space the words that no window covers whose words also occur in a
     document with a smaller doc_id.  Runs jobs when called (the bytes of all texts fix the number
-    of blocks and buckets; the beginnings of a few texts prime the compression, nothing else).  Null, empty and white texts: 0 words, kept_text empty.  Texts of fewer
+    of blocks and buckets, the bytes of their super-k-mers the cells to split; the beginnings of a few
+    texts prime the compression, nothing else).  Of one window a bucket gets one string per block,
+    however many documents have it.  Null, empty and white texts: 0 words, kept_text empty.  Texts of fewer
     than 13 words lose nothing, very long ones are cut like any other, within one task.  A doc_id that is no number raises.  Null doc_ids rank last and remove nothing from each other; rows
     that repeat a doc_id do not count as smaller.  An empty table gives no row.  ``docs`` should be
     read from a table (rows are numbered as they are scanned).
@@ -256,13 +347,14 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     n_blocks = max(1, math.ceil(total / BLOCK_BYTES))
     n_buckets = max(1, math.ceil(total * SPREAD / BUCKET_BYTES))
+    hot = hot_cells(docs, n_buckets)
     some = docs.select(F.substring("text", 1, 1800).alias("t")).filter("t <> ''").limit(SAMPLE_TEXTS).collect()
     sample = " ".join(sorted(r.t for r in some)).encode()
     row = packed_row(docs.select(*[F.col(f"`{c}`") for c in carry]))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(row.alias("row"), "doc_id", "text", F.monotonically_increasing_id().alias("row_no"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "row_no"), F.lit(n_blocks)).cast("int")).repartition(n_blocks, "block")
-    sent = rows.groupBy("block").applyInArrow(_cutter(n_buckets, sample), "bucket int, block int, blob binary")
+    sent = rows.groupBy("block").applyInArrow(_cutter(n_buckets, sample, hot), "bucket int, block int, blob binary")
     answers = sent.groupBy("bucket").applyInArrow(_counter(sample), "block int, bucket int, blob binary")
     out = f"row {rows.schema['row'].dataType.simpleString()}, doc_id {kind}, text string, n_words long, n_removed long, kept_text string"
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_dropper(n_buckets, sample), out)
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_dropper(n_buckets, sample, hot), out)

@@ -3,11 +3,14 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from labelbench.llm import chat, lm, mixing, sharding, simhash
+from labelbench.llm import chat, lm, mixing, sharding, simhash, substring
 from labelbench.llm import sql as S
+from labelbench.llm import words
 from labelbench.session import land
+from tests.conftest import SF_SMALL
 
 from . import brute
 
@@ -87,3 +90,49 @@ def test_language_model_of_many_ranges(spark, monkeypatch):
 def test_carried_names_are_quoted(spark):
     df = spark.createDataFrame([(1, "a b c d", "x"), (2, "a b c d", "y")], "doc_id long, text string, `a b` string")
     assert sorted((r["a b"], r.component_id) for r in simhash.simhash_groups(df, carry=("a b",)).collect()) == [("x", 1), ("y", 1)]
+
+
+def bucket_bytes(rows, n_buckets, hot):
+    table = pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows], "row_no": list(range(len(rows))), "block": [0] * len(rows)})
+    sent, out = substring._cutter(n_buckets, b"", hot)(table), defaultdict(int)
+    for bucket, blob in zip(sent["bucket"].to_pylist(), sent["blob"].to_pylist(), strict=True):
+        out[bucket] += len(substring._unpack(b"", blob, np.int64, np.int64, np.int32, np.uint8)[3])
+    return out
+
+
+def test_substring_splits_a_hot_minimiser(spark, monkeypatch):
+    """One run of four words that most windows share does not make one bucket."""
+    rng = np.random.default_rng(3)
+    names = [f"w{k}" for k in range(4000)]
+    # the run of smallest hash among many, so that it is the minimiser of nearly every window that holds it
+    runs = [[f"a{k}", "common", "little", "phrase"] for k in range(3000)]
+    data = np.frombuffer(" ".join(" ".join(r) for r in runs).encode() + b" ", np.uint8)
+    end = np.flatnonzero(data == 32)
+    h = words.hash_spans(data, np.concatenate([[0], end[:-1] + 1]), end)
+    phrase = runs[int(np.argmin(substring.run_hashes(h, np.arange(0, len(h), 4), 4)))]
+    rows = []
+    for k in range(400):
+        text = [w for _ in range(12) for w in [*(names[int(i)] for i in rng.integers(0, 4000, 9)), *phrase]]
+        rows.append((k, " ".join(text)))
+    rows += [(400 + k, rows[k][1]) for k in range(0, 60, 2)]
+    monkeypatch.setattr(substring, "BLOCK_BYTES", 50_000)
+    monkeypatch.setattr(substring, "BUCKET_BYTES", 60_000)
+    monkeypatch.setattr(substring, "CELL_BYTES", 30_000)
+    table = land(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "hot-run")
+    n_buckets = -(-int(sum(len(t) for _, t in rows) * substring.SPREAD) // 60_000)
+    hot = substring.hot_cells(table, n_buckets)
+    assert len(hot.cells) and hot.parts.sum() > 10
+    before, after = bucket_bytes(rows, n_buckets, substring.Hot()), bucket_bytes(rows, n_buckets, hot)
+    assert max(before.values()) > 300_000 and max(after.values()) < 90_000
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.remove_repeats(table).collect()}
+    want = brute.repeats(rows)
+    assert got == {i: (w[0], w[1], w[3]) for i, w in want.items()} and sum(w[1] > 0 for w in want.values()) >= 30
+
+
+def test_substring_all_cells_hot(spark, monkeypatch):
+    """Every window on its own gives the same result."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    monkeypatch.setattr(substring, "CELL_BYTES", 100)
+    monkeypatch.setattr(substring, "BLOCK_BYTES", 200_000)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.remove_repeats(docs).collect()}
+    assert got == {i: (w[0], w[1], w[3]) for i, w in brute.repeats([(r.doc_id, r.text) for r in docs.collect()]).items()}
