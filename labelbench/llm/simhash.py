@@ -1,12 +1,18 @@
 """SimHash near-duplicates by Golay-code fuzzy hashing.
 
-A 64-bit fingerprint is cut into segments of 21, 21 and 22 bits.  Three differing bits leave at
-least two segments with one differing bit or none (two segments with two or more would make
-four).  The binary Golay code (23, 12, 7) is perfect: every 23-bit word lies within three bits of
-one codeword.  So for words x, y at one bit or none, the codeword of x is among the codewords
-of y and y's one-bit neighbours.  For each of the three pairs of segments a fingerprint is
-registered under its own two codewords and looked up under all pairs of codewords of the
-neighbours (about 30); every pair of fingerprints within three bits meets, and is verified.
+A 64-bit fingerprint is cut into four segments of 16 bits.  Take a pair of fingerprints with three
+differing bits or fewer, and leave out the segment where most of them are: no other segment has
+two (that would make four), and not all three others have one (four again).  So one of them is
+equal, and the other two differ in one bit at most.  The binary Golay code (23, 12, 7) is perfect: every
+23-bit word lies within three bits of one codeword, so for words x, y at one bit or none, the
+codeword of x is among the codewords of y and y's one-bit neighbours (about five).  A key is the
+equal segment's bits with two codewords.  The left side registers the first of the two segments under its own
+codeword and the second under those of its neighbours, the right side the other way round.
+``KEYS`` names eight choices of segments of which every such pair fits one: each segment is left out
+with two different equal ones, and is the equal one of two choices.  Pairs that meet are verified.
+
+A fingerprint has about 85 keys of some 38 effective bits.  Fingerprints that meet by chance are about
+112 N^2 / 2^38 for N different ones: fewer than the keys themselves up to 10^11.
 
 Only distinct fingerprints are joined, so copies never form pairs.
 """
@@ -27,7 +33,8 @@ from . import words
 from .common import as_docs, numbered
 from .components import components
 
-SEGMENTS = (21, 21, 22)
+SEGMENT = 16  # bits
+KEYS = [(e, *(k for k in range(4) if k not in (e, out))) for out in range(4) for e in ((out + 1) % 4, (out + 2) % 4)]  # (equal, two near ones)
 MAX_BITS = 3
 TEXTS = 500  # texts that a task handles at once
 
@@ -93,34 +100,26 @@ def _near_codewords(w: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, new
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """fp -> (key, fp, home): three home rows and about 85 lookup rows for each fingerprint."""
-    for batch in batches:
-        all_fp = batch.column(0).to_numpy(zero_copy_only=False)
-        for c in range(0, len(all_fp), 2048):
-            fp = all_fp[c:c + 2048]
-            u, shift, seg = fp.view(np.uint64), 0, []
-            for bits in SEGMENTS:
-                seg.append(((u >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64))
-                shift += bits
-            near = [_near_codewords(s, b) for s, b in zip(seg, SEGMENTS, strict=True)]
-            key, who, home = [], [], []
-            for p, (i, j) in enumerate(combinations(range(3), 2)):
-                key.append((p << 24) | (codeword(seg[i]) << 12) | codeword(seg[j]))
-                who.append(fp)
-                home.append(np.ones(len(fp), bool))
-                ri, ci = np.nonzero(near[i][1])
-                ki, nj = near[i][0][ri, ci], near[j][1].sum(axis=1)
-                rows = np.repeat(np.arange(len(ri)), nj[ri])  # each key of segment i with every key of segment j
-                rj, cj = np.nonzero(near[j][1])
-                first = np.concatenate([[0], np.cumsum(nj)])
-                inner = np.arange(len(rows)) - np.repeat(np.concatenate([[0], np.cumsum(nj[ri])[:-1]]), nj[ri])
-                kj = near[j][0][rj, cj][first[ri[rows]] + inner]
-                key.append((p << 24) | (ki[rows] << 12) | kj)
-                who.append(fp[ri[rows]])
-                home.append(np.zeros(len(rows), bool))
-            yield pa.record_batch([pa.array(np.concatenate(key).astype(np.int32)), pa.array(np.concatenate(who)), pa.array(np.concatenate(home))],
-                                  names=["key", "fp", "home"])
+def _keys(left: bool):
+    """fp -> (key, fp): the keys of one side, about 42 for each fingerprint."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            all_fp = batch.column(0).to_numpy(zero_copy_only=False)
+            for c in range(0, len(all_fp), 2048):
+                fp = all_fp[c:c + 2048]
+                seg = [((fp.view(np.uint64) >> np.uint64(SEGMENT * k)) & np.uint64((1 << SEGMENT) - 1)).astype(np.int64) for k in range(4)]
+                own, near = [codeword(s) for s in seg], [_near_codewords(s, SEGMENT) for s in seg]
+                key, who = [], []
+                for n, (e, i, j) in enumerate(KEYS):
+                    row, col = np.nonzero(near[j if left else i][1])
+                    if left:
+                        first, second = own[i][row], near[j][0][row, col]
+                    else:
+                        first, second = near[i][0][row, col], own[j][row]
+                    key.append((n << 40) | (seg[e][row] << 24) | (first << 12) | second)
+                    who.append(fp[row])
+                yield pa.record_batch([pa.array(np.concatenate(key)), pa.array(np.concatenate(who))], names=["key", "fp"])
+    return run
 
 
 def first_of_groups(docs: DataFrame, **options) -> DataFrame:
@@ -133,14 +132,13 @@ def first_of_groups(docs: DataFrame, **options) -> DataFrame:
 
 
 def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b): all pairs a < b of the distinct fingerprints ``fp`` within ``max_bits`` (3 at most); a pair may come thrice."""
+    """(a, b): all pairs a < b of the distinct fingerprints ``fp`` within ``max_bits`` (3 at most); a pair may come up to eight times."""
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("the keys find up to three differing bits")
-    keys = fps.select("fp").mapInArrow(_keys, "key int, fp long, home boolean")
-    home = keys.filter("home").select("key", F.col("fp").alias("a"))
-    look = keys.filter("not home").select("key", F.col("fp").alias("b"))
+    left = fps.select("fp").mapInArrow(_keys(True), "key long, fp long").select("key", F.col("fp").alias("a"))
+    right = fps.select("fp").mapInArrow(_keys(False), "key long, fp long").select("key", F.col("fp").alias("b"))
     far = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return home.join(look, (home["key"] == look["key"]) & (F.col("a") < F.col("b")) & (far <= max_bits)).select("a", "b")
+    return left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (far <= max_bits)).select("a", "b")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -1,5 +1,6 @@
 """Hot groups, very long rows and many ranges: what must hold when one key has most of the rows."""
 from collections import defaultdict
+from itertools import combinations_with_replacement
 
 import duckdb
 import numpy as np
@@ -87,6 +88,29 @@ def test_language_model_of_many_ranges(spark, monkeypatch):
         assert (got[k].n_tokens, got[k].n_known, got[k].train_tokens) == want[:3] and np.allclose((got[k].base_score, got[k].score), want[3:])
 
 
+def test_golay_keys_cover_every_spread_of_three_bits():
+    """A pair meets under some choice of segments wherever its three bits or fewer lie."""
+    rng = np.random.default_rng(9)
+    keys = lambda fps, left: [set(zip(*(c.to_pylist() for c in b.columns))) for b in simhash._keys(left)([pa.record_batch([pa.array(fps)], names=["fp"])])][0]
+    sides = [s for n in range(4) for s in combinations_with_replacement(range(4), n)]
+    for segments in sides:
+        for base in rng.integers(-2**63, 2**63, 30, dtype=np.int64):
+            other = base.view(np.uint64)
+            for bit in {16 * s + int(b) for s, b in zip(segments, rng.choice(16, 3, replace=False))}:
+                other = other ^ np.uint64(1 << bit)
+            pair = np.array([base, other.view(np.int64)])
+            for a, b in (pair, pair[::-1]):
+                assert {k for k, _ in keys(np.array([a]), True)} & {k for k, _ in keys(np.array([b]), False)}
+
+
+def test_golay_candidates_stay_few(spark):
+    """Unrelated fingerprints hardly ever meet."""
+    fps = land(spark.range(60_000).select(F.xxhash64("id").alias("fp")), "random-fps")
+    left, right = (fps.mapInArrow(simhash._keys(side), "key long, fp long") for side in (True, False))
+    met = left.join(right.withColumnRenamed("fp", "other"), "key").filter("fp < other").count()
+    assert met < 60_000 * 0.01 and left.count() < 45 * 60_000
+
+
 def test_carried_names_are_quoted(spark):
     df = spark.createDataFrame([(1, "a b c d", "x"), (2, "a b c d", "y")], "doc_id long, text string, `a b` string")
     assert sorted((r["a b"], r.component_id) for r in simhash.simhash_groups(df, carry=("a b",)).collect()) == [("x", 1), ("y", 1)]
