@@ -5,8 +5,8 @@ statistics, repetition, and how strongly its words speak for either label); a ga
 learns from the document labels alone which passages matter, and the weighted passage
 representation is scored.  Features come from the text only.
 
-Training reads a bounded sample of labelled documents (``sample`` rows, whole texts), picked by
-the hash of their id: one half gives the words' log-odds, the other half trains the network, so
+Training reads a bounded sample of labelled documents (``sample`` rows, whole texts, and at most
+``passages`` passages for the network), picked by the hash of their id: one half gives the words' log-odds, the other half trains the network, so
 that a word seen once cannot vouch for its own document.  Scoring is one pass over all whole
 texts without a shuffle.
 """
@@ -18,17 +18,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import land
 from . import words
-from .common import as_docs, nullable
+from .common import as_docs, n_words, nullable
 
 U = np.uint64
 PASSAGE = 64
 LEXICON_BITS = 16
-SAMPLE = 16_000
+SAMPLE = 16_000  # labelled documents learned from
+SAMPLE_PASSAGES = 1 << 19  # passages that the network learns from: 38 MB of vectors
 TEXTS = 300
 HIDDEN, GATE = 24, 12
 
@@ -162,12 +163,15 @@ def fit(x: np.ndarray, size: np.ndarray, y: np.ndarray, epochs: int = 30, step:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages: int = SAMPLE_PASSAGES) -> Model:
     """Learn from (doc_id, quality) rows; null labels are left out.  Runs jobs when called.
 
     Of more than ``sample`` labelled ids those with the smallest hashes are read, and of rows of one
     id the one whose text has the smallest hash (``sample`` bounds what is broadcast, the rows
-    learned from and what reaches the driver).  Without labels every score is 0.5.
+    learned from and what reaches the driver).  The network learns from whole documents of together at
+    most ``passages`` passages, in the order of the hashes; a document longer than an eighth of that is left to
+    the words' log-odds.  Null, empty and white texts are learned as a bag of one empty passage.  Without labels,
+    and of empty tables, every score is 0.5.
     """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)")
     picked = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumn("pick", F.xxhash64("doc_id")) \
@@ -175,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     picked = land(picked, "quality-labels")
     texts = as_docs(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id") \
         .groupBy("doc_id", "quality", "pick").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")) \
-        .select("text", "quality", F.pmod("pick", F.lit(2)).alias("half"))
+        .select("doc_id", "pick", "text", "quality", F.pmod("pick", F.lit(2)).alias("half"))
     texts = land(texts, "quality-texts")  # the sample only
 
     def lexicon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +215,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 blobs = [x[a:b].astype(np.float32).tobytes() for a, b in zip(bag[:-1], bag[1:], strict=True)]
                 yield pa.record_batch([pa.array(blobs, pa.binary()), part.column(1)], names=["x", "quality"])
 
-    got = texts.filter("half = 1").select("text", "quality").mapInArrow(bagged, "x binary, quality int").toArrow()  # half of the sample
+    # at most half of ``sample`` rows of numbers; the texts stay where they are
+    sizes = texts.filter("half = 1").select("doc_id", "pick", F.greatest(F.ceil(n_words(F.col("text")) / PASSAGE), F.lit(1)).alias("n")).filter(F.col("n") * 8 <= passages)
+    fits = sizes.withColumn("upto", F.sum("n").over(Window.orderBy("pick", "doc_id"))).filter(F.col("upto") <= passages).select("doc_id")
+    got = texts.join(F.broadcast(fits), "doc_id", "left_semi").select("text", "quality").mapInArrow(bagged, "x binary, quality int").toArrow()  # at most ``passages`` vectors
     blobs = sorted(zip(got["x"].to_pylist(), got["quality"].to_pylist(), strict=True))  # an order that reruns share
     if not blobs:
         return Model(odds, np.zeros(18), np.ones(18), {"W": np.zeros((18, HIDDEN)), "w0": np.zeros(HIDDEN), "V": np.zeros((HIDDEN, GATE)),
@@ -226,7 +233,9 @@ def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFra
     """(doc_id, carried columns, score, n_passages, top_attention): one row per document.
 
     ``score`` is the model's probability of label 1, from the whole text.  Null, empty and white
-    texts are a bag of one empty passage.  Rows with null or repeated doc_ids are scored like any.
+    texts are a bag of one empty passage.  Very long texts are scored whole, in one task, with 144 bytes
+    for every 64 words.  Rows with null or repeated doc_ids are scored like any; equal texts have equal scores.  An
+    empty table gives no row.
     """
     cols = ("doc_id", *carry)
     every = (*cols, "text") if "text" not in cols else cols

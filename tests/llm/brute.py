@@ -162,3 +162,38 @@ def alignment(texts, encode_a, bytes_a, encode_b, bytes_b):
         top[b] = max(top[b], c)
     return [(n_a, n_b, g, len(own), sum(count[p] == top[p[1]] for p in own), sum(count[p] for p in own), h)
             for (n_a, n_b, g, h), own in zip(out, links)]
+
+
+def quality(text, model, hash_of):
+    """(score, number of passages, largest attention) of a text, word by word and passage by passage."""
+    classes = [b"#*$%&|<>{}[]\\^~_=+@", b"!", bytes(range(65, 91)), b"0123456789", b".?!", bytes(range(128, 256)), b"/:;,()\"'"]
+    all_words = words(text)
+    lower = [w.lower() for w in all_words]
+    rows = []
+    for a in range(0, max(len(all_words), 1), 64):
+        own = all_words[a:a + 64]
+        if not own:
+            rows.append([1.0] + [0.0] * 17)
+            continue
+        n, size = len(own), sum(map(len, own))
+        odds = [float(model.lexicon[hash_of(w)]) for w in lower[a:a + 64]]
+        row = [0.0, math.log1p(n) / 4, size / n / 8]
+        row += [math.log1p(8 * sum(c in cl for w in own for c in w) / size) for cl in classes]
+        row.append(sum(k > 0 and lower[k] == lower[k - 1] for k in range(a, a + n)) / n)
+        row.append(sum(lower[k] in lower[a:k] for k in range(a, a + n)) / n)
+        row.append(sum(lower[k] in lower[:k] for k in range(a, a + n)) / n)
+        row += [sum(odds) / n, min(odds) / 4, max(odds) / 4, sum(min(o, 0.0) for o in odds) / 8, math.log1p(len(all_words)) / 8]
+        rows.append(row)
+    w, energies, hidden = model.weights, [], []
+    for row in rows:
+        x = [(v - m) / s for v, m, s in zip(row, model.mean, model.scale)]
+        h = [max(sum(x[i] * w["W"][i, k] for i in range(len(x))) + w["w0"][k], 0.0) for k in range(len(w["w0"]))]
+        gates = range(len(w["a"]))
+        t = [math.tanh(sum(h[i] * w["V"][i, k] for i in range(len(h)))) for k in gates]
+        g = [1 / (1 + math.exp(-sum(h[i] * w["U"][i, k] for i in range(len(h))))) for k in gates]
+        energies.append(sum(t[k] * g[k] * w["a"][k] for k in gates))
+        hidden.append(h)
+    e = [math.exp(v - max(energies)) for v in energies]
+    attention = [v / sum(e) for v in e]
+    z = [sum(a * h[k] for a, h in zip(attention, hidden)) for k in range(len(w["c"]))]
+    return 1 / (1 + math.exp(-sum(v * c for v, c in zip(z, w["c"])) - float(w["c0"][0]))), len(rows), max(attention)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from labelbench.llm import chat, embdedup, lm, mixing, packing, quality, queries, rules, sharding, simhash, substring
+from labelbench.llm import chat, embdedup, lm, mixing, packing, quality, queries, rules, sharding, simhash, substring, words
 from labelbench.session import land
 from tests.conftest import SF_SMALL
 
@@ -60,6 +60,38 @@ def test_quality_learns_one_row_of_an_id(spark, docs):
     assert np.array_equal(one.lexicon, many.lexicon) and np.allclose(one.mean, many.mean) and np.allclose(one.scale, many.scale)
 
 
+def test_quality_scores_by_brute_force(spark, docs, odd):
+    """Whole path of a score, from the text to the probability, against plain loops."""
+    sf = SF_SMALL.replace("0.001", "0.01")
+    model = quality.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+
+    def hash_of(word):
+        data = np.frombuffer(word, np.uint8)
+        return int(quality._bucket(words.hash_spans(data, np.array([0]), np.array([len(data)])))[0])
+
+    long = [(1, " ".join(f"Word{k % 977}, a b! é{k}" for k in range(1500))), (2, "W" * 300 + " tail " * 70)]
+    for table in (docs.select("doc_id", "text").filter("doc_id < 60"), odd.select("doc_id", "text"), spark.createDataFrame(long, "doc_id long, text string")):
+        got = quality.score(table.select("doc_id", "text"), model, carry=("text",)).collect()
+        assert got
+        for r in got:
+            p, n, top = brute.quality(r.text, model, hash_of)
+            assert r.n_passages == n and np.allclose((r.score, r.top_attention), (p, top), atol=1e-9)
+
+
+def test_quality_bounds_its_passages(spark, monkeypatch):
+    """Long texts in the sample do not make what the network learns from larger than its bound."""
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, size, y: seen.append(size) or fit(x, size, y, epochs=1))
+    rows = [(k, "word " * (64 * 30 if k % 3 else 64 * 500)) for k in range(90)]
+    table = land(spark.createDataFrame(rows, "doc_id long, text string"), "long-texts")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(90)], "doc_id long, quality int")
+    model = quality.train(table, labels, passages=600)
+    assert seen[0].sum() <= 600 and seen[0].sum() > 500 and set(seen[0]) == {30}
+    assert quality.score(table, model).count() == 90
+    quality.train(table, labels)
+    assert set(seen[1]) == {30, 500}
+
+
 def test_quality_gradients():
     rng = np.random.default_rng(0)
     size = np.array([1, 4, 2])
