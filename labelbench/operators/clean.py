@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..constants import LABELS
 from ..functions.casts import strict_int
 from ..functions.text import normalize_description
+from ..session import land
 
 KEY = "_dedupe_key"
 
@@ -45,11 +46,27 @@ def _first_ids(df: DataFrame, key: Column, order_col: str) -> DataFrame:
     return df.select(key.alias(KEY), F.col(order_col)).groupBy(KEY).agg(F.min(order_col).alias(order_col))
 
 
-def dedupe_keep_first(df: DataFrame, col: str = "description", order_col: str = "row_id") -> DataFrame:
+def repeated_ids(df: DataFrame, col: str = "description", order_col: str = "row_id") -> DataFrame:
+    """Row ids of the 2nd and later occurrences of a key; only keys and ids are shuffled.
+
+    The first id of every key that repeats is a partially aggregated minimum, so the side that a
+    hot key's rows are joined to has one row of it.
+    """
+    keys = df.select(dedupe_key(col).alias(KEY), F.col(order_col))
+    first = keys.groupBy(F.col(KEY).alias("_key")).agg(F.min(order_col).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return keys.join(first, F.col(KEY).eqNullSafe(F.col("_key")) & (F.col(order_col) > F.col("_first"))).select(order_col)
+
+
+def dedupe_keep_first(df: DataFrame, col: str = "description", order_col: str = "row_id", land_repeats: bool = False) -> DataFrame:
     """``drop_duplicates(subset=[lower(col)], keep='first')`` with first = smallest row id.
 
-    All NULL texts form one group, as in pandas.
+    All NULL texts form one group, as in pandas.  With ``land_repeats`` the ids of the repeated rows are
+    written first (this runs a job): Spark then knows their size, and while they are small enough to
+    be broadcast no row of ``df`` is shuffled; beyond that both sides are shuffled by id.  Worth it
+    where rows are wide and repeats few.  Row ids must be unique.
     """
+    if land_repeats:
+        return df.join(land(repeated_ids(df, col, order_col), "dedupe-repeats"), order_col, "left_anti")
     keep = _first_ids(df, dedupe_key(col), order_col).select(order_col)
     return df.join(keep, order_col, "left_semi")
 
@@ -67,10 +84,10 @@ def duplicate_flags(df: DataFrame, col: str = "description", order_col: str = "r
             .withColumn("is_duplicate", F.col("_first").isNull()).drop("_first"))
 
 
-def prepare_sentences(df: DataFrame, labels: list[str] | None = None) -> DataFrame:
+def prepare_sentences(df: DataFrame, labels: list[str] | None = None, land_repeats: bool = False) -> DataFrame:
     """Dataset preparation in the studied order: annotated filter -> strict labels ->
-    strip / trailing dots -> keep-first case-insensitive de-dup."""
+    strip / trailing dots -> keep-first case-insensitive de-dup (see there for ``land_repeats``)."""
     out = filter_annotated(df)
     out = cast_labels_strict(out, labels)
     out = normalize_text(out)
-    return dedupe_keep_first(out)
+    return dedupe_keep_first(out, land_repeats=land_repeats)

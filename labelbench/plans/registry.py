@@ -94,6 +94,11 @@ def q_dedupe_keep_first(spark, sf_dir):
     return prepared(spark, sf_dir).select("row_id", "description", *LABELS)
 
 
+@query("dedupe_by_repeats")
+def q_dedupe_by_repeats(spark, sf_dir):
+    return clean.prepare_sentences(fx.req(spark, sf_dir), land_repeats=True).select("row_id", "description", *LABELS)
+
+
 @query("duplicate_flags")
 def q_duplicate_flags(spark, sf_dir):
     a = clean.normalize_text(annotated(spark, sf_dir))

@@ -69,6 +69,8 @@ SQL["dedupe_keep_first"] = W("req") + _ANN_NORM + f"""
 select row_id, description, {LABEL_COLS} from ann
 where row_id in (select min(row_id) from ann group by lower(description))"""
 
+SQL["dedupe_by_repeats"] = SQL["dedupe_keep_first"]
+
 SQL["duplicate_flags"] = W("req") + _ANN_NORM + """
 select row_id, row_number() over (partition by lower(description) order by row_id) > 1 as is_duplicate from ann"""
 

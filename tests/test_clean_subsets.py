@@ -21,6 +21,30 @@ def test_keep_first_case_insensitive_and_nulls(spark):
     assert flags == {1: False, 2: False, 3: True, 5: True, 7: False, 9: True}
 
 
+def test_keep_first_by_repeats(spark):
+    """Same rows as the semi join, also with a key of a third of all rows, and no shuffle of the table while repeats are few."""
+    df = _table(spark, [(5, "Hello", 0, None), (2, "hello", 1, 2), (9, "HELLO", 0, None), (3, None, 0, None), (1, None, 1, 1), (7, "other", 0, None)])
+    assert sorted(r.row_id for r in clean.dedupe_keep_first(df, land_repeats=True).collect()) == [1, 2, 7]
+    many = spark.range(6000).select(F.col("id").alias("row_id"), F.expr("case when id % 3 = 0 then 'Hot' when id % 3 = 1 then concat('u', id % 900) end").alias("description"))
+    kept = sorted(r.row_id for r in clean.dedupe_keep_first(many, land_repeats=True).collect())
+    assert kept == sorted(r.row_id for r in clean.dedupe_keep_first(many).collect()) and len(kept) == 302
+    plan = clean.dedupe_keep_first(many, land_repeats=True)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan and "hashpartitioning" not in plan
+    assert clean.dedupe_keep_first(df.limit(0), land_repeats=True).count() == 0
+
+
+def test_landed_subset_counts_and_session_still_trains(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    df = _table(spark, [(1, "a", 0, None), (2, "b", 1, 2), (3, "c", 1, 1), (4, "d", 0, None)])
+    out, n = sb.landed_subset(df, condition=F.col("row_id") > 1, query="ambiguity_type is null or ambiguity_type <> 2")
+    assert n == 2 and sorted(r.row_id for r in out.collect()) == [3, 4]
+    assert sb.landed_subset(df, condition=F.col("row_id") > 9)[1] == 0
+    points = spark.range(40).select(array_to_vector(F.array((F.col("id") % 7).cast("double"))).alias("features"), (F.col("id") % 2).cast("double").alias("label"))
+    assert LogisticRegression(maxIter=2).fit(points).numFeatures == 1
+
+
 def test_null_keeping_type_filter(spark):
     df = _table(spark, [(1, "a", 0, None), (2, "b", 1, 1), (3, "c", 1, 2), (4, "d", None, None)])
     suite = sb.subset_suite(df)
