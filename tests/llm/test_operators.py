@@ -1,6 +1,6 @@
 """The operators against brute force, on odd rows and on empty tables."""
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -390,10 +390,31 @@ def test_pipeline_stages(spark, docs):
 
 
 def test_pipeline_on_odd_rows(spark, odd, none):
-    for table in (odd, none):
-        for name, stage in corpus_pipeline.STAGES:
-            table = land(stage(spark, table, SF_SMALL), f"odd-{name}")
-            assert name == "bm25_packing" or table.columns == odd.columns
+    tables, table = [odd], odd
+    for name, stage in corpus_pipeline.STAGES:
+        table = land(stage(spark, table, SF_SMALL), f"odd-{name}")
+        assert name == "bm25_packing" or table.columns == odd.columns
+        tables.append(table)
+    whole = lambda df: Counter(tuple(r) for r in df.collect())
+    rows, kept, one, cut, mixed, packed = tables
+    assert whole(kept) <= whole(rows) and whole(one) <= whole(kept)
+    ids = [r.doc_id for r in one.collect()]
+    assert len(ids) == len(set(ids)) and sum(not (t or "").strip(" \t\n\x0b") for _, t in pairs(one)) <= 1
+    assert Counter(r.doc_id for r in cut.collect()) == Counter(ids)
+    assert {i for i, _ in pairs(mixed)} <= set(ids) and all(brute.words(t) for _, t in pairs(mixed))
+    check_packing(packed.collect(), pairs(mixed))
+    table = none
+    for name, stage in corpus_pipeline.STAGES:
+        table = land(stage(spark, table, SF_SMALL), f"none-{name}")
+        assert table.count() == 0
+
+
+def test_pipeline_stage_called_again_keeps_unread_results(spark, odd):
+    """Two callers of one stage: the first reads its result after the second has called."""
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("simhash_dedup", "bm25_packing"):
+            first, second = stage(spark, odd, SF_SMALL), stage(spark, odd, SF_SMALL)
+            assert first.count() == second.count() > 0
 
 
 def test_words_tokenised_together_or_alone():
