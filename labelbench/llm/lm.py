@@ -178,8 +178,8 @@ def train(docs: DataFrame) -> Model:
         adds = [(before[counts == 1], None, "n1"), (before[counts == 2], None, "n2"), (before[counts > 2], None, "n3"), (before, counts, "total"), (word, None, "left")]
         for who, weight, what in adds:
             who, n = H.count_keys(who.astype(U), weight)
-            cut = np.flatnonzero(np.diff((who // U(SEGMENT)).astype(np.int64), prepend=-1)) if len(who) else []
-            for a, b in zip(cut, [*cut[1:], len(who)], strict=True):
+            cut = np.flatnonzero(np.diff((who // U(SEGMENT)).astype(np.int64), prepend=-1))  # none where a range has no such pair
+            for a, b in zip(cut, np.append(cut, len(who))[1:], strict=True):
                 out["kind"].append(what)
                 out["part"].append(int(who[a]) // SEGMENT)
                 out["n"].append(0)

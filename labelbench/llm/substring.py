@@ -231,8 +231,8 @@ def _cutter(n_buckets: int, sample: bytes = b"", hot: Hot = Hot()):
         docs = _ordered(docs)
         c = Cut(_ids(docs["doc_id"]), docs["text"].combine_chunks(), n_buckets, hot)
         rows: dict[str, list] = {"bucket": [], "block": [], "blob": []}
-        edges = np.flatnonzero(np.diff(c.bucket, prepend=-1)) if len(c.bucket) else []
-        for a, b in zip(edges, [*edges[1:], len(c.bucket)], strict=True):
+        edges = np.flatnonzero(np.diff(c.bucket, prepend=-1))  # none where all texts of the block are short
+        for a, b in zip(edges, np.append(edges, len(c.bucket))[1:], strict=True):
             group = c.turn[a:b]
             lead, low, high = c.lead[group], c.low[group], c.high[group]
             lo, hi = c.start[c.at[lead]], c.end[c.at[lead] + c.windows[lead] + WINDOW - 2] + 1  # with the space behind

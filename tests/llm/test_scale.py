@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from labelbench.llm import chat, lm, mixing, sharding, simhash, substring
+from labelbench.llm import chat, lm, mixing, quality, rules, sharding, simhash, substring
 from labelbench.llm import sql as S
 from labelbench.llm import words
 from labelbench.session import land
@@ -160,3 +160,33 @@ def test_substring_all_cells_hot(spark, monkeypatch):
     monkeypatch.setattr(substring, "BLOCK_BYTES", 200_000)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.remove_repeats(docs).collect()}
     assert got == {i: (w[0], w[1], w[3]) for i, w in brute.repeats([(r.doc_id, r.text) for r in docs.collect()]).items()}
+
+
+def test_very_long_texts(spark):
+    """A text of 200,000 words, with a passage of a short one, is counted, cut, hashed and scored whole."""
+    rng = np.random.default_rng(11)
+    passage = " ".join(f"p{k}" for k in range(40))
+    body = [f"w{int(k)}" for k in rng.integers(0, 30_000, 200_000)]
+    body[150_000:150_000] = passage.split(" ")
+    text = "\n".join(" ".join(body[k:k + 20]) + "." for k in range(0, len(body), 20))
+    rows = [(1, "head " + passage + " tail"), (2, text), (3, None)]
+    table = land(spark.createDataFrame(rows, "doc_id long, text string"), "very-long")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.remove_repeats(table).collect()}
+    want = brute.repeats(rows)
+    assert got == {i: (w[0], w[1], w[3]) for i, w in want.items()} and want[2][1] >= 26 and want[2][0] == 200_040
+    assert {r.doc_id: int(r.fingerprint, 16) for r in simhash.simhash_groups(table).collect()} == {i: brute.fingerprint(t) for i, t in rows}
+    assert {r.doc_id: r.n_words for r in rules.clean_lines(table).collect()} == {1: 42, 2: 200_040, 3: 0}
+    assert {r.doc_id: r.n_tokens for r in lm.score(table, lm.train(table)).collect()} == {1: 43, 2: 200_041, 3: 1}
+    model = quality.train(table, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert {r.doc_id: (r.n_passages, 0 <= r.score <= 1) for r in quality.score(table, model).collect()} == {1: (1, True), 2: (3126, True), 3: (1, True)}
+
+
+def test_only_short_texts(spark):
+    """A block without any window, and a range without pairs of some count."""
+    rows = [(1, "one two three"), (2, "one two three"), (3, ""), (4, None)]
+    table = land(spark.createDataFrame(rows, "doc_id long, text string"), "short")
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.remove_repeats(table).collect()} == {
+        1: (3, 0, "one two three"), 2: (3, 0, "one two three"), 3: (0, 0, ""), 4: (0, 0, "")}
+    for own in (table, table.filter("doc_id = 1"), table.filter("doc_id = 4")):
+        own = land(own, "short-own")
+        assert {r.doc_id: r.n_tokens for r in lm.score(own, lm.train(own)).collect()} == {r.doc_id: 1 + len(brute.words(r.text)) for r in own.collect()}
