@@ -57,10 +57,12 @@ def title_case(c) -> Column:
 
 def sanitize_name(c) -> Column:
     """Safe experiment name: strip, runs outside [A-Za-z0-9._-] -> '_', strip '._-' ends,
-    empty -> 'experiment'."""
+    empty -> 'experiment'.
+
+    A name is empty if its text has no letter or digit, which the first of them settles: the
+    whole text is replaced once, not once for the test and once for the value."""
     s = F.regexp_replace(strip_ws(c), SAFE_NAME_OTHER_RUN, "_")
-    s = F.trim(s, F.lit(SAFE_NAME_STRIP_CHARS))
-    return F.when(s == "", F.lit(SAFE_NAME_FALLBACK)).otherwise(s)
+    return F.when(~_c(c).rlike("[A-Za-z0-9]"), F.lit(SAFE_NAME_FALLBACK)).otherwise(F.trim(s, F.lit(SAFE_NAME_STRIP_CHARS)))
 
 
 def experiment_display_name(c) -> Column:

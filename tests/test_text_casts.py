@@ -73,3 +73,12 @@ def test_feature_width_follows_the_vocabulary(spark):
     words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: F.concat(F.lit("w"), (F.col("id") * 200 + i).cast("string"))), " ")
     df = spark.range(4000).select(words.alias("description"))
     assert tr.feature_width(df) == 1 << 21
+
+
+def test_safe_name_replaces_once(spark):
+    """The replacement over the whole text stands once in the plan, and an empty name is found without it."""
+    texts = ["", " ", "._-", "__a__", "é", "é1", " \n.Z.\n", None, "-_ 9", "ß x ", "a" * 5000 + " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tx.sanitize_name("t").alias("n"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    want = ["experiment", "experiment", "experiment", "a", "experiment", "1", "Z", None, "9", "x", "a" * 5000]
+    assert [r.n for r in df.orderBy("i").collect()] == want
