@@ -26,6 +26,7 @@ from ..session import land, shared_path
 from ..sources import csv as csvsrc
 from ..sources import fixtures as fx
 from ..sources.results import read_results
+from ..sources.tables import read_table
 from . import experiment as ex
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -456,10 +457,15 @@ def q_scan_csv_typed(spark, sf_dir):
     return csvsrc.scan_csv_typed(spark, _landed_csv(spark, fx.raw_strings(fx.req(spark, sf_dir))))
 
 
+CSV_FILE_BYTES = 512 << 20  # of text in a file of scan_csv_splits: several read splits, and what one task writes
+
+
 @query("scan_csv_splits")
 def q_scan_csv_splits(spark, sf_dir):
-    """The same scan, one file read by several tasks."""
-    return csvsrc.scan_csv_typed(spark, _landed_csv(spark, fx.raw_strings(fx.req(spark, sf_dir)).coalesce(1)), in_splits=True)
+    """The same scan, a file read by several tasks; more text makes more files, so no task writes it all."""
+    size = read_table(spark, sf_dir, "documents").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    raw = fx.raw_strings(fx.req(spark, sf_dir)).coalesce(1 + size // CSV_FILE_BYTES)
+    return csvsrc.scan_csv_typed(spark, _landed_csv(spark, raw), in_splits=True)
 
 
 @query("scan_csv_header")

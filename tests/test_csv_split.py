@@ -63,3 +63,21 @@ def test_open_quote_and_no_rows(spark, tmp_path):
     assert sorted((r.record, r.text) for r in csv_split.records(spark, str(tmp_path)).collect()) == [(1, "x,y"), (2, '1,"never\nclosed')]
     (tmp_path / "a.csv").write_text("x,y\n")
     assert csv_split.read_csv(spark, str(tmp_path), {}).count() == 0
+
+
+def test_query_writes_more_files_for_more_text(spark, monkeypatch, tmp_path):
+    from pyspark.sql import functions as F
+
+    from labelbench.plans import registry
+
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit('say "so"\n'), F.col("id").cast("string")).alias("text"), F.lit("web").alias("source"))
+    docs.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(40).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    paths, write = [], csvsrc.write_csv
+    monkeypatch.setattr(csvsrc, "write_csv", lambda df, path: (paths.append(path), write(df, path)))
+    rows = {}
+    for size in (1 << 20, 150):
+        monkeypatch.setattr(registry, "CSV_FILE_BYTES", size)
+        rows[size] = sorted(map(str, registry.REGISTRY["scan_csv_splits"](spark, str(tmp_path)).collect()))
+    files = [spark.read.text(p).select(F.col("_metadata.file_path")).distinct().count() for p in paths]
+    assert files[0] == 1 and files[1] == 3 and rows[150] == rows[1 << 20] and len(rows[150]) == 48
