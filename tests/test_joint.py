@@ -135,3 +135,20 @@ def test_epoch_order_in_spark(spark):
             d = spark.range(n).select(split.epoch_order(F.col("id"), F.lit(n), epoch).alias("k"))
             r = d.agg(F.countDistinct("k").alias("c"), F.min("k").alias("a"), F.max("k").alias("b")).first()
             assert (r.c, r.a, r.b) == (n, 0, n - 1)
+
+
+def test_a_step_writes_only_the_features_of_its_batch(spark, monkeypatch):
+    rows = [(i, f"all own{i}", i % 2) for i in range(12)]
+    table = spark.createDataFrame(rows, f"row_id long, description string, {USED[0]} int")
+    split_df = table.drop("description").select("*", F.lit("all").alias("experiment"), F.lit("train").alias("split"), (F.col("row_id") + 1).alias("split_rank"))
+    written, write = [], joint._Mail.write
+
+    def spy(self, rows):
+        written.append({r.folder: r.n for r in rows.groupBy("folder").agg(F.sum(F.size("idx")).alias("n")).collect()})
+        write(self, rows)
+    monkeypatch.setattr(joint._Mail, "write", spy)
+    _, history = joint.train(split_df, table.select("row_id", "description"), ["all"], 1 << 20, replace(CFG, epochs=1, train_batch_size=2), USED[:1])
+    steps = [w for w in written if "loss" in w]
+    # two words of their own, one that all rows have and the intercept; the six batches' own words go to the epoch's end at once
+    assert len(steps) == 6 and all(sum(n for f, n in w.items() if f != "loss") == 4 for w in steps)
+    assert [w.get("end") for w in steps] == [2, 2, 2, 2, 2, 4] and history.count() == 1
