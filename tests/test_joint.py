@@ -152,3 +152,26 @@ def test_a_step_writes_only_the_features_of_its_batch(spark, monkeypatch):
     # two words of their own, one that all rows have and the intercept; the six batches' own words go to the epoch's end at once
     assert len(steps) == 6 and all(sum(n for f, n in w.items() if f != "loss") == 4 for w in steps)
     assert [w.get("end") for w in steps] == [2, 2, 2, 2, 2, 4] and history.count() == 1
+
+
+def test_a_batch_asks_for_each_feature_once(spark, monkeypatch):
+    rows = [(i, f"all own{i % 7}", i % 2) for i in range(1100)]
+    table = spark.createDataFrame(rows, f"row_id long, description string, {USED[0]} int")
+    split_df = table.drop("description").select("*", F.lit("all").alias("experiment"), F.lit("train").alias("split"), (F.col("row_id") + 1).alias("split_rank"))
+    asked, write, own_land = [], joint._Mail.write, joint.land
+
+    def spy(df, name, **kw):
+        out = own_land(df, name, **kw)
+        if name == "joint-chunks":
+            asked.extend(n for r in joint._asked(out).collect() for n in np.frombuffer(bytes(r.ids), np.int64).tolist())
+        return out
+
+    def no_exchange(self, rows):
+        with monkeypatch.context() as m:
+            m.setattr(type(rows), "repartition", lambda *_: pytest.fail("another exchange of the state"))
+            write(self, rows)
+    monkeypatch.setattr(joint, "land", spy)
+    monkeypatch.setattr(joint._Mail, "write", no_exchange)
+    _, history = joint.train(split_df, table.select("row_id", "description"), ["all"], 1 << 20, replace(CFG, epochs=1, train_batch_size=2000), USED[:1])
+    # a word that all rows have, seven others and the intercept
+    assert len(asked) == len(set(asked)) == 9 and history.count() == 1
