@@ -192,6 +192,41 @@ def test_packing_searches_the_whole_corpus(spark, docs, monkeypatch):
     assert far
 
 
+def test_packing_index_follows_the_free_documents(spark, docs, monkeypatch):
+    """The blocks are written anew as documents are used up, fewer and with the same neighbours."""
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 20_000)
+    path = queries.tokenizer_path()
+    corpus = packing.Corpus(packing.tokenised(docs, path), path)
+    n, blocks = len(corpus.size), len(corpus.blocks)
+    free = np.arange(n) % 5 == 0
+    seeds = np.flatnonzero(free)[::max(1, n // 100)]
+    found = lambda: [x.tolist() for x in corpus.neighbours(seeds, free, 10)]
+    held = lambda: sum(np.load(f"{corpus.folder}/{b}-doc.npy").size for b in corpus.blocks)
+    want, before = found(), held()
+    corpus.forget(free)
+    assert corpus.no.tolist() == np.flatnonzero(free).tolist() and len(corpus.blocks) < blocks and held() < before / 2
+    got = found()
+    assert got[:2] == want[:2] and np.allclose(got[2], want[2], rtol=1e-5) and want[0]
+    asked, real = [], packing.Corpus.neighbours
+    monkeypatch.setattr(packing.Corpus, "neighbours", lambda self, s, free, k: asked.append((len(self.no), int(free.sum()))) or real(self, s, free, k))
+    packing.pack_corpus(corpus_of_all := packing.Corpus(packing.tokenised(docs, path), path))
+    assert len(asked) > 2 and all(0.8 * held <= left for held, left in asked) and len(corpus_of_all.no) < n
+
+
+def test_packing_keeps_the_best_of_each_seed():
+    rng = np.random.default_rng(5)
+    scores = (rng.random((4, 900)) * 7).astype(np.float32) * (rng.random((4, 900)) > 0.2)
+    scores[3, 5:] = 0
+    best = packing.Best(4, 30)
+    for c in range(0, 900, 100):
+        i, j = np.nonzero(scores[:, c:c + 100] > best.least[:, None])
+        best.add(i, j + c, scores[i, j + c])
+    seed, doc, score = best.get()
+    for s in range(4):
+        want = np.argsort(-scores[s], kind="stable")[:min(30, int((scores[s] > 0).sum()))]
+        assert doc[seed == s].tolist() == want.tolist() and score[seed == s].tolist() == scores[s, want].tolist()
+
+
 def test_packing_follows_bm25():
     a, b = np.arange(50, dtype=np.uint64), np.arange(100, 150, dtype=np.uint64)
     index = packing.Index([a, b, a[:30], b[:30], a[:10]])
