@@ -132,13 +132,16 @@ def first_of_groups(docs: DataFrame, **options) -> DataFrame:
 
 
 def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b): all pairs a < b of the distinct fingerprints ``fp`` within ``max_bits`` (3 at most); a pair may come up to eight times."""
+    """(a, b): all pairs a < b of the distinct fingerprints ``fp`` within ``max_bits`` (3 at most); a pair may come up to eight times.
+
+    Both sides are exchanged by key, whatever the thresholds of the session: neither is broadcast."""
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("the keys find up to three differing bits")
     left = fps.select("fp").mapInArrow(_keys(True), "key long, fp long").select("key", F.col("fp").alias("a"))
     right = fps.select("fp").mapInArrow(_keys(False), "key long, fp long").select("key", F.col("fp").alias("b"))
     far = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (far <= max_bits)).select("a", "b")
+    # a side's rows are some 42 to a fingerprint, which Spark doesn't know: by the size it assumes it would send a whole side to the driver
+    return left.hint("merge").join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (far <= max_bits)).select("a", "b")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:

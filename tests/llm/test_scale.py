@@ -190,3 +190,18 @@ def test_only_short_texts(spark):
     for own in (table, table.filter("doc_id = 1"), table.filter("doc_id = 4")):
         own = land(own, "short-own")
         assert {r.doc_id: r.n_tokens for r in lm.score(own, lm.train(own)).collect()} == {r.doc_id: 1 + len(brute.words(r.text)) for r in own.collect()}
+
+
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_golay_keys_are_never_broadcast(spark):
+    """A side has 42 rows to a fingerprint, but Spark sizes it as one: however small that is, both sides are exchanged."""
+    rng = np.random.default_rng(5)
+    fps = land(spark.createDataFrame([(int(x),) for x in rng.integers(-2**63, 2**63, 300)] + [(1,), (3,)], "fp long"), "fps")
+    links = simhash.near_links(fps)
+    plan = _final_plan(links)
+    assert {(r.a, r.b) for r in links.collect()} == {(1, 3)}
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
