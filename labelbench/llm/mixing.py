@@ -116,7 +116,8 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float
     alike = Window.partitionBy("source", "key", "doc_id", "size", "salt").orderBy("mix_no")
     rows = rows.withColumn("nth", F.row_number().over(alike) - 1)
     same = [F.col(c).eqNullSafe(F.col(f"{c}_c")) for c in ("source", "key", "doc_id", "size", "salt")]
-    rows = rows.join(cells, reduce(and_, same)).withColumn("before", F.col("before_cell") + F.col("nth") * F.col("size"))
+    # about as many cells as rows, with keys of 32 characters: more than Spark takes them for, so never broadcast
+    rows = rows.join(cells.hint("merge"), reduce(and_, same)).withColumn("before", F.col("before_cell") + F.col("nth") * F.col("size"))
     rows = rows.join(per, F.col("source").eqNullSafe(F.col("source_b")) & (F.col("bucket") == F.col("bucket_b")))
     start = F.col("base") + F.col("before")
     goal = F.floor(F.col("target") + 0.5)

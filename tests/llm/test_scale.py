@@ -205,3 +205,11 @@ def test_golay_keys_are_never_broadcast(spark):
     plan = _final_plan(links)
     assert {(r.a, r.b) for r in links.collect()} == {(1, 3)}
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_mix_cells_are_never_broadcast(spark):
+    """There are as many cells as rows: the join with them is an exchange of both sides, however small Spark takes them for."""
+    rows = [(i, f"s{i % 2}", "w " * (i % 9)) for i in range(200)]
+    plan = _final_plan(mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, source string, text string")))
+    joins = [line for line in plan.split("Initial Plan")[0].splitlines() if "Join" in line and "before_cell" not in line and "key_c" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
