@@ -30,12 +30,14 @@ from ..session import drop_landed, land, recording
 
 BLOCK = 4096  # features to a block
 CHUNK = 1024  # rows of one experiment to a chunk, at most
+AT_ONCE = 4  # chunks or blocks that a task reads or writes at once: a row of them has megabytes
 MEMORY, TOLERANCE = 10, 1e-6
 X, KEPT, G = 0, 1, 2  # the point, the best epoch's point, the gradient; remembered steps and changes follow
-PACKED = "chunk long, exp int, train array<int>, y array<int>, n_cells array<int>, feature array<int>, value array<double>, wanted array<long>, block array<long>, first array<int>, size array<int>"
+PACKED = "chunk long, exp int, train binary, y binary, n_cells binary, feature binary, value binary, wanted binary, sums binary, block array<long>, first array<int>, size array<int>"
+ROWS = ("chunk", "exp", "train", "y", "n_cells", "feature", "value", "wanted")
 STATE = "exp int, block long, idx array<long>, inv binary, mean binary, v binary, dots binary"
 _NO_STATE = pa.schema([("exp", pa.int32()), ("block", pa.int64()), ("idx", pa.list_(pa.int64()))] + [(n, pa.binary()) for n in ("inv", "mean", "v", "dots")]).empty_table()
-MARGINS = "chunk long, exp int, train array<int>, y array<int>, x binary, d binary"
+MARGINS = "chunk long, exp int, train binary, y binary, x binary, d binary"
 
 
 class SearchFailed(Exception):
@@ -46,6 +48,16 @@ def _one(values, kind) -> pa.Array:
     return pa.array([values], pa.list_(kind))
 
 
+def _bytes(values, kind) -> pa.Array:
+    """Numbers as one value of bytes, which Spark hands on in one piece; arrays go number by number and are unpacked to several times their size."""
+    return pa.array([np.ascontiguousarray(values, kind).tobytes()], pa.binary())
+
+
+def _numbers(blob, kind) -> np.ndarray:
+    blob = blob.as_buffer()
+    return np.frombuffer(blob, kind) if blob.size else np.zeros(0, kind)
+
+
 def _floats(blob, *shape) -> np.ndarray:
     blob = blob.as_py() if hasattr(blob, "as_py") else blob
     return (np.frombuffer(blob) if blob else np.zeros(0)).reshape(*shape)
@@ -71,7 +83,7 @@ def _by_block(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of a partition's rows, each of one experiment, over their own sorted features."""
+    """Chunks of a partition's rows, each of one experiment, over their own sorted features; with each feature's sums of values and squares in the training rows."""
     chunk = TaskContext.get().partitionId() << 32
     for b in batches:
         exps = b.column("exp").to_numpy()
@@ -82,16 +94,20 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n, features, values = cells_of(t.column("features"))
                 wanted, local = np.unique(features, return_inverse=True)
                 block, first, size = _by_block(wanted)
+                train = t.column("train").to_numpy()
+                on = np.repeat(train, n) == 1
+                sums = _by_feature(len(wanted), local[on], np.stack([values[on], values[on] ** 2], 1))
                 yield pa.record_batch([
-                    pa.array([chunk], pa.int64()), pa.array([e], pa.int32()), _one(t.column("train").to_numpy(), pa.int32()),
-                    _one(t.column("y").flatten().to_numpy(), pa.int32()), _one(n, pa.int32()), _one(local, pa.int32()), _one(values, pa.float64()),
-                    _one(wanted, pa.int64()), _one(block, pa.int64()), _one(first, pa.int32()), _one(size, pa.int32())],
-                    names=["chunk", "exp", "train", "y", "n_cells", "feature", "value", "wanted", "block", "first", "size"])
+                    pa.array([chunk], pa.int64()), pa.array([e], pa.int32()), _bytes(train, np.int32),
+                    _bytes(t.column("y").flatten().to_numpy(), np.int32), _bytes(n, np.int32), _bytes(local, np.int32), _bytes(values, np.float64),
+                    _bytes(wanted, np.int64), _bytes(sums, np.float64), _one(block, pa.int64()), _one(first, pa.int32()), _one(size, pa.int32())],
+                    names=["chunk", "exp", "train", "y", "n_cells", "feature", "value", "wanted", "sums", "block", "first", "size"])
                 chunk += 1
 
 
 def _arrays(t: pa.Table, n_lab: int):
-    train, y, n, feature, value, wanted = (t[c][0].values.to_numpy() for c in ("train", "y", "n_cells", "feature", "value", "wanted"))
+    train, y, n, feature = (_numbers(t[c][0], np.int32) for c in ("train", "y", "n_cells", "feature"))
+    value, wanted = _numbers(t["value"][0], np.float64), _numbers(t["wanted"][0], np.int64)
     return train, y.reshape(-1, n_lab), np.repeat(np.arange(len(n)), n), feature, value, wanted
 
 
@@ -109,10 +125,10 @@ def _parts(exp: int, chunk: int, wanted: np.ndarray, sums: np.ndarray) -> pa.Tab
     block, first, size = _by_block(wanted)
     cut = list(zip(first, first + size, strict=True))
     return pa.table({"of": pa.array([exp] * len(block), pa.int32()), "in": pa.array(block, pa.int64()), "chunk": pa.array([chunk] * len(block), pa.int64()),
-                     "ids": pa.array([wanted[a:b] for a, b in cut], pa.list_(pa.int64())), "g": pa.array([sums[a:b].tobytes() for a, b in cut], pa.binary())})
+                     "ids": pa.array([wanted[a:b].tobytes() for a, b in cut], pa.binary()), "g": pa.array([sums[a:b].tobytes() for a, b in cut], pa.binary())})
 
 
-PARTS = "of int, in long, chunk long, ids array<long>, g binary"
+PARTS = "of int, in long, chunk long, ids binary, g binary"
 
 
 def _by_feature(wanted: int, feature: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -121,18 +137,10 @@ def _by_feature(wanted: int, feature: np.ndarray, part: np.ndarray) -> np.ndarra
 
 def _first_state(chunks: DataFrame, n_train: list[int], n_lab: int) -> DataFrame:
     """Scales and centres of the features that vary in the training rows; points and gradients of zero."""
-    def moments(batches):
-        for b in batches:
-            for t in (pa.Table.from_batches([b.slice(i, 1)]) for i in range(len(b))):
-                train, _, row, feature, value, wanted = _arrays(t, n_lab)
-                on = train[row] == 1
-                sums = _by_feature(len(wanted), feature[on], np.stack([value[on], value[on] ** 2], 1))
-                yield from _parts(t["exp"][0].as_py(), t["chunk"][0].as_py(), wanted, sums).to_batches()
-
     def merge(t: pa.Table) -> pa.Table:
         exp = t["of"][0].as_py()
         t = t.sort_by("chunk")
-        idx, at = np.unique(np.concatenate([i.values.to_numpy() for i in t["ids"]]), return_inverse=True)
+        idx, at = np.unique(np.concatenate([_numbers(i, np.int64) for i in t["ids"]]), return_inverse=True)
         s, sq = _by_feature(len(idx), at, np.concatenate([_floats(g, -1, 2) for g in t["g"]])).T
         n = n_train[exp]
         std = np.sqrt(np.maximum(n * sq - s * s, 0) / (n * max(1, n - 1)))
@@ -144,7 +152,7 @@ def _first_state(chunks: DataFrame, n_train: list[int], n_lab: int) -> DataFrame
         return pa.table({"exp": pa.array([exp], pa.int32()), "block": t["in"].slice(0, 1), "idx": _one(idx, pa.int64()), "inv": [inv.tobytes()],
                          "mean": [mean.tobytes()], "v": [v.tobytes()], "dots": [_dots(v, inv, mean).tobytes()]})
 
-    return chunks.mapInArrow(moments, PARTS).groupBy("of", "in").applyInArrow(merge, STATE)
+    return _per_block(chunks, sums=16).select("of", "in", "chunk", "ids", F.col("sums").alias("g")).groupBy("of", "in").applyInArrow(merge, STATE)
 
 
 def _dots(v: np.ndarray, inv: np.ndarray, mean: np.ndarray) -> np.ndarray:
@@ -173,7 +181,8 @@ def pulled(asked: DataFrame, state: DataFrame, answer: Callable, width: int) ->
         idx, w = answer(s) if len(s) else (np.zeros(0, np.int64), None)
         out = []
         for ids in a["ids"]:
-            ids, x = ids.values.to_numpy(), np.zeros((len(ids), width))
+            ids = _numbers(ids, np.int64)
+            x = np.zeros((len(ids), width))
             if len(idx):  # a feature that does not vary in the training rows weighs nothing
                 at = np.minimum(np.searchsorted(idx, ids), len(idx) - 1)
                 x = np.where((idx[at] == ids)[:, None], w[at], 0.0)
@@ -182,9 +191,11 @@ def pulled(asked: DataFrame, state: DataFrame, answer: Callable, width: int) ->
     return asked.groupBy("of", "in").cogroup(state.groupBy("exp", "block")).applyInArrow(lambda a, s: pull(a, s), "by long, of int, part long, w binary")
 
 
-def _asked(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk", "exp", "wanted", F.explode(F.arrays_zip("block", "first", "size")).alias("g")) \
-        .select("chunk", F.col("exp").alias("of"), F.col("g.block").alias("in"), F.slice("wanted", F.col("g.first") + 1, F.col("g.size")).alias("ids"))
+def _per_block(chunks: DataFrame, **more: int) -> DataFrame:
+    """(chunk, of, in, ids, more): what chunks have of every block; ``more`` columns have that many bytes a feature."""
+    part = lambda c, n: F.substring(c, F.col("g.first") * n + 1, F.col("g.size") * n)
+    return chunks.select("chunk", "exp", "wanted", *more, F.explode(F.arrays_zip("block", "first", "size")).alias("g")) \
+        .select("chunk", F.col("exp").alias("of"), F.col("g.block").alias("in"), part("wanted", 8).alias("ids"), *[part(c, n).alias(c) for c, n in more.items()])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -298,7 +309,7 @@ def fit(joined: DataFrame, experiments: list[str], labels: list[str], key: str,
     rows = joined.filter(F.col("split").isin("train", "valid")).select(
         number.alias("exp"), (F.col("split") == "train").cast("int").alias("train"), F.array(*[F.col(c).cast("int") for c in labels]).alias("y"), "features").filter("exp IS NOT NULL")
     with recording() as paths:
-        chunks = land(rows.mapInArrow(_pack, PACKED), "lbfgs-chunks")
+        chunks = land(rows.mapInArrow(_pack, PACKED), "lbfgs-chunks", group_rows=AT_ONCE)
         counts = rows.groupBy("exp", "train").agg(F.count(F.lit(1)).alias("n"), *[a for i in range(n_lab) for a in (
             F.count(F.when(F.col("y")[i].isin(0, 1), 1)).alias(f"ok{i}"), F.sum(F.col("y")[i]).alias(f"s{i}"))]).collect()  # two rows an experiment
         n_train, n_valid, positive = [0] * n_exp, [0] * n_exp, np.zeros((n_exp, n_lab))
@@ -312,7 +323,7 @@ def fit(joined: DataFrame, experiments: list[str], labels: list[str], key: str,
             raise ValueError(f"no training rows in {experiments[n_train.index(0)]}")
         heads = [[_Head(math.inf if p == n else -math.inf if p == 0 else math.log(p / (n - p)), p in (0, n)) for p in ps] for ps, n in zip(positive, n_train, strict=True)]
         out = _run(chunks, heads, experiments, n_train, n_valid, n_lab, epochs, weight_decay)
-        weights = land(out[0], "lbfgs-weights")
+        weights = land(out[0], "lbfgs-weights", group_rows=AT_ONCE)
     intercepts = np.array([[h.kept_b for h in hs] for hs in heads])
     shifts = {r.exp: _floats(r.shift, n_lab) for r in weights.groupBy("exp").applyInArrow(
         lambda t: pa.table({"exp": t["exp"].slice(0, 1), "shift": [sum(_floats(b, -1) for b in t.sort_by("block")["shift"]).tobytes()]}), "exp int, shift binary").collect()}
@@ -326,7 +337,7 @@ def _run(chunks: DataFrame, heads: list[list[_Head]], experiments: list[str], n_
     spark, n_exp = chunks.sparkSession, len(experiments)
     every = [(e, i) for e in range(n_exp) for i in range(n_lab)]
     place: dict[int, tuple[int, int]] = {}  # slot -> places of its step and change among the state's vectors
-    state = land(_first_state(chunks, n_train, n_lab), "lbfgs-state")
+    state = land(_first_state(chunks, n_train, n_lab), "lbfgs-state", group_rows=AT_ONCE)
     k, dots = 3, _total(state, n_exp, n_lab, 3)
 
     def grid(value) -> np.ndarray:
@@ -339,7 +350,7 @@ def _run(chunks: DataFrame, heads: list[list[_Head]], experiments: list[str], n_
                 for r in range(len(b)):
                     e = b.column("exp")[r].as_py()
                     x, d = (_floats(b.column(c)[r], -1, n_lab) for c in "xd")
-                    train, y = b.column("train")[r].values.to_numpy()[:, None] == 1, b.column("y")[r].values.to_numpy().reshape(-1, n_lab)
+                    train, y = _numbers(b.column("train")[r], np.int32)[:, None] == 1, _numbers(b.column("y")[r], np.int32).reshape(-1, n_lab)
                     sums = []
                     for trial in t:
                         m = x + trial[e] * d
@@ -367,7 +378,7 @@ def _run(chunks: DataFrame, heads: list[list[_Head]], experiments: list[str], n_
             else:
                 g = np.zeros((len(idx), n_lab))
                 for ids, blob in (zip(*(parts.sort_by("chunk")[n] for n in ("ids", "g")), strict=True) if len(idx) else ()):
-                    ids, w = ids.values.to_numpy(), _floats(blob, -1, n_lab)
+                    ids, w = _numbers(ids, np.int64), _floats(blob, -1, n_lab)
                     at = np.minimum(np.searchsorted(idx, ids), len(idx) - 1)
                     on = idx[at] == ids
                     g[at[on]] += w[on]
@@ -379,7 +390,7 @@ def _run(chunks: DataFrame, heads: list[list[_Head]], experiments: list[str], n_
             return pa.table({"exp": s["exp"], "block": s["block"], "idx": s["idx"], "inv": s["inv"], "mean": s["mean"], "v": [v.tobytes()], "dots": [_dots(v, inv, mean).tobytes()]})
 
         going = [e for e in range(n_exp) if moved[e].any()]
-        parts = chunks.filter(F.col("exp").isin(going)).groupBy("chunk").cogroup(margins.withColumnRenamed("chunk", "by").groupBy("by")) \
+        parts = chunks.filter(F.col("exp").isin(going)).select(*ROWS).groupBy("chunk").cogroup(margins.withColumnRenamed("chunk", "by").groupBy("by")) \
             .applyInArrow(lambda a, m: gradient(a, m) if len(a) else _parts(0, 0, np.zeros(0, np.int64), np.zeros((0, n_lab))), PARTS)
         return parts.groupBy("of", "in").cogroup(state.groupBy("exp", "block")).applyInArrow(
             lambda p, s: step(p, s) if len(s) else _NO_STATE, STATE)
@@ -403,8 +414,8 @@ def _run(chunks: DataFrame, heads: list[list[_Head]], experiments: list[str], n_
             return pa.table({"chunk": a["chunk"], "exp": a["exp"], "train": a["train"], "y": a["y"], "x": [x.tobytes()], "d": [d.tobytes()]})
 
         some = chunks.filter(F.col("exp").isin(going))
-        got = pulled(_asked(some), state.filter(F.col("exp").isin(going)).select("exp", "block", "idx", "inv", "v"), answer, 2 * n_lab)
-        return some.groupBy("chunk").cogroup(got.groupBy("by")).applyInArrow(compute, MARGINS)
+        got = pulled(_per_block(some), state.filter(F.col("exp").isin(going)).select("exp", "block", "idx", "inv", "v"), answer, 2 * n_lab)
+        return some.select(*ROWS).groupBy("chunk").cogroup(got.groupBy("by")).applyInArrow(compute, MARGINS)
 
     def regular(e: int, i: int, c: np.ndarray, t: float) -> tuple[float, float]:
         """The weight decay's value and slope at length ``t`` along ``c``."""
@@ -425,7 +436,7 @@ def _run(chunks: DataFrame, heads: list[list[_Head]], experiments: list[str], n_
     def stepped(margins, t, c, residual, moved, keep, slots):
         nonlocal state, dots, k, before
         with recording() as own:
-            state = land(push(margins, t, c, residual, moved, keep, slots), "lbfgs-state")
+            state = land(push(margins, t, c, residual, moved, keep, slots), "lbfgs-state", group_rows=AT_ONCE)
         drop_landed(spark, before)
         before = own
         k = 3 + 2 * (len(slots) + 1)
@@ -433,7 +444,7 @@ def _run(chunks: DataFrame, heads: list[list[_Head]], experiments: list[str], n_
 
     # the gradient at zero
     with recording() as own:
-        margins = land(margins_of(np.zeros((n_exp, n_lab, k)), list(range(n_exp))), "lbfgs-margins")
+        margins = land(margins_of(np.zeros((n_exp, n_lab, k)), list(range(n_exp))), "lbfgs-margins", group_rows=AT_ONCE)
     got = {e: sums[0] for e, sums in measured(margins, zero[None]).items()}
     free = np.array([[not h.constant for h in hs] for hs in heads])
     stepped(margins, zero, np.zeros((n_exp, n_lab, k)), np.array([got[e][2] / n_train[e] for e in range(n_exp)]), free, [False] * n_exp, [])
@@ -464,7 +475,7 @@ def _run(chunks: DataFrame, heads: list[list[_Head]], experiments: list[str], n_
                     c[e, i], h.db = 0.0, 0.0
                     lost.add((e, i))
             with recording() as own:
-                margins = land(margins_of(c, sorted({e for e, _ in need})), "lbfgs-margins")
+                margins = land(margins_of(c, sorted({e for e, _ in need})), "lbfgs-margins", group_rows=AT_ONCE)
             found, more = {}, 9 if any(heads[e][i].iteration == 0 for e, i in searches) else 1
             while searches:
                 trials = [t.copy()]
@@ -559,6 +570,6 @@ def score(rows: DataFrame, weights: DataFrame, intercepts: np.ndarray) -> DataFr
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, n_lab), pa.int32()), pa.array(sigmoid(m).reshape(-1)))
         return t.select(kept).append_column("_p", lists)
 
-    asked = rows.select("_chunk", "_exp", "_features").groupBy("_chunk", "_exp").applyInArrow(ask, "chunk long, of int, in long, ids array<long>")
+    asked = rows.select("_chunk", "_exp", "_features").groupBy("_chunk", "_exp").applyInArrow(ask, "chunk long, of int, in long, ids binary")
     got = pulled(asked, weights, answer, n_lab)
     return rows.groupBy("_chunk", "_exp").cogroup(got.groupBy("by", "of")).applyInArrow(compute, schema)

@@ -1,5 +1,6 @@
 """The heads trained together against Spark ML's fits of the same number of iterations."""
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
@@ -74,3 +75,24 @@ def test_one_class_and_saved_models(spark, joined, tmp_path):
     assert a == b and len(a) == 200
     with pytest.raises(ValueError, match="no training rows in none"):
         tr.train_multilabel(joined, ["e", "none"], CFG, ["a"])
+
+
+def test_a_reader_holds_few_chunks_at_once(spark, joined, monkeypatch):
+    """A Parquet reader unpacks a row group at once, so one has a bounded number of chunks or blocks, and no array of cells in it."""
+    groups, large = {}, {}
+
+    def noted(df, name, *a, **k):
+        out = land(df, name, *a, **k)
+        for f in out.inputFiles():
+            meta = pq.ParquetFile(f.removeprefix("file://")).metadata
+            groups[name] = max([groups.get(name, 0), *(meta.row_group(g).num_rows for g in range(meta.num_row_groups))])
+            large[name] = max([large.get(name, 0), *(meta.row_group(g).column(c).num_values for g in range(meta.num_row_groups) for c in range(meta.num_columns)
+                                                     if meta.row_group(g).column(c).path_in_schema.split(".")[0] in ("feature", "value", "wanted"))])
+        return out
+
+    monkeypatch.setattr(lbfgs, "land", noted)
+    monkeypatch.setattr(lbfgs, "CHUNK", 8)
+    monkeypatch.setattr(lbfgs, "BLOCK", 8)
+    tr.train_multilabel(joined.coalesce(1), ["e", "f"], ExperimentConfig(epochs=1), ["a", "b"])
+    assert 1 < groups["lbfgs-chunks"] <= 4 and groups["lbfgs-state"] <= 4 and groups["lbfgs-margins"] <= 4 and groups["lbfgs-weights"] <= 4
+    assert large["lbfgs-chunks"] <= 4  # a number for each chunk, not for each cell
