@@ -89,12 +89,12 @@ def land(df, name: str, partition_by: str | None = None, group_rows: int | None
     With ``partition_by`` rows of one value of that column share a folder, and a reader that
     filters on it opens no other.  ``group_rows`` bounds the rows of a Parquet row group: a writer looks at their
     size only from a hundred rows on, and a reader unpacks up to a whole group at once, so rows of megabytes need
-    small ones.  The files stay until the caller drops them (``landed``)."""
+    small ones, and the denser packing of zstd.  The files stay until the caller drops them (``landed``)."""
     spark = df.sparkSession
     path = shared_path(spark, name, unique=True)
     writer = df.write.mode("overwrite")
     if group_rows:
-        writer = writer.option("parquet.block.row.count.limit", str(group_rows))
+        writer = writer.option("parquet.block.row.count.limit", str(group_rows)).option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     note_landed(path)
     return spark.read.schema(df.schema).parquet(path) if partition_by else spark.read.parquet(path)
